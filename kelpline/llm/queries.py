@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import bpe
+from kelpline.llm import blob_secrets, bpe, mixing, token_counts
+from kelpline.llm.common import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,38 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as the piece vocabulary gives them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_tokens = token_counts.counter(docs, vocabulary("piece_bpe_32k.model"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return docs.select("doc_id", n_bytes.alias("n_bytes"), n_tokens.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, scanned once per blob into a ledger of this run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = blob_secrets.scan(docs, new_folder(spark, "ledger"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = tuple(r.kind for r in blob_secrets.BASE)
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(blob_secrets.digest(F.col("spans"), base), 256).alias("base_sha256"),
+        blob_secrets.digest(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op10_secrets": op10_secrets,
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
