@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, mixing, token_counts
+from kelpline.llm import blob_secrets, bpe, mixing, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -61,7 +61,28 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every page as a WARC record and tells what reading the archives back gives."""
+    folder = new_folder(spark, "warc")
+    warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    found = warc.read_archives(spark, folder, with_payload=False).filter("reason IS NULL")
+    return found.select(
+        warc.key_of(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of(F.col("refers_to")).cast("long").alias("refers_to"),
+    )
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the verdict on every document."""
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
 QUERIES = {
+    "op5_warc": op5_warc,
+    "op7_quality": op7_quality,
     "op4_mixing": op4_mixing,
     "op6_token_counts": op6_token_counts,
     "op10_secrets": op10_secrets,
