@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, mixing, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, mixing, neighbours, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -80,7 +80,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every embedding whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"), 10)
+
+
 QUERIES = {
+    "op9_neighbours": op9_neighbours,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
     "op4_mixing": op4_mixing,
@@ -89,4 +96,15 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_neighbours": """
+        WITH fine AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+                      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+                         sqrt(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])))) AS score
+                  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM pairs)
+        SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 10""",
+}
