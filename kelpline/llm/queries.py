@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, mixing, neighbours, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, mixing, near_dup, neighbours, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -86,7 +86,14 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.filter("vec_id % 100 = 0"), 10)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by 2-word shingles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs, near_dup.Likeness(words=2))
+
+
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op9_neighbours": op9_neighbours,
     "op5_warc": op5_warc,
     "op7_quality": op7_quality,
