@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
+from kelpline.llm.common import Recent
+
 #: The characters that Unicode calls white space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -61,7 +63,7 @@ def _fine() -> re.Pattern:
 FINE = _fine()
 #: Cuts a text where the pattern above always cuts, at far less cost.
 COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-#: Pieces of more bytes than this aren't kept in the cache.
+#: Pieces and words of more characters than this aren't kept in the caches.
 CACHED_BYTES = 64
 
 
@@ -91,7 +93,7 @@ class Automaton:
     Only byte-level BPE without normalizer, prefix space and dropout is taken; others raise ValueError.
     """
 
-    def __init__(self, source: bytes | str, kept: int = 500_000) -> None:
+    def __init__(self, source: bytes | str, kept: int = 300_000) -> None:
         spec = json.loads(source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
@@ -121,7 +123,7 @@ class Automaton:
         self.reach: dict[bytes, int] = {}
         for b, i in self.ids.items():
             if len(b) == 1 or self.born[i]:
-                self.reach[b[:2]] = max(self.reach.get(b[:2], 1), len(b))
+                self.reach[b[:4]] = max(self.reach.get(b[:4], 1), len(b))
 
     def _arc(self, before: int, after: int) -> bool:
         """Whether the state that ``before`` leads to has an arc labelled ``after``."""
@@ -143,7 +145,7 @@ class Automaton:
         ends, at, n, before = [0], 0, len(word), -1
         ids, follows, reach, born = self.ids, self.follows, self.reach, self.born
         dead: set[int] = set()
-        size = min(n, reach.get(word[:2], 1))
+        size = min(n, reach.get(word[:4], 3))
         while at < n:
             while size:
                 label = ids.get(word[at : at + size])
@@ -155,7 +157,7 @@ class Automaton:
                 at += size
                 ends.append(at)
                 before = label
-                size = min(n - at, reach.get(word[at : at + 2], 1))
+                size = min(n - at, reach.get(word[at : at + 4], 3))
             else:
                 if not path:
                     raise ValueError("the vocabulary doesn't spell every byte")
@@ -166,50 +168,38 @@ class Automaton:
                 before = path[-1] if path else -1
         return path
 
-    def encode_piece(self, piece: str) -> bytes:
-        """The ids, as little-endian int32, of a piece that needs no added token."""
-        out: list[int] = []
-        for word in FINE.findall(piece):
-            out += self.encode_word(word.encode())
-        return np.array(out, "<i4").tobytes()
-
 
-class PieceCache(dict):
-    """Ids of pieces met before; emptied when it holds ``most`` pieces, so its memory is bounded."""
+class Encoder:
+    """Ids of whole texts; pieces, and the words in them, that were met before come from bounded caches."""
 
-    def __init__(self, automaton: Automaton, most: int = 300_000) -> None:
-        self.automaton, self.most = automaton, most
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.automaton.encode_piece(piece)
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = found
-        return found
+    def __init__(self, automaton: Automaton, n_words: int = 300_000, n_pieces: int = 100_000) -> None:
+        self.automaton = automaton
+        self.words = Recent(lambda w: np.array(automaton.encode_word(w.encode()), "<i4").tobytes(), n_words, CACHED_BYTES)
+        self.pieces = Recent(lambda p: b"".join(map(self.words.__getitem__, FINE.findall(p))), n_pieces, CACHED_BYTES)
 
     def encode(self, text: str) -> bytes:
-        cut = self.automaton.cut_added
+        """The ids as little-endian int32."""
+        cut, known = self.automaton.cut_added, self.pieces.__getitem__
         if cut is None or not cut.search(text):
-            return b"".join(map(self.__getitem__, COARSE.findall(text)))
+            return b"".join(map(known, COARSE.findall(text)))
         out, added = [], self.automaton.added
         for part in cut.split(text):
             if part in added:
                 out.append(np.array([added[part]], "<i4").tobytes())
             else:
-                out += map(self.__getitem__, COARSE.findall(part))
+                out += map(known, COARSE.findall(part))
         return b"".join(out)
 
 
-_LOADED: dict[int, PieceCache] = {}
+_LOADED: dict[int, Encoder] = {}
 
 
-def _cache(source: bytes) -> PieceCache:
+def _cache(source: bytes) -> Encoder:
     """The compiled automaton of a worker; it is made once for a worker and vocabulary."""
     key = hash(source)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = PieceCache(Automaton(source))
+        _LOADED[key] = Encoder(Automaton(source))
     return _LOADED[key]
 
 

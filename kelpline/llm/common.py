@@ -52,3 +52,26 @@ def words_of(text: Column) -> Column:
 def n_words_of(text: Column) -> Column:
     """How many words ``words_of`` gives, as a long."""
     return F.size(words_of(text)).cast("long")
+
+
+class Recent(dict):
+    """Results of ``make`` by key, in two generations of at most ``most`` keys each.
+
+    A full generation becomes the older one and the one before it goes, so memory is bounded and
+    what is used often stays. Keys longer than ``longest`` aren't kept.
+    """
+
+    def __init__(self, make, most: int, longest: int) -> None:
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
