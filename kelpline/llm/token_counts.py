@@ -21,6 +21,8 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.llm.common import Recent
+
 #: A pre-token, in a text with a space put before it.
 PIECES = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+")
 #: Longer pre-tokens are in neither tier; they are encoded each time.
@@ -42,24 +44,14 @@ class Encoder:
         return len(self.library.encode("\n" + piece)) - 2  # after a newline no space is put before
 
 
-class Lookup(dict):
-    """Both tiers; the second is emptied when it holds ``most`` pre-tokens."""
-
-    def __init__(self, first: dict[str, int], encoder: Encoder, most: int = 400_000) -> None:
-        super().__init__(first)
-        self.first, self.encoder, self.most = first, encoder, most + len(first)
+class Lookup:
+    """Both tiers: the table first, then a bounded cache of what it misses."""
 
-    def __missing__(self, piece: str) -> int:
-        found = self.encoder.count(piece)
-        if len(piece) <= LONGEST:
-            if len(self) >= self.most:
-                self.clear()
-                self.update(self.first)
-            self[piece] = found
-        return found
+    def __init__(self, first: dict[str, int], encoder: Encoder, most: int = 200_000) -> None:
+        self.tiers = Recent(lambda p: encoder.count(p) if (n := first.get(p)) is None else n, most, LONGEST)
 
     def count(self, text: str) -> int:
-        return text.count("\n") + sum(map(self.__getitem__, PIECES.findall(" " + text))) if text else 0
+        return text.count("\n") + sum(map(self.tiers.__getitem__, PIECES.findall(" " + text))) if text else 0
 
 
 def frequent_pieces(docs: DataFrame, text_col: str = "text", table: int = 16_384, summary: int = 4_096) -> dict[str, int]:
