@@ -1,11 +1,77 @@
-"""A corpus pipeline out of the text operators; filled in below as they come."""
+"""A corpus pipeline out of the text operators: what quality rules and deduplication leave, mixed and encoded.
 
-STAGES: list = []
+Each stage works on all that the one before kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kelpline.llm import bpe, line_dedup, mixing, near_dup, quality
+from kelpline.llm.common import SPACES, stage_table
+from kelpline.llm.queries import vocabulary
+
+#: Rows of one key each that may be broadcast; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``dropped``; rows with a null doc_id stay."""
+    dropped = stage_table(dropped.select(F.col("doc_id").alias("_dropped")).filter("_dropped IS NOT NULL").distinct(), "dropped")
+    few = dropped.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+
+
+def with_lengths(docs: DataFrame) -> DataFrame:
+    """``n_chars`` says how long the text now is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return without(docs, quality.judge(docs).filter("NOT kept"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated runs of lines go, and with them documents of which no word is left."""
+    left = line_dedup.without_repeats(docs).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(SPACES)) != ""))
+    return with_lengths(left.select(*docs.columns))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their target weights: documents are repeated, taken in part or left out."""
+    return with_lengths(mixing.mix(docs))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left, and whether decoding them gives the text again."""
+    source = vocabulary("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs, source), source)
+    text = F.coalesce("text", F.lit(""))
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("bpe", encoding_stage),
+]
+
+#: SQL can't express the stages; tests compare them with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn on ``documents``; each result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,7 +77,7 @@ def plan(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id", w
     """How much of each document the mix takes.
 
     Columns: ``key``, ``source``, ``size`` (words), ``source_size``, ``target`` (of the source),
-    ``taken`` (words, repeats counted), ``base`` (copies of the whole text) and, for the words of
+    ``taken`` (words, repeats counted), ``mark`` (hash of the text), ``base`` (copies of the whole text) and, for the words of
     single blocks beyond them, ``at`` (the document's place in its shard's stream), ``n_blocks``,
     ``extra`` and ``start``. A null or empty text has size 0 and nothing of it is taken; a null
     source is a source of its own, the last. Repeated rows are mixed as documents of their own.
@@ -116,7 +116,7 @@ def plan(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id", w
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(stream), F.lit(0)).cast("long"))
     joined = placed.join(low, placed["source"].eqNullSafe(low["s"]) & (placed["shard"] == low["h"]))
     taken = F.col("base") * F.col("size") + picked_until(F.col("at") + F.col("size"), block) - picked_until(F.col("at"), block)
-    return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "base", "at", "n_blocks", "extra", "start")
+    return joined.select(F.col("key").alias(key), "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "mark", "base", "at", "n_blocks", "extra", "start")
 
 
 def _few(sources: DataFrame, most: int = 100_000) -> bool:
@@ -140,19 +140,21 @@ def mix(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id") ->
 
     A document comes as often as it has base copies, with its whole text, and once more with the
     words of its picked blocks, joined by spaces, if there are any. Documents of which nothing is
-    taken are left out, also those without words.
+    taken are left out, also those without words. Rows with equal key, source and text are taken
+    alike, as the first of them in the plan is.
     """
-    mark = F.xxhash64("text")
-    chosen = plan(docs, seed, block, key).filter("taken > 0").select(F.col(key).alias("_key"), F.col("source").alias("_source"), "size", "taken", "base", "at", "n_blocks", "extra", "start")
-    chosen = chosen.dropDuplicates(["_key", "_source", "at"])
-    held = docs.withColumn("_mark", mark).join(chosen, F.col(key).eqNullSafe(F.col("_key")) & docs["source"].eqNullSafe(F.col("_source")))
-    part = F.array_join(F.filter(words_of(F.col("text")), lambda w, i: _picked(F.floor((F.col("at") + i) / F.lit(block)))), " ")
+    chosen = plan(docs, seed, block, key).filter("taken > 0").dropDuplicates([key, "source", "mark"])
+    chosen = chosen.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "size", "taken", "base", "at", "n_blocks", "extra", "start")
+    same = docs[key].eqNullSafe(chosen["_key"]) & docs["source"].eqNullSafe(chosen["_source"]) & (F.xxhash64(docs["text"]) == chosen["_mark"])
+    held = docs.join(chosen.hint("shuffle_hash"), same).select(*(docs[c].alias(f"doc_{c}") for c in docs.columns), "size", "taken", "base", "at", "n_blocks", "extra", "start")
+    text = F.col("doc_text")
+    part = F.array_join(F.filter(words_of(text), lambda w, i: _picked(F.floor((F.col("at") + i) / F.lit(block)))), " ")
     copies = F.concat(
         F.when(F.col("base") > 0, F.array_repeat(F.lit(False), F.col("base").cast("int"))).otherwise(F.array().cast("array<boolean>")),
         F.when(F.col("taken") > F.col("base") * F.col("size"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
     rows = held.withColumn("_partial", F.explode(copies))
-    return rows.select(*(F.when(F.col("_partial"), part).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return rows.select(*(F.when(F.col("_partial"), part).otherwise(text).alias("text") if c == "text" else F.col(f"`doc_{c}`").alias(c) for c in docs.columns))
 
 
 def _picked(j: Column) -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, mixing, near_dup, neighbours, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, line_dedup, mixing, near_dup, neighbours, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -92,7 +92,16 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(docs, near_dup.Likeness(words=2))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many were later copies, and a digest of the text that stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_dedup.without_repeats(docs.withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")))
+    text = F.coalesce("text", F.lit(""))
+    return left.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op9_neighbours": op9_neighbours,
     "op5_warc": op5_warc,
