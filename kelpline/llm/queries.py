@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, line_dedup, mixing, near_dup, neighbours, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -100,7 +100,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data, and how many of each kind."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    count = lambda kind: F.size(F.filter("entities", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return pii.replaced(docs).select("doc_id", "text", *map(count, pii.PATTERNS))
+
+
 QUERIES = {
+    "op1_surrogates": op1_surrogates,
     "op3_line_dedup": op3_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op9_neighbours": op9_neighbours,
