@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from kelpline.plans import series_queries, training_queries
+
+QUERIES = series_queries.QUERIES | training_queries.QUERIES
+ORACLES = series_queries.ORACLES | training_queries.ORACLES
