@@ -18,9 +18,9 @@ MOST_BROADCAST = 500_000
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``dropped``; rows with a null doc_id stay."""
-    dropped = stage_table(dropped.select(F.col("doc_id").alias("_dropped")).filter("_dropped IS NOT NULL").distinct(), "dropped")
+    dropped = stage_table(dropped.select(F.col("doc_id").alias("__dropped")).filter("__dropped IS NOT NULL").distinct(), "dropped")
     few = dropped.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("_dropped"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("__dropped"), "left_anti")
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:

@@ -105,9 +105,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", least_words: int = LEA
     is as it was, also null and empty ones. Rows keep their number. A column ``n_removed`` of
     ``docs`` is replaced. Texts move once, by key, to meet the places of what goes.
     """
-    gone = stage_table(repeated_lines(docs, key, least_words), "removed").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("removed").alias("_removed"))
+    gone = stage_table(repeated_lines(docs, key, least_words), "removed").select(F.col("doc").alias("__gone_doc"), F.col("mark").alias("__gone_mark"), F.col("removed").alias("__gone_removed"))
     plain = docs.drop("n_removed")
-    met = plain.join(gone.hint("shuffle_hash"), plain[key].eqNullSafe(gone["_doc"]) & (F.xxhash64(plain["text"]) == gone["_mark"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    return met.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in plain.columns), F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    met = plain.join(gone.hint("shuffle_hash"), plain[key].eqNullSafe(gone["__gone_doc"]) & (F.xxhash64(plain["text"]) == gone["__gone_mark"]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone_removed", i)), "\n")
+    text = F.when(F.col("__gone_removed").isNull(), F.col("text")).otherwise(kept)
+    return met.select(*(text.alias(c) if c == "text" else plain[f"`{c}`"] for c in plain.columns), F.coalesce(F.size("__gone_removed"), F.lit(0)).cast("long").alias("n_removed"))

@@ -146,7 +146,7 @@ def mix(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id") ->
     chosen = plan(docs, seed, block, key).filter("taken > 0").dropDuplicates([key, "source", "mark"])
     chosen = chosen.select(F.col(key).alias("_key"), F.col("source").alias("_source"), F.col("mark").alias("_mark"), "size", "taken", "base", "at", "n_blocks", "extra", "start")
     same = docs[key].eqNullSafe(chosen["_key"]) & docs["source"].eqNullSafe(chosen["_source"]) & (F.xxhash64(docs["text"]) == chosen["_mark"])
-    held = docs.join(chosen.hint("shuffle_hash"), same).select(*(docs[c].alias(f"doc_{c}") for c in docs.columns), "size", "taken", "base", "at", "n_blocks", "extra", "start")
+    held = docs.join(chosen.hint("shuffle_hash"), same).select(*(docs[f"`{c}`"].alias(f"doc_{c}") for c in docs.columns), *(chosen[c] for c in ("size", "taken", "base", "at", "n_blocks", "extra", "start")))
     text = F.col("doc_text")
     part = F.array_join(F.filter(words_of(text), lambda w, i: _picked(F.floor((F.col("at") + i) / F.lit(block)))), " ")
     copies = F.concat(

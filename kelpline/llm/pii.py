@@ -179,11 +179,11 @@ def replaced(docs: DataFrame, key: str = "doc_id", secret: str = "kelpline", tex
     mentions = stage_table(mentions.distinct(), "mentions")
     made = surrogates(mentions.select("kind", "entity").distinct(), secret)
     named = mentions.join(made, ["kind", "entity"]).select("doc", "mark", F.struct("at", "kind", rendered(F.col("kind"), F.col("mention"), F.col("made")).alias("surrogate")).alias("one"))
-    lists = stage_table(named.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("one")).alias("_list")), "lists")
-    met = plain.join(lists.hint("shuffle_hash"), plain[key].eqNullSafe(lists["doc"]) & (F.xxhash64(plain[text_col]) == lists["mark"]), "left")
+    lists = stage_table(named.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("one")).alias("__list")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"}), "lists")
+    met = plain.join(lists.hint("shuffle_hash"), plain[key].eqNullSafe(lists["__doc"]) & (F.xxhash64(plain[text_col]) == lists["__mark"]), "left")
     parts = F.split(text, ANY, -1)
-    filled = F.concat(F.transform(F.col("_list"), lambda x: x["surrogate"]), F.array(F.lit("")))
+    filled = F.concat(F.transform(F.col("__list"), lambda x: x["surrogate"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(parts, filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = F.when(F.col("_list").isNull(), text).otherwise(rebuilt)
-    entities = F.transform(F.coalesce("_list", F.array().cast("array<struct<at:int,kind:string,surrogate:string>>")), lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
-    return met.select(*(out.alias(c) if c == text_col else F.col(f"`{c}`") for c in plain.columns), entities.alias("entities"))
+    out = F.when(F.col("__list").isNull(), text).otherwise(rebuilt)
+    entities = F.transform(F.coalesce("__list", F.array().cast("array<struct<at:int,kind:string,surrogate:string>>")), lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
+    return met.select(*(out.alias(c) if c == text_col else plain[f"`{c}`"] for c in plain.columns), entities.alias("entities"))
