@@ -115,7 +115,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key:
     # Null keys count as equal here, so a path without a key is scanned too.
     same = texts["blob"].eqNullSafe(todo["blob"]) & texts["key"].eqNullSafe(todo["key"])
     fresh = texts.join(todo.hint("shuffle_hash"), same).select(texts["blob"], texts["text"], todo["versions"])
-    fresh.mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
+    # Rows repeated under one key are recorded once.
+    fresh.mapInArrow(run, LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
     rank = F.create_map(*(F.lit(x) for i, v in enumerate(wanted) for x in (v, i)))
     kinds = F.create_map(*(F.lit(x) for v, r in wanted.items() for x in (v, r.kind)))
