@@ -107,7 +107,10 @@ def one_record(data: bytes, at: int) -> tuple[Found | None, str]:
         name, colon, value = line.partition(":")
         if not colon:
             return None, "malformed header"
-        headers[name.strip().lower()] = value.strip()
+        name = name.strip().lower()
+        if name in headers and name != "warc-concurrent-to":
+            return None, "repeated header"  # a header that was cut short runs into the next record's
+        headers[name] = value.strip()
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         return None, "no length"
