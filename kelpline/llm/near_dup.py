@@ -9,7 +9,8 @@ Only the components of the links are asked for, so pairs inside a component foun
 made. First each member of a band's bucket is compared with two hubs of the bucket; then members
 that are still apart from the bucket's largest component with more hubs of that; then, exactly, all
 pairs of a bucket that lie in different components. A large group of near copies thus costs a few
-pairs for each copy, and only what can't be linked to it meets all of it.
+pairs for each copy, and only what can't be linked to it meets all of it: that is done in tiles of
+bounded size, from which only links come out.
 """
 
 from __future__ import annotations
@@ -25,7 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import Recent, stage_table
+from kelpline.llm.common import Recent, arrow_rows, stage_table
+
+
+#: Up to so many pairs between a component and what is apart from it are made as rows.
+SMALL = 2048
 
 
 @dataclass(frozen=True)
@@ -206,6 +211,62 @@ def components(edges: DataFrame) -> DataFrame:
             edges = edges.join(parent.select(F.col("node").alias(end), "up"), end).drop(end).withColumnRenamed("up", end)
 
 
+def tile_links(r: dict, c: dict, like: Likeness) -> list[tuple]:
+    """The links between two blocks of nodes, each a dict of the columns key, label, n, sig, shingles.
+
+    Nodes of one component aren't compared. The signatures of a node and a block are compared batch
+    by batch, as in ``pruned``, and what is left on the full sets.
+    """
+    sigs = np.frombuffer(b"".join(c["sig"]), np.uint32).reshape(-1, like.places)
+    sizes, labels = np.asarray(c["n"]), np.asarray(c["label"])
+    least, out = like.least_matches(), []
+    for key, label, n, sig, body in zip(r["key"], r["label"], r["n"], r["sig"], r["shingles"]):
+        own = np.frombuffer(sig, np.uint32)
+        alive = np.flatnonzero((labels != label) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * like.percent))
+        same = np.zeros(len(sizes), np.int64)
+        for j, fewest in enumerate(least):
+            part = slice(j * like.batch, (j + 1) * like.batch)
+            same[alive] += (sigs[alive, part] == own[part]).sum(axis=1)
+            alive = alive[same[alive] >= fewest]
+        a = np.frombuffer(body, np.uint64)
+        for i in alive:
+            b = np.frombuffer(c["shingles"][i], np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= like.percent * (len(a) + len(b) - both):
+                out.append((min(key, c["key"][i]), max(key, c["key"][i])))
+    return out
+
+
+def links_in_tiles(apart: DataFrame, sides: DataFrame, bodies: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) of the nodes ``apart`` (main, key, label) with all nodes ``sides`` of the same main.
+
+    Blocks hold at most about 128 and 1024 nodes, and fewer where sets are large; every block of the
+    one side meets every block of the other.
+    """
+
+    def dealt(nodes: DataFrame, most: int, most_shingles: int, own: str) -> tuple[DataFrame, DataFrame]:
+        held = nodes.join(bodies, "key").select("main", "key", "label", "n", "sig", "shingles")
+        count = nodes.join(bodies.select("key", "n"), "key").groupBy("main").agg(F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / most_shingles)).cast("int").alias(f"n_{own}"))
+        return held, count
+
+    left, n_left = dealt(apart, 128, 100_000, "i")
+    right, n_right = dealt(sides, 1024, 400_000, "j")
+    counts = stage_table(n_left.join(n_right, "main"), "blocks")
+    place = lambda n: F.pmod(F.xxhash64("key", F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(counts, "main").withColumn("i", place("n_i")).withColumn("j", every("n_j")).drop("n_i", "n_j")
+    right = right.join(counts, "main").withColumn("j", place("n_j")).withColumn("i", every("n_i")).drop("n_i", "n_j")
+    right = right.toDF(*right.columns)  # columns of its own, where both sides come from ``bodies``
+    field = pa.int64() if dict(apart.dtypes)["key"] == "bigint" else pa.string()
+
+    def meet(r: pa.Table, c: pa.Table) -> pa.Table:
+        found = tile_links(r.to_pydict(), c.to_pydict(), like) if r.num_rows and c.num_rows else []
+        return pa.table({"a": pa.array([x for x, _ in found], field), "b": pa.array([y for _, y in found], field)})
+
+    kind = dict(apart.dtypes)["key"]
+    return left.groupBy("main", "i", "j").cogroup(right.groupBy("main", "i", "j")).applyInArrow(meet, f"a {kind}, b {kind}")
+
+
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` after further links between nodes of different labels."""
     of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l_{end}"))
@@ -234,6 +295,7 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     document and stay or go together. Rows with a null key come back with a null component and are
     kept. Other columns of ``docs`` are ignored.
     """
+    spark = docs.sparkSession
     all_ = stage_table(features(docs, like, key), "features")
     sets = all_.filter("n > 0 AND key IS NOT NULL")
     reps = stage_table(sets.groupBy("set_id").agg(F.min("key").alias("rep")), "sets")
@@ -248,28 +310,46 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     bodies = stage_table(bodies, "bodies")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return stage_table(verified(stage_table(pruned(pairs, bodies, like), "survivors"), bodies, like), "links")
+        with arrow_rows(spark, 500):  # each with two sets
+            return stage_table(verified(stage_table(pruned(pairs, bodies, like), "survivors"), bodies, like), "links")
 
     hubs = members.groupBy("bucket").agg(_hubs(2, 1).alias("hubs"))
     met = members.join(hubs, "bucket").select("key", F.explode("hubs").alias("hub")).filter("key <> hub")
     tested = stage_table(met.select(*_pairs(F.col("key"), F.col("hub"))).distinct(), "pairs")
     labels = components(check(tested))
 
-    for last in (False, True):
+    def still_open() -> DataFrame:
+        """Members of buckets with more than one component: bucket, key, label, and main, the largest component's label."""
         placed = stage_table(members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "placed")
-        main = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "main")
-        open_ = stage_table(placed.join(main, "bucket"), "open")
-        apart = open_.filter("label <> main").select("bucket", "key", "label")
-        if last:
-            other = open_.select("bucket", F.col("key").alias("other"), F.col("label").alias("other_label"))
-            met = apart.join(other, (apart["bucket"] == other["bucket"]) & (apart["label"] != other["other_label"]))
-        else:
-            hubs = open_.filter("label = main").groupBy("bucket").agg(_hubs(3, 3).alias("hubs"))
-            met = apart.join(hubs, "bucket").withColumn("other", F.explode("hubs"))
+        main = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "main")
+        return stage_table(placed.join(main, "bucket"), "open")
+
+    for first in (3, 6):
+        open_ = still_open()
+        hubs = open_.filter("label = main").groupBy("bucket").agg(_hubs(3, first).alias("hubs"))
+        met = open_.filter("label <> main").join(hubs, "bucket").select("key", F.explode("hubs").alias("other"))
         fresh = stage_table(met.select(*_pairs(F.col("key"), F.col("other"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = relabelled(labels, check(fresh))
         tested = tested.unionByName(fresh)
 
+    open_ = still_open()
+    apart = stage_table(open_.filter("label <> main").select("main", "key", "label").distinct(), "apart")
+    inside = stage_table(open_.filter("label = main").select("main", "key", "label").distinct(), "inside")
+    counts = apart.groupBy("main").agg(F.count(F.lit(1)).alias("n_apart")).join(inside.groupBy("main").agg(F.count(F.lit(1)).alias("n_inside")), "main")
+    large = stage_table(counts.filter(F.col("n_apart") * (F.col("n_apart") + F.col("n_inside")) > SMALL).select("main"), "large")
+    # Few nodes: pairs of their buckets, as rows. Many: all nodes of the component and apart from it, in tiles.
+    few = open_.join(large, "main", "left_anti")
+    other = few.select("bucket", F.col("key").alias("other"), F.col("label").alias("other_label"))
+    one = few.filter("label <> main").select("bucket", "key", "label")
+    met = one.join(other, (one["bucket"] == other["bucket"]) & (one["label"] != other["other_label"]))
+    fresh = stage_table(met.select(*_pairs(F.col("key"), F.col("other"))).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    links = check(fresh)
+    if not large.isEmpty():
+        apart = apart.join(large, "main")
+        in_tiles = links_in_tiles(apart, inside.join(large, "main").unionByName(apart), bodies, like)
+        links = links.unionByName(stage_table(in_tiles, "tile_links"))
+    labels = relabelled(labels, links)
+
     found = all_.join(reps, "set_id", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("node"))
     found = found.join(labels, "node", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("label", "node").alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
