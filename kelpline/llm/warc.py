@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
+#: Bytes fed to the decompressor at a time.
+STEP = 16_384
 
 
 def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", most_broadcast: int = 100_000) -> DataFrame:
@@ -136,17 +138,22 @@ def plain_records(data: bytes) -> Iterator[Found]:
 
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """The content of the gzip member at ``at``, where it stops, or why it can't be read."""
+    """The content of the gzip member at ``at``, where it stops, or why it can't be read.
+
+    Data are fed in small steps, so a member costs what it holds and not what follows it.
+    """
     if data[at : at + 3] != MEMBER:
         return b"", at, "no member"
-    unpack = zlib.decompressobj(31)
+    unpack, parts, upto = zlib.decompressobj(31), [], at
     try:
-        content = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and upto < len(data):
+            parts.append(unpack.decompress(data[upto : upto + STEP]))
+            upto = min(upto + STEP, len(data))
     except zlib.error as error:
         return b"", at, f"bad member: {error}"
     if not unpack.eof:
         return b"", at, "truncated member"
-    return content, len(data) - len(unpack.unused_data), ""
+    return b"".join(parts), upto - len(unpack.unused_data), ""
 
 
 def packed_records(data: bytes) -> Iterator[Found]:

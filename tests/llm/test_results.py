@@ -55,6 +55,12 @@ def test_surrogates_keep_type_layout_and_identity(spark):
         assert not any(x in r["text"] for x in found)
 
 
+def test_endless_hosts_are_read(spark):
+    texts = ["x@" + "a." * 60_000 + "com y", "x@" + "a." * 100 + "com y", "q" * 70_000 + "@" + "b" * 70_000 + ".org", "1-" * 50_000, "10.0.0." * 20_000, "Mr " * 30_000]
+    out = {r["doc_id"]: r["text"] for r in pii.replaced(frame(spark, texts)).collect()}
+    assert len(out) == len(texts) and out[0] == texts[0] and out[1] != texts[1] and out[3] == texts[3]  # no host has over 127 labels
+
+
 def test_surrogates_of_many_entities_stay_distinct(spark):
     n = 3000
     entities = spark.range(n).select(F.lit("name").alias("kind"), F.concat(F.lit("m:x"), "id").alias("entity"))
@@ -251,6 +257,16 @@ def test_salvage_recovers_all_but_what_is_broken(packed):
     assert not list(warc.salvage(b""))
 
 
+def test_members_stop_where_they_stop():
+    sizes = (0, 1, 700, 16_384, 400_000)
+    parts = [warc.member(random.Random(n).randbytes(n)) for n in sizes]
+    data, at = b"".join(parts), 0
+    for n, part in zip(sizes, parts):
+        content, stop, why = warc.one_member(data, at)
+        assert (len(content), stop, why) == (n, at + len(part), "")
+        at = stop
+
+
 def test_long_members_are_padded():
     data = warc.member(b"x" * (1 << 24))
     assert data[-1] != 0 and zlib.decompress(data, 31) == b"x" * (1 << 24)
