@@ -45,22 +45,22 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     or more in the text). A null text counts as an empty one; it has zero everywhere.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col(key), "lang", "source", text.alias("text"))
-    words = base.withColumn("words", words_of(F.col("text")))
-    n = F.size("words")
-    # A window's hash is enough to tell it from the few thousand others of its text.
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-    hashed = words.withColumn("windows", windows)
+    words = docs.select(F.col(key), "lang", "source", text.alias("text")).withColumn("words", words_of(F.col("text")))
+    hashed = words.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    # Hashes of 2, 4 and 8 words, each of two of the one before: that costs a few steps for a word, not WINDOW.
+    # A window's hash is enough to tell it from the others of its text.
+    for k in (1, 2, 4):
+        held = F.greatest(F.size("hashes") - k, F.lit(0))
+        hashed = hashed.withColumn("hashes", F.zip_with(F.slice("hashes", 1, held), F.slice("hashes", k + 1, held), lambda x, y: F.xxhash64(x, y)))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    upper = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    counted = hashed.select(
+    counted = with_repeated_words(hashed).select(
         key, "lang", "source",
-        n.cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).alias("n_repeat_words"),
-        upper.cast("long").alias("n_upper"),
+        "n_repeat_words",
+        (F.length("text") - F.length(F.regexp_replace("text", "[A-Z]+", ""))).cast("long").alias("n_upper"),
     )
     share = lambda c: F.col(c) / F.greatest(F.col("word_chars"), F.lit(1))
     return counted.select(
@@ -72,29 +72,26 @@ def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words that lie in windows whose hash occurs twice or more in ``windows``, as a long.
+def with_repeated_words(rows: DataFrame) -> DataFrame:
+    """``n_repeat_words``: the words in windows whose hash occurs twice or more in ``hashes``, as a long.
 
     Most texts repeat no window; for them only distinct hashes are counted. Otherwise the hashes
     are sorted with their places, those with an equal neighbour are kept, and the words between
-    them are added up in order of place.
+    them are added up in order of place. Each step is a column of its own, so it is computed once.
     """
-    ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-    def places(sorted_: Column) -> Column:
-        pairs = F.arrays_zip(
-            sorted_.alias("x"),
-            F.concat(F.array(F.lit(None).cast("bigint")), F.slice(sorted_["h"], 1, F.greatest(F.size(sorted_) - 1, F.lit(0)))).alias("b"),
-            F.concat(F.slice(sorted_["h"], 2, F.greatest(F.size(sorted_) - 1, F.lit(0))), F.array(F.lit(None).cast("bigint"))).alias("a"),
-        )
-        twice = F.filter(pairs, lambda p: F.coalesce(p["x"]["h"] == p["b"], F.lit(False)) | F.coalesce(p["x"]["h"] == p["a"], F.lit(False)))
-        return F.array_sort(F.transform(twice, lambda p: p["x"]["i"]))
+    many = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    ranked = F.when(many, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.size("ranked") - 1
+    same = F.zip_with(F.slice("ranked", 1, pairs), F.slice("ranked", 2, pairs), lambda x, y: x["h"] == y["h"])
+    twice = F.filter("ranked", lambda x, k: F.coalesce(F.get("same", k), F.lit(False)) | F.coalesce(F.get("same", k - 1), F.lit(False)))
+    places = F.sort_array(F.transform(twice, lambda x: x["i"]))
 
     def add(state: Column, i: Column) -> Column:
         return F.struct(i.alias("last"), (state["n"] + F.least(i - state["last"], F.lit(WINDOW))).cast("long").alias("n"))
 
-    covered = F.aggregate(places(ranked), F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), add, lambda s: s["n"])
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered)
+    covered = F.aggregate(places, F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")), add, lambda s: s["n"])
+    sorted_ = rows.withColumn("ranked", ranked).withColumn("same", F.when(F.col("ranked").isNotNull(), same))
+    return sorted_.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("hashes", "ranked", "same")
 
 
 def base_failed() -> Column:
