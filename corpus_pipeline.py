@@ -52,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and whether decoding them gives the text again."""
     source = vocabulary("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, source), source)
+    both = bpe.round_trip(docs, source)
     text = F.coalesce("text", F.lit(""))
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 

@@ -93,7 +93,7 @@ class Automaton:
     Only byte-level BPE without normalizer, prefix space and dropout is taken; others raise ValueError.
     """
 
-    def __init__(self, source: bytes | str, kept: int = 300_000) -> None:
+    def __init__(self, source: bytes | str, kept: int = 200_000) -> None:
         spec = json.loads(source)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
@@ -172,7 +172,7 @@ class Automaton:
 class Encoder:
     """Ids of whole texts; pieces, and the words in them, that were met before come from bounded caches."""
 
-    def __init__(self, automaton: Automaton, n_words: int = 300_000, n_pieces: int = 100_000) -> None:
+    def __init__(self, automaton: Automaton, n_words: int = 150_000, n_pieces: int = 50_000) -> None:
         self.automaton = automaton
         self.words = Recent(lambda w: np.array(automaton.encode_word(w.encode()), "<i4").tobytes(), n_words, CACHED_BYTES)
         self.pieces = Recent(lambda p: b"".join(map(self.words.__getitem__, FINE.findall(p))), n_pieces, CACHED_BYTES)
@@ -203,6 +203,39 @@ def _cache(source: bytes) -> Encoder:
     return _LOADED[key]
 
 
+def id_lists(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    found = [encoder.encode(x or "") for x in texts.to_pylist()]
+    offsets = np.zeros(len(found) + 1, "<i4")
+    np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def spelled(labels, lists: pa.ListArray) -> pa.Array:
+    texts = [b"".join(map(labels, x.values.to_pylist())).decode("utf-8", "replace") if x.is_valid else "" for x in lists]
+    return pa.array(texts, pa.string())
+
+
+def with_columns(docs: DataFrame, held: str, made: dict[str, T.DataType], work) -> DataFrame:
+    """``docs`` with the columns ``made``, which ``work`` makes from slices of the column ``held``; columns of these names are replaced."""
+    taken = {name.lower() for name in made}
+    rest = [f for f in docs.schema.fields if f.name.lower() not in taken]
+    schema = T.StructType([*rest, *(T.StructField(name, kind, False) for name, kind in made.items())])
+    keep = [f.name for f in rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index
+            for lo, hi in slices(batch.column(place(held))):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*(part.column(place(c)) for c in keep), *work(part.column(place(held)))], [*keep, *made])
+
+    return docs.select(*(F.col(f"`{f}`") for f in dict.fromkeys([*keep, held]))).mapInArrow(run, schema)
+
+
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
 def encode(docs: DataFrame, source: bytes, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids_col``: the token ids of the whole text, ``array<int>``.
 
@@ -211,30 +244,26 @@ def encode(docs: DataFrame, source: bytes, text_col: str = "text", ids_col: str
     shuffle: each task holds one Arrow batch and a bounded cache. ``source``, the vocabulary file
     (a few MB whatever the data), is broadcast.
     """
-    held = docs.sparkSession.sparkContext.broadcast(source)
-    rest = [f for f in docs.schema.fields if f.name.lower() != ids_col.lower()]
-    schema = T.StructType([*rest, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
-    keep = [f.name for f in rest]
+    vocabulary = docs.sparkSession.sparkContext.broadcast(source)
+    return with_columns(docs, text_col, {ids_col: IDS}, lambda texts: [id_lists(_cache(vocabulary.value), texts)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(held.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            for lo, hi in slices(column):
-                part = batch.slice(lo, hi - lo)
-                found = [cache.encode(x or "") for x in column.slice(lo, hi - lo).to_pylist()]
-                offsets = np.zeros(len(found) + 1, "<i4")
-                np.cumsum([len(x) // 4 for x in found], out=offsets[1:])
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(found))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values)
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in keep), ids], [*keep, ids_col])
 
-    return docs.select(*(F.col(f"`{f}`") for f in dict.fromkeys([*keep, text_col]))).mapInArrow(run, schema)
+def round_trip(docs: DataFrame, source: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """What ``decode`` makes of ``encode``, in one pass: a task keeps one worker with one vocabulary."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(source)
+
+    def both(texts: pa.Array) -> list[pa.Array]:
+        ids = id_lists(_cache(vocabulary.value), texts)
+        return [ids, spelled(_labels(vocabulary.value), ids)]
 
+    return with_columns(docs, text_col, {ids_col: IDS, decoded_col: T.StringType()}, both)
 
-def slices(column: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column that hold about ``most`` bytes, or one row."""
-    lengths = np.asarray([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()], "i8")
+
+def slices(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string or list column that hold about ``most`` bytes or a quarter as many elements, or one row."""
+    is_list = pa.types.is_list(column.type)
+    sizes = pa.compute.list_value_length(column) if is_list else pa.compute.binary_length(column)
+    lengths = np.asarray([0 if x is None else x for x in sizes.to_pylist()], "i8") * (4 if is_list else 1)
     lo, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
@@ -251,20 +280,8 @@ def decode(docs: DataFrame, source: bytes, ids_col: str = "ids", text_col: str =
     Bytes that aren't UTF-8 become U+FFFD. A null list is decoded as an empty one and ids outside
     the vocabulary spell nothing. A column that is already called ``text_col`` is replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(source)
-    rest = [f for f in docs.schema.fields if f.name.lower() != text_col.lower()]
-    schema = T.StructType([*rest, T.StructField(text_col, T.StringType(), False)])
-    keep = [f.name for f in rest]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = _labels(held.value)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col))
-            texts = [b"".join(map(labels, x.values.to_pylist())).decode("utf-8", "replace") if x.is_valid else "" for x in lists]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], [*keep, text_col])
-
-    return docs.select(*(F.col(f"`{f}`") for f in dict.fromkeys([*keep, ids_col]))).mapInArrow(run, schema)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(source)
+    return with_columns(docs, ids_col, {text_col: T.StringType()}, lambda lists: [spelled(_labels(vocabulary.value), lists)])
 
 
 _LABELS: dict[int, list[bytes]] = {}

@@ -24,7 +24,7 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as counts and digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     source = vocabulary("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, source).drop("text"), source)
+    both = bpe.round_trip(docs, source).drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -289,10 +289,11 @@ def test_encoding_equals_the_library(spark):
     texts = random_texts(3000, 2) + random_texts(500, 3, 80, "ab") + random_texts(500, 4, 80, "ther in") + ["<|endoftext|>", "x <|endoftext|> y<|endoftext|>", "-" * 500, "a" * 3000, " " * 300, "it's 'tis we'll"]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(frame(spark, texts), source), source).collect()}
+    at_once = {r["doc_id"]: r for r in bpe.round_trip(frame(spark, texts), source).collect()}
     for i, t in enumerate(texts):
         want = library.encode(t, add_special_tokens=False).ids
-        assert got[i]["ids"] == want
-        assert got[i]["decoded"] == library.decode(want, skip_special_tokens=False)
+        assert got[i]["ids"] == at_once[i]["ids"] == want
+        assert got[i]["decoded"] == at_once[i]["decoded"] == library.decode(want, skip_special_tokens=False)
 
 
 def test_automaton_of_a_small_vocabulary():
