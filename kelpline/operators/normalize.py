@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.functions.columns import let
+from kelpline.operators.groups import with_aggregates
 
 
 def minmax(df: DataFrame, by: str = "series_id", value: str = "value", out: str = "scaled") -> DataFrame:
     """(x - min) / (max - min) per series; null for a constant series and for null and NaN values.
 
-    NaN values take no part in the extremes. One shuffle by series serves both of them.
+    NaN values take no part in the extremes.
     """
-    w = Window.partitionBy(by)
     fine = F.when(~F.isnan(value), F.col(value))
-    low, high = F.min(fine).over(w), F.max(fine).over(w)
-    return df.withColumn(out, F.try_divide(fine - low, high - low))
+    known = with_aggregates(df, by, _low=F.min(fine), _high=F.max(fine))
+    return known.withColumn(out, F.try_divide(fine - F.col("_low"), F.col("_high") - F.col("_low"))).drop("_low", "_high")
 
 
 def ratio(df: DataFrame, t: str = "t", value: str = "scaled", out: str = "ratio") -> DataFrame:

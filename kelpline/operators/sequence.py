@@ -4,27 +4,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from kelpline.functions.columns import relu
-from kelpline.sources.tables import in_order
+from kelpline.operators.groups import LONG, over_series, placed, with_aggregates
 
 
-def conv1d(value: str, kernel: tuple[float, float, float], bias: float = 0.0) -> Column:
+def conv1d(value: str, kernel: tuple[float, float, float], window: WindowSpec, bias: float = 0.0) -> Column:
     """Width 3, step 1, zero padding of 1; over the rows of a series in order."""
-    before, after = (F.coalesce(f(value).over(in_order()), F.lit(0.0)) for f in (F.lag, F.lead))
+    before, after = (F.coalesce(f(value).over(window), F.lit(0.0)) for f in (F.lag, F.lead))
     return kernel[0] * before + kernel[1] * F.col(value) + kernel[2] * after + bias
 
 
-def conv1d_relu(df: DataFrame, kernel: tuple[float, float, float], bias: float = 0.0, value: str = "value", out: str = "y") -> DataFrame:
-    return df.withColumn(out, relu(conv1d(value, kernel, bias)))
+def conv1d_relu(df: DataFrame, kernel: tuple[float, float, float], bias: float = 0.0, value: str = "value", out: str = "y", most: int = LONG) -> DataFrame:
+    return over_series(df, 1, lambda d, w: d.withColumn(out, relu(conv1d(value, kernel, w, bias))), most)
 
 
-def maxpool1d(df: DataFrame, value: str = "value") -> DataFrame:
+def maxpool1d(df: DataFrame, value: str = "value", most: int = LONG) -> DataFrame:
     """Largest of each two rows in order, an odd last one dropped: series_id, place, pooled."""
-    placed = df.withColumn("place", F.floor((F.row_number().over(in_order()) - 1) / 2.0))
-    return placed.groupBy("series_id", "place").agg(F.max(value).alias("pooled"), F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
+    pairs = placed(df, most).withColumn("place", F.floor((F.col("n") - 1) / 2.0))
+    return pairs.groupBy("series_id", "place").agg(F.max(value).alias("pooled"), F.count(F.lit(1)).alias("n")).filter("n = 2").drop("n")
 
 
 def last_step(df: DataFrame, value: str = "value") -> DataFrame:
@@ -37,7 +37,7 @@ def attention_pool(df: DataFrame, score: Column, value: str = "value", activatio
     ``activation`` is put on the score first, if given. Scores are shifted by the series' largest.
     """
     scored = df.withColumn("_u", activation(score) if activation else score)
-    shifted = scored.withColumn("_e", F.exp(F.col("_u") - F.max("_u").over(Window.partitionBy("series_id"))))
+    shifted = with_aggregates(scored, "series_id", _top=F.max("_u")).withColumn("_e", F.exp(F.col("_u") - F.col("_top")))
     return shifted.groupBy("series_id").agg((F.sum(F.col("_e") * F.col(value)) / F.sum("_e")).alias("pooled"), (F.max("_e") / F.sum("_e")).alias("top_weight"))
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kelpline.operators.groups import LONG, blocks, long_series, placed
 from kelpline.sources.tables import in_order
 
 #: Fixed value: the wavelet's centre frequency in cycles per sample.
@@ -22,39 +23,57 @@ def psi(u: Column) -> Column:
     return F.exp(-u * u / 2.0) * F.cos(5.0 * u)
 
 
-def cwt_power(df: DataFrame, scales: tuple[int, ...], value: str = "scaled") -> DataFrame:
+def cwt_power(df: DataFrame, scales: tuple[int, ...], value: str = "scaled", most: int = LONG) -> DataFrame:
     """|W| for few scales: series_id, n (place from 1), scale, power.
 
     Each scale is a frame of the reach of its wavelet over the one window of the series, so nothing
     is joined and long series cost no more per row than the frame.
     """
-    placed = df.withColumn("n", F.row_number().over(in_order()))
-    for s in scales:
-        placed = placed.withColumn(f"_x{s}", F.collect_list(F.coalesce(value, F.lit(0.0))).over(in_order().rowsBetween(-REACH * s, REACH * s)))
+
+    def with_powers(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_place", F.row_number().over(w))
+        for s in scales:
+            d = d.withColumn(f"_x{s}", F.collect_list(F.coalesce(value, F.lit(0.0))).over(w.rowsBetween(-REACH * s, REACH * s)))
+        return d.withColumn("_powers", F.array(*(F.struct(F.lit(s).alias("scale"), power(s).alias("power")) for s in scales))).drop(*(f"_x{s}" for s in scales))
 
     def power(s: int) -> Column:
-        first = F.least(F.col("n") - 1, F.lit(REACH * s))
+        first = F.least(F.col("_place") - 1, F.lit(REACH * s))
         terms = F.transform(f"_x{s}", lambda x, i: x * psi((i - first) / float(s)))
         return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)) / float(np.sqrt(s))
 
-    each = F.explode(F.array(*(F.struct(F.lit(s).alias("scale"), power(s).alias("power")) for s in scales)))
-    return placed.select("series_id", "n", each.alias("w")).select("series_id", "n", "w.scale", "w.power")
+    reach = REACH * max(scales)
+    if long_series(df, most).isEmpty():
+        numbered = with_powers(df, in_order()).withColumn("n", F.col("_place"))
+    else:
+        ready = blocks(placed(df, most, "_n"), reach, max(most, reach))
+        numbered = with_powers(ready, Window.partitionBy("series_id", "_block").orderBy("_n")).filter("_own").withColumn("n", F.col("_n"))
+    return numbered.select("series_id", "n", F.explode("_powers").alias("w")).select("series_id", "n", "w.scale", "w.power")
+
 
+def cwt_full(df: DataFrame, n_scales: int = 127, value: str = "scaled", block: int = 1 << 16) -> DataFrame:
+    """|W| for scales 1 to ``n_scales``: series_id, first (place of the first sample), scale, power (array over samples).
 
-def cwt_full(df: DataFrame, n_scales: int = 127, value: str = "scaled") -> DataFrame:
-    """|W| for scales 1 to ``n_scales``: series_id, scale, power (array over samples); one series is held at a time."""
+    A series comes in blocks of ``block`` samples, at least as many as the widest wavelet reaches,
+    and a task holds one of them with its surroundings at a time.
+    """
+    reach = REACH * n_scales
+    block = max(block, reach)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.nan_to_num(rows.sort_values(["t", "event_id"])[value].to_numpy(dtype="f8"))
-        powers = []
+        rows = rows.sort_values("_n")
+        x, own = np.nan_to_num(rows[value].to_numpy(dtype="f8")), rows["_own"].to_numpy()
+        powers: list[list[float]] = []
+        if not own.any():
+            return pd.DataFrame(columns=["series_id", "first", "scale", "power"])
         for s in range(1, n_scales + 1):
             u = np.arange(-REACH * s, REACH * s + 1) / s
             full = np.convolve(x, (np.exp(-u * u / 2) * np.cos(5 * u))[::-1])
-            powers.append(np.abs(full[REACH * s : REACH * s + len(x)]) / np.sqrt(s))
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "scale": range(1, n_scales + 1), "power": powers})
+            powers.append((np.abs(full[REACH * s : REACH * s + len(x)][own]) / np.sqrt(s)).tolist())
+        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "first": rows["_n"][own].min(), "scale": range(1, n_scales + 1), "power": powers})
 
     kind = df.schema["series_id"].dataType.simpleString()
-    return df.select("series_id", "t", "event_id", value).groupBy("series_id").applyInPandas(run, f"series_id {kind}, scale int, power array<double>")
+    cut = blocks(placed(df.select("series_id", "t", "event_id", value), out="_n"), reach, block)
+    return cut.select("series_id", "_block", "_n", "_own", value).groupBy("series_id", "_block").applyInPandas(run, f"series_id {kind}, first long, scale int, power array<double>")
 
 
 def frequencies(scales: DataFrame, dt: float = 0.02) -> DataFrame:

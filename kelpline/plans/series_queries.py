@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.columns import quantize_u8, relu
 from kelpline.operators import normalize, sequence, wavelet
+from kelpline.operators.groups import placed, with_aggregates
 from kelpline.sources.sinks import image_name
-from kelpline.sources.tables import CLASSES, in_order, positional, series, table
+from kelpline.sources.tables import CLASSES, positional, series, table
 from kelpline.streaming.windows import window_stats
 
 SCALES = (1, 2, 4, 8, 16)
@@ -84,7 +85,8 @@ def cwt_power(spark, d):
 
 
 def cwt_full(spark, d):
-    return wavelet.cwt_full(scaled(spark, d)).select("series_id", "scale", F.size("power").alias("n"), F.round(F.array_max("power"), 5).alias("top"))
+    power = wavelet.cwt_full(scaled(spark, d))
+    return power.groupBy("series_id", "scale").agg(F.sum(F.size("power")).alias("n"), F.round(F.max(F.array_max("power")), 5).alias("top"))
 
 
 def cwt_freqs(spark, d):
@@ -94,9 +96,8 @@ def cwt_freqs(spark, d):
 
 def scalogram_intensity(spark, d):
     power = wavelet.cwt_power(scaled(spark, d), SCALES)
-    top = power.groupBy("series_id").agg(F.max("power").alias("top"))
     shown = 0.5 + F.try_divide(F.col("power"), 2 * F.col("top"))
-    return power.join(top, "series_id").select("series_id", "n", "scale", F.round(shown, 4).alias("intensity"))
+    return with_aggregates(power, "series_id", top=F.max("power")).select("series_id", "n", "scale", F.round(shown, 4).alias("intensity"))
 
 
 def conv1d_relu(spark, d):
@@ -129,8 +130,8 @@ def lstm_forward(spark, d):
 
 def transpose_matrix(spark, d):
     """Series by step into step by series: what one step holds over all series."""
-    rows = scaled(spark, d).withColumn("n", F.row_number().over(in_order()))
-    return rows.groupBy("n").agg(F.count(F.lit(1)).alias("series"), F.round(F.sum("scaled"), 5).alias("total"))
+    rows = placed(scaled(spark, d))
+    return rows.groupBy(F.col("n").cast("int").alias("n")).agg(F.count(F.lit(1)).alias("series"), F.round(F.sum("scaled"), 5).alias("total"))
 
 
 def global_avg_pool(spark, d):

@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as series: series_id, event_id, event_type, t (days since the series began), value."""
-    began = F.min("ts").over(Window.partitionBy("user_id"))
-    days = F.timestamp_diff("MICROSECOND", began, F.col("ts")) / F.lit(8.64e10)
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), "event_id", "event_type", days.alias("t"), "value")
+    events = table(spark, sf_dir, "events")
+    began = events.groupBy(F.col("user_id").alias("_user")).agg(F.min("ts").alias("_began"))
+    days = F.timestamp_diff("MICROSECOND", F.col("_began"), F.col("ts")) / F.lit(8.64e10)
+    return events.join(began, events["user_id"].eqNullSafe(began["_user"])).select(F.col("user_id").alias("series_id"), "event_id", "event_type", days.alias("t"), "value")
 
 
 def in_order() -> Window:

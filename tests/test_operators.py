@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
-from kelpline.operators import chat, dataset, metrics, normalize, sequence, wavelet
+from kelpline.operators import chat, dataset, groups, metrics, normalize, sequence, wavelet
 from kelpline.plans import schedules
 from kelpline.sources import sinks, tables
 from kelpline.streaming import windows
@@ -40,6 +40,33 @@ def test_layout_does_not_matter(spark, parts):
     assert column(sequence.conv1d_relu(normalize.minmax(df.repartition(parts)), (1.0, 2.0, -1.0), value="scaled"), "y") == once
 
 
+def long_and_short(spark):
+    """A long series with ties, null and NaN times and gaps, a short one, and one without a name."""
+    draw = np.random.default_rng(4)
+    times = np.sort(np.concatenate([draw.uniform(0, 5, 60), draw.uniform(90, 100, 25), np.full(15, 50.0)])).tolist() + [math.nan, None]
+    rows = [(1, 1000 + i, t, float(draw.normal())) for i, t in enumerate(times)] + [(2, i, float(i), float(i % 3)) for i in range(7)] + [(None, i, float(-i), float(i)) for i in range(40)]
+    return spark.createDataFrame(rows, "series_id long, event_id long, t double, value double").repartition(5)
+
+
+@pytest.mark.parametrize("most", [2, 9, 64])
+def test_long_series_give_what_short_ones_do(spark, most):
+    df = long_and_short(spark)
+    once = lambda out: sorted(repr(tuple(r)) for r in out.select(sorted(out.columns)).collect())
+    assert once(groups.placed(df, most).withColumn("n", F.col("n").cast("int"))) == once(groups.placed(df))
+    assert once(sequence.conv1d_relu(df, (1.0, 2.0, -1.0), most=most)) == once(sequence.conv1d_relu(df, (1.0, 2.0, -1.0)))
+    assert once(sequence.maxpool1d(df, most=most)) == once(sequence.maxpool1d(df))
+    power = [once(wavelet.cwt_power(df, (1, 2), "value", m).select("series_id", "n", "scale", F.round("power", 9).alias("power"))) for m in (most, groups.LONG)]
+    assert power[0] == power[1]
+
+
+def test_full_transform_in_blocks(spark):
+    df = long_and_short(spark)
+    joined = lambda out: {(r["series_id"], r["scale"]): r["x"] for r in out.groupBy("series_id", "scale").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "power"))), lambda s: s["power"])).alias("x")).collect()}
+    cut, whole = joined(wavelet.cwt_full(df, 2, "value", 1)), joined(wavelet.cwt_full(df, 2, "value"))
+    assert cut.keys() == whole.keys() and all(np.allclose(cut[k], whole[k], atol=1e-12) for k in cut)
+    assert wavelet.cwt_full(df, 2, "value", 1).filter("series_id = 1 AND scale = 1").count() == 7
+
+
 def test_zero_variance_feature_becomes_zero(spark):
     df = spark.createDataFrame([(1, [7.0, 1.0]), (2, [7.0, 2.0]), (3, [7.0, 4.0])], "id long, features array<double>")
     found = np.array(column(normalize.zscore(df), "features", "id"))
