@@ -21,7 +21,7 @@ def with_aggregates(df: DataFrame, by: str, **aggregates: Column) -> DataFrame:
     a hot group where it doesn't.
     """
     found = df.groupBy(F.col(by).alias("_by")).agg(*(c.alias(name) for name, c in aggregates.items()))
-    return df.join(found, df[by].eqNullSafe(found["_by"])).drop("_by")
+    return df.join(found, df[by].eqNullSafe(found["_by"]), "left").drop("_by")
 
 
 def long_series(df: DataFrame, most: int = LONG) -> DataFrame:
