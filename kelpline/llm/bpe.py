@@ -65,6 +65,8 @@ FINE = _fine()
 COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Pieces and words of more characters than this aren't kept in the caches.
 CACHED_BYTES = 64
+#: Ids whose labels are laid out at a time.
+STRETCH = 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -211,9 +213,25 @@ def id_lists(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
-def spelled(labels, lists: pa.ListArray) -> pa.Array:
-    texts = [b"".join(map(labels, x.values.to_pylist())).decode("utf-8", "replace") if x.is_valid else "" for x in lists]
-    return pa.array(texts, pa.string())
+def spelled(labels: "Labels", lists: pa.ListArray) -> pa.Array:
+    """The text of each list; its bytes are laid out from the labels of STRETCH ids at a time."""
+    ids = pa.compute.fill_null(lists.flatten(), -1).to_numpy()
+    counts = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    ids = np.where((ids >= 0) & (ids < labels.unknown), ids, labels.unknown)
+    sizes = labels.sizes[ids]
+    parts = []
+    for lo in range(0, len(ids), STRETCH):
+        size = sizes[lo : lo + STRETCH]
+        shift = labels.starts[ids[lo : lo + STRETCH]] - (np.cumsum(size) - size)
+        parts.append(labels.flat[np.repeat(shift, size) + np.arange(size.sum())])
+    data = np.concatenate(parts) if parts else labels.flat[:0]
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype="i8")))[np.concatenate(([0], np.cumsum(counts)))]
+    texts = pa.Array.from_buffers(pa.string(), len(lists), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(data)])
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:  # not all of it is UTF-8
+        return pa.array([data[lo:hi].tobytes().decode("utf-8", "replace") for lo, hi in zip(ends[:-1], ends[1:])], pa.string())
 
 
 def with_columns(docs: DataFrame, held: str, made: dict[str, T.DataType], work) -> DataFrame:
@@ -284,20 +302,27 @@ def decode(docs: DataFrame, source: bytes, ids_col: str = "ids", text_col: str =
     return with_columns(docs, ids_col, {text_col: T.StringType()}, lambda lists: [spelled(_labels(vocabulary.value), lists)])
 
 
-_LABELS: dict[int, list[bytes]] = {}
+_LABELS: dict[int, "Labels"] = {}
 
 
-def _labels(source: bytes):
+def _labels(source: bytes) -> "Labels":
+    """The labels of a worker; they are read once for a worker and vocabulary."""
     key = hash(source)
     if key not in _LABELS:
-        spec, letters = json.loads(source), byte_letters()
-        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        found = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in added} | {i: t.encode() for t, i in added.items()}
         _LABELS.clear()
-        _LABELS[key] = _Labels(found)
-    return _LABELS[key].__getitem__
+        _LABELS[key] = Labels(source)
+    return _LABELS[key]
+
 
+class Labels:
+    """The bytes that each id spells, one after another; ``unknown`` stands for all other ids and spells nothing."""
 
-class _Labels(dict):
-    def __missing__(self, label: int) -> bytes:
-        return b""
+    def __init__(self, source: bytes) -> None:
+        spec, letters = json.loads(source), byte_letters()
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        found = {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in added} | {i: t.encode() for t, i in added.items()}
+        self.unknown = max(found) + 1
+        each = [found.get(i, b"") for i in range(self.unknown + 1)]
+        self.flat = np.frombuffer(b"".join(each), "u1")
+        self.sizes = np.array([len(x) for x in each], "i4")
+        self.starts = np.cumsum(self.sizes) - self.sizes
