@@ -3,8 +3,8 @@
 Each document gets a vector of transformed statistics. For each language and source the location
 and scatter of these vectors are estimated by minimum covariance determinant: from a start of
 medians and median absolute deviations, concentration steps take the share of documents that lie
-closest to the current estimate and estimate again from them. Documents are rejected by their
-squared Mahalanobis distance from the result.
+closest to the current estimate and estimate again from them, until the estimates stop changing.
+Documents are rejected by their squared Mahalanobis distance from the result.
 
 The statistics are aggregated over all documents of a group; what travels is one narrow row per
 document, pre-aggregated before each shuffle, and one row per group.
@@ -12,6 +12,8 @@ document, pre-aggregated before each shuffle, and one row per group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,18 +25,22 @@ WINDOW = 8
 FEATURES = ("f_word", "f_symbol", "f_case", "f_repeat")
 #: Share of a group's documents that the estimate is made from.
 CORE = 0.75
-STEPS = 4
+#: Concentration steps end once no group's location or factor moves by over SETTLED of a deviation,
+#: which quantiles of rank error 1e-3 can reach, and after MOST_STEPS in any case.
+SETTLED, MOST_STEPS = 0.01, 25
 #: Fixed values, for 4 statistics: the chi-square quantile at CORE and the factor that makes the
 #: scatter of the closest CORE share consistent for normal vectors, CORE / P(chi2 of 6 < quantile).
 QUANTILE, CONSISTENT = 5.3853, 0.75 / 0.5046
-#: Documents farther than this squared distance are rejected: beyond the chi-square quantile of
-#: 1 - 1e-9 for 4 statistics, so that clean documents of heavier-tailed groups stay.
-CUTOFF = 48.0
+#: Documents farther than this squared distance are rejected: the chi-square quantile of 1 - 1e-5
+#: for 4 statistics.
+CUTOFF = 28.47
 #: Smaller groups are judged with all documents of their language.
 LEAST_DOCS = 40
-#: Variances aren't taken below these floors, in order of FEATURES: a group of equal documents
-#: doesn't make its first differing one an outlier.
-FLOORS = (0.01, 0.0025, 0.0025, 0.01)
+#: Added to the variances, in order of FEATURES, so that no scatter is singular: what the shortest
+#: texts that pass the base rules show by chance. The mean length of 20 words that scatter by half
+#: of it has a variance of 0.0087 here; for symbols and capitals it is the square of one character
+#: in 100 by CUTOFF, for repeats that of one window in 100 words.
+FLOORS = (0.0087, 0.0004, 0.0004, 0.006)
 
 
 def statistics(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -117,16 +123,26 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     scale = lambda i: F.greatest((1.4826 * F.col(f"d{i}")) ** 2, F.lit(FLOORS[i]))
     estimate = start.select("grp", *(f"m{i}" for i in range(4)), *((scale(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs))
     estimate = stage_table(cholesky(estimate), "start")
-    for _ in range(STEPS):
+    for _ in range(MOST_STEPS):
         near = _attach(rows, estimate).select("grp", *FEATURES, distance().alias("dist"))
         limit = near.groupBy("grp").agg(F.percentile_approx("dist", F.lit(CORE), F.lit(1000)).alias("limit"))
         core = _attach(near, limit).filter("dist <= limit")
         mean = core.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.covar_pop(x[i], x[j]).alias(f"v{i}{j}") for i, j in pairs))
         spread = lambda i, j: CONSISTENT * F.col(f"v{i}{j}") + (F.lit(FLOORS[i]) if i == j else F.lit(0.0))
-        estimate = stage_table(cholesky(mean.select("grp", *(f"m{i}" for i in range(4)), *(spread(i, j).alias(f"c{i}{j}") for i, j in pairs))), "step")
+        before, estimate = estimate, stage_table(cholesky(mean.select("grp", *(f"m{i}" for i in range(4)), *(spread(i, j).alias(f"c{i}{j}") for i, j in pairs))), "step")
+        if settled(before, estimate):
+            break
     return estimate
 
 
+def settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether no group's location or factor has moved by over SETTLED of its deviations."""
+    after = after.withColumnsRenamed({c: f"_{c}" for c in after.columns})
+    moved = lambda c, i: F.abs(F.col(f"_{c}") - F.col(c)) > SETTLED * F.col(f"_l{i}{i}")
+    changes = [moved(f"m{i}", i) for i in range(4)] + [moved(f"l{i}{j}", i) for i in range(4) for j in range(i + 1)]
+    return before.join(after, F.col("grp").eqNullSafe(F.col("_grp"))).filter(reduce(Column.__or__, changes)).isEmpty()
+
+
 def _attach(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Each row with what its group has; groups are one narrow row each, so a plain join is fine."""
     named = groups.withColumnRenamed("grp", "_grp")

@@ -349,6 +349,24 @@ def test_quality_counts_and_outliers(spark):
     assert not any(got[i]["kept"] for i in range(len(clean), len(clean) + len(junk)))
 
 
+
+def test_junk_with_few_symbols_is_rejected(spark):
+    draw = random.Random(11)
+    clean = [" ".join("".join(draw.choice("etaoinshr") for _ in range(draw.randint(2, 9))) for _ in range(draw.randint(30, 200))) for _ in range(300)]
+    one = [clean[0] + " %", clean[1] + " $"]
+    junk = []
+    for i, t in enumerate(clean[:24]):
+        words = t.split()
+        n = sum(map(len, words))
+        for _ in range(round(n * (0.05 + 0.07 * i / 23) / (0.95 - 0.07 * i / 23)) + 1):
+            at = draw.randrange(len(words))
+            words[at] += draw.choice("#*$%&|<>")
+        junk.append(" ".join(words))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, clean + one + junk)).collect()}
+    assert all(got[i] for i in range(302))
+    assert not any(got[i] for i in range(302, 302 + len(junk)))
+
+
 # 9
 
 
