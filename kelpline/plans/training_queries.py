@@ -203,8 +203,8 @@ def chat_prompt(spark, d):
 
 
 def tokens(spark, d):
-    """Code points of each turn's first words stand for token ids."""
-    return table(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split(F.substring("text", 1, 40), " "), lambda w: F.length(w)).alias("ids"))
+    """Code points of each word of a turn stand for token ids."""
+    return table(spark, d, "conversations").select("conv_id", "turn", F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("ids"))
 
 
 def pad_sequences(spark, d):

@@ -43,3 +43,16 @@ def test_query_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_sequences_hold_whole_texts(spark, duck):
+    turns = duck.sql("SELECT conv_id, turn, text FROM conversations").fetchall()
+    ids = {(c, t): [len(w) for w in text.split(" ")] for c, t, text in turns}
+    most = {}
+    for (c, _), x in ids.items():
+        most[c] = max(most.get(c, 0), len(x))
+    padded = {(r["conv_id"], r["turn"]): r["ids"] for r in registry.QUERIES["pad_sequences"](spark, DATA).collect()}
+    rest = {(r["conv_id"], r["turn"]): r["rest"] for r in registry.QUERIES["trim_prefix"](spark, DATA).collect()}
+    assert padded == {(c, t): ",".join(map(str, [-1] * (most[c] - len(x)) + x)) for (c, t), x in ids.items()}
+    assert rest == {k: ",".join(map(str, x[3:])) for k, x in ids.items()}
