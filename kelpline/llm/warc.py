@@ -27,7 +27,7 @@ from kelpline.llm.common import stage_table
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
-VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"WARC/[0-9]{1,2}\.[0-9]{1,2}(\r?\n)")
 MEMBER = b"\x1f\x8b\x08"
 #: Bytes fed to the decompressor at a time.
 STEP = 16_384
@@ -99,13 +99,15 @@ class Found:
 
 def one_record(data: bytes, at: int) -> tuple[Found | None, str]:
     """The record that starts at ``at`` of uncompressed ``data``, or why there is none."""
-    if not VERSION_LINE.match(data, at):
+    version = VERSION_LINE.match(data, at)
+    if not version:
         return None, "no version line"
-    end = data.find(b"\r\n\r\n", at)
+    blank = 2 * version[1]
+    end = data.find(blank, at)
     if end < 0:
         return None, "header without end"
     headers = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[at:end].decode("utf-8", "replace").split(version[1].decode())[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             return None, "malformed header"
@@ -116,13 +118,14 @@ def one_record(data: bytes, at: int) -> tuple[Found | None, str]:
     length = headers.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", length):
         return None, "no length"
-    start, stop = end + 4, end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    start = end + len(blank)
+    stop = start + int(length)
+    if data[stop : stop + len(blank)] != blank:
         return None, "truncated or wrong length"
     block = data[start:stop]
     if (claim := headers.get("warc-block-digest", "")).startswith("sha256:") and hashlib.sha256(block).hexdigest() != claim[7:]:
         return None, "block digest differs"
-    return Found(at, stop + 4, headers, block), ""
+    return Found(at, stop + len(blank), headers, block), ""
 
 
 def plain_records(data: bytes) -> Iterator[Found]:
@@ -138,54 +141,90 @@ def plain_records(data: bytes) -> Iterator[Found]:
 
 
 def one_member(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """The content of the gzip member at ``at``, where it stops, or why it can't be read.
+    """The content of the gzip member at ``at``, where it stops, and why it can't be read to its end.
 
-    Data are fed in small steps, so a member costs what it holds and not what follows it.
+    Data are fed in small steps, so a member costs what it holds and not what follows it. Of a
+    member that breaks there is what was unpacked before, and where it broke.
     """
     if data[at : at + 3] != MEMBER:
         return b"", at, "no member"
-    unpack, parts, upto = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and upto < len(data):
-            parts.append(unpack.decompress(data[upto : upto + STEP]))
-            upto = min(upto + STEP, len(data))
-    except zlib.error as error:
-        return b"", at, f"bad member: {error}"
+    unpack, parts, upto, step = zlib.decompressobj(31), [], at, STEP
+    fine = None
+    while not unpack.eof and upto < len(data):
+        try:
+            if step > 1:
+                fine = unpack.copy()
+            parts.append(unpack.decompress(data[upto : upto + step]))
+            upto = min(upto + step, len(data))
+        except zlib.error as error:
+            if step == 1:
+                return b"".join(parts), upto, f"bad member: {error}"
+            unpack, step = fine, 1  # once more from before this step, up to the very byte
     if not unpack.eof:
-        return b"", at, "truncated member"
+        return b"".join(parts), upto, "truncated member"
     return b"".join(parts), upto - len(unpack.unused_data), ""
 
 
-def packed_records(data: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive of gzip members; offsets are those of the members.
+def unbroken_records(content: bytes, why: str) -> Iterator[Found]:
+    """The sound records of what was unpacked of a member that breaks.
 
-    A member that can't be read, or in which a check fails, is a gap up to the next valid member;
-    records before and after the failure inside a member are kept. Zero bytes between members are
-    padding.
+    If it is merely cut short, what came before is as it was. Otherwise bytes before the failure may
+    be wrong too, so only records whose block digest was checked count.
     """
-    at = 0
+    for found in plain_records(content):
+        if found.headers is not None and (why == "truncated member" or found.headers.get("warc-block-digest", "").startswith("sha256:")):
+            yield found
+
+
+def salvage(data: bytes) -> Iterator[Found]:
+    """Records and gaps of an archive, of gzip members, plain records or both.
+
+    Offsets of records in a member are those of the member. After each failure reading goes on from
+    the nearer of the next member and the next version line; a member counts if it is valid, or
+    begins with a version line. Records before and after a failure inside a member are kept, also
+    if the member breaks there. Zero bytes at the start and after members are padding.
+    """
+    at, version, padded = 0, -1, True
+    reach, unpacked = 0, []  # a member that broke was read up to there, and these records were taken from it
     while at < len(data):
-        if data[at] == 0:
+        if padded and data[at] == 0:
             at += 1
             continue
-        content, stop, why = one_member(data, at)
-        if why:
-            after = data.find(MEMBER, at + 1)
-            while after >= 0 and one_member(data, after)[2]:
-                after = data.find(MEMBER, after + 1)
-            stop = after if after >= 0 else len(data)
-            yield Found(at, stop, reason=why)
+        if data[at : at + 3] == MEMBER:
+            content, stop, why = one_member(data, at)
+            if not why:
+                for found in plain_records(content):
+                    yield Found(at, stop, found.headers, found.block, found.reason)
+                at, padded = stop, True
+                continue
+            sound = list(unbroken_records(content, why))
+            reach, unpacked = stop, [(f.headers, f.block) for f in sound]
         else:
-            for found in plain_records(content):
-                yield Found(at, stop, found.headers, found.block, found.reason)
-        at = stop
-
-
-def salvage(data: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive, packed if it holds a member before any version line."""
-    plain, packed = VERSION_LINE.search(data), data.find(MEMBER)
-    is_packed = packed >= 0 and (plain is None or packed < plain.start())
-    return packed_records(data) if is_packed else plain_records(data)
+            found, why = one_record(data, at)
+            if found is not None:
+                if at >= reach or (found.headers, found.block) not in unpacked:  # stored members show their records plainly
+                    yield found
+                at, padded = found.stop, False
+                continue
+            sound = []
+        if version <= at:
+            after = VERSION_LINE.search(data, at + 1)
+            version = after.start() if after else len(data)
+        stop = next_member(data, at + 1, version)
+        for found in sound:
+            yield Found(at, stop, found.headers, found.block)
+        yield Found(at, stop, reason=why)
+        at, padded = stop, False
+
+
+def next_member(data: bytes, at: int, before: int) -> int:
+    """Where the next member starts that is valid or begins with a version line, or else ``before``."""
+    while (at := data.find(MEMBER, at, before)) >= 0:
+        content, _, why = one_member(data, at)
+        if not why or VERSION_LINE.match(content):
+            return at
+        at += 1
+    return before
 
 
 READ = "path string, start long, stop long, reason string, record_type string, record_id string, refers_to string, uri string, claimed_digest string, payload_bytes long, payload_digest string, payload binary"

@@ -257,6 +257,47 @@ def test_salvage_recovers_all_but_what_is_broken(packed):
     assert not list(warc.salvage(b""))
 
 
+def salvaged(data):
+    found = list(warc.salvage(data))
+    return [int(re.search("[0-9]+", f.headers["warc-record-id"])[0]) for f in found if f.headers], [f for f in found if f.reason]
+
+
+def test_records_before_a_break_in_one_large_member_are_kept():
+    draw = random.Random(3)
+    bodies = [draw.randbytes(3000).hex().encode() for _ in range(40)]
+    records = [warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None, "2024-01-01T00:00:00Z") for i, b in enumerate(bodies)]
+    whole = warc.member(b"".join(records))
+    kept, gaps = salvaged(whole[: len(whole) * 3 // 4])
+    assert kept == list(range(len(kept))) and 28 <= len(kept) < 40 and len(gaps) == 1
+    wrong_sum = whole[:-8] + bytes(4) + whole[-4:]
+    kept, gaps = salvaged(wrong_sum + warc.member(records[0]))
+    assert kept == [*range(40), 0] and len(gaps) == 1
+    undigested = b"".join(re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", r) for r in records)
+    assert salvaged(warc.member(undigested)[:-8] + bytes(8))[0] == []
+    kept, _ = salvaged(whole[: len(whole) // 2] + warc.member(records[7])[:-3])
+    assert kept[-1] == 7 and len(kept) >= 19
+
+    kept, _ = salvaged(whole[: len(whole) // 2] + records[30] + records[31])
+    assert kept[-2:] == [30, 31]
+    stored = warc.member(b"".join(records), 0)
+    assert salvaged(stored[:-8] + bytes(8))[0] == list(range(40))
+
+
+def test_plain_records_after_a_payload_with_a_member_are_kept():
+    bodies = [warc.member(b"packed payload"), b"one", b"two"]
+    records = [warc.record(i, "u", b, hashlib.sha256(b).hexdigest(), None, "2024-01-01T00:00:00Z") for i, b in enumerate(bodies)]
+    assert salvaged(b"".join(records)) == ([0, 1, 2], [])
+    kept, gaps = salvaged(b"XXXX" + records[0][4:] + records[1] + records[2])
+    assert kept == [1, 2] and gaps
+    assert salvaged(records[1] + warc.member(records[2]) + b"\0" + records[0]) == ([1, 2, 0], [])
+
+
+def test_other_version_lines_count():
+    head = "WARC-Type: resource{0}WARC-Record-ID: <urn:record:5>{0}Content-Length: 3{0}{0}abc{0}{0}"
+    data = b"".join((f"WARC/{v}{e}" + head.format(e)).encode() for v in ("0.18", "1.0", "1.1") for e in ("\r\n", "\n"))
+    assert salvaged(data) == ([5] * 6, [])
+
+
 def test_members_stop_where_they_stop():
     sizes = (0, 1, 700, 16_384, 400_000)
     parts = [warc.member(random.Random(n).randbytes(n)) for n in sizes]
