@@ -95,9 +95,11 @@ def cwt_freqs(spark, d):
 
 
 def scalogram_intensity(spark, d):
-    power = wavelet.cwt_power(scaled(spark, d), SCALES)
-    shown = 0.5 + F.try_divide(F.col("power"), 2 * F.col("top"))
-    return with_aggregates(power, "series_id", top=F.max("power")).select("series_id", "n", "scale", F.round(shown, 4).alias("intensity"))
+    """Power of all 127 scales against the largest of the series."""
+    topped = with_aggregates(wavelet.cwt_full(scaled(spark, d)), "series_id", top=F.max(F.array_max("power")))
+    each = topped.select("series_id", "first", "scale", "top", F.posexplode("power").alias("i", "p"))
+    shown = 0.5 + F.try_divide(F.col("p"), 2 * F.col("top"))
+    return each.select("series_id", (F.col("first") + F.col("i")).alias("n"), "scale", F.round(shown, 4).alias("intensity"))
 
 
 def conv1d_relu(spark, d):

@@ -56,3 +56,20 @@ def test_sequences_hold_whole_texts(spark, duck):
     rest = {(r["conv_id"], r["turn"]): r["rest"] for r in registry.QUERIES["trim_prefix"](spark, DATA).collect()}
     assert padded == {(c, t): ",".join(map(str, [-1] * (most[c] - len(x)) + x)) for (c, t), x in ids.items()}
     assert rest == {k: ",".join(map(str, x[3:])) for k, x in ids.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_intensities_of_all_scales(spark, duck):
+    one = duck.sql("SELECT min(user_id) FROM events").fetchall()[0][0]
+    x = np.array([v for (v,) in duck.sql(f"SELECT value FROM events WHERE user_id = {one} ORDER BY ts, event_id").fetchall()])
+    x = (x - x.min()) / (x.max() - x.min())
+    lag = np.arange(len(x))[:, None] - np.arange(len(x))
+    power = {}
+    for s in range(1, 128):
+        u = lag / s
+        power[s] = np.abs(np.where(np.abs(u) <= 8, np.exp(-u * u / 2) * np.cos(5 * u), 0) @ x) / np.sqrt(s)
+    top = max(p.max() for p in power.values())
+    got = registry.QUERIES["scalogram_intensity"](spark, DATA).filter(f"series_id = {one}").collect()
+    assert len(got) == 127 * len(x)
+    for r in got:
+        assert abs(r["intensity"] - (0.5 + power[r["scale"]][r["n"] - 1] / (2 * top))) < 1e-4
