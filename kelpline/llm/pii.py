@@ -6,6 +6,10 @@ whole corpus: of entities with equal surrogates all but one draw again, as does
 is a real entity, until none collides. So distinct entities stay distinct, and one entity reads the
 same wherever and in whatever layout it stands.
 
+Names are found after a title. Their given names and surnames are entities of their own, so Mr Smith
+shares the surname of Mr John Smith, and words of a text that are name parts of it are replaced also
+where they stand without a title.
+
 Texts are rebuilt from what the pattern splits them into and the surrogates in between. Mentions meet
 surrogates in a plain join by entity, which Spark splits where one entity has very many mentions.
 """
@@ -23,6 +27,9 @@ from kelpline.llm.common import stage_table
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+#: A capitalised word of a name, with hyphens and apostrophes but no genitive.
+WORD = "\\p{Lu}(?=\\p{L}|['’]\\p{L})\\p{L}*+(?:['’-](?!s(?!\\p{L}))\\p{L}++)*+"
+TITLE = f"^(?:{MALE}|{FEMALE})\\.? "
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\\.){1,126}[A-Za-z]{2,63}",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -30,7 +37,7 @@ PATTERNS = {
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": f"(?<![0-9.])(?:{OCTET}\\.){{3}}{OCTET}(?![0-9]|\\.[0-9])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?(?:\\([0-9]{1,4}\\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\\([0-9]{3}\\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4})(?![0-9])",
-    "name": f"(?<![\\p{{L}}])(?:{MALE}|{FEMALE})\\.? \\p{{Lu}}\\p{{Ll}}+(?: \\p{{Lu}}\\p{{Ll}}+)?(?![\\p{{L}}])",
+    "name": f"(?<![\\p{{L}}])(?:{MALE}|{FEMALE})\\.? {WORD}(?: {WORD}){{0,3}}(?![\\p{{L}}])",
 }
 ANY = "|".join(PATTERNS.values())
 #: What a text must hold for any pattern to match.
@@ -96,8 +103,24 @@ def iban_rest(account: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(100)) + value(c), F.lit(97)))
 
 
-def surrogate(kind: Column, entity: Column, at: Column) -> Column:
-    """A draw for an entity in canonical form, in canonical form too, from the stream of the seed ``at``."""
+def name_parts(kind: Column, mention: Column) -> Column:
+    """The entities of a mention: (part, kind, entity, word); of a name each given name, with its gender, and the surname."""
+    gender = F.when(mention.rlike(f"^(?:{MALE})\\b"), F.lit("m")).otherwise(F.lit("f"))
+    words = F.split(F.regexp_replace(mention, TITLE, ""), " ")
+
+    def part(w: Column, i: Column) -> Column:
+        last = i == F.size(words) - 1
+        return F.struct(i.alias("part"), F.when(last, F.lit("family")).otherwise(F.lit("given")).alias("kind"), F.when(last, F.lower(w)).otherwise(F.concat(gender, F.lit(":"), F.lower(w))).alias("entity"), w.alias("word"))
+
+    whole = F.struct(F.lit(0).alias("part"), kind.alias("kind"), canonical(kind, mention).alias("entity"), mention.alias("word"))
+    return F.when(kind == "name", F.transform(words, part)).otherwise(F.array(whole))
+
+
+def surrogate(kind: Column, entity: Column, at: Column, attempt: int = 0) -> Column:
+    """A draw for an entity in canonical form, in canonical form too, from the stream of the seed ``at``.
+
+    There are few given names; from the second ``attempt`` on they are drawn with a second part.
+    """
 
     def letter(base: int):
         return lambda i: F.char(F.lit(base) + _draw(at, i, 26))
@@ -121,7 +144,8 @@ def surrogate(kind: Column, entity: Column, at: Column) -> Column:
     family = lambda script: F.initcap(F.concat(*(pick(SYLLABLES[script], 1 + i) for i in range(4))))
     surname = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
     name = F.concat(gender, F.lit(":"), F.lower(F.when(F.instr(entity, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)))
-    made = F.when(kind == "email", F.concat_ws("@", local, domain)).when(kind == "name", name).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn).otherwise(card)
+    first = given if attempt == 0 else F.concat_ws("-", given, F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
+    made = F.when(kind == "given", F.concat(gender, F.lit(":"), F.lower(first))).when(kind == "family", F.lower(surname)).when(kind == "email", F.concat_ws("@", local, domain)).when(kind == "name", name).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn).otherwise(card)
     return made
 
 
@@ -134,8 +158,9 @@ def rendered(kind: Column, mention: Column, made: Column) -> Column:
     compact = lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), " ", ""))
     account = _per_char(mention, lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, compact(i), F.lit(1))))
     cased = F.when((mention == F.upper(mention)) & (mention != F.lower(mention)), F.upper(made)).otherwise(made)
-    title = F.regexp_extract(mention, f"^(?:{MALE}|{FEMALE})\\.? ", 0)
-    return F.when(kind == "email", cased).when(kind == "name", F.concat(title, F.initcap(F.substring(made, 3, 200)))).when(kind == "ip", made).when(kind == "iban", account).otherwise(numbers)
+    shown = F.array_join(F.transform(F.split(F.regexp_replace(made, "^[mf]:", ""), "-"), F.initcap), "-")
+    shown = F.when(mention == F.upper(mention), F.upper(shown)).otherwise(shown)
+    return F.when(kind == "email", cased).when(kind.isin("given", "family"), shown).when(kind == "ip", made).when(kind == "iban", account).otherwise(numbers)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -151,7 +176,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     for attempt in range(ROUNDS):
         inner = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "entity", F.lit(str(attempt))), 256)
         seeded = open_.withColumn("_seed", F.sha2(F.concat(F.lit(key), inner), 256))
-        drawn = seeded.select("kind", "entity", surrogate(F.col("kind"), F.col("entity"), F.col("_seed")).alias("made"))
+        drawn = seeded.select("kind", "entity", surrogate(F.col("kind"), F.col("entity"), F.col("_seed"), attempt).alias("made"))
         same = Window.partitionBy("kind", "made").orderBy("entity")
         fresh = drawn.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n").join(real, ["kind", "made"], "left_anti")
         if kept is not None:
@@ -168,20 +193,37 @@ def replaced(docs: DataFrame, key: str = "doc_id", secret: str = "kelpline", tex
     """``docs`` with surrogates in ``text_col``, and ``entities``, an array of (kind, surrogate) in text order.
 
     Null and empty texts, and texts without entities, stay as they are and have an empty array.
-    Rows with equal key and text come out alike. A column ``entities`` of ``docs`` is replaced. The
+    Words without a title that are parts of a name found in the same text are replaced, the surname
+    first if a word is both, and aren't in ``entities``. Rows with equal key and text come out alike. A column ``entities`` of ``docs`` is replaced. The
     same ``secret`` gives the same surrogates, but for draws that collide with other entities.
     """
     plain = docs.drop("entities")
     text = F.col(text_col)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     mentions = plain.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(found).alias("at", "mention"))
-    mentions = mentions.withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", canonical(F.col("kind"), F.col("mention")))
-    mentions = stage_table(mentions.distinct(), "mentions")
+    mentions = mentions.distinct().withColumn("kind", kind_of(F.col("mention")))
+    at = ["doc", "mark", "at", "mention", "whole"]
+    parts_of = mentions.withColumnRenamed("kind", "whole").select(*at, F.explode(name_parts(F.col("whole"), F.col("mention"))).alias("p")).select(*at, "p.*")
+    mentions = stage_table(parts_of, "mentions")
     made = surrogates(mentions.select("kind", "entity").distinct(), secret)
-    named = mentions.join(made, ["kind", "entity"]).select("doc", "mark", F.struct("at", "kind", rendered(F.col("kind"), F.col("mention"), F.col("made")).alias("surrogate")).alias("one"))
-    lists = stage_table(named.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("one")).alias("__list")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"}), "lists")
+    shown = rendered(F.col("kind"), F.col("word"), F.col("made")).alias("shown")
+    named = stage_table(mentions.join(made, ["kind", "entity"]).select(*at, "part", "kind", "word", shown), "named")
+    names = named.filter("whole = 'name'")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "shown"))), lambda x: x["shown"]), " ")
+    titled = names.groupBy(*at).agg(joined.alias("_joined")).withColumn("shown", F.concat(F.regexp_extract("mention", TITLE, 0), "_joined"))
+    columns = ["doc", "mark", F.struct("at", F.col("whole").alias("kind"), F.col("shown").alias("surrogate")).alias("one")]
+    single = named.filter("whole <> 'name'").select(*columns).unionByName(titled.select(*columns))
+    lists = single.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("one")).alias("__list"))
+    words = names.groupBy("doc", "mark", "word").agg(F.min(F.struct("kind", "shown"))["shown"].alias("shown"))
+    words = words.groupBy(F.col("doc").alias("_d"), F.col("mark").alias("_m")).agg(F.map_from_entries(F.collect_list(F.struct("word", "shown"))).alias("__words"))
+    lists = lists.join(words, F.col("doc").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left").drop("_d", "_m")
+    lists = stage_table(lists.withColumnsRenamed({"doc": "__doc", "mark": "__mark"}), "lists")
     met = plain.join(lists.hint("shuffle_hash"), plain[key].eqNullSafe(lists["__doc"]) & (F.xxhash64(plain[text_col]) == lists["__mark"]), "left")
+    alone = f"(?<![\\p{{L}}]){WORD}"
+    known = lambda s: F.concat(F.transform(F.regexp_extract_all(s, F.lit(alone), F.lit(0)), lambda w: F.coalesce(F.try_element_at("__words", w), w)), F.array(F.lit("")))
+    untitled = lambda s: F.array_join(F.zip_with(F.split(s, alone, -1), known(s), lambda a, b: F.concat(a, b)), "")
     parts = F.split(text, ANY, -1)
+    parts = F.when(F.col("__words").isNull(), parts).otherwise(F.transform(parts, untitled))
     filled = F.concat(F.transform(F.col("__list"), lambda x: x["surrogate"]), F.array(F.lit("")))
     rebuilt = F.array_join(F.zip_with(parts, filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = F.when(F.col("__list").isNull(), text).otherwise(rebuilt)

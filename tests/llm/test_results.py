@@ -55,6 +55,19 @@ def test_surrogates_keep_type_layout_and_identity(spark):
         assert not any(x in r["text"] for x in found)
 
 
+def test_name_parts_are_entities(spark):
+    texts = ["Mr John Smith came. Mr Smith left; John Smith's hat, Smithson stays. Smith", "Mrs Anna Maria Schmidt, Frau Anna-Lena Meyer and Mr John O'Brien", "Mr Smith; John here has no title", "a@b.example.com only"]
+    rows = {r["doc_id"]: r for r in pii.replaced(frame(spark, texts)).collect()}
+    out = {i: r["text"] for i, r in rows.items()}
+    given, family = re.match(r"Mr (\S+) (\S+) came", out[0]).groups()
+    assert out[0] == f"Mr {given} {family} came. Mr {family} left; {given} {family}'s hat, Smithson stays. {family}"
+    assert out[2] == f"Mr {family}; John here has no title"
+    assert not re.search("Anna|Maria|Schmidt|Lena|Meyer|John|Brien", out[1]) and f"Mr {given} " in out[1]
+    assert [len(rows[i]["entities"]) for i in range(4)] == [2, 3, 1, 1]
+    many = [f"Mr {chr(65 + i // 26)}{chr(97 + i % 26)}x Smith" for i in range(60)]
+    assert len({r["text"] for r in pii.replaced(frame(spark, many)).collect()}) == 60
+
+
 def test_endless_hosts_are_read(spark):
     texts = ["x@" + "a." * 60_000 + "com y", "x@" + "a." * 100 + "com y", "q" * 70_000 + "@" + "b" * 70_000 + ".org", "1-" * 50_000, "10.0.0." * 20_000, "Mr " * 30_000]
     out = {r["doc_id"]: r["text"] for r in pii.replaced(frame(spark, texts)).collect()}
