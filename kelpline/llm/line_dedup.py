@@ -9,8 +9,14 @@ A run counts if it has ``least_words`` words, so it is settled by at most as man
 doubling stops at that depth: suffixes with equal first lines of a run are an interval of the array
 whose common prefix has at least that many words, and two overlapping ranks name it. In each
 interval the suffix that comes first in the corpus stays and the lines of the run are deleted at all
-others. Minimal runs are taken forward from each line and backward to each line; their union is
-every line of every longer repeated run.
+others. Minimal runs are taken forward from each line and backward to each line.
+
+Why that depth is enough: let a maximal repeated run R stand at places p (earlier) and q. Each line
+x of R at q lies in a minimal run inside R: the one forward from x, or the one backward to x, or, if
+R has too few words on either side of x, the one forward from R's first line, which then can't end
+before x. That minimal run occurs at the same offset of p, so q isn't its first place and x goes.
+Conversely a deleted line lies in a minimal run, which is a repeated run itself with an earlier
+place. So the deleted lines are those of all maximal runs' later copies, whatever their length.
 """
 
 from __future__ import annotations
@@ -30,12 +36,16 @@ def numbered(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, key: str) -> DataFrame:
-    """One row per line with a word: doc, mark (hash of the text), at (its place among them), idx (among all lines), n_words, h1, h2."""
+    """One row per line with a word: doc, mark (hash of the text), at (its place among them), idx (among all lines), n_words, h1, h2.
+
+    Spark chains hashes as seeds, so ``h2`` hashes the line from another seed than ``h1``: a line is
+    known by 128 bits.
+    """
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
     full = F.filter(lines, lambda s: F.btrim(s["x"], F.lit(SPACES)) != "")
     each = docs.select(F.col(key).alias("doc"), F.xxhash64("text").alias("mark"), F.posexplode(full).alias("at", "line"))
     line = F.col("line.x")
-    return each.select("doc", "mark", "at", F.col("line.i").alias("idx"), n_words_of(line).alias("n_words"), F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2"))
+    return each.select("doc", "mark", "at", F.col("line.i").alias("idx"), n_words_of(line).alias("n_words"), F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
 
 
 def suffix_ranks(active: DataFrame, depth: int) -> tuple[DataFrame, int]:
@@ -93,7 +103,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAS
     runs = stage_table(minimal_runs(ranks, n_ranks, least_words), "runs")
     name = ["n", "head", "tail"]
     place = F.struct("doc", "mark", "start")
-    firsts = runs.groupBy(*name).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    # Written out, so that the join reads both sides from plain exchanges, of which Spark splits the one that holds a very common run.
+    firsts = stage_table(runs.groupBy(*name).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "firsts")
     later = runs.join(firsts, name).filter(place > F.col("first"))
     return later.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("idxs")))).alias("removed"))
 
