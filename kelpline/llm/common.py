@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII space characters that separate words.
@@ -16,11 +17,13 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (a local session in a
-    test) a temporary folder is made and set for the session.
+    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a local session (one in a
+    test) gets a temporary folder; any other raises RuntimeError, as its executors wouldn't share it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kelpline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -44,6 +47,26 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_order(rows: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with ``name``, their rank from 0 in the order of ``by``, which no two rows share.
+
+    Rows are sorted by ranges over the cluster; what the ranges before hold is added to the place in
+    a range. Only one count for each partition meets in one task.
+    """
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id())
+    ordered = stage_table(ordered, "ordered").withColumn("_range", F.shiftright("_id", 33))
+    counts = ordered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.join(F.broadcast(counts), "_range").withColumn(name, place).drop("_id", "_range", "_before")
+
+
+def with_rows(docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` written out with a long of its own for each row, by which rows with equal or null keys are told apart."""
+    return stage_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, most: int):
     """While it lasts, tables that are written send Python at most ``most`` rows at once."""

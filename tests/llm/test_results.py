@@ -218,6 +218,40 @@ def test_apportionment_is_sainte_lague(spark):
         assert [got[g, i] for i in range(len(ws))] == have
 
 
+def brute_seats(weights, caps, seats):
+    have = [0] * len(weights)
+    for _ in range(seats):
+        open_ = [i for i, w in enumerate(weights) if w > 0 and have[i] < caps[i]]
+        if not open_:
+            break
+        have[max(open_, key=lambda i: (weights[i] / (2 * have[i] + 1), -i))] += 1
+    return have
+
+
+def test_caps_lose_no_seats(spark):
+    draw = random.Random(4)
+    groups = {0: ([10.0, 1.0], [2, 100], 11), 1: ([1.0], [3], 50), 2: ([0.0, 2.0], [5, 5], 4)}
+    for g in range(3, 40):
+        n = draw.randint(1, 12)
+        groups[g] = ([draw.choice([0, 1, 5, 50]) * (1 + draw.random()) for _ in range(n)], [draw.choice([0, 1, 3, 30, 1000]) for _ in range(n)], draw.choice([0, 1, 7, 40, 200]))
+    rows = [(g, i, w, c, n) for g, (ws, caps, n) in groups.items() for i, (w, c) in enumerate(zip(ws, caps))]
+    df = spark.createDataFrame(rows, "g int, i int, w double, c long, seats int")
+    got = {(r["g"], r["i"]): r["quota"] for r in mixing.apportion(df, ["g"], ["i"], "w", F.col("seats"), F.col("c")).collect()}
+    for g, (ws, caps, n) in groups.items():
+        assert [got[g, i] for i in range(len(ws))] == brute_seats(ws, caps, n), g
+    for g in (0, 5, 6, 7):
+        ws, caps, n = groups[g]
+        all_ = {r["i"]: r["quota"] for r in mixing.apportion_all(df.filter(f"g = {g}"), [F.col("i").asc()], "w", n, F.col("c")).collect()}
+        assert [all_[i] for i in range(len(ws))] == brute_seats(ws, caps, n), g
+
+
+def test_small_sources_come_to_their_targets(spark):
+    texts = ["w " * n for n in (6, 9, 12, 400)]
+    rows = {r["source"]: r for r in mixing.plan(frame(spark, texts, lambda i: "abcd"[i])).collect()}
+    assert [rows[s]["target"] for s in "abc"] == [12, 18, 24]
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in rows.values())
+
+
 # 5
 
 
