@@ -25,8 +25,8 @@ from kelpline.llm.common import stage_table
 
 # Patterns of entities, in order of preference.
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
+MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
 #: A capitalised word of a name, with hyphens and apostrophes but no genitive.
 WORD = "\\p{Lu}(?=\\p{L}|['’]\\p{L})\\p{L}*+(?:['’-](?!s(?!\\p{L}))\\p{L}++)*+"
 TITLE = f"^(?:{MALE}|{FEMALE})\\.? "
@@ -42,14 +42,24 @@ PATTERNS = {
 ANY = "|".join(PATTERNS.values())
 #: What a text must hold for any pattern to match.
 HINT = f"[0-9@]|{MALE}|{FEMALE}"
-# Given names by gender and script, and syllables of surnames by script.
+# The scripts that have capital letters, given names by gender and script, and syllables of surnames.
+SCRIPTS = {"cyrillic": "[\\u0400-\\u04FF]", "greek": "[\\u0370-\\u03FF\\u1F00-\\u1FFF]", "armenian": "[\\u0530-\\u058F]"}
 GIVEN = {
     ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Martin Nils Oscar Paul Robert Simon Thomas Viktor".split(),
     ("f", "latin"): "Ada Berta Clara Diana Emma Flora Greta Helena Ida Julia Klara Lena Maria Nina Olga Paula Rosa Sara Tina Vera".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Марк".split(),
     ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Ирина Клара Лидия Мария Нина".split(),
+    ("m", "greek"): "Ανδρέας Γιάννης Δημήτρης Θωμάς Κώστας Μάρκος Νίκος Παύλος Πέτρος Στέφανος".split(),
+    ("f", "greek"): "Άννα Αγγελική Δήμητρα Ειρήνη Ελένη Ζωή Κατερίνα Μαρία Σοφία Χριστίνα".split(),
+    ("m", "armenian"): "Արամ Դավիթ Տիգրան Հայկ Վահան".split(),
+    ("f", "armenian"): "Անի Մարիամ Նարե Լուսինե Սոնա".split(),
+}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa".split(),
+    "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са та".split(),
+    "greek": "βα βε γα γο δα δε δο θα κα κε κο λα λε λο μα με μο να νε νο πα πε ρα ρε ρο σα σε τα τε το".split(),
+    "armenian": "բա բե գա գո դա դե կա կե կո լա լե լո մա մե մո նա նե նո պա պե ռա ռո սա սե տա տե վա վե".split(),
 }
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са та".split()}
 ROUNDS = 24
 
 
@@ -62,13 +72,10 @@ def digits(text: Column) -> Column:
 
 
 def canonical(kind: Column, mention: Column) -> Column:
-    """What is equal for all layouts of an entity: digits of numbers, lower-cased mail and names, a gender with names."""
-    plain = F.regexp_replace(mention, f"^(?:{MALE}|{FEMALE})\\.? ", "")
-    gender = F.when(mention.rlike(f"^(?:{MALE})\\b"), F.lit("m")).otherwise(F.lit("f"))
+    """What is equal for all layouts of an entity that isn't a name: digits of numbers, lower-cased mail."""
     phone = F.when(mention.startswith("+"), digits(mention)).otherwise(F.concat(F.lit("1"), digits(mention)))
     return (
         F.when(kind == "email", F.lower(mention))
-        .when(kind == "name", F.concat_ws(":", gender, F.lower(plain)))
         .when(kind == "phone", phone)
         .when(kind == "ip", mention)
         .when(kind == "iban", F.regexp_replace(mention, " ", ""))
@@ -138,14 +145,13 @@ def surrogate(kind: Column, entity: Column, at: Column, attempt: int = 0) -> Col
     ssn = F.concat(F.lit("9"), *(_digit(at, i) for i in range(8)))
     ip = F.concat_ws(".", (240 + _draw(at, 0, 16)).cast("string"), *(_draw(at, i, 256).cast("string") for i in (1, 2, 3)))
     phone = numbers(entity, F.greatest(F.length(entity) - 10, F.lit(1)))
-    gender, cyrillic = F.substring(entity, 1, 1), entity.rlike("[\\u0400-\\u04FF]")
+    gender = F.substring(entity, 1, 1)
     pick = lambda words, place: F.array(*map(F.lit, words))[_draw(at, place, len(words))]
-    given = reduce(lambda e, k: F.when((gender == k[0]) & (cyrillic == (k[1] == "cyrillic")), pick(GIVEN[k], 0)).otherwise(e), GIVEN, F.lit(None).cast("string"))
-    family = lambda script: F.initcap(F.concat(*(pick(SYLLABLES[script], 1 + i) for i in range(4))))
-    surname = F.when(cyrillic, family("cyrillic")).otherwise(family("latin"))
-    name = F.concat(gender, F.lit(":"), F.lower(F.when(F.instr(entity, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)))
-    first = given if attempt == 0 else F.concat_ws("-", given, F.when(cyrillic, family("cyrillic")).otherwise(family("latin")))
-    made = F.when(kind == "given", F.concat(gender, F.lit(":"), F.lower(first))).when(kind == "family", F.lower(surname)).when(kind == "email", F.concat_ws("@", local, domain)).when(kind == "name", name).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn).otherwise(card)
+    by_script = lambda made: reduce(lambda other, s: F.when(entity.rlike(SCRIPTS[s]), made(s)).otherwise(other), SCRIPTS, made("latin"))
+    given = by_script(lambda s: F.when(gender == "m", pick(GIVEN["m", s], 0)).otherwise(pick(GIVEN["f", s], 0)))
+    surname = by_script(lambda s: F.initcap(F.concat(*(pick(SYLLABLES[s], 1 + i) for i in range(4)))))
+    first = given if attempt == 0 else F.concat_ws("-", given, surname)
+    made = F.when(kind == "given", F.concat(gender, F.lit(":"), F.lower(first))).when(kind == "family", F.lower(surname)).when(kind == "email", F.concat_ws("@", local, domain)).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn).otherwise(card)
     return made
 
 
@@ -189,14 +195,19 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("a layout has too few surrogates for its entities")
 
 
-def replaced(docs: DataFrame, key: str = "doc_id", secret: str = "kelpline", text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, secret: str, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and ``entities``, an array of (kind, surrogate) in text order.
 
+    Whoever knows ``secret`` can recompute the surrogate of an entity that they guess, so it has no
+    default and mustn't be empty (ValueError).
+
     Null and empty texts, and texts without entities, stay as they are and have an empty array.
     Words without a title that are parts of a name found in the same text are replaced, the surname
     first if a word is both, and aren't in ``entities``. Rows with equal key and text come out alike. A column ``entities`` of ``docs`` is replaced. The
     same ``secret`` gives the same surrogates, but for draws that collide with other entities.
     """
+    if not secret:
+        raise ValueError("surrogates need a secret")
     plain = docs.drop("entities")
     text = F.col(text_col)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

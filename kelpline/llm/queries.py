@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from pathlib import Path
 
 import public_tokenizers
@@ -101,10 +102,15 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with surrogates for personal data, and how many of each kind."""
+    """Every document with surrogates for personal data, and how many of each kind.
+
+    The secret is the session's spark.kelpline.secret; without one a run draws its own, and another
+    run gives other surrogates.
+    """
+    secret = spark.conf.get("spark.kelpline.secret", None) or secrets.token_hex(32)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda kind: F.size(F.filter("entities", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return pii.replaced(docs).select("doc_id", "text", *map(count, pii.PATTERNS))
+    return pii.replaced(docs, secret).select("doc_id", "text", *map(count, pii.PATTERNS))
 
 
 QUERIES = {
