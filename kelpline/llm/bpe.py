@@ -11,13 +11,17 @@ differs from its original by one missing arc. The gadgets are therefore kept in
 each label its missing arcs with the number of the gadget that took them, and for each merged token
 its two halves. ``follows`` reads a transition from those tables and keeps it in a flat table.
 
-A word is encoded by walking these transitions, trying long arc labels first; a position from which
-the word can't be finished is given up for good, which bounds the walk by word length times label
-length. Decoding emits the labels of the arcs.
+Encoding walks these transitions. The automaton is deterministic over tokens, but a word is given in
+bytes, so at a state several arc labels can fit what follows; long ones are tried first, and a
+position from which the word can't be finished is given up for good. So it is a search over one
+deterministic automaton that has one accepted path for each word; it is bounded by word length times
+label length, and most words take no step back. Spelling out an automaton over bytes would need a
+state for each pair of token and position in it. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -54,13 +58,16 @@ def _class(first: str, like: str) -> str:
     return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in zip(starts, stops))
 
 
-def _fine() -> re.Pattern:
-    """The published pre-split pattern of byte-level BPE, with the classes spelled out."""
+@functools.cache
+def fine() -> str:
+    """The published pre-split pattern of byte-level BPE, with the classes spelled out.
+
+    It is made once, in the driver, and sent to the workers with the vocabulary.
+    """
     letter, number = _class("L", "a"), _class("N", "1")
-    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 
-FINE = _fine()
 #: Cuts a text where the pattern above always cuts, at far less cost.
 COARSE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Pieces and words of more characters than this aren't kept in the caches.
@@ -174,10 +181,11 @@ class Automaton:
 class Encoder:
     """Ids of whole texts; pieces, and the words in them, that were met before come from bounded caches."""
 
-    def __init__(self, automaton: Automaton, n_words: int = 150_000, n_pieces: int = 50_000) -> None:
+    def __init__(self, automaton: Automaton, n_words: int = 150_000, n_pieces: int = 50_000, pattern: str | None = None) -> None:
         self.automaton = automaton
+        split = re.compile(pattern or fine()).findall
         self.words = Recent(lambda w: np.array(automaton.encode_word(w.encode()), "<i4").tobytes(), n_words, CACHED_BYTES)
-        self.pieces = Recent(lambda p: b"".join(map(self.words.__getitem__, FINE.findall(p))), n_pieces, CACHED_BYTES)
+        self.pieces = Recent(lambda p: b"".join(map(self.words.__getitem__, split(p))), n_pieces, CACHED_BYTES)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian int32."""
@@ -196,12 +204,12 @@ class Encoder:
 _LOADED: dict[int, Encoder] = {}
 
 
-def _cache(source: bytes) -> Encoder:
+def _cache(source: bytes, pattern: str) -> Encoder:
     """The compiled automaton of a worker; it is made once for a worker and vocabulary."""
     key = hash(source)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Encoder(Automaton(source))
+        _LOADED[key] = Encoder(Automaton(source), pattern=pattern)
     return _LOADED[key]
 
 
@@ -262,17 +270,17 @@ def encode(docs: DataFrame, source: bytes, text_col: str = "text", ids_col: str
     shuffle: each task holds one Arrow batch and a bounded cache. ``source``, the vocabulary file
     (a few MB whatever the data), is broadcast.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(source)
-    return with_columns(docs, text_col, {ids_col: IDS}, lambda texts: [id_lists(_cache(vocabulary.value), texts)])
+    held = docs.sparkSession.sparkContext.broadcast((source, fine()))
+    return with_columns(docs, text_col, {ids_col: IDS}, lambda texts: [id_lists(_cache(*held.value), texts)])
 
 
 def round_trip(docs: DataFrame, source: bytes, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """What ``decode`` makes of ``encode``, in one pass: a task keeps one worker with one vocabulary."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(source)
+    held = docs.sparkSession.sparkContext.broadcast((source, fine()))
 
     def both(texts: pa.Array) -> list[pa.Array]:
-        ids = id_lists(_cache(vocabulary.value), texts)
-        return [ids, spelled(_labels(vocabulary.value), ids)]
+        ids = id_lists(_cache(*held.value), texts)
+        return [ids, spelled(_labels(held.value[0]), ids)]
 
     return with_columns(docs, text_col, {ids_col: IDS, decoded_col: T.StringType()}, both)
 

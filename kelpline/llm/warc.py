@@ -7,7 +7,8 @@ of padding, which gzip readers skip. The sink's commit protocol makes the write
 are lost, on any file system that Spark knows.
 
 The reader takes whole files as rows, so an archive should stay under some hundred MB; the writer
-makes one per task. Compressed and plain archives are both read.
+makes one per task and starts another after MOST_RECORDS records. Compressed and plain archives are
+both read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 VERSION_LINE = re.compile(rb"WARC/[0-9]{1,2}\.[0-9]{1,2}(\r?\n)")
 MEMBER = b"\x1f\x8b\x08"
+#: Records of one archive; at some 10 KB each, compressed, that is 200 MB.
+MOST_RECORDS = 20_000
 #: Bytes fed to the decompressor at a time.
 STEP = 16_384
 
@@ -68,7 +71,11 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> None:
-    """Write the rows of ``plan_records`` as one archive per task into the new ``folder``."""
+    """Write the rows of ``plan_records`` into the new ``folder``, each task into archives of at most MOST_RECORDS records.
+
+    An empty table makes a folder without records. A payload is held in memory once more as it is
+    packed, so the longest is bounded by that of a worker; Arrow takes no single value over 2 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +90,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     # A cast from binary keeps the bytes as they are.
-    records.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(folder)
+    records.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
 
 
 @dataclass
