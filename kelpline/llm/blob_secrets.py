@@ -8,6 +8,7 @@ appends what it found in one committed write, and joins the findings back to all
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,6 @@ class Rule:
     least: int = 0
     any_case: bool = False
     needs: tuple[str, ...] = ()
-    edition: int = 1
     compiled: re.Pattern = field(init=False, compare=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -41,7 +41,9 @@ class Rule:
 
     @property
     def version(self) -> str:
-        return f"{self.kind}-{self.edition}"
+        """Changes with whatever decides what the rule finds, so a changed rule scans every blob again."""
+        content = repr((self.pattern, self.group, self.least, self.any_case, self.needs))
+        return f"{self.kind}-{hashlib.sha256(content.encode()).hexdigest()[:16]}"
 
     def spans(self, text: str, low: str) -> Iterator[tuple[int, int]]:
         if not self.needs or any(x in low for x in self.needs):

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block. A tile of two full blocks of 64 floats needs some 50 MB.
-BLOCK = 4096
+#: Components of a block: 4,096 rows of 64. A tile of two full blocks needs some 50 MB.
+BLOCK = 4096 * 64
 #: Queries whose distances to a block are held at once.
 STRIP = 512
 
@@ -67,13 +67,16 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
     that isn't ``usable`` take no part; of queries with equal keys one, that with the smallest
     vector, is answered; repeated rows are candidates of their own. Other columns are ignored.
 
-    Each row is sent once for each block of queries and each query once for each block of rows.
+    Each row is sent once for each block of queries and each query once for each block of rows. The
+    int8 values of a tile are multiplied as float32 numbers, in which their products are exact. Rows
+    are dealt by key and vector, and of equal ones ``k`` are enough, so no key fills a block.
     """
     take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows, queries = take(rows), take(queries).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    blocks = lambda df: max(1, -(-(df.agg(F.sum(F.size("v"))).first()[0] or 0) // BLOCK))
     n_rows, n_queries = blocks(rows), blocks(queries)
-    own = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")
+    rows = rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).select("id", "v", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k)))).alias("copy")).drop("copy")
+    own = lambda n: F.pmod(F.xxhash64("id", "v", F.lit(7)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("d", F.size("v")).withColumn("qb", own(n_queries)).withColumn("cb", every(n_rows))
     right = rows.withColumn("d", F.size("v")).withColumn("cb", own(n_rows)).withColumn("qb", every(n_queries))

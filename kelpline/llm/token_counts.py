@@ -48,12 +48,24 @@ class Lookup:
     """Both tiers: the table first, then a bounded cache of what it misses."""
 
     def __init__(self, first: dict[str, int], encoder: Encoder, most: int = 200_000) -> None:
-        self.tiers = Recent(lambda p: encoder.count(p) if (n := first.get(p)) is None else n, most, LONGEST)
+        missed = Recent(encoder.count, most, LONGEST)
+        self.tiers = _Table(first, missed)
 
     def count(self, text: str) -> int:
         return text.count("\n") + sum(map(self.tiers.__getitem__, PIECES.findall(" " + text))) if text else 0
 
 
+class _Table(dict):
+    """The first tier; what it lacks is asked of the second and not put into the first."""
+
+    def __init__(self, first: dict[str, int], second: Recent) -> None:
+        super().__init__(first)
+        self.second = second
+
+    def __missing__(self, piece: str) -> int:
+        return self.second[piece]
+
+
 def frequent_pieces(docs: DataFrame, text_col: str = "text", table: int = 16_384, summary: int = 4_096) -> dict[str, int]:
     """About the ``table`` most frequent pre-tokens of all texts, with lower bounds of their counts.
 

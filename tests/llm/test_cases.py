@@ -45,7 +45,7 @@ def ids(df, name="doc_id"):
 
 
 def test_surrogates(docs):
-    out = pii.replaced(docs)
+    out = pii.replaced(docs, "secret")
     assert ids(out) == ids(docs) and set(out.columns) == set(docs.columns) | {"entities"}
 
 
