@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm import bpe, line_dedup, mixing, near_dup, quality
-from kelpline.llm.common import SPACES, stage_table
+from kelpline.llm.common import SPACES, stage_table, with_rows
 from kelpline.llm.queries import vocabulary
 
-#: Rows of one key each that may be broadcast; beyond that they are joined by a shuffle.
+#: Rows of one long each that may be broadcast; beyond that they are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``dropped``; rows with a null doc_id stay."""
-    dropped = stage_table(dropped.select(F.col("doc_id").alias("__dropped")).filter("__dropped IS NOT NULL").distinct(), "dropped")
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The ``rows`` of ``with_rows`` whose ``__row`` isn't in ``dropped``, without that column."""
+    dropped = stage_table(dropped.select(F.col("__row").alias("__dropped")), "dropped")
     few = dropped.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    return rows.join(F.broadcast(dropped) if few else dropped.hint("shuffle_hash"), F.col("__row") == F.col("__dropped"), "left_anti").drop("__row")
 
 
 def with_lengths(docs: DataFrame) -> DataFrame:
@@ -29,8 +29,9 @@ def with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return without(docs, quality.judge(docs).filter("NOT kept"))
+    """Documents that the quality rules reject go. Each row is judged by itself, whatever its id."""
+    rows = with_rows(docs)
+    return without(rows, quality.judge(rows, "__row").filter("NOT kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return without(docs, near_dup.near_duplicates(docs).filter("NOT kept"))
+    """One document of each group of near copies stays, the one with the smallest id, nulls last, or of equal ids the first row.
+
+    Rows are documents of their own: an id that stands for several texts loses only the copies.
+    """
+    rows = with_rows(docs)
+    groups = near_dup.near_duplicates(rows, key="__row").filter("n_shingles > 0").select("__row", "component_id")
+    groups = stage_table(groups.join(rows.select("__row", "doc_id"), "__row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    staying = stage_table(first.filter("n > 1").select("component_id", F.col("first.__row").alias("__stays")), "staying")
+    return without(rows, groups.join(staying, "component_id").filter("__row <> __stays"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
