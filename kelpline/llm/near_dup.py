@@ -8,9 +8,10 @@ probability. What survives is verified on the full shingle sets.
 Only the components of the links are asked for, so pairs inside a component found so far are never
 made. First each member of a band's bucket is compared with two hubs of the bucket; then members
 that are still apart from the bucket's largest component with more hubs of that. What is then still
-apart meets all nodes of that component, exactly, but only those with which it shares one of its
-rarest shingles, which near enough sets must. A large group of near copies thus costs a few pairs for
-each copy, and texts that merely share a passage make no pairs.
+apart meets the nodes of that component exactly: those with which it shares one of its rarest
+shingles, which near enough sets must, or that are joined to it by such. This is done in tiles of
+bounded size, from which only links come out. A large group of near copies thus costs a few pairs for
+each copy, and texts that merely share a passage don't meet at all.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kelpline.llm.common import Recent, arrow_rows, stage_table
 
@@ -231,12 +233,13 @@ def shingle_counts(bodies: DataFrame) -> np.ndarray:
     return counts
 
 
-def prefix_pairs(nodes: DataFrame, bodies: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) of ``nodes`` (main, key, label, apart) that can be links: of one main, of different labels, one of them apart.
+def prefix_groups(nodes: DataFrame, bodies: DataFrame, like: Likeness) -> DataFrame:
+    """``nodes`` (main, key, label, apart) that can have a link there, with ``grp``: two that can be linked have one group.
 
     Shingles are put into one order for all sets, rare ones first. Two sets that are near enough
     share a shingle among the first of each: of n shingles, the first n - ceil(n * percent / 100) +
-    1. So this loses no link, and a passage that very many texts share makes no pairs of them,
+    1. Sets that share such a shingle fall into one group, and so do those that are joined by others.
+    So this loses no link, and texts that merely have a passage in common fall into groups of one,
     because common shingles come last. The order need only be the same for all sets, so approximate
     counts do.
     """
@@ -244,25 +247,82 @@ def prefix_pairs(nodes: DataFrame, bodies: DataFrame, like: Likeness) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, body in enumerate(batch.column("shingles")):
                 shingles = np.frombuffer(body.as_buffer(), np.uint64)
                 first = len(shingles) - -(-like.percent * len(shingles) // 100) + 1
                 order = np.lexsort((shingles, counts.value[slot_of(shingles)]))[:first]
                 found.append(shingles[order].view(np.int64))
                 rows.append(np.full(len(order), i))
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            held = batch.select(["main", "key", "label", "apart", "n"]).take(at)
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], [*held.schema.names, "shingle"])
+            held = batch.select(["main", "key", "label", "apart"]).take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(np.concatenate(found))], [*held.schema.names, "shingle"])
 
     kind = dict(nodes.dtypes)["key"]
     with arrow_rows(nodes.sparkSession, 500):
-        firsts = nodes.join(bodies.select("key", "n", "shingles"), "key").select("main", "key", "label", "apart", "n", "shingles")
-        firsts = stage_table(firsts.mapInArrow(run, f"main {kind}, key {kind}, label {kind}, apart boolean, n long, shingle long"), "firsts")
-    one = firsts.filter("apart").select("main", "shingle", F.col("key").alias("x"), F.col("label").alias("label_x"), F.col("n").alias("n_x"))
-    other = firsts.select("main", "shingle", F.col("key").alias("y"), F.col("label").alias("label_y"), F.col("n").alias("n_y"))
-    near = (F.col("label_x") != F.col("label_y")) & (100 * F.least("n_x", "n_y") >= like.percent * F.greatest("n_x", "n_y"))
-    return one.join(other, ["main", "shingle"]).filter(near).select(*_pairs(F.col("x"), F.col("y"))).distinct()
+        firsts = nodes.join(bodies.select("key", "shingles"), "key").select("main", "key", "label", "apart", "shingles")
+        firsts = stage_table(firsts.mapInArrow(run, f"main {kind}, key {kind}, label {kind}, apart boolean, shingle long"), "firsts")
+    shared = firsts.groupBy("main", "shingle").agg(F.min("key").alias("least"), F.max("apart").alias("open"), (F.min("label") < F.max("label")).alias("several"))
+    shared = stage_table(shared.filter("open AND several").select("main", "shingle", "least"), "shared")
+    drawn = stage_table(firsts.join(shared, ["main", "shingle"]).select("main", "key", "label", "apart", "least").distinct(), "drawn")
+    ends = components(drawn.select(F.col("key").alias("a"), F.col("least").alias("b")))
+    return drawn.select("main", "key", "label", "apart").distinct().join(ends.select(F.col("node").alias("key"), F.col("label").alias("grp")), "key")
+
+
+def tile_links(r: dict, c: dict, like: Likeness) -> list[tuple]:
+    """The links between two blocks of nodes, each a dict of the columns key, label, n, sig, shingles.
+
+    Nodes of one component aren't compared. The signatures of a node and a block are compared batch
+    by batch, as in ``pruned``, and what is left on the full sets.
+    """
+    sigs = np.frombuffer(b"".join(c["sig"]), np.uint32).reshape(-1, like.places)
+    sizes, labels = np.asarray(c["n"]), np.asarray(c["label"])
+    least, out = like.least_matches(), []
+    for key, label, n, sig, body in zip(r["key"], r["label"], r["n"], r["sig"], r["shingles"]):
+        own = np.frombuffer(sig, np.uint32)
+        alive = np.flatnonzero((labels != label) & (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * like.percent))
+        same = np.zeros(len(sizes), np.int64)
+        for j, fewest in enumerate(least):
+            part = slice(j * like.batch, (j + 1) * like.batch)
+            same[alive] += (sigs[alive, part] == own[part]).sum(axis=1)
+            alive = alive[same[alive] >= fewest]
+        a = np.frombuffer(body, np.uint64)
+        for i in alive:
+            b = np.frombuffer(c["shingles"][i], np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= like.percent * (len(a) + len(b) - both):
+                out.append((min(key, c["key"][i]), max(key, c["key"][i])))
+    return out
+
+
+def links_in_tiles(apart: DataFrame, sides: DataFrame, bodies: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) of the nodes ``apart`` (main, grp, key, label) with all nodes ``sides`` of the same main and group.
+
+    Blocks hold at most about 128 and 1024 nodes, and fewer where sets are large; every block of the
+    one side meets every block of the other. Pairs stay inside a tile, only links come out.
+    """
+    group = ["main", "grp"]
+
+    def dealt(nodes: DataFrame, most: int, most_shingles: int, own: str) -> tuple[DataFrame, DataFrame]:
+        held = nodes.join(bodies, "key").select(*group, "key", "label", "n", "sig", "shingles")
+        count = nodes.join(bodies.select("key", "n"), "key").groupBy(*group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum("n") / most_shingles)).cast("int").alias(f"n_{own}"))
+        return held, count
+
+    left, n_left = dealt(apart, 128, 100_000, "i")
+    right, n_right = dealt(sides, 1024, 400_000, "j")
+    counts = stage_table(n_left.join(n_right, group), "blocks")
+    place = lambda n: F.pmod(F.xxhash64("key", F.lit(11)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(counts, group).withColumn("i", place("n_i")).withColumn("j", every("n_j")).drop("n_i", "n_j")
+    right = right.join(counts, group).withColumn("j", place("n_j")).withColumn("i", every("n_i")).drop("n_i", "n_j")
+    right = right.toDF(*right.columns)  # columns of its own, where both sides come from ``bodies``
+    field = to_arrow_type(apart.schema["key"].dataType)
+
+    def meet(r: pa.Table, c: pa.Table) -> pa.Table:
+        found = tile_links(r.to_pydict(), c.to_pydict(), like) if r.num_rows and c.num_rows else []
+        return pa.table({"a": pa.array([x for x, _ in found], field), "b": pa.array([y for _, y in found], field)})
+
+    kind = dict(apart.dtypes)["key"]
+    return left.groupBy(*group, "i", "j").cogroup(right.groupBy(*group, "i", "j")).applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -331,9 +391,10 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
         tested = tested.unionByName(fresh)
 
     # Exactly: what is apart from a bucket's largest component, with all of that component's nodes of the buckets and with each other.
-    placed = still_open().select("main", "key", "label", (F.col("label") != F.col("main")).alias("apart")).distinct()
-    fresh = prefix_pairs(stage_table(placed, "placed"), bodies, like).join(tested, ["a", "b"], "left_anti")
-    labels = relabelled(labels, check(stage_table(fresh, "pairs")))
+    placed = stage_table(still_open().select("main", "key", "label", (F.col("label") != F.col("main")).alias("apart")).distinct(), "placed")
+    grouped = stage_table(prefix_groups(placed, bodies, like), "grouped")
+    links = stage_table(links_in_tiles(grouped.filter("apart").drop("apart"), grouped.drop("apart"), bodies, like), "tile_links")
+    labels = relabelled(labels, links)
 
     found = all_.join(reps, "set_id", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("rep", "key").alias("node"))
     found = found.join(labels, "node", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("label", "node").alias("component_id"))
