@@ -6,7 +6,8 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +40,8 @@ def tune(rows: DataFrame, reg: tuple[float, ...] = (0.001, 0.01, 0.1), seed: int
 
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load(path: str):
+    """A model that ``save`` wrote, of whatever kind it is."""
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active())

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from kelpline.functions.columns import relu
+from kelpline.functions.columns import dot, relu
 from kelpline.operators.groups import LONG, over_series, placed, with_aggregates
 
 
@@ -41,33 +43,85 @@ def attention_pool(df: DataFrame, score: Column, value: str = "value", activatio
     return shifted.groupBy("series_id").agg((F.sum(F.col("_e") * F.col(value)) / F.sum("_e")).alias("pooled"), (F.max("_e") / F.sum("_e")).alias("top_weight"))
 
 
-def lstm_forward(df: DataFrame, hidden: int = 8, seed: int = 0, value: str = "value") -> DataFrame:
-    """Last state of a bidirectional LSTM with seeded weights over each series: series_id, state.
+def conv1d_channels(df: DataFrame, weights: list, bias: list[float], value: str = "x", out: str = "y", most: int = LONG) -> DataFrame:
+    """``conv1d`` over arrays of channels, then ReLU; ``weights`` by output, input channel and place."""
+    n_in = len(weights[0])
+    rows = F.array(*(F.array(*(F.lit(float(by_input[c][t])) for t in range(3) for c in range(n_in))) for by_input in weights))
+    none = F.array_repeat(F.lit(0.0), n_in)
+
+    def body(d: DataFrame, w: WindowSpec) -> DataFrame:
+        near = F.concat(F.coalesce(F.lag(value).over(w), none), F.col(value), F.coalesce(F.lead(value).over(w), none))
+        sums = F.zip_with(rows, F.array(*map(F.lit, bias)), lambda r, b: relu(dot(F.col("_near"), r) + b))
+        return d.withColumn("_near", near).withColumn(out, sums).drop("_near")
+
+    return over_series(df, 1, body, most)
+
+
+def maxpool1d_channels(df: DataFrame, value: str = "y", most: int = LONG) -> DataFrame:
+    """``maxpool1d`` of each channel of an array: series_id, place, pooled."""
+    pairs = placed(df, most).withColumn("place", F.floor((F.col("n") - 1) / 2.0))
+    both = pairs.groupBy("series_id", "place").agg(F.collect_list(value).alias("both")).filter("size(both) = 2")
+    return both.select("series_id", "place", F.zip_with(F.col("both")[0], F.col("both")[1], lambda a, b: F.greatest(a, b)).alias("pooled"))
+
+
+def attention_vectors(df: DataFrame, weights: list[float], value: str = "x", activation=None) -> DataFrame:
+    """Softmax over a series of the products of its vectors with ``weights``, and the vectors summed by it: series_id, pooled, top_weight."""
+    score = dot(F.col(value), F.array(*map(F.lit, weights)))
+    scored = df.withColumn("_u", activation(score) if activation else score)
+    shifted = with_aggregates(scored, "series_id", _top=F.max("_u")).withColumn("_e", F.exp(F.col("_u") - F.col("_top")))
+    sums = F.array(*(F.sum(F.col("_e") * F.get(value, F.lit(i))) / F.sum("_e") for i in range(len(weights))))
+    return shifted.groupBy("series_id").agg(sums.alias("pooled"), (F.max("_e") / F.sum("_e")).alias("top_weight"))
+
+
+def bilstm(df: DataFrame, hidden: int = 128, layers: int = 1, seed: int = 0, value: str = "x") -> DataFrame:
+    """A bidirectional LSTM with seeded weights over each series of arrays: series_id, steps.
 
-    A recurrence can't be a window function, so a series is one group; its arrays are all that a
-    task holds.
+    ``steps`` has the 2 * ``hidden`` outputs of the last layer at each step, forward half first.
+    A recurrence can't be a window function: a series travels as one array, which a task must hold
+    with its outputs, and the series of an Arrow batch go through the recurrence together.
     """
+    kind = df.schema["series_id"].dataType
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(["t", "event_id"])[value].to_numpy()
-        states = [recur(x[::step], *weights(hidden, seed + k), hidden) for k, step in enumerate((1, -1))]
-        return pd.DataFrame({"series_id": [rows["series_id"].iloc[0]], "state": [np.concatenate(states).tolist()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [y.tolist() for y in bilstm_outputs([np.array(x, "f8") for x in part.column(1).to_pylist()], hidden, layers, seed)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["series_id", "steps"])
 
-    kind = df.schema["series_id"].dataType.simpleString()
-    return df.select("series_id", "t", "event_id", value).groupBy("series_id").applyInPandas(run, f"series_id {kind}, state array<double>")
+    arrays = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", F.col(value).alias("x")))).alias("rows"))
+    xs = arrays.select("series_id", F.transform("rows", lambda r: r["x"]).alias("xs"))
+    return xs.mapInArrow(run, f"series_id {kind.simpleString()}, steps array<array<double>>")
 
 
-def weights(hidden: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weights(n_in: int, hidden: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     draw, bound = np.random.default_rng(seed), 1 / np.sqrt(hidden)
-    return tuple(draw.uniform(-bound, bound, shape) for shape in ((4 * hidden,), (4 * hidden, hidden), (4 * hidden,)))
+    return tuple(draw.uniform(-bound, bound, shape) for shape in ((n_in, 4 * hidden), (hidden, 4 * hidden), (4 * hidden,)))
+
+
+def bilstm_outputs(series: list[np.ndarray], hidden: int, layers: int, seed: int) -> list[np.ndarray]:
+    """Outputs of the last layer for series of different lengths, each an array of steps by channels."""
+    lengths = [len(x) for x in series]
+    for layer in range(layers):
+        halves = []
+        for way in (0, 1):
+            drawn = weights(series[0].shape[1], hidden, seed + 2 * layer + way)
+            turned = [x[::-1] if way else x for x in series]
+            padded = np.zeros((len(series), max(lengths), series[0].shape[1]))
+            for row, x in zip(padded, turned):
+                row[: len(x)] = x  # what follows a series doesn't reach back into it
+            out = recur(padded, *drawn, hidden)
+            halves.append([y[:n][::-1] if way else y[:n] for y, n in zip(out, lengths)])
+        series = [np.concatenate(x, axis=1) for x in zip(*halves)]
+    return series
 
 
 def recur(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, hidden: int) -> np.ndarray:
-    """Gates in the order input, forget, cell, output."""
-    h, c = np.zeros(hidden), np.zeros(hidden)
-    for v in x:
-        i, f, g, o = np.split(w * v + u @ h + b, 4)
+    """Hidden states of series by step by channel; gates in the order input, forget, cell, output."""
+    h, c, out = np.zeros((len(x), hidden)), np.zeros((len(x), hidden)), np.empty((*x.shape[:2], hidden))
+    for k in range(x.shape[1]):
+        i, f, g, o = np.split(x[:, k] @ w + h @ u + b, 4, axis=1)
         i, f, o = (1 / (1 + np.exp(-z)) for z in (i, f, o))
         c = f * c + i * np.tanh(g)
-        h = o * np.tanh(c)
-    return h
+        out[:, k] = h = o * np.tanh(c)
+    return out

@@ -6,74 +6,70 @@ with zeros beyond both ends, and k, b counting samples in order of time.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from kelpline.operators.groups import LONG, blocks, long_series, placed
-from kelpline.sources.tables import in_order
+from kelpline.operators.groups import blocks, placed
 
 #: Fixed value: the wavelet's centre frequency in cycles per sample.
 CENTRE = 0.8125
 REACH = 8
 
 
-def psi(u: Column) -> Column:
-    return F.exp(-u * u / 2.0) * F.cos(5.0 * u)
-
+@functools.lru_cache(maxsize=1024)
+def kernel(scale: int) -> np.ndarray:
+    """The wavelet of a scale at -REACH * scale ... REACH * scale samples."""
+    u = np.arange(-REACH * scale, REACH * scale + 1) / scale
+    return np.exp(-u * u / 2) * np.cos(5 * u) / np.sqrt(scale)
 
-def cwt_power(df: DataFrame, scales: tuple[int, ...], value: str = "scaled", most: int = LONG) -> DataFrame:
-    """|W| for few scales: series_id, n (place from 1), scale, power.
 
-    Each scale is a frame of the reach of its wavelet over the one window of the series, so nothing
-    is joined and long series cost no more per row than the frame.
-    """
+def powers(x: np.ndarray, scale: int) -> np.ndarray:
+    """|W| at each sample of ``x``; the part of the wavelet that can't meet a sample is left out."""
+    middle, held = REACH * scale, min(REACH * scale, len(x) - 1)
+    return np.abs(np.convolve(x, kernel(scale)[middle - held : middle + held + 1])[held : held + len(x)])
 
-    def with_powers(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = d.withColumn("_place", F.row_number().over(w))
-        for s in scales:
-            d = d.withColumn(f"_x{s}", F.collect_list(F.coalesce(value, F.lit(0.0))).over(w.rowsBetween(-REACH * s, REACH * s)))
-        return d.withColumn("_powers", F.array(*(F.struct(F.lit(s).alias("scale"), power(s).alias("power")) for s in scales))).drop(*(f"_x{s}" for s in scales))
 
-    def power(s: int) -> Column:
-        first = F.least(F.col("_place") - 1, F.lit(REACH * s))
-        terms = F.transform(f"_x{s}", lambda x, i: x * psi((i - first) / float(s)))
-        return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)) / float(np.sqrt(s))
+def cwt(df: DataFrame, scales: tuple[int, ...], value: str = "scaled", block: int = 1 << 16) -> DataFrame:
+    """|W|: series_id, first (place of the first sample, from 1), scale, power (array over samples).
 
+    Null and NaN samples count as 0. A series comes in blocks of ``block`` samples, at least as many
+    as the widest wavelet reaches, and a task holds one of them with its surroundings at a time.
+    """
     reach = REACH * max(scales)
-    if long_series(df, most).isEmpty():
-        numbered = with_powers(df, in_order()).withColumn("n", F.col("_place"))
-    else:
-        ready = blocks(placed(df, most, "_n"), reach, max(most, reach))
-        numbered = with_powers(ready, Window.partitionBy("series_id", "_block").orderBy("_n")).filter("_own").withColumn("n", F.col("_n"))
-    return numbered.select("series_id", "n", F.explode("_powers").alias("w")).select("series_id", "n", "w.scale", "w.power")
+    block = max(block, reach)
+    kind = to_arrow_type(df.schema["series_id"].dataType)
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_n")
+        x, own = np.nan_to_num(rows.column(value).to_numpy()), rows.column("_own").to_numpy()
+        n = int(own.sum())
+        used = scales if n else ()
+        flat = np.concatenate([powers(x, s)[own] for s in used]) if used else np.zeros(0)
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * n, pa.int32()), pa.array(flat))
+        first = int(rows.column("_n").to_numpy()[own].min()) if n else 0
+        made = {"series_id": pa.array([rows.column("series_id")[0].as_py()] * len(used), kind), "first": pa.array([first] * len(used), pa.int64()), "scale": pa.array(used, pa.int32()), "power": each}
+        return pa.table(made)
+
+    cut = blocks(placed(df.select("series_id", "t", "event_id", value), out="_n"), reach, block)
+    held = cut.select("series_id", "_block", "_n", "_own", F.col(value).cast("double").alias(value))
+    out = f"series_id {df.schema['series_id'].dataType.simpleString()}, first long, scale int, power array<double>"
+    return held.groupBy("series_id", "_block").applyInArrow(run, out)
 
 
 def cwt_full(df: DataFrame, n_scales: int = 127, value: str = "scaled", block: int = 1 << 16) -> DataFrame:
-    """|W| for scales 1 to ``n_scales``: series_id, first (place of the first sample), scale, power (array over samples).
+    """``cwt`` for scales 1 to ``n_scales``."""
+    return cwt(df, tuple(range(1, n_scales + 1)), value, block)
 
-    A series comes in blocks of ``block`` samples, at least as many as the widest wavelet reaches,
-    and a task holds one of them with its surroundings at a time.
-    """
-    reach = REACH * n_scales
-    block = max(block, reach)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_n")
-        x, own = np.nan_to_num(rows[value].to_numpy(dtype="f8")), rows["_own"].to_numpy()
-        powers: list[list[float]] = []
-        if not own.any():
-            return pd.DataFrame(columns=["series_id", "first", "scale", "power"])
-        for s in range(1, n_scales + 1):
-            u = np.arange(-REACH * s, REACH * s + 1) / s
-            full = np.convolve(x, (np.exp(-u * u / 2) * np.cos(5 * u))[::-1])
-            powers.append((np.abs(full[REACH * s : REACH * s + len(x)][own]) / np.sqrt(s)).tolist())
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "first": rows["_n"][own].min(), "scale": range(1, n_scales + 1), "power": powers})
-
-    kind = df.schema["series_id"].dataType.simpleString()
-    cut = blocks(placed(df.select("series_id", "t", "event_id", value), out="_n"), reach, block)
-    return cut.select("series_id", "_block", "_n", "_own", value).groupBy("series_id", "_block").applyInPandas(run, f"series_id {kind}, first long, scale int, power array<double>")
+def cwt_power(df: DataFrame, scales: tuple[int, ...], value: str = "scaled", block: int = 1 << 16) -> DataFrame:
+    """``cwt`` for few scales, a row for each sample: series_id, n (place from 1), scale, power."""
+    each = cwt(df, scales, value, block).select("series_id", "first", "scale", F.posexplode("power").alias("i", "power"))
+    return each.select("series_id", (F.col("first") + F.col("i")).alias("n"), "scale", "power")
 
 
 def frequencies(scales: DataFrame, dt: float = 0.02) -> DataFrame:

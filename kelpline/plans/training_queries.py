@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
 from kelpline.operators import chat, dataset, learn, metrics, normalize
 from kelpline.plans import schedules
+from kelpline.sources.sinks import scratch
 from kelpline.sources.tables import features, table
 
 BATCH = 16
@@ -33,7 +34,7 @@ def zscore_features(spark, d):
 
 def zscore_train_fit(spark, d):
     rows = dataset.split_hash(features(spark, d), "id")
-    return normalize.zscore(rows, rows.filter("split = 'train'")).select("id", "split", F.round(F.col("features")[0], 6).alias("x0"), F.round(F.col("features")[63], 6).alias("x63"))
+    return normalize.zscore(rows, rows.filter("split = 'train'")).select("id", "split", F.posexplode("features").alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 def pixel_normalize(spark, d):
@@ -105,10 +106,10 @@ def stochastic_depth(spark, d, rate: float = 0.2, mode: str = "row"):
 
 
 def flatten_matrix(spark, d):
-    """Each feature vector cut into 8 rows and flattened again; a few values and the length show it."""
+    """Each feature vector cut into 8 rows and flattened again."""
     rows = features(spark, d).withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("features", i * 8 + 1, 8)))
     flat = F.flatten("m")
-    return rows.select("id", F.size(flat).alias("n"), F.round(flat[0], 6).alias("x0"), F.round(flat[9], 6).alias("x9"), F.round(flat[63], 6).alias("x63"))
+    return rows.select("id", F.size(flat).alias("n"), F.posexplode(flat).alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
 def letterbox_geometry(spark, d):
@@ -144,6 +145,14 @@ def train_classifier(spark, d):
     return learn.predict(model, rows.filter("split = 'test'"))
 
 
+def train_perceptron(spark, d):
+    """Held-out predictions of a perceptron with a hidden layer, written as a checkpoint and read again."""
+    rows = dataset.split_hash(normalize.zscore(features(spark, d)), "id")
+    path = scratch(spark, "checkpoint")
+    learn.save(learn.train(rows.filter("split = 'train'"), hidden=16), path)
+    return learn.predict(learn.load(path), rows.filter("split = 'test'"))
+
+
 def tune_classifier(spark, d):
     found = learn.tune(features(spark, d).select("label", "features"))
     return spark.createDataFrame([(float(r), float(a)) for r, a in found], "reg double, accuracy double")
@@ -191,11 +200,12 @@ def metric_report(spark, d):
 
 
 def log_every_k(spark, d, every: int = 5):
-    """Progress after each ``every``-th batch: rows seen and their share."""
-    sizes = dataset.batches(features(spark, d).select("id"), "id", BATCH).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    # One row per batch meets the running total; batches are few against rows.
-    run = sizes.withColumn("seen", F.sum("n").over(Window.orderBy("batch_id"))).withColumn("total", F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return run.filter(F.col("batch_id") % every == 0).select("batch_id", "seen", F.round(100 * F.col("seen") / F.col("total"), 4).alias("percent"))
+    """Progress after each ``every``-th batch: rows seen and their share. All batches but the last are full."""
+    total = features(spark, d).agg(F.count(F.lit(1)).alias("total")).filter("total > 0")
+    last = F.ceil(F.col("total") / float(BATCH)).cast("long") - 1
+    logged = total.select("total", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(every).cast("long"))).alias("batch_id"))
+    seen = F.least((F.col("batch_id") + 1) * BATCH, F.col("total"))
+    return logged.select("batch_id", seen.alias("seen"), F.round(100 * seen / F.col("total"), 4).alias("percent"))
 
 
 def chat_prompt(spark, d):
@@ -217,7 +227,7 @@ def trim_prefix(spark, d):
     return rows.select("conv_id", "turn", F.array_join(chat.without_prompt(F.col("ids"), F.col("prompt")).cast("array<string>"), ",").alias("rest"))
 
 
-QUERIES = {f.__name__: f for f in (zscore_features, zscore_train_fit, pixel_normalize, layer_norm, split_exact, split_validation, split_hash, shuffle_order, batch_assign, linear_layer, gelu_tanh, gelu_exact, dropout_mask, stochastic_depth, flatten_matrix, letterbox_geometry, sd_schedule, lr_schedule, search_space, prune_median, best_trial, train_classifier, tune_classifier, argmax, accuracy, cross_entropy, loss_averages, loss_per_batch, loss_per_dataset, confusion_matrix, confusion_documents, metric_report, log_every_k, chat_prompt, pad_sequences, trim_prefix)}
+QUERIES = {f.__name__: f for f in (zscore_features, zscore_train_fit, pixel_normalize, layer_norm, split_exact, split_validation, split_hash, shuffle_order, batch_assign, linear_layer, gelu_tanh, gelu_exact, dropout_mask, stochastic_depth, flatten_matrix, letterbox_geometry, sd_schedule, lr_schedule, search_space, prune_median, best_trial, train_classifier, train_perceptron, tune_classifier, argmax, accuracy, cross_entropy, loss_averages, loss_per_batch, loss_per_dataset, confusion_matrix, confusion_documents, metric_report, log_every_k, chat_prompt, pad_sequences, trim_prefix)}
 
 E = "WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings), x AS (SELECT id, label, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS place FROM e) "
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -225,11 +235,17 @@ U = DRAW + " / 4294967296.0"
 L = "WITH e AS (SELECT vec_id AS id, label, embedding[1:10]::DOUBLE[] AS z FROM embeddings), p AS (SELECT *, (list_position(z, list_max(z)) - 1)::INT AS pred, ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[label + 1] AS loss FROM e) "
 B = L + ", b AS (SELECT *, (row_number() OVER (ORDER BY md5(id || ':0'), id) - 1) // 16 AS batch_id FROM p), g AS (SELECT batch_id, avg(loss) AS mean, sum(loss) AS total, count(*) AS n FROM b GROUP BY 1) "
 T = f"WITH s AS (SELECT t AS trial, e::INT AS epoch, round({U.format(chr(39) + 'score:' + chr(39) + ' || t || ' + chr(39) + ':' + chr(39) + ' || e')}, 6) AS accuracy FROM range(20) a(t), range(1, 21) b(e)) "
-K = "WITH k AS (SELECT conv_id, turn, list_transform(string_split(substr(text, 1, 40), ' '), lambda w: length(w)) AS ids FROM conversations) "
-MODELS = " UNION ALL ".join(f"SELECT '{m}' AS model, {i} AS block, {s} AS stage, {w} AS width, round({most} * {i} / {sum(dep) - 1}, 6)::DOUBLE AS rate" for m, (dep, wid, most) in schedules.MODELS.items() for i, (s, w) in enumerate((s, w) for s, (n, w) in enumerate(zip(dep, wid)) for _ in range(n)))
+K = "WITH k AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: length(w)) AS ids FROM conversations) "
+MODELS = """
+    WITH m(model, d1, d2, d3, d4, w1, w2, w3, w4, most) AS (VALUES
+        ('tiny', 3, 3, 9, 3, 96, 192, 384, 768, 0.1::DOUBLE), ('small', 3, 3, 27, 3, 96, 192, 384, 768, 0.4),
+        ('base', 3, 3, 27, 3, 128, 256, 512, 1024, 0.5), ('large', 3, 3, 27, 3, 192, 384, 768, 1536, 0.5)),
+    b AS (SELECT *, unnest(range(d1 + d2 + d3 + d4))::INT AS block FROM m),
+    s AS (SELECT *, (block >= d1)::INT + (block >= d1 + d2)::INT + (block >= d1 + d2 + d3)::INT AS stage FROM b)
+    SELECT model, block, stage, [w1, w2, w3, w4][stage + 1]::INT AS width, round(most * block / (d1 + d2 + d3 + d4 - 1), 6) AS rate FROM s"""
 ORACLES = {
     "zscore_features": E + "SELECT id, place::INT AS place, round((x - avg(x) OVER p) / CASE WHEN stddev_pop(x) OVER p = 0 THEN 1 ELSE stddev_pop(x) OVER p END, 6) AS x FROM x WINDOW p AS (PARTITION BY place)",
-    "zscore_train_fit": E + f", h AS (SELECT *, {DRAW.format('id::VARCHAR')} % 100 < 80 AS tr FROM x), q AS (SELECT place, avg(x) AS m, stddev_pop(x) AS d FROM h WHERE tr GROUP BY 1), z AS (SELECT id, tr, place, (x - m) / CASE WHEN d = 0 THEN 1 ELSE d END AS x FROM h JOIN q USING (place)) SELECT id, CASE WHEN tr THEN 'train' ELSE 'test' END AS split, round(max(x) FILTER (place = 0), 6) AS x0, round(max(x) FILTER (place = 63), 6) AS x63 FROM z GROUP BY id, tr",
+    "zscore_train_fit": E + f", h AS (SELECT *, {DRAW.format('id::VARCHAR')} % 100 < 80 AS tr FROM x), q AS (SELECT place, avg(x) AS m, stddev_pop(x) AS d FROM h WHERE tr GROUP BY 1), z AS (SELECT id, tr, place, (x - m) / CASE WHEN d = 0 THEN 1 ELSE d END AS x FROM h JOIN q USING (place)) SELECT id, CASE WHEN tr THEN 'train' ELSE 'test' END AS split, place::INT AS place, round(x, 6) AS x FROM z",
     "pixel_normalize": "WITH u AS (SELECT event_id, (event_id % 3)::INT AS channel, round_even(greatest(0.0, least(255.0, coalesce(value, 0)))::DOUBLE, 0)::INT AS u FROM events) SELECT event_id, channel, round((u / 255.0::DOUBLE - [0.485, 0.456, 0.406][channel + 1]::DOUBLE) / [0.229, 0.224, 0.225][channel + 1]::DOUBLE, 6) AS x FROM u",
     "layer_norm": E + "SELECT id, place::INT AS place, round((x - avg(x) OVER p) / sqrt(var_pop(x) OVER p + 1e-6), 5) AS x FROM x WINDOW p AS (PARTITION BY id)",
     "split_exact": "SELECT vec_id AS id, CASE WHEN row_number() OVER (ORDER BY md5(vec_id || ':0'), vec_id) <= floor(count(*) OVER () * 4 / 5.0) THEN 'train' ELSE 'test' END AS split FROM embeddings",
@@ -241,7 +257,7 @@ ORACLES = {
     "gelu_tanh": "WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events) SELECT event_id, round(0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))), 6) AS y FROM v",
     "dropout_mask": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'drop:' + chr(39) + ' || event_id')} >= 0.3 THEN value / 0.7 ELSE 0 END, 6) AS y FROM events",
     "stochastic_depth": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'depth:' + chr(39) + ' || user_id')} >= 0.2 THEN value / 0.8 ELSE 0 END, 6) AS y FROM events",
-    "flatten_matrix": "SELECT vec_id AS id, len(embedding)::INT AS n, round(embedding[1]::DOUBLE, 6) AS x0, round(embedding[10]::DOUBLE, 6) AS x9, round(embedding[64]::DOUBLE, 6) AS x63 FROM embeddings",
+    "flatten_matrix": E + "SELECT id, 64 AS n, place::INT AS place, round(x, 6) AS x FROM x",
     "letterbox_geometry": "WITH z AS (SELECT p_partkey, p_size * 17 + 3 AS w, (p_partkey % 900 + 1)::INT AS h FROM part), n AS (SELECT p_partkey, greatest(1, floor(w * least(224 / w, 224 / h)))::INT AS new_width, greatest(1, floor(h * least(224 / w, 224 / h)))::INT AS new_height FROM z) SELECT *, floor((224 - new_width) / 2)::INT AS \"left\", floor((224 - new_height) / 2)::INT AS top FROM n",
     "sd_schedule": MODELS,
     "lr_schedule": "SELECT i AS epoch, round(0.001::DOUBLE * pow(0.1::DOUBLE, i // 20), 9) AS lr FROM range(1, 51) r(i)",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,3 +16,22 @@ def write_by_label(df: DataFrame, path: str) -> None:
 
 def image_name(label: Column, file: Column) -> Column:
     return F.concat(label.cast("string"), F.lit("/"), file, F.lit(".jpg"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share; below a temporary one in a local session without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="kelpline-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def write_curves(df: DataFrame, path: str) -> None:
+    """``df`` (class, series_id, t, value) as CSV with a header, a directory for each class and in it one for each series."""
+    rows = df.select("class", F.col("series_id").alias("series"), "t", "value").repartition("class", "series").sortWithinPartitions("class", "series", "t")
+    rows.write.partitionBy("class", "series").option("header", True).csv(path)

@@ -34,16 +34,18 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
 
 
-def curve_files(spark: SparkSession, root: str) -> DataFrame:
-    """CSV curves of all class directories in one scan: label, series_id (class/file), t, value.
+def curve_files(spark: SparkSession, root: str, files: str = "*/*.csv") -> DataFrame:
+    """CSV curves of all class directories in one scan: label, series_id (path below the root), t, value.
 
-    Columns go by position and the header line is skipped; a directory that isn't a class gets a
-    null label. Rows have no order but their time.
+    ``files`` is the pattern below ``root``; its first directory is the class, alone or as
+    ``name=class``. Columns go by position and the header line is skipped; a directory that isn't a
+    class gets a null label. Rows have no order but their time.
     """
-    rows = spark.read.schema(CURVE).option("header", True).option("enforceSchema", True).csv(f"{root}/*/*.csv").select("*", F.col("_metadata.file_path").alias("path"))
+    rows = spark.read.schema(CURVE).option("header", True).option("enforceSchema", True).csv(f"{root}/{files}").select("*", F.col("_metadata.file_path").alias("path"))
     held = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
-    folder = F.regexp_extract("path", "([^/]+)/[^/]+$", 1)
-    return rows.select(F.try_element_at(held, folder).alias("label"), F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("series_id"), "t", "value")
+    below = F.regexp_extract("path", "([^/]+" + "/[^/]+" * files.count("/") + ")$", 1)
+    folder = F.regexp_replace(F.substring_index(below, "/", 1), "^[^=]*=", "")
+    return rows.select(F.try_element_at(held, folder).alias("label"), below.alias("series_id"), "t", "value")
 
 
 def wide_csv(spark: SparkSession, path: str, width: int) -> DataFrame:

@@ -16,10 +16,14 @@ def window_stats(events: DataFrame, width: str = "30 minutes", late: str = "1 ho
     return stats.select(F.col("window.start").alias("began"), "event_type", "n", "low", "high", "mean")
 
 
-def stream_to_table(spark: SparkSession, folder: str, name: str, checkpoint: str, width: str = "30 minutes") -> DataFrame:
-    """Reads the Parquet files of ``folder`` as a stream until none is left, into an in-memory table."""
+def stream_to_files(spark: SparkSession, folder: str, out: str, checkpoint: str, width: str = "30 minutes") -> DataFrame:
+    """Reads the Parquet files of ``folder`` as a stream until none is left, and appends to Parquet files in ``out``.
+
+    A window is written once, when the watermark has passed it; then its state goes. Windows that
+    are still open stay in the checkpoint's state for the next run.
+    """
     schema = spark.read.parquet(folder).schema
     stats = window_stats(spark.readStream.schema(schema).parquet(folder), width)
-    query = stats.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stats.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(out)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
-from kelpline.operators import chat, dataset, groups, metrics, normalize, sequence, wavelet
+from kelpline.operators import chat, dataset, groups, learn, metrics, normalize, sequence, wavelet
 from kelpline.plans import schedules
 from kelpline.sources import sinks, tables
 from kelpline.streaming import windows
@@ -173,9 +173,64 @@ def test_wide_csv(spark, tmp_path):
     assert tuple(tables.wide_csv(spark, str(tmp_path / "m.csv"), 2).first()) == (3, [1.5, 2.0])
 
 
-def test_stream_equals_table(spark, tmp_path):
-    rows = [(f"2024-01-01 0{h}:{m:02d}:00", "a", float(m)) for h in range(3) for m in range(0, 60, 7)]
+def test_stream_appends_closed_windows(spark, tmp_path):
+    rows = [(f"2024-01-01 0{h}:{m:02d}:00", "a", float(m)) for h in range(4) for m in range(0, 60, 7)]
     df = spark.createDataFrame(rows, "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(str(tmp_path / "in"))
-    streamed = windows.stream_to_table(spark, str(tmp_path / "in"), "stats", str(tmp_path / "checkpoint"))
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, windows.window_stats(df).collect()))
+    streamed = windows.stream_to_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    closed = windows.window_stats(df).filter("began + INTERVAL 30 MINUTES <= TIMESTAMP '2024-01-01 02:56:00'")  # the last row less an hour
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, closed.collect())) != []
+
+
+def test_channels_are_convolved_and_pooled(spark):
+    draw = np.random.default_rng(1)
+    x, w, bias = draw.normal(size=(7, 2)), draw.normal(size=(3, 2, 3)), draw.normal(size=3)
+    df = spark.createDataFrame([(1, float(t), t, v.tolist()) for t, v in enumerate(x)], "series_id int, t double, event_id int, x array<double>")
+    padded = np.vstack([np.zeros(2), x, np.zeros(2)])
+    want = np.maximum(np.array([[np.sum(w[o] * padded[t : t + 3].T) + bias[o] for o in range(3)] for t in range(7)]), 0)
+    made = sequence.conv1d_channels(df, w.tolist(), bias.tolist())
+    assert np.allclose([r["y"] for r in made.orderBy("t").collect()], want)
+    pooled = [r["pooled"] for r in sequence.maxpool1d_channels(made).orderBy("place").collect()]
+    assert np.allclose(pooled, want[:6].reshape(3, 2, 3).max(axis=1))
+    score = x @ [0.5, -1.0]
+    share = np.exp(score) / np.exp(score).sum()
+    got = sequence.attention_vectors(df, [0.5, -1.0]).first()
+    assert np.allclose(got["pooled"], share @ x) and abs(got["top_weight"] - share.max()) < 1e-12
+
+
+def test_bilstm_against_a_plain_loop(spark):
+    draw, hidden = np.random.default_rng(2), 3
+    series = {k: draw.normal(size=(n, 2)) for k, n in ((1, 1), (2, 5), (3, 9))}
+    rows = [(k, float(t), t, v.tolist()) for k, x in series.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "series_id int, t double, event_id int, x array<double>").repartition(3)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def one_way(x, w, u, b):
+        h, c, out = np.zeros(hidden), np.zeros(hidden), []
+        for v in x:
+            z = v @ w + h @ u + b
+            i, f, g, o = (z[k * hidden : (k + 1) * hidden] for k in range(4))
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+            out.append(h)
+        return np.array(out)
+
+    got = {r["series_id"]: np.array(r["steps"]) for r in sequence.bilstm(df, hidden, 2, 4).collect()}
+    for k, x in series.items():
+        for layer in range(2):
+            ahead, back = (sequence.weights(x.shape[1], hidden, 4 + 2 * layer + way) for way in (0, 1))
+            x = np.hstack([one_way(x, *ahead), one_way(x[::-1], *back)[::-1]])
+        assert np.allclose(got[k], x)
+    # At the last step the backward half has read the last row only.
+    w, u, b = sequence.weights(2, hidden, 4 + 1)
+    assert np.allclose(np.array({r["series_id"]: r["steps"] for r in sequence.bilstm(df, hidden, 1, 4).collect()}[3])[-1, hidden:], one_way(series[3][-1:], w, u, b)[0])
+
+
+def test_checkpoints_come_back(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, int(x[0] > 0), x.tolist()) for i, x in enumerate(draw.normal(size=(80, 3)))], "id int, label int, features array<double>")
+    for hidden in (None, 4):
+        model = learn.train(rows, hidden)
+        learn.save(model, str(tmp_path / str(hidden)))
+        once, again = (sorted(map(tuple, learn.predict(m, rows).collect())) for m in (model, learn.load(str(tmp_path / str(hidden)))))
+        assert once == again and sum(label == pred for _, label, pred in once) > 70
