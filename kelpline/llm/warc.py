@@ -1,14 +1,15 @@
 """WARC archives: a writer through Spark's own committed sink, and a reader that salvages.
 
 Each record is a gzip member. Spark's text sink writes a column's bytes as they are and a separator
-after each row; a member of under 16 MiB ends with a zero byte, the highest of its length, so with a
-zero byte as separator the sink completes each member, and a longer one is followed by one zero byte
-of padding, which gzip readers skip. The sink's commit protocol makes the write safe if executors
-are lost, on any file system that Spark knows.
-
-The reader takes whole files as rows, so an archive should stay under some hundred MB; the writer
-makes one per task and starts another after MOST_RECORDS records. Compressed and plain archives are
-both read.
+after each row; here a row is a chunk of members. A member of under 16 MiB ends with a zero byte, the
+highest of its length, so with a zero byte as separator the sink completes the chunk's last member,
+and a longer one is followed by one zero byte of padding, which gzip readers skip. The sink's commit
+protocol makes the write safe if executors are lost, on any file system that Spark knows.
+
+The reader takes whole files as rows, so an archive should stay under some hundred MB. The writer
+starts another after MOST_CHUNKS chunks, each of at most CHUNK bytes or one longer member, so an
+archive is bounded in bytes, but for members that are longer themselves. Compressed and plain
+archives are both read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 VERSION_LINE = re.compile(rb"WARC/[0-9]{1,2}\.[0-9]{1,2}(\r?\n)")
 MEMBER = b"\x1f\x8b\x08"
-#: Records of one archive; at some 10 KB each, compressed, that is 200 MB.
-MOST_RECORDS = 20_000
+#: Bytes of members that make one row of the sink, and rows of one archive: 128 MB together.
+CHUNK, MOST_CHUNKS = 8_000_000, 16
 #: Bytes fed to the decompressor at a time.
 STEP = 16_384
 
@@ -70,27 +71,33 @@ def member(data: bytes, level: int = 6) -> bytes:
     return packed.compress(data) + packed.flush()
 
 
-def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 6) -> None:
-    """Write the rows of ``plan_records`` into the new ``folder``, each task into archives of at most MOST_RECORDS records.
+def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", level: int = 6, chunk_bytes: int = CHUNK, most_chunks: int = MOST_CHUNKS) -> None:
+    """Write the rows of ``plan_records`` into the new ``folder``, each task into archives of at most ``most_chunks`` chunks.
 
     An empty table makes a folder without records. A payload is held in memory once more as it is
     packed, so the longest is bounded by that of a worker; Arrow takes no single value over 2 GB.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            out, size = [], 0
             for row in zip(*(batch.column(c) for c in ("key", "uri", "payload", "digest", "refers_to"))):
                 data = member(record(*(x.as_py() for x in row), date), level)
-                out.append(data[:-1] if data[-1] == 0 else data)
+                if held and size + len(data) > chunk_bytes:
+                    yield chunk(held)
+                    held, size = [], 0
+                held.append(data)
                 size += len(data)
-                if size > 8_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                    out, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+        if held:
+            yield chunk(held)
+
+    def chunk(members: list[bytes]) -> pa.RecordBatch:
+        """One row of the sink, which adds a zero byte."""
+        data = b"".join(members)
+        return pa.RecordBatch.from_arrays([pa.array([data[:-1] if data[-1] == 0 else data], pa.binary())], ["value"])
 
     # A cast from binary keeps the bytes as they are.
-    records.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", MOST_RECORDS).text(folder)
+    records.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", most_chunks).text(folder)
 
 
 @dataclass
