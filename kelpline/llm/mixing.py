@@ -140,7 +140,7 @@ def plan(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id", w
     times. An empty table gives an empty plan.
     """
     sizes = stage_table(
-        docs.select(F.col(key).alias("key"), "source", n_words_of(F.col("text")).alias("size"), F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("draw"), F.xxhash64("text").alias("mark")), "sizes"
+        docs.select(F.col(key).alias("key"), "source", n_words_of(F.col("text")).alias("size"), F.xxhash64(F.col(key).cast("string"), "text", F.lit(seed)).alias("draw"), F.xxhash64("text").alias("mark")), "sizes"
     )
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, share, float(most))
     sources = stage_table(sources, "sources")
