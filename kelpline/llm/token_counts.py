@@ -119,13 +119,11 @@ def counter(docs: DataFrame, model: bytes, text_col: str = "text", table: int =
     return n_tokens(F.col(text_col))
 
 
-_LOADED: dict[int, Lookup] = {}
+_LOADED: list = []
 
 
 def _lookup(held) -> Lookup:
-    """The lookup of a worker; it is made once for a worker and broadcast."""
-    key = id(held.value[1])
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Lookup(held.value[1], Encoder(held.value[0]))
-    return _LOADED[key]
+    """The lookup of a worker, made once for a broadcast, whose value is kept beside it so that no other is taken for it."""
+    if not _LOADED or _LOADED[0] is not held.value:
+        _LOADED[:] = [held.value, Lookup(held.value[1], Encoder(held.value[0]))]
+    return _LOADED[1]
