@@ -121,4 +121,4 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", least_words: int = LEA
     met = plain.join(gone.hint("shuffle_hash"), plain[key].eqNullSafe(gone["__gone_doc"]) & (F.xxhash64(plain["text"]) == gone["__gone_mark"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone_removed", i)), "\n")
     text = F.when(F.col("__gone_removed").isNull(), F.col("text")).otherwise(kept)
-    return met.select(*(text.alias(c) if c == "text" else plain[f"`{c}`"] for c in plain.columns), F.coalesce(F.size("__gone_removed"), F.lit(0)).cast("long").alias("n_removed"))
+    return met.select(*(text.alias(c) if c == "text" else plain[f"`{c}`"] for c in plain.columns), F.when(F.col("__gone_removed").isNull(), 0).otherwise(F.size("__gone_removed")).cast("long").alias("n_removed"))
