@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -290,6 +291,11 @@ def test_small_sources_come_to_their_targets(spark):
     assert all(abs(r["taken"] - r["target"]) <= 1 for r in rows.values())
 
 
+def test_rows_without_key_are_spread_over_shards(spark):
+    docs = spark.range(0, 3000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("w "), "id").alias("text"))
+    assert mixing.plan(docs).agg(F.max("at")).first()[0] < 2 * 1000
+
+
 # 5
 
 
@@ -312,6 +318,19 @@ def test_pages_come_back_from_archives(spark):
         assert r["payload"] is None if page in (4, 5) else bytes(r["payload"]) == body
 
 
+def test_archives_are_bounded_in_bytes(spark):
+    draw = random.Random(8)
+    pages = {i: draw.randbytes(draw.choice([10, 300, 900, 9000])).hex() for i in range(200)}
+    folder = new_folder(spark, "warc")
+    rows = spark.createDataFrame(list(pages.items()), "page_id long, html string").withColumn("url", F.lit("u")).coalesce(1)
+    warc.write_archives(warc.plan_records(rows), folder, chunk_bytes=3000, most_chunks=2)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").load(folder).select("length").collect()]
+    longest = max(len(warc.member(warc.record(i, "u", p.encode(), hashlib.sha256(p.encode()).hexdigest(), None, "2024-01-01T00:00:00Z"))) for i, p in pages.items())
+    assert len(sizes) > 40 and max(sizes) <= 2 * (max(longest, 3000) + 1)
+    got = {int(re.search("[0-9]+", r["record_id"])[0]): r for r in warc.read_archives(spark, folder).collect()}
+    assert {i: bytes(r["payload"]).decode() for i, r in got.items()} == pages
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_recovers_all_but_what_is_broken(packed):
     bodies, records = some_records(6)
@@ -410,6 +429,13 @@ def test_token_counts_equal_the_library(spark):
     assert [got[i] for i in range(len(texts))] == [len(library.encode(t)) for t in texts]
 
 
+def test_a_worker_keeps_the_lookup_of_its_broadcast():
+    model = queries.vocabulary("piece_bpe_32k.model")
+    one, other = (types.SimpleNamespace(value=(model, {" a": n})) for n in (5, 7))
+    assert token_counts._lookup(one) is token_counts._lookup(one)
+    assert [token_counts._lookup(x).count("a") for x in (one, other, one)] == [5, 7, 5]
+
+
 def test_encoding_equals_the_library(spark):
     source = queries.vocabulary("byte_bpe_50k.json")
     texts = random_texts(3000, 2) + random_texts(500, 3, 80, "ab") + random_texts(500, 4, 80, "ther in") + ["<|endoftext|>", "x <|endoftext|> y<|endoftext|>", "-" * 500, "a" * 3000, " " * 300, "it's 'tis we'll"]
