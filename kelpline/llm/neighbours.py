@@ -4,20 +4,25 @@ Candidates and queries are dealt into blocks; a tile is a pair of blocks. In a t
 as int8 with one scale each, and one matrix product gives all distances of their rounded forms. The
 norms of what rounding took away bound each true distance from both sides, so everything below a
 query's k-th smallest upper bound, and only that, is computed again from the original vectors in
-double precision. The tile's k best of each query then meet those of the other tiles.
+double precision. The tile's k best of each query then meet those of the other tiles in a heap of k.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Components of a block: 4,096 rows of 64. A tile of two full blocks needs some 50 MB.
 BLOCK = 4096 * 64
 #: Queries whose distances to a block are held at once.
 STRIP = 512
+#: Buckets of queries for each block of queries, in which the results of tiles are merged.
+BUCKETS = 16
 
 
 def usable(vector: Column) -> Column:
@@ -59,6 +64,20 @@ def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def merged(batches: Iterator[pa.RecordBatch], k: int, key: str) -> pa.RecordBatch:
+    """The k nearest of each query over the batches, with their ranks; only a heap of k for each query is held."""
+    heaps: dict[int, list[tuple[float, int]]] = {}
+    for batch in batches:
+        for q, c, score in zip(*(batch.column(name).to_pylist() for name in ("query_id", key, "score"))):
+            heap = heaps.setdefault(q, [])
+            # The farthest, and of equally far ones the largest key, is on top.
+            (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-score, -c))
+    ranked = [(q, rank, -c, -far) for q, heap in heaps.items() for rank, (far, c) in enumerate(sorted(heap, reverse=True), 1)]
+    columns = zip(*ranked) if ranked else ((),) * 4
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["query_id", "rank", key, "score"])
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` rows nearest to each query: query_id, rank (from 1), ``key``, score (Euclidean).
 
@@ -69,7 +88,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
 
     Each row is sent once for each block of queries and each query once for each block of rows. The
     int8 values of a tile are multiplied as float32 numbers, in which their products are exact. Rows
-    are dealt by key and vector, and of equal ones ``k`` are enough, so no key fills a block.
+    are dealt by key and vector, and of equal ones ``k`` are enough, so no key fills a block. Results of
+    tiles are merged batch by batch, so a task holds ``k`` rows for each query of its bucket, however
+    many tiles there are.
     """
     take = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
     rows, queries = take(rows), take(queries).groupBy("id").agg(F.min("v").alias("v"))
@@ -89,5 +110,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
         return pa.table(dict(zip(names, tile(q.column("id").to_numpy(), matrix(q), c.column("id").to_numpy(), matrix(c), k))))
 
     tiles = left.groupBy("d", "qb", "cb").cogroup(right.groupBy("d", "qb", "cb")).applyInArrow(meet, f"query_id long, `{key}` long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", key))
-    return tiles.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    bucket = F.pmod(F.xxhash64("query_id", F.lit(11)), F.lit(n_queries * BUCKETS))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield merged(batches, k, key)
+
+    return tiles.groupBy(bucket).applyInArrow(merge, f"query_id long, rank int, `{key}` long, score double")
