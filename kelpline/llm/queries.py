@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, filter_audit, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -113,6 +113,12 @@ def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replaced(docs, secret).select("doc_id", "text", *map(count, pii.PATTERNS))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order, by language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op3_line_dedup": op3_line_dedup,
@@ -124,6 +130,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op10_secrets": op10_secrets,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
@@ -137,4 +144,22 @@ ORACLES: dict[str, str] = {
                   FROM fine q JOIN fine c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS place FROM pairs)
         SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 10""",
+    "op13_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+        m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+                + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+        c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+        o AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest([p.b, q.b, r.b, s.b, t.b]) AS own,
+                unnest([0, p.b, p.b + q.b, p.b + q.b + r.b, p.b + q.b + r.b + s.b]) AS before
+              FROM f p, f q, f r, f s, f t WHERE p.b | q.b | r.b | s.b | t.b = 31),
+        a AS (SELECT part, filter_order, step, own, sum(n * (mask & (own | before) = 0)::INT) AS kept, sum(n * (mask & own <> 0 AND mask & before = 0)::INT) AS removed,
+                sum(n * (mask & own <> 0 AND mask & before <> 0)::INT) AS redundant, sum(n * (mask = own)::INT) AS unique_fails,
+                sum(good * (mask & own <> 0 AND mask & before = 0)::INT) AS good_lost, sum(toxic * (mask & own <> 0 AND mask & before = 0)::INT) AS toxic_lost
+              FROM c, o GROUP BY ALL)
+        SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+               good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a""",
 }
