@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, filter_audit, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
+from kelpline.llm import blob_secrets, bpe, context_tree, filter_audit, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -119,6 +119,11 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
 
 
+def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by word counts and by context-tree weighting, learnt from four fifths."""
+    return context_tree.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op3_line_dedup": op3_line_dedup,
@@ -131,6 +136,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op13_filter_audit": op13_filter_audit,
+    "op11_context_tree": op11_context_tree,
 }
 
 ORACLES: dict[str, str] = {

@@ -1,14 +1,18 @@
 """Filter audit, language model and alignment against brute force."""
 
 import itertools
+import math
 import os
 import re
+import zlib
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelpline.llm import filter_audit, queries
+from kelpline.llm import context_tree, filter_audit, queries
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -93,3 +97,132 @@ def test_audit_query_agrees_with_sql(spark):
     theirs = duck.sql(queries.ORACLES["op13_filter_audit"]).df()
     assert sorted(frame.columns) == sorted(theirs.columns) and list(frame.dtypes[sorted(frame.columns)].astype(str)).count("int64") == 7
     assert sorted(frame[sorted(frame.columns)].itertuples(index=False, name=None)) == sorted(theirs[sorted(theirs.columns)].itertuples(index=False, name=None))
+
+
+def brute_tree(train, depth):
+    """A function that gives the log10 probability of a text, from dicts of counts by context and leading bits."""
+    counts, children = Counter(), {}
+
+    def steps(text):
+        data = b"\n" * depth + text
+        for i in range(depth, len(data)):
+            bits = [data[i] >> (7 - k) & 1 for k in range(8)]
+            for k, bit in enumerate(bits):
+                yield data[i - depth : i], tuple(bits[:k]), bit
+
+    for text in train:
+        for context, prefix, bit in steps(text):
+            for d in range(depth + 1):
+                own = context[depth - d :]
+                counts[own, prefix, bit] += 1
+                if d:
+                    children.setdefault((own[1:], prefix), set()).add(own)
+    kept = {}
+
+    def kt(own, prefix):
+        a, b = counts[own, prefix, 0], counts[own, prefix, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def mixed(own, prefix):
+        if (own, prefix) not in kept:
+            if len(own) == depth:
+                kept[own, prefix] = kt(own, prefix)
+            else:
+                kept[own, prefix] = np.logaddexp(kt(own, prefix), sum(mixed(c, prefix) for c in children.get((own, prefix), ()))) - math.log(2)
+        return kept[own, prefix]
+
+    def chance(context, prefix, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            own = context[depth - d :]
+            n = counts[own, prefix, 0] + counts[own, prefix, 1]
+            here = (counts[own, prefix, bit] + 0.5) / (n + 1)
+            w = 1 if d == depth else math.exp(kt(own, prefix) - math.log(2) - mixed(own, prefix))
+            p = here if p is None else w * here + (1 - w) * p
+        return p
+
+    return lambda text: sum(math.log10(chance(*s)) for s in steps(text))
+
+
+def whole_tree(train, depth):
+    """As ``brute_tree`` for all texts at once, by one pass over one table of strings without any dealing."""
+
+    def score(texts):
+        seen, n = np.unique(context_tree.strings_of(train, depth), return_counts=True)
+        asked = [context_tree.strings_of([t], depth) for t in texts]
+        every = np.unique(np.concatenate([seen, *asked]))
+        counts = np.zeros(len(every))
+        counts[np.searchsorted(every, seen)] = n
+        each = np.log10(context_tree.mixed_levels(every, counts, None, depth, 0)[0]).sum(axis=0)
+        return [each[np.searchsorted(every, a)].sum() for a in asked]
+
+    return score
+
+
+def brute_scores(docs, depth, whole=False):
+    rows = [(k, re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().translate(context_tree.LOWER))) for k, t in docs]
+    held = [k is not None and zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in docs]
+    trained = [w for (_, w), h in zip(rows, held) if not h]
+    seen = Counter(w for words in trained for w in [*words, None])
+    n, v = sum(seen.values()), len(seen)
+    model = (whole_tree if whole else brute_tree)([b" ".join(w) + b"\n" for w in trained], depth)
+    texts = [b" ".join(w) + b"\n" for _, w in rows]
+    out = []
+    for (k, words), h, score in zip(rows, held, model(texts) if whole else map(model, texts)):
+        tokens = [*words, None]
+        base = sum(math.log10((seen[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)
+        out.append((k, h, len(tokens), sum(seen[t] > 0 for t in tokens), n, base, score))
+    return out
+
+
+def near(got, want):
+    assert len(got) == len(want)
+    by = lambda r: (r[0] is None, r[0] or 0, r[2], round(r[6], 6))
+    for a, b in zip(sorted(map(tuple, got), key=by), sorted(want, key=by)):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9, atol=1e-9), (a, b)
+
+
+TEXTS = [None, "", "  ", "The cat sat\non the mat", "the CAT sat on the mat", "Zwölf Äpfel \x1c und", "日本語 テキスト", "x" * 300, "the cat " * 40, "never seen words: qjxz"]
+
+
+@pytest.mark.parametrize("depth, table, words", [(3, 1 << 20, 1 << 17), (4, 50, 3), (5, 0, 0)])
+def test_scores_are_those_of_a_plain_tree(spark, depth, table, words):
+    docs = [(i, TEXTS[i % len(TEXTS)]) for i in range(24)] + [(None, "the cat"), (3, "the cat"), (3, "the cat")]
+    frame = spark.createDataFrame([(k, t, 1.0) for k, t in docs], "doc_id long, text string, score double")
+    near(context_tree.scores(frame, depth=depth, table=table, words=words).collect(), brute_scores(docs, depth))
+
+
+def test_scores_without_training_or_without_rows(spark):
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1][:3]
+    docs = [(k, t) for k, t in zip(held, ("a b", None, "b"))]
+    near(context_tree.scores(spark.createDataFrame(docs, "doc_id long, text string")).collect(), brute_scores(docs, 5))
+    assert context_tree.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_score_query_is_the_whole_tree(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = [r for r in queries.QUERIES["op11_context_tree"](spark, DATA).collect()]
+    near(got, brute_scores(docs, 5, whole=True))
+    held = [r for r in got if r["held_out"]]
+    n_bytes = sum(len(b" ".join(context_tree.words_in(t))) + 1 for k, t in docs if zlib.crc32(str(k).encode()) % 5 == 1)
+    assert held and -sum(r["score"] for r in held) * math.log2(10) < 3.6 * n_bytes  # bits
+
+
+def test_chances_of_a_string_add_up(spark):
+    texts = [b"abracadabra\n", b"a\n", b"\n"] * 3
+    keys = np.unique(context_tree.strings_of(texts, 3), return_counts=True)
+    every = np.unique(np.concatenate([keys[0], (keys[0][5] >> 8 << 8) + np.arange(256)]))
+    n = np.zeros(len(every))
+    n[np.searchsorted(every, keys[0])] = keys[1]
+    fixed, *_ = context_tree.mixed_levels(every, n, None, 3, 0)
+    assert abs(fixed.prod(axis=0)[every >> 8 == keys[0][5] >> 8].sum() - 1) < 1e-12
+
+
+def test_groups_are_whole():
+    import pyarrow as pa
+
+    values = sorted([1] * 7 + [2] * 3 + [3] * 20 + [4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 4])], ["v"]) for i in range(0, len(values), 4)]
+    tables = [t.column("v").to_pylist() for t in context_tree.whole_groups(iter(batches), "v", 5)]
+    assert sum(tables, []) == values and all(not set(a) & set(b) for a, b in itertools.combinations(tables, 2))
