@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import blob_secrets, bpe, context_tree, filter_audit, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
+from kelpline.llm import alignment, blob_secrets, bpe, context_tree, filter_audit, line_dedup, mixing, near_dup, neighbours, pii, quality, token_counts, warc
 from kelpline.llm.common import new_folder
 
 
@@ -124,6 +124,14 @@ def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimal groups of the two vocabularies' tokens in every document, and how usual its links are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.linked(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 QUERIES = {
     "op1_surrogates": op1_surrogates,
     "op3_line_dedup": op3_line_dedup,
@@ -137,6 +145,7 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op13_filter_audit": op13_filter_audit,
     "op11_context_tree": op11_context_tree,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {

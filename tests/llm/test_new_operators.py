@@ -1,5 +1,6 @@
 """Filter audit, language model and alignment against brute force."""
 
+import hashlib
 import itertools
 import math
 import os
@@ -9,10 +10,13 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from kelpline.llm import context_tree, filter_audit, queries
+from kelpline.llm import alignment, context_tree, filter_audit, queries
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -226,3 +230,85 @@ def test_groups_are_whole():
     batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 4])], ["v"]) for i in range(0, len(values), 4)]
     tables = [t.column("v").to_pylist() for t in context_tree.whole_groups(iter(batches), "v", 5)]
     assert sum(tables, []) == values and all(not set(a) & set(b) for a, b in itertools.combinations(tables, 2))
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    letters = alignment.byte_letters()
+    spelled = {i: bytes(letters[c] for c in t) for t, i in a.get_vocab().items() if t != "<|endoftext|>"}
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    return a, spelled, b
+
+
+def brute_alignment(texts, libraries):
+    """Whole texts by the libraries; groups are cut at the byte offsets where both sides end."""
+    a, spelled, b = libraries
+    out, counts = [], Counter()
+    for text in texts:
+        ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        bytes_a = [spelled[i] for i in ids_a]
+        bytes_b = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode() for i in ids_b]
+        if not text or not b"".join(bytes_a) == b"".join(bytes_b) == (" " + text).encode():
+            out.append((0, 0, "", []))
+            continue
+        ends_a, ends_b = np.cumsum(list(map(len, bytes_a))), np.cumsum(list(map(len, bytes_b)))
+        at_a, at_b = {e: i for i, e in enumerate(ends_a)}, {e: j for j, e in enumerate(ends_b)}
+        groups, links, i, j = [], [], 0, 0
+        for end in sorted(at_a.keys() & at_b.keys()):
+            groups.append(",".join(map(str, ids_a[i : at_a[end] + 1])) + "|" + ",".join(map(str, ids_b[j : at_b[end] + 1])))
+            links.append((ids_a[at_a[end]], ids_b[at_b[end]]))
+            i, j = at_a[end] + 1, at_b[end] + 1
+        counts.update(links)
+        out.append((len(ids_a), len(ids_b), ";".join(groups), links))
+    top = {}
+    for (_, y), n in counts.items():
+        top[y] = max(top.get(y, 0), n)
+    return [(n_a, n_b, g.count(";") + 1 if g else 0, len(links), sum(counts[p] == top[p[1]] for p in links), sum(counts[p] for p in links), g) for n_a, n_b, g, links in out]
+
+
+AWKWARD = [
+    None, "", " ", "  ", "\n", "\n\n", "a", " a", "a ", "a  b", "a\nb", "a \nb", "a\n b", "a\n\nb\n", "\u2581x", "a \u2581 b", "don't  they're 'll\n's", "x\ty\r\nz", "\u3000\u00a0a\u2003b", "<|endoftext|> </s> <unk> <0x41> <s>",
+    "caf\u00e9 e\u0301 \ufb01 \u212b \U0001f600\U0001f1e6\u200d", "\u65e5\u672c\u8a9e\u30c6\u30ad\u30b9\u30c8", "\x00 \x1c\x1f\x85", "word " * 500, "0123456789" * 50, "antidisestablishmentarianism" * 20, "a" * 5000, "http://x.y/?q=1&r=%20#z",
+]
+
+
+@pytest.mark.parametrize("table", [0, 7, 1 << 17])
+def test_alignment_of_awkward_texts_is_brute_force(spark, libraries, table):
+    texts = [*AWKWARD, "word word", "word word"]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, "a b", 1, "x")], "doc_id long, text string, n_a int, groups string")
+    got = alignment.linked(docs, queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model"), table=table).collect()
+    want = brute_alignment([*texts, "a b"], libraries)
+    assert len(got) == len(want)
+    found = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups"]) for r in got}
+    for i, w in zip([*range(len(texts)), None], want):
+        assert found[i] == w, texts[i] if i is not None else None
+
+
+def test_alignment_of_drawn_texts_is_brute_force(libraries):
+    aligner = alignment.Aligner(alignment.Tokenizers(queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")), most=50)
+    draw = np.random.default_rng(0)
+    parts = [*" \n\t\r'.,!?<>\u2581\u00a0\u3000\x1c\x85\x00", " ", " ", "\n", "the", "The", "'s", "'ll", "123", "\u00e9", "\u0301", "\u65e5", "\U0001f600", "<0x0A>", "<|endoftext|>", "</s>", "ing"]
+    texts = ["".join(draw.choice(parts, draw.integers(1, 14))) for _ in range(3000)]
+    for text, want in zip(texts, brute_alignment(texts, libraries)):
+        n_a, n_b, n_groups, groups, links = aligner.text(text)
+        assert (n_a, n_b, n_groups, len(links), groups) == (*want[:4], want[6]), repr(text)
+
+
+def test_components_are_overlaps():
+    assert alignment.grouped([1, 2, 3], [3, 1, 2]) == [(range(0, 2), range(0, 1)), (range(2, 3), range(1, 3))]
+    assert alignment.grouped([2, 2], [1, 2, 1]) == [(range(0, 2), range(0, 3))]
+    assert alignment.grouped([], []) == []
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
+def test_alignment_query_is_brute_force(spark, libraries):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) for r in queries.QUERIES["op12_alignment"](spark, DATA).collect()}
+    for (k, _), w in zip(docs, brute_alignment([t for _, t in docs], libraries), strict=True):
+        assert got[k] == (*w[:6], hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "")
+
+
+def test_alignment_of_nothing_is_nothing(spark):
+    assert alignment.linked(spark.createDataFrame([], "doc_id long, text string"), queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")).count() == 0
