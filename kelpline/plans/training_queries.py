@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
-from kelpline.operators import chat, dataset, learn, metrics, normalize
-from kelpline.plans import schedules
+from kelpline.operators import chat, dataset, learn, metrics, normalize, training
+from kelpline.operators.network import Net
+from kelpline.plans import schedules, search
 from kelpline.sources.sinks import scratch
 from kelpline.sources.tables import features, table
 
@@ -82,13 +80,15 @@ def gelu_tanh(spark, d):
     return table(spark, d, "events").select("event_id", F.round(C.gelu_tanh(F.col("value") / 50.0 - 1), 6).alias("y"))
 
 
-def erf_gelu(x: pd.Series) -> pd.Series:
-    return 0.5 * x * (1 + (x / math.sqrt(2)).map(math.erf))
+def gelu_exact(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(C.gelu(F.col("value") / 50.0 - 1), 6).alias("y"))
 
 
-def gelu_exact(spark, d):
-    exact = F.pandas_udf(erf_gelu, "double")
-    return table(spark, d, "events").select("event_id", F.round(exact(F.col("value") / 50.0 - 1), 6).alias("y"))
+def normal_weights(spark, d, deviation: float = 0.02):
+    """Truncated normal weights of a layer from the features to the labels, drawn by place and label."""
+    rows = table(spark, d, "embeddings").select("label", F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("place")).distinct()
+    w = C.truncated_normal(C.uniform("init", F.col("place"), F.col("label")), 0.0, deviation)
+    return rows.select("place", "label", F.round(w, 8).alias("w"))
 
 
 def dropout_mask(spark, d, rate: float = 0.3):
@@ -158,6 +158,79 @@ def tune_classifier(spark, d):
     return spark.createDataFrame([(float(r), float(a)) for r, a in found], "reg double, accuracy double")
 
 
+def parts_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Scaled features by their training rows, a fifth, rounded up, held out."""
+    rows = features(spark, d)
+    split = dataset.split_exact(rows.select("id"), "id", F.col("n") - F.ceil(F.col("n") / 5.0), seed=1)
+    held = rows.join(split, "id")
+    scaled = normalize.zscore(held, held.filter("split = 'train'"))
+    return scaled.filter("split = 'train'"), scaled.filter("split = 'test'")
+
+
+def small_net(spark: SparkSession, d: str, **settings) -> Net:
+    """A net for the features at a size that a few cores train; the widths and classes are those of the table."""
+    width, classes = features(spark, d).agg(F.max(F.size("features")), F.max("label") + 1).first()
+    return Net(width, classes, **{"filters": 8, "hidden": 16, "dense": 32} | settings)
+
+
+#: What a session has trained already, by application, directory and name: the folder of its record.
+RECORDS: dict[tuple[str, str, str], str] = {}
+
+
+def recorded(spark: SparkSession, d: str, name: str, make) -> str:
+    """The folder that ``make`` records into, once for a session and directory."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in RECORDS:
+        folder = scratch(spark, name)
+        make(folder)
+        RECORDS[key] = folder
+    return RECORDS[key]
+
+
+def net_record(spark: SparkSession, d: str) -> str:
+    net = small_net(spark, d, rate=0.005)
+    return recorded(spark, d, "fit", lambda folder: training.fit(*parts_of(spark, d), {0: net}, 4, 128, folder, parts=16))
+
+
+def train_network(spark, d):
+    """Losses and accuracy of a net of convolutions, a two-way LSTM and attention, by epoch."""
+    return training.metrics(spark, net_record(spark, d)).select("trial", "epoch", *(F.round(c, 6).alias(c) for c in ("train_loss", "val_loss", "accuracy")), "n_train", "n_val")
+
+
+def reload_network(spark, d):
+    """Held-out predictions of the trained net, read again from its record."""
+    folder = net_record(spark, d)
+    state = training.load(spark, folder, 0, 4)
+    return training.scored(parts_of(spark, d)[1], {0: small_net(spark, d)}, {0: state.weights}).select("id", "label", "pred", F.round("loss", 6).alias("loss"))
+
+
+def search_record(spark: SparkSession, d: str) -> str:
+    def make(folder: str) -> None:
+        net = lambda x: small_net(spark, d, filters=int(x["filters"]), layers=int(x["layers"]), dropout=x["dropout"], rate=x["rate"], hidden=8, dense=16)
+        search.search(*parts_of(spark, d), net, folder, filters=(4, 12), trials=20, side_by_side=10, epochs=3, parts=16)
+
+    return recorded(spark, d, "search", make)
+
+
+def search_trials(spark, d):
+    """Twenty trials of a search: their settings, how far they came and what they reached."""
+    folder = search_record(spark, d)
+    wide = spark.read.parquet(f"{folder}/settings").groupBy("trial").pivot("name", ["layers", "filters", "dropout", "rate"]).agg(F.first("value"))
+    rows = search.judged(training.metrics(spark, folder), 3).join(wide, "trial")
+    return rows.select("trial", F.col("layers").cast("int").alias("layers"), F.col("filters").cast("int").alias("filters"), F.round("dropout", 6).alias("dropout"), F.round(F.exp("rate"), 8).alias("lr"), "epochs", "stopped", F.round("accuracy", 6).alias("accuracy"))
+
+
+def search_pruning(spark, d):
+    """Every recorded epoch of the search with the trial's best so far and whether it ended there."""
+    rows = training.metrics(spark, search_record(spark, d))
+    return schedules.pruned(rows.select("trial", "epoch", "accuracy")).select("trial", "epoch", F.round("best", 6).alias("best"), "judged", "prune")
+
+
+def search_best(spark, d):
+    """The trial and epoch with the highest recorded accuracy."""
+    return schedules.best_trial(training.metrics(spark, search_record(spark, d)).select("trial", "epoch", "accuracy"))
+
+
 def argmax(spark, d):
     return scored(spark, d).select("id", "label", "pred")
 
@@ -227,7 +300,7 @@ def trim_prefix(spark, d):
     return rows.select("conv_id", "turn", F.array_join(chat.without_prompt(F.col("ids"), F.col("prompt")).cast("array<string>"), ",").alias("rest"))
 
 
-QUERIES = {f.__name__: f for f in (zscore_features, zscore_train_fit, pixel_normalize, layer_norm, split_exact, split_validation, split_hash, shuffle_order, batch_assign, linear_layer, gelu_tanh, gelu_exact, dropout_mask, stochastic_depth, flatten_matrix, letterbox_geometry, sd_schedule, lr_schedule, search_space, prune_median, best_trial, train_classifier, train_perceptron, tune_classifier, argmax, accuracy, cross_entropy, loss_averages, loss_per_batch, loss_per_dataset, confusion_matrix, confusion_documents, metric_report, log_every_k, chat_prompt, pad_sequences, trim_prefix)}
+QUERIES = {f.__name__: f for f in (zscore_features, zscore_train_fit, pixel_normalize, layer_norm, split_exact, split_validation, split_hash, shuffle_order, batch_assign, linear_layer, gelu_tanh, gelu_exact, normal_weights, dropout_mask, stochastic_depth, flatten_matrix, letterbox_geometry, sd_schedule, lr_schedule, search_space, prune_median, best_trial, train_classifier, train_perceptron, tune_classifier, train_network, reload_network, search_trials, search_pruning, search_best, argmax, accuracy, cross_entropy, loss_averages, loss_per_batch, loss_per_dataset, confusion_matrix, confusion_documents, metric_report, log_every_k, chat_prompt, pad_sequences, trim_prefix)}
 
 E = "WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS f FROM embeddings), x AS (SELECT id, label, unnest(f) AS x, generate_subscripts(f, 1) - 1 AS place FROM e) "
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -255,6 +328,12 @@ ORACLES = {
     "batch_assign": "SELECT vec_id AS id, ((row_number() OVER (ORDER BY md5(vec_id || ':0'), vec_id) - 1) // 16)::BIGINT AS batch_id, ceil(count(*) OVER () / 16.0)::BIGINT AS n_batches FROM embeddings",
     "linear_layer": E + "SELECT id, " + ", ".join(f"round(sum(x * (place * {o + 3} % 7 / 10.0::DOUBLE - 0.3::DOUBLE)) + 0.1 * {o}, 6) AS y{o}" for o in range(3)) + " FROM x GROUP BY id",
     "gelu_tanh": "WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events) SELECT event_id, round(0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))), 6) AS y FROM v",
+    "gelu_exact": f"WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events), r AS (SELECT *, x / sqrt(2) AS z FROM v) SELECT event_id, round(0.5 * x * (1 + {C.erf_sql('z')}), 6) AS y FROM r",
+    "normal_weights": f"""WITH k AS (SELECT DISTINCT label, unnest(range(len(embedding)))::INT AS place FROM embeddings),
+        u AS (SELECT *, 2 * {U.format("'init:' || place || ':' || label")} - 1 AS y FROM k), l AS (SELECT *, ln((1 - y) * (1 + y)) AS r FROM u),
+        m AS (SELECT *, 2 / (pi() * 0.147) + r / 2 AS m FROM l), x0 AS (SELECT *, sign(y) * sqrt(greatest(sqrt(m * m - r / 0.147) - m, 0)) AS x FROM m),
+        {", ".join(f"e{i} AS (SELECT * EXCLUDE (q), x - q / (1 + x * q) AS z FROM (SELECT *, ({C.erf_sql('x')} - y) / (2 / sqrt(pi()) * exp(-(x * x))) AS q FROM x{i})), x{i + 1} AS (SELECT * EXCLUDE (x, z), z AS x FROM e{i})" for i in range(3))}
+        SELECT place, label, round(0.02 * sqrt(2) * x, 8) AS w FROM x3""",
     "dropout_mask": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'drop:' + chr(39) + ' || event_id')} >= 0.3 THEN value / 0.7 ELSE 0 END, 6) AS y FROM events",
     "stochastic_depth": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'depth:' + chr(39) + ' || user_id')} >= 0.2 THEN value / 0.8 ELSE 0 END, 6) AS y FROM events",
     "flatten_matrix": E + "SELECT id, 64 AS n, place::INT AS place, round(x, 6) AS x FROM x",
