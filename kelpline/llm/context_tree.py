@@ -260,6 +260,50 @@ def frequent(rows: DataFrame, n: str, most: int) -> DataFrame:
     return rows.filter((F.col(n) > 0) & (step >= F.lit(float(min(least, 1e9)))))
 
 
+class Held:
+    """Values by whole number, found for many numbers at once: open addressing in arrays at most a quarter full."""
+
+    EMPTY = -1
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, self.EMPTY), np.zeros(1 << self.bits)
+        slot, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[slot[left]] == self.EMPTY
+            at, first = np.unique(slot[left[free]], return_index=True)
+            put = left[free][first]
+            self.keys[at], self.values[at] = keys[put], values[put]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view("i8")
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1 for those that aren't held."""
+        slot = self.slots(keys)
+        seen = self.keys[slot]
+        left = np.flatnonzero(seen != keys)
+        while len(left):
+            gone = self.keys[slot[left]] == self.EMPTY
+            slot[left[gone]] = -1
+            left = left[~gone]
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            left = left[self.keys[slot[left]] != keys[left]]
+        return slot
+
+
+_LOADED: list = []
+
+
+def _held(broadcast) -> Held:
+    """The table of a worker, made once for a broadcast, whose value is kept beside it."""
+    if not _LOADED or _LOADED[0] is not broadcast.value:
+        _LOADED[:] = [broadcast.value, Held(*broadcast.value[:2])]
+    return _LOADED[1]
+
+
 def scores(docs: DataFrame, key: str = "doc_id", depth: int = 5, folds: int = 5, held_fold: int = 1, table: int = 1 << 20, words: int = 1 << 17) -> DataFrame:
     """Base and model scores of every text, learnt from those outside the held-out fold.
 
@@ -283,29 +327,37 @@ def scores(docs: DataFrame, key: str = "doc_id", depth: int = 5, folds: int = 5,
     n_words, v_words = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_tokens, kinds = n_words + n_train, v_words + (n_train > 0)
     common = frequent(scored, "n_all", table).select("string", "score").toArrow()
-    order = np.argsort(common.column("string").to_numpy())
     short = {r["word"].encode(): math.log10(r["n"] + 0.5) for r in frequent(known.filter(F.octet_length("word") <= LONGEST), "n", words).collect()}
-    held = spark.sparkContext.broadcast((common.column("string").to_numpy()[order], common.column("score").to_numpy()[order], short))
+    held = spark.sparkContext.broadcast((common.column("string").to_numpy(), common.column("score").to_numpy(), short))
     kind = to_arrow_type(rows.schema["key"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, values, short = held.value
+        known, short = _held(held), held.value[2]
+
+        def out(part: pa.RecordBatch, tokens: list[list[bytes]]) -> pa.RecordBatch:
+            texts = [b" ".join(t) + END for t in tokens]
+            grams = strings_of(texts, depth)
+            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+            at = known.find(grams)
+            hit = at >= 0
+            each = np.where(hit, known.values[at], 0.0)
+            lost_before = np.concatenate(([0], np.cumsum(~hit)))[starts].astype("i4")
+            found = [list(map(short.get, t)) for t in tokens]
+            lost = [[w for w, v in zip(t, f) if v is None] if None in f else [] for t, f in zip(tokens, found)]
+            base = [math.fsum(v for v in f if v is not None) for f in found]
+            n = np.array([len(t) for t in tokens], "i8")
+            columns = [pa.array(n + 1), pa.array(n - np.array([len(x) for x in lost], "i8")), pa.array(base, pa.float64()), pa.array(np.add.reduceat(each, starts[:-1]))]
+            missed = pa.ListArray.from_arrays(pa.array(lost_before), pa.array(grams[~hit]))
+            return pa.RecordBatch.from_arrays([part.column(0).cast(kind), part.column(2), *columns, pa.array(lost, pa.list_(pa.binary())).cast(pa.list_(pa.string())), missed], ["key", "held_out", "n_tokens", "n_known", "base", "score", "words", "strings"])
+
         for batch in batches:
-            sums, lost_words, lost_strings = [], [], []
-            for text in batch.column(1):
-                tokens = words_in(text.as_py())
-                found = list(map(short.get, tokens))
-                lost = [w for w, v in zip(tokens, found) if v is None] if None in found else []
-                grams = strings_of([b" ".join(tokens) + END], depth)
-                at = np.minimum(np.searchsorted(strings, grams), max(len(strings) - 1, 0))
-                hit = strings[at] == grams if len(strings) else np.zeros(len(grams), bool)
-                sums.append((len(tokens) + 1, len(tokens) - len(lost), math.fsum(v for v in found if v is not None), float(values[at[hit]].sum())))
-                lost_words.append(lost)
-                lost_strings.append(grams[~hit])
-            ends = np.cumsum([0, *map(len, lost_strings)]).astype("i4")
-            columns = [pa.array(list(c)) for c in zip(*sums)] if sums else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            missed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lost_strings) if sums else np.zeros(0, "i8")))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), *columns, pa.array(lost_words, pa.list_(pa.binary())).cast(pa.list_(pa.string())), missed], ["key", "held_out", "n_tokens", "n_known", "base", "score", "words", "strings"])
+            first, tokens, size = 0, [], 0
+            for i, text in enumerate(batch.column(1)):
+                tokens.append(words_in(text.as_py()))
+                size += sum(map(len, tokens[-1])) + len(tokens[-1]) + 1
+                if size >= STRETCH // 2 or i + 1 == batch.num_rows:
+                    yield out(batch.slice(first, len(tokens)), tokens)
+                    first, tokens, size = i + 1, [], 0
 
     schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<string>, strings array<long>"
     with arrow_rows(spark, 500):

@@ -312,3 +312,12 @@ def test_alignment_query_is_brute_force(spark, libraries):
 
 def test_alignment_of_nothing_is_nothing(spark):
     assert alignment.linked(spark.createDataFrame([], "doc_id long, text string"), queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("piece_bpe_32k.model")).count() == 0
+
+
+def test_held_values_are_found():
+    draw = np.random.default_rng(0)
+    keys = np.unique(np.concatenate([draw.integers(0, 1 << 48, 5000), np.arange(300)]))
+    held = context_tree.Held(keys[::2], keys[::2] * 0.5)
+    at = held.find(keys)
+    assert (held.values[at[::2]] == keys[::2] * 0.5).all() and (at[1::2] == -1).all()
+    assert (context_tree.Held(keys[:0], keys[:0] * 1.0).find(keys) == -1).all()
