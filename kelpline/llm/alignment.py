@@ -6,10 +6,11 @@ groups: both sides end together at the end of a group and nowhere inside. The me
 are then expanded to links, the token pairs that end at one byte, and these are counted over the
 corpus.
 
-A text, with a space put before it, is cut where neither tokenizer can join what stands on the two
-sides: before a single space or newline between characters that aren't white space, and after such a
-newline. Both sides have a token end there, so no component crosses a cut, and the alignment of a text
-is that of its pieces one after another. A worker aligns a piece once and keeps it in a bounded cache.
+A text, with a space put before it, is cut before every run of spaces and newlines that follows another
+character, unless that is white space too: no token of either side crosses such a place. Both sides
+have a token end there, so no component crosses a cut, and the alignment of a text is that of its
+pieces one after another. A worker keeps the alignments of pieces in a bounded cache; the pieces of a
+batch of texts that it lacks are put one after another and aligned at once.
 
 Pairs are counted with partial sums. Counts come back to documents from a broadcast table of the most
 frequent pairs, bounded by a parameter, and for all other pairs by a shuffled join.
@@ -30,12 +31,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from kelpline.llm.bpe import WHITE, byte_letters
-from kelpline.llm.common import Recent, arrow_rows, stage_table
+from kelpline.llm.common import arrow_rows, stage_table
 
-#: Places where a text can be cut; see above.
-CUTS = re.compile(f"(?<=[^{WHITE}▁])(?= [^{WHITE}▁])|(?<=[^{WHITE}▁])(?=\\n[^{WHITE}▁])|(?<=[^{WHITE}▁]\\n)(?=[^{WHITE}▁])")
+#: Other white space, or what the piece vocabulary writes for a space, before a run of spaces and newlines; a text isn't cut there.
+JOINED = re.compile(f"[{WHITE.replace(' ', '')}▁](?=[ \n])")
+ENDS = re.compile(f"[{WHITE}▁]$")
 #: Longer pieces aren't kept in the cache.
-LONGEST = 48
+LONGEST = 64
 #: A pair is ``a * SIDE + b``.
 SIDE = 1 << 20
 
@@ -58,82 +60,122 @@ class Tokenizers:
         if any("\n" in p or "▁" in p.lstrip("▁") for _, p in pieces) or len(self.newline) != 2:
             raise ValueError("tokens of the piece vocabulary cross spaces or newlines")
 
-    def ids(self, piece: str) -> tuple[list[int], list[int]]:
-        """Ids of a piece of a text that had a space put before it."""
-        a = self.a.encode(piece, add_special_tokens=False).ids
-        if piece[0] == " ":
-            return a, self.b.encode(piece[1:])
-        return a, self.b.encode("\n" + piece)[len(self.newline) :]  # after a newline no space is put before
+        self.a_sizes, self.b_sizes = (np.array([len(held.get(i, b"")) for i in range(max(held) + 1)]) for held in (self.a_bytes, self.b_bytes))
 
+    def ids(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of a text that begins with the space put before it."""
+        return self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
 
-def components(a_sizes: list[int], b_sizes: list[int]) -> list[int]:
+
+def components(a_sizes: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
     """The component of each token, A tokens first, by union-find over the edges between tokens that share a byte.
 
-    A component is named by its first token. Sizes are in bytes, at least one each, and both sides sum
-    to the same.
+    Sizes are in bytes, at least one each, and both sides sum to the same. Each token is joined to the
+    one of the other side that holds its first byte, if that begins before it or, for a B token, with
+    it; all other overlaps follow from these edges. Roots are then found by halving all paths at once.
+    A component is named by its first token, which is an A token.
     """
-    parent = list(range(len(a_sizes) + len(b_sizes)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    i = j = 0
-    a_end, b_end = (a_sizes[0], b_sizes[0]) if a_sizes else (0, 0)
-    while i < len(a_sizes):
-        one, other = find(i), find(len(a_sizes) + j)
-        parent[max(one, other)] = min(one, other)
-        step_a, step_b = a_end <= b_end, b_end <= a_end
-        if step_a:
-            i += 1
-            a_end += a_sizes[i] if i < len(a_sizes) else 0
-        if step_b:
-            j += 1
-            b_end += b_sizes[j] if j < len(b_sizes) else 0
-    return [find(x) for x in range(len(parent))]
-
-
-def grouped(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[range, range]]:
-    """Places of the A and B tokens of each component, in the order of the text."""
+    n_a = len(a_sizes)
+    starts_a, starts_b = np.cumsum(a_sizes) - a_sizes, np.cumsum(b_sizes) - b_sizes
+    over_a = np.searchsorted(starts_b, starts_a, "right") - 1
+    over_b = np.searchsorted(starts_a, starts_b, "right") - 1
+    parent = np.concatenate([np.where(starts_b[over_a] < starts_a, n_a + over_a, np.arange(n_a)), over_b]) if n_a else np.zeros(0, "i8")
+    while True:
+        higher = parent[parent]
+        if (higher == parent).all():
+            return parent
+        parent = higher
+
+
+def groups_of(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each component's A and B tokens end, in the order of the text."""
     names = components(a_sizes, b_sizes)
-    n_a, out, i, j = len(a_sizes), [], 0, 0
-    while i < n_a:
-        name, i0, j0 = names[i], i, j
-        while i < n_a and names[i] == name:
-            i += 1
-        while j < len(b_sizes) and names[n_a + j] == name:
-            j += 1
-        out.append((range(i0, i), range(j0, j)))
-    return out
+    n_a = len(a_sizes)
+    place = np.cumsum(names[:n_a] == np.arange(n_a)) - 1  # of the components, by their first tokens
+    of_a, of_b = place[names[:n_a]], place[names[n_a:]]
+    return tuple(np.flatnonzero(np.append(x[1:] != x[:-1], True)) + 1 if len(x) else np.zeros(0, "i8") for x in (of_a, of_b))
+
+
+def pieces_of(text: str) -> list[str]:
+    """The pieces of a text without the space put before it. One that begins with neither space nor newline stands for itself after a space."""
+    words = text.replace("\n", " \n").split(" ")
+    blank = "  " in text or "\n\n" in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
+    if not blank and not (JOINED.search(text) if not text.isascii() or any(c in text for c in "\t\r\x0b\x0c") else None):
+        return words
+    out, held = [], ""
+    for word in words:
+        held += word if word[:1] == "\n" else " " + word
+        if word not in ("", "\n") and not ENDS.search(word):
+            out.append(held)
+            held = ""
+    return [*out, held] if held else out
 
 
 class Aligner:
     """Alignments of texts; those of short pieces are kept."""
 
-    def __init__(self, tokenizers: Tokenizers, most: int = 100_000) -> None:
-        self.tokenizers = tokenizers
-        self.pieces = Recent(self.piece, most, LONGEST)
-
-    def piece(self, piece: str) -> tuple[int, int, int, str, bytes] | None:
-        """A tokens, B tokens, groups, the groups as text and the linked pairs as little-endian int64; None if the bytes differ."""
-        a, b = self.tokenizers.ids(piece)
-        a_bytes, b_bytes = [self.tokenizers.a_bytes[i] for i in a], [self.tokenizers.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == b"".join(b_bytes) == piece.encode():
-            return None
-        groups = grouped(list(map(len, a_bytes)), list(map(len, b_bytes)))
-        spelled = ";".join(",".join(str(a[i]) for i in left) + "|" + ",".join(str(b[j]) for j in right) for left, right in groups)
+    def __init__(self, tokenizers: Tokenizers, most: int = 150_000) -> None:
+        self.tokenizers, self.most = tokenizers, most
+        self.kept: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+
+    def aligned(self, pieces: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
+        """Of each piece: A tokens, B tokens, groups, the groups as text and the linked pairs as little-endian int64; None if the bytes differ.
+
+        The pieces are put one after another. If a piece's bytes differ from its tokens', halves are
+        tried, and so on.
+        """
+        raw = [" a", *(p if p[0] in " \n" else " " + p for p in pieces)]
+        # A piece that ends in white space can't have another after it.
+        if len(pieces) > 1 and any(map(ENDS.search, raw)):
+            apart = {p for p, r in zip(pieces, raw[1:]) if ENDS.search(r)}
+            found = dict(zip(rest := [p for p in pieces if p not in apart], self.aligned(rest) if rest else []))
+            return [self.aligned([p])[0] if p in apart else found[p] for p in pieces]
+        text, t = "".join(raw), self.tokenizers
+        a, b = t.ids(text)
+        if not b"".join(map(t.a_bytes.__getitem__, a)) == b"".join(map(t.b_bytes.__getitem__, b)) == text.encode():
+            if len(pieces) == 1:
+                return [None]
+            return self.aligned(pieces[: len(pieces) // 2]) + self.aligned(pieces[len(pieces) // 2 :])
+        ids_a, ids_b = np.array(a), np.array(b)
+        sizes_a = t.a_sizes[ids_a]
+        ends_a, ends_b = groups_of(sizes_a, t.b_sizes[ids_b])
         # The tokens of a component that end together are the last of each side.
-        return len(a), len(b), len(groups), spelled, np.array([a[left[-1]] * SIDE + b[right[-1]] for left, right in groups], "<i8").tobytes()
-
-    def text(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """As ``piece`` for a whole text, the pairs as an array; zeros and nothing for one without tokens."""
-        found = list(map(self.pieces.__getitem__, CUTS.split(" " + text))) if text else []
-        if not found or None in found:
-            return 0, 0, 0, "", np.zeros(0, "i8")
-        n_a, n_b, n_groups, spelled, pairs = zip(*found)
-        return sum(n_a), sum(n_b), sum(n_groups), ";".join(spelled), np.frombuffer(b"".join(pairs), "<i8")
+        pairs = (ids_a[ends_a - 1] * SIDE + ids_b[ends_b - 1]).astype("<i8").tobytes()
+        group_bytes = np.cumsum(sizes_a)[ends_a - 1]
+        at = (np.searchsorted(group_bytes, np.cumsum([len(r.encode()) for r in raw])) + 1).tolist()
+        ends_a, ends_b = ends_a.tolist(), ends_b.tolist()
+        named_a, named_b = list(map(str, a)), list(map(str, b))
+        spelled = [",".join(named_a[i:j]) + "|" + ",".join(named_b[k:m]) for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
+        return [(ends_a[hi - 1] - ends_a[lo - 1], ends_b[hi - 1] - ends_b[lo - 1], hi - lo, ";".join(spelled[lo:hi]), pairs[8 * lo : 8 * hi]) for lo, hi in zip(at, at[1:])]
+
+    def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """As ``aligned`` for whole texts, the pairs as an array; zeros and nothing for one without tokens."""
+        cut = [pieces_of(t) if t else [] for t in texts]
+        if len(self.kept) > self.most:
+            self.older, self.kept = self.kept, {}
+        kept, older = self.kept, self.older
+        new = dict.fromkeys(p for pieces in cut for p in pieces if p not in kept)
+        for p in [p for p in new if p in older]:
+            kept[p] = older[p]
+            del new[p]
+        long, lacking, size = {}, [], 0
+        for i, p in enumerate(new, 1):
+            lacking.append(p)
+            size += len(p)
+            if size > 500_000 or i == len(new):
+                for q, found in zip(lacking, self.aligned(lacking)):
+                    (kept if len(q) <= LONGEST else long)[q] = found
+                lacking, size = [], 0
+        out = []
+        for pieces in cut:
+            found = list(map(kept.get, pieces)) if not long else [long[p] if p in long else kept[p] for p in pieces]
+            if not found or None in found:
+                out.append((0, 0, 0, "", np.zeros(0, "i8")))
+                continue
+            n_a, n_b, n_groups, spelled, pairs = zip(*found)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(spelled), np.frombuffer(b"".join(pairs), "<i8")))
+        return out
 
 
 _LOADED: list = []
@@ -162,8 +204,7 @@ def align(docs: DataFrame, source: bytes, model: bytes, key: str = "doc_id") ->
         aligner = _aligner(held)
         for batch in batches:
             each, pairs, times = [], [], []
-            for text in batch.column(1):
-                *found, linked = aligner.text(text.as_py())
+            for *found, linked in aligner.texts(batch.column(1).to_pylist()):
                 each.append(found)
                 pair, n = np.unique(linked, return_counts=True)
                 pairs.append(pair)

@@ -291,15 +291,31 @@ def test_alignment_of_drawn_texts_is_brute_force(libraries):
     draw = np.random.default_rng(0)
     parts = [*" \n\t\r'.,!?<>\u2581\u00a0\u3000\x1c\x85\x00", " ", " ", "\n", "the", "The", "'s", "'ll", "123", "\u00e9", "\u0301", "\u65e5", "\U0001f600", "<0x0A>", "<|endoftext|>", "</s>", "ing"]
     texts = ["".join(draw.choice(parts, draw.integers(1, 14))) for _ in range(3000)]
-    for text, want in zip(texts, brute_alignment(texts, libraries)):
-        n_a, n_b, n_groups, groups, links = aligner.text(text)
+    got = [row for i in range(0, len(texts), 100) for row in aligner.texts(texts[i : i + 100])]
+    for text, (n_a, n_b, n_groups, groups, links), want in zip(texts, got, brute_alignment(texts, libraries)):
         assert (n_a, n_b, n_groups, len(links), groups) == (*want[:4], want[6]), repr(text)
 
 
+def brute_components(a_sizes, b_sizes):
+    """Groups by joining the sets of every two tokens that share a byte."""
+    spans = [(side, i, sum(sizes[:i]), sum(sizes[: i + 1])) for side, sizes in enumerate((a_sizes, b_sizes)) for i in range(len(sizes))]
+    sets = [{x} for x in spans]
+    for x, y in itertools.combinations(spans, 2):
+        if x[0] != y[0] and max(x[2], y[2]) < min(x[3], y[3]):
+            one, other = (next(s for s in sets if z in s) for z in (x, y))
+            if one is not other:
+                sets = [s for s in sets if s is not one and s is not other] + [one | other]
+    return sorted((sorted(i for side, i, *_ in s if side == 0), sorted(i for side, i, *_ in s if side == 1)) for s in sets)
+
+
 def test_components_are_overlaps():
-    assert alignment.grouped([1, 2, 3], [3, 1, 2]) == [(range(0, 2), range(0, 1)), (range(2, 3), range(1, 3))]
-    assert alignment.grouped([2, 2], [1, 2, 1]) == [(range(0, 2), range(0, 3))]
-    assert alignment.grouped([], []) == []
+    draw = np.random.default_rng(1)
+    for _ in range(200):
+        n = int(draw.integers(0, 12))
+        a, b = (np.diff([0, *sorted(set(draw.integers(1, n, draw.integers(0, n)).tolist()) if n > 1 else []), n] if n else [0]) for _ in range(2))
+        ends_a, ends_b = alignment.groups_of(a, b)
+        got = [(list(range(i, j)), list(range(k, m))) for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
+        assert got == brute_components(a.tolist(), b.tolist())
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
