@@ -35,11 +35,11 @@ from kelpline.llm.common import arrow_rows, stage_table
 
 #: Other white space, or what the piece vocabulary writes for a space, before a run of spaces and newlines; a text isn't cut there.
 JOINED = re.compile(f"[{WHITE.replace(' ', '')}▁](?=[ \n])")
-ENDS = re.compile(f"[{WHITE}▁]$")
+BLANK = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}▁]", c))
 #: Longer pieces aren't kept in the cache.
 LONGEST = 64
-#: A pair is ``a * SIDE + b``.
-SIDE = 1 << 20
+#: A pair is ``a * SIDE + b``; two counts are ``a * BOTH + b``.
+SIDE, BOTH = 1 << 20, 1 << 40
 
 
 class Tokenizers:
@@ -105,7 +105,7 @@ def pieces_of(text: str) -> list[str]:
     out, held = [], ""
     for word in words:
         held += word if word[:1] == "\n" else " " + word
-        if word not in ("", "\n") and not ENDS.search(word):
+        if word not in ("", "\n") and word[-1] not in BLANK:
             out.append(held)
             held = ""
     return [*out, held] if held else out
@@ -119,16 +119,16 @@ class Aligner:
         self.kept: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
 
-    def aligned(self, pieces: list[str]) -> list[tuple[int, int, int, str, bytes] | None]:
-        """Of each piece: A tokens, B tokens, groups, the groups as text and the linked pairs as little-endian int64; None if the bytes differ.
+    def aligned(self, pieces: list[str]) -> list[tuple[int, str, bytes] | None]:
+        """Of each piece: A tokens times BOTH and B tokens, the groups as text, and their linked pairs as little-endian int64; None if the bytes differ.
 
         The pieces are put one after another. If a piece's bytes differ from its tokens', halves are
         tried, and so on.
         """
         raw = [" a", *(p if p[0] in " \n" else " " + p for p in pieces)]
         # A piece that ends in white space can't have another after it.
-        if len(pieces) > 1 and any(map(ENDS.search, raw)):
-            apart = {p for p, r in zip(pieces, raw[1:]) if ENDS.search(r)}
+        apart = {p for p, r in zip(pieces, raw[1:]) if r[-1] in BLANK} if len(pieces) > 1 else ()
+        if apart:
             found = dict(zip(rest := [p for p in pieces if p not in apart], self.aligned(rest) if rest else []))
             return [self.aligned([p])[0] if p in apart else found[p] for p in pieces]
         text, t = "".join(raw), self.tokenizers
@@ -144,18 +144,19 @@ class Aligner:
         pairs = (ids_a[ends_a - 1] * SIDE + ids_b[ends_b - 1]).astype("<i8").tobytes()
         group_bytes = np.cumsum(sizes_a)[ends_a - 1]
         at = (np.searchsorted(group_bytes, np.cumsum([len(r.encode()) for r in raw])) + 1).tolist()
+        counts = np.diff((ends_a * BOTH + ends_b)[np.array(at) - 1]).tolist()
         ends_a, ends_b = ends_a.tolist(), ends_b.tolist()
-        named_a, named_b = list(map(str, a)), list(map(str, b))
-        spelled = [",".join(named_a[i:j]) + "|" + ",".join(named_b[k:m]) for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
-        return [(ends_a[hi - 1] - ends_a[lo - 1], ends_b[hi - 1] - ends_b[lo - 1], hi - lo, ";".join(spelled[lo:hi]), pairs[8 * lo : 8 * hi]) for lo, hi in zip(at, at[1:])]
+        named_a, named_b, join = list(map(str, a)), list(map(str, b)), ",".join
+        spelled = [f"{join(named_a[i:j])}|{join(named_b[k:m])}" for i, j, k, m in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b)]
+        return [(n, ";".join(spelled[lo:hi]), pairs[8 * lo : 8 * hi]) for n, lo, hi in zip(counts, at, at[1:])]
 
     def texts(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
-        """As ``aligned`` for whole texts, the pairs as an array; zeros and nothing for one without tokens."""
+        """A tokens, B tokens, groups, the groups as text and the linked pairs of whole texts; zeros and nothing for one without tokens."""
         cut = [pieces_of(t) if t else [] for t in texts]
         if len(self.kept) > self.most:
             self.older, self.kept = self.kept, {}
         kept, older = self.kept, self.older
-        new = dict.fromkeys(p for pieces in cut for p in pieces if p not in kept)
+        new = dict.fromkeys(p for p in set().union(*cut) if p not in kept)
         for p in [p for p in new if p in older]:
             kept[p] = older[p]
             del new[p]
@@ -173,8 +174,9 @@ class Aligner:
             if not found or None in found:
                 out.append((0, 0, 0, "", np.zeros(0, "i8")))
                 continue
-            n_a, n_b, n_groups, spelled, pairs = zip(*found)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), ";".join(spelled), np.frombuffer(b"".join(pairs), "<i8")))
+            counts, spelled, pairs = zip(*found)
+            links = np.frombuffer(b"".join(pairs), "<i8")
+            out.append((*divmod(sum(counts), BOTH), len(links), ";".join(spelled), links))
         return out
 
 
