@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kelpline.plans import series_queries, training_queries
+from kelpline.plans import image_queries, series_queries, training_queries
 
-QUERIES = series_queries.QUERIES | training_queries.QUERIES
-ORACLES = series_queries.ORACLES | training_queries.ORACLES
+QUERIES = series_queries.QUERIES | image_queries.QUERIES | training_queries.QUERIES
+ORACLES = series_queries.ORACLES | image_queries.ORACLES | training_queries.ORACLES

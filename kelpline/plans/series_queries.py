@@ -113,8 +113,10 @@ def cwt_freqs(spark, d):
 
 
 def scalogram_intensity(spark, d):
-    """Power of all 127 scales against the largest of the series."""
-    topped = with_aggregates(wavelet.cwt_full(scaled(spark, d)), "series_id", top=F.max(F.array_max("power")))
+    """Power of all 127 scales against the largest of the series. The transform is written once, for its largest value is needed before the rest."""
+    folder = scratch(spark, "scalograms")
+    wavelet.cwt_full(scaled(spark, d)).withColumn("most", F.array_max("power")).write.parquet(folder)
+    topped = with_aggregates(spark.read.parquet(folder), "series_id", top=F.max("most"))
     each = topped.select("series_id", "first", "scale", "top", F.posexplode("power").alias("i", "p"))
     shown = 0.5 + F.try_divide(F.col("p"), 2 * F.col("top"))
     return each.select("series_id", (F.col("first") + F.col("i")).alias("n"), "scale", F.round(shown, 4).alias("intensity"))

@@ -9,7 +9,7 @@ from kelpline.functions import columns as C
 from kelpline.operators import chat, dataset, learn, metrics, normalize, training
 from kelpline.operators.network import Net
 from kelpline.plans import schedules, search
-from kelpline.sources.sinks import scratch
+from kelpline.sources.sinks import recorded, scratch
 from kelpline.sources.tables import features, table
 
 BATCH = 16
@@ -173,20 +173,6 @@ def small_net(spark: SparkSession, d: str, **settings) -> Net:
     return Net(width, classes, **{"filters": 8, "hidden": 16, "dense": 32} | settings)
 
 
-#: What a session has trained already, by application, directory and name: the folder of its record.
-RECORDS: dict[tuple[str, str, str], str] = {}
-
-
-def recorded(spark: SparkSession, d: str, name: str, make) -> str:
-    """The folder that ``make`` records into, once for a session and directory."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in RECORDS:
-        folder = scratch(spark, name)
-        make(folder)
-        RECORDS[key] = folder
-    return RECORDS[key]
-
-
 def net_record(spark: SparkSession, d: str) -> str:
     net = small_net(spark, d, rate=0.005)
     return recorded(spark, d, "fit", lambda folder: training.fit(*parts_of(spark, d), {0: net}, 4, 128, folder, parts=16))

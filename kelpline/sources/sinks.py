@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that driver and executors share; below a temporary one in a local session without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="kelpline-")
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -31,6 +33,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: What a session has made already, by application, directory and name: its folder.
+RECORDS: dict[tuple[str, str, str], str] = {}
+
+
+def recorded(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
+    """The folder that ``make`` fills from the tables in ``source``, once for a session."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in RECORDS:
+        folder = scratch(spark, name)
+        make(folder)
+        RECORDS[key] = folder
+    return RECORDS[key]
+
+
 def write_curves(df: DataFrame, path: str) -> None:
     """``df`` (class, series_id, t, value) as CSV with a header, a directory for each class and in it one for each series."""
     rows = df.select("class", F.col("series_id").alias("series"), "t", "value").repartition("class", "series").sortWithinPartitions("class", "series", "t")
