@@ -232,3 +232,127 @@ def levels(anchors: tuple[str, ...]) -> list[list[int]]:
     known = np.array([[int(a[i : i + 2], 16) for i in (0, 2, 4)] for a in anchors], "f8")
     at = np.arange(256) / 255 * (len(anchors) - 1)
     return [[int(np.floor(np.interp(p, np.arange(len(anchors)), known[:, c]) + 1e-9)) for c in range(3)] for p in at]
+
+
+def tokens(strips: DataFrame, channels: int) -> DataFrame:
+    """A row for each pixel: image, y, x, values (its channels), height and width of the image."""
+    known = sized(strips, channels)
+    at = F.explode(F.sequence(F.lit(0), (F.size("values") / channels).cast("int") - 1)).alias("i")
+    each = known.select("image", "y", "x", "height", "width", "values", at)
+    return each.select("image", "y", (F.col("x") + F.col("i")).alias("x"), F.slice("values", F.col("i") * channels + 1, channels).alias("values"), "height", "width")
+
+
+def attended(x: np.ndarray, y_at: np.ndarray, x_at: np.ndarray, region: np.ndarray, weights: dict[str, np.ndarray], heads: int, size: int) -> np.ndarray:
+    """Attention among the pixels of one window; those of other regions don't count.
+
+    ``bias`` has a value for each difference of places, rows by ``2 * size - 1`` and columns, and head.
+    """
+    n, channels = x.shape
+    q, k, v = ((x @ weights[name]).reshape(n, heads, -1) for name in ("q", "k", "v"))
+    scores = np.einsum("ihc,jhc->hij", q, k) / math.sqrt(channels // heads)
+    apart = (y_at[:, None] - y_at + size - 1) * (2 * size - 1) + x_at[:, None] - x_at + size - 1
+    scores = np.where(region[:, None] == region, scores + weights["bias"][apart].transpose(2, 0, 1), -np.inf)
+    e = np.exp(scores - scores.max(axis=2, keepdims=True))
+    return np.einsum("hij,jhc->ihc", e / e.sum(axis=2, keepdims=True), v).reshape(n, channels) @ weights["out"]
+
+
+def window_block(strips: DataFrame, weights: dict[str, np.ndarray], heads: int, size: int = 7, shift: int = 0, channels: int | None = None) -> DataFrame:
+    """Attention in windows of ``size`` by ``size`` pixels, added to the pixels, then two linear layers (up, down), added again.
+
+    With ``shift`` the image is turned by so many rows and columns first and turned back after; what
+    comes together from opposite edges doesn't attend to each other. Windows at an edge may be smaller.
+    Windows are dealt by row of windows and 32 of its windows at a time. One strip for each pixel.
+    """
+    channels = channels or len(weights["q"])
+    kind = strips.schema["image"].dataType
+    turned = tokens(strips.select("image", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "values"), channels)
+    for c, n in (("y", "height"), ("x", "width")):
+        turned = turned.withColumn(f"at_{c}", F.pmod(F.col(c) - shift, F.col(n))).withColumn(f"w_{c}", F.floor(F.col(f"at_{c}") / float(size)))
+    turned = turned.withColumn("region", (F.col("y") < shift).cast("int") * 2 + (F.col("x") < shift).cast("int"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.nan_to_num(rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8")).reshape(-1, channels)
+        y_at, x_at, region, window = (rows.column(c).to_numpy() for c in ("at_y", "at_x", "region", "w_x"))
+        for w in np.unique(window):
+            own = window == w
+            x[own] += attended(normed(x[own]), y_at[own], x_at[own], region[own], weights, heads, size)
+        if "up" in weights:
+            x = x + gelu(normed(x) @ weights["up"]) @ weights["down"]
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * channels), pa.array(x.ravel()))
+        return pa.table({"image": rows.column("image"), "y": rows.column("y"), "x": rows.column("x"), "values": each})
+
+    dealt = turned.withColumn("part", F.floor(F.col("w_x") / 32.0)).drop("height", "width")
+    return dealt.groupBy("image", "w_y", "part").applyInArrow(run, f"image {kind.simpleString()}, y long, x long, values array<double>")
+
+
+def merged(strips: DataFrame, weights: np.ndarray, tile: int = TILE) -> DataFrame:
+    """Each two by two pixels as one: their channels (rows run faster) normed and put through ``weights``, four times the channels by the new ones."""
+    channels = len(weights) // 4
+    axis = Window(2, 2)
+
+    def work(held, start, image, out, ys, xs):
+        m_y, m_x = ys[1] - ys[0], xs[1] - xs[0]
+        near = [held[r : r + 2 * m_y - 1 : 2, c : c + 2 * m_x - 1 : 2] for c in (0, 1) for r in (0, 1)]
+        return normed(np.concatenate(near, axis=2)) @ weights
+
+    return over_tiles(strips, channels, weights.shape[1], (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work, tile)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def inverted_bottleneck(strips: DataFrame, weights: dict[str, np.ndarray], step: int = 1, tile: int = TILE) -> DataFrame:
+    """Widened to more channels (up), a convolution for each (around), a gate for each from its mean over the image, and narrowed (down).
+
+    After ``up`` and ``around`` comes x times its sigmoid. The gate is the sigmoid of two layers
+    (squeeze, excite) on the means. Means are partial sums by tile, added up for each image and joined
+    back to its strips. With step 1 and as many channels out as in, the input is added.
+    """
+    channels, wide = weights["up"].shape
+    narrow = weights["down"].shape[1]
+    swish = lambda x: x * sigmoid(x)
+    size = weights["around"].shape[0]
+    adds = step == 1 and channels == narrow
+    axis = Window(size, step, size // 2)
+
+    def work(held, start, image, out, ys, xs):
+        m_y, m_x = ys[1] - ys[0], xs[1] - xs[0]
+        inside = [((np.arange(held.shape[k]) + start[k] >= 0) & (np.arange(held.shape[k]) + start[k] < image[k])) for k in (0, 1)]
+        up = swish(held @ weights["up"]) * inside[0][:, None, None] * inside[1][None, :, None]
+        total = sum(up[r : r + (m_y - 1) * step + 1 : step, c : c + (m_x - 1) * step + 1 : step] * weights["around"][r, c] for r in range(size) for c in range(size))
+        own = held[size // 2 : size // 2 + m_y, size // 2 : size // 2 + m_x] if adds else np.zeros((m_y, m_x, 0))
+        return np.concatenate([swish(total), own], axis=2)
+
+    n = wide + (channels if adds else 0)
+    inner = over_tiles(strips, channels, n, (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work, tile)
+    return gated(inner, weights, n, wide, narrow)
+
+
+def gated(inner: DataFrame, weights: dict[str, np.ndarray], n: int, wide: int, narrow: int) -> DataFrame:
+    """Strips of ``n`` channels, of which the first ``wide`` are gated and narrowed and the rest added."""
+    schema = inner.schema
+
+    def sums(batches):
+        for batch in batches:
+            x = batch.column(3)
+            found = [np.asarray(v.values).reshape(-1, n)[:, :wide].sum(axis=0).tolist() for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64())), pa.array([len(v.values) // n for v in x], pa.int64())], ["image", "sums", "pixels"])
+
+    kind = schema["image"].dataType.simpleString()
+    parts = inner.mapInArrow(sums, f"image {kind}, sums array<double>, pixels long")
+    total = parts.groupBy("image").agg(F.array(*(F.sum(F.get("sums", F.lit(c))) for c in range(wide))).alias("sums"), F.sum("pixels").alias("pixels"))
+    means = total.select("image", F.transform("sums", lambda s: s / F.col("pixels")).alias("means"))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for values, means in zip(batch.column(3), batch.column(4)):
+                x, mean = np.asarray(values.values).reshape(-1, n), np.asarray(means.values)
+                hidden = mean @ weights["squeeze"]
+                gate = sigmoid((hidden * sigmoid(hidden)) @ weights["excite"])
+                y = (x[:, :wide] * gate) @ weights["down"]
+                out.append((y + x[:, wide:] if n > wide else y).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["image", "y", "x", "values"])
+
+    return inner.join(means, inner["image"].eqNullSafe(means["image"])).select(inner["image"], "y", "x", "values", "means").mapInArrow(run, f"image {kind}, y long, x long, values array<double>")

@@ -70,18 +70,43 @@ def fixed(*shape: int) -> np.ndarray:
 
 def convnext(spark: SparkSession, d: str) -> DataFrame:
     """Stem, one block and a halving of the convolutional model on coloured scalograms, with fixed weights: strips of 8 channels."""
-    pixels = F.transform("values", lambda v, i: (v / 255.0 - F.element_at(F.array(*map(F.lit, MEAN)), i % 3 + 1)) / F.element_at(F.array(*map(F.lit, DEVIATION)), i % 3 + 1))
-    stem = images.convolve(rgb(spark, d).withColumn("values", pixels), fixed(4, 4, 3, 4), np.arange(4) / 10, step=4, then=None)
-    whole = images.block(stem, fixed(7, 7, 4), np.arange(4) / 10, fixed(4, 8), fixed(8, 4), scale=1.0)
+    whole = images.block(stem(spark, d), fixed(7, 7, 4), np.arange(4) / 10, fixed(4, 8), fixed(8, 4), scale=1.0)
     return images.convolve(whole, fixed(2, 2, 4, 8), np.zeros(8), step=2)
 
 
+def stem(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of 4 by 4 pixels of coloured scalograms as 4 channels."""
+    pixels = F.transform("values", lambda v, i: (v / 255.0 - F.element_at(F.array(*map(F.lit, MEAN)), i % 3 + 1)) / F.element_at(F.array(*map(F.lit, DEVIATION)), i % 3 + 1))
+    return images.convolve(rgb(spark, d).withColumn("values", pixels), fixed(4, 4, 3, 4), np.arange(4) / 10, step=4)
+
+
+def by_pixel(strips: DataFrame, channels: int) -> DataFrame:
+    out = strips.select(F.col("image").alias("series_id"), "y", "x", F.posexplode("values").alias("i", "v"))
+    return out.select("series_id", "y", (F.col("x") + F.floor(F.col("i") / float(channels))).cast("long").alias("x"), (F.col("i") % channels).alias("channel"), F.round("v", 5).alias("v"))
+
+
 def convnext_stem(spark, d):
-    out = convnext(spark, d).select(F.col("image").alias("series_id"), "y", "x", F.posexplode("values").alias("i", "v"))
-    return out.select("series_id", "y", (F.col("x") + F.floor(F.col("i") / 8.0)).cast("long").alias("x"), (F.col("i") % 8).alias("channel"), F.round("v", 5).alias("v"))
+    return by_pixel(convnext(spark, d), 8)
+
+
+def window_attention(spark, d):
+    """Attention in windows of 7 by 7 patches that are shifted by 3, two heads, added to the patches."""
+    weights = {name: fixed(4, 4) * by for name, by in (("q", 1.0), ("k", -1.0), ("v", 2.0), ("out", 1.0))} | {"bias": fixed(169, 2)}
+    return by_pixel(images.window_block(stem(spark, d), weights, heads=2, shift=3), 4)
+
+
+def patch_merging(spark, d):
+    """Two by two patches as one of 8 channels."""
+    return by_pixel(images.merged(stem(spark, d), fixed(16, 8)), 8)
+
+
+def squeeze_excite(spark, d):
+    """An inverted bottleneck with a gate for each channel, on the patches."""
+    weights = {"up": fixed(4, 8), "around": fixed(3, 3, 8), "squeeze": fixed(8, 2), "excite": fixed(2, 8), "down": fixed(8, 4)}
+    return by_pixel(images.inverted_bottleneck(stem(spark, d), weights), 4)
 
 
-QUERIES = {f.__name__: f for f in (scalogram_rgb, image_resize, image_letterbox, convnext_stem)}
+QUERIES = {f.__name__: f for f in (scalogram_rgb, image_resize, image_letterbox, convnext_stem, window_attention, patch_merging, squeeze_excite)}
 
 # Intensities as an image i: series_id, y, x, v, with the height h and width w.
 I = series_queries.S + series_queries.ALL + """, i AS (SELECT series_id, scale::BIGINT - 1 AS y, n - 1 AS x, coalesce(0.5 + power / nullif(2 * max(power) OVER (PARTITION BY series_id), 0), 0.5) AS v,
@@ -112,9 +137,10 @@ def resize_sql(high: str, wide: str, reach: int) -> str:
 
 EDGES = " SELECT series_id, y::BIGINT AS y, count(*)::BIGINT AS n, round(arg_min(v, x), 6) AS first, round(arg_max(v, x), 6) AS last, round(sum(v), 5) AS total FROM {} GROUP BY ALL"
 FIX = "((3 * ({}) + 2) % 7 - 3) / 10::DOUBLE"
-CONVNEXT = f""", q AS (SELECT series_id, y, x, unnest([0, 1, 2]) AS c, unnest([{', '.join(f'({n} / 255::DOUBLE - {m}) / {s}' for n, m, s in zip('rgb', MEAN, DEVIATION))}]) AS v, h, w FROM p),
+STEM = f""", q AS (SELECT series_id, y, x, unnest([0, 1, 2]) AS c, unnest([{', '.join(f'({n} / 255::DOUBLE - {m}) / {s}' for n, m, s in zip('rgb', MEAN, DEVIATION))}]) AS v, h, w FROM p),
   s0 AS (SELECT series_id, y // 4 AS y, x // 4 AS x, o, any_value(o) / 10::DOUBLE + sum(v * {FIX.format('((y % 4 * 4 + x % 4) * 3 + c) * 4 + o')}) AS v, any_value(h) // 4 AS h, any_value(w) // 4 AS w
-    FROM q, (SELECT unnest(range(4)) AS o) WHERE y // 4 < h // 4 AND x // 4 < w // 4 GROUP BY ALL),
+    FROM q, (SELECT unnest(range(4)) AS o) WHERE y // 4 < h // 4 AND x // 4 < w // 4 GROUP BY ALL)"""
+CONVNEXT = f""",
   s1 AS (SELECT a.series_id, a.y, a.x, a.o, any_value(a.v) AS own, a.o / 10::DOUBLE + sum(b.v * {FIX.format('((b.y - a.y + 3) * 7 + b.x - a.x + 3) * 4 + a.o')}) AS v, any_value(a.h) AS h, any_value(a.w) AS w
     FROM s0 a JOIN s0 b ON a.series_id = b.series_id AND a.o = b.o AND abs(b.y - a.y) <= 3 AND abs(b.x - a.x) <= 3 GROUP BY a.series_id, a.y, a.x, a.o),
   s2 AS (SELECT *, (v - avg(v) OVER k) / sqrt(var_pop(v) OVER k + 1e-6) AS z FROM s1 WINDOW k AS (PARTITION BY series_id, y, x)),
@@ -124,11 +150,37 @@ CONVNEXT = f""", q AS (SELECT series_id, y, x, unnest([0, 1, 2]) AS c, unnest([{
   s6 AS (SELECT series_id, y, x, o, own + add AS v, h, w FROM s2 JOIN s5 USING (series_id, y, x, o))
   SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(v * {FIX.format('((y % 2 * 2 + x % 2) * 4 + o) * 8 + e')}), 5) AS v
     FROM s6, (SELECT unnest(range(8)) AS e) WHERE y // 2 < h // 2 AND x // 2 < w // 2 GROUP BY ALL"""
+# Tokens by series, y, x with lists q, k, v of their channels; a window's pairs meet by an equal join, regions and all.
+LINEAR = "list_transform(range({n}), lambda j: list_sum(list_transform(range({m}), lambda i: {x}[i + 1] * " + FIX.format("i * {n} + j") + ")))"
+ATTENTION = f""", t AS (SELECT series_id, y, x, any_value(h) AS h, any_value(w) AS w, list(v ORDER BY o) AS f FROM s0 GROUP BY ALL),
+  n AS (SELECT *, list_transform(f, lambda c: (c - list_avg(f)) / sqrt(list_var_pop(f) + 1e-6)) AS z FROM t),
+  u AS (SELECT series_id, y, x, f, (y - 3 + h) % h AS ay, (x - 3 + w) % w AS ax, y < 3 AS ry, x < 3 AS rx, {LINEAR.format(n=4, m=4, x='z')} AS l FROM n),
+  p2 AS (SELECT a.series_id, a.y, a.x, a.f, b.l AS v, e, (a.l[2 * e + 1] * -b.l[2 * e + 1] + a.l[2 * e + 2] * -b.l[2 * e + 2]) / sqrt(2) + {FIX.format('((a.ay - b.ay + 6) * 13 + a.ax - b.ax + 6) * 2 + e')} AS s
+    FROM u a JOIN u b ON a.series_id = b.series_id AND a.ay // 7 = b.ay // 7 AND a.ax // 7 = b.ax // 7 AND a.ry = b.ry AND a.rx = b.rx, (SELECT unnest(range(2)) AS e)),
+  e2 AS (SELECT *, exp(s - max(s) OVER (PARTITION BY series_id, y, x, e)) AS g FROM p2),
+  o2 AS (SELECT series_id, y, x, e, any_value(f) AS f, sum(g * 2 * v[2 * e + 1]) / sum(g) AS a, sum(g * 2 * v[2 * e + 2]) / sum(g) AS b FROM e2 GROUP BY ALL),
+  h2 AS (SELECT series_id, y, x, any_value(f) AS f, flatten(list([a, b] ORDER BY e)) AS c FROM o2 GROUP BY ALL),
+  z2 AS (SELECT *, {LINEAR.format(n=4, m=4, x='c')} AS d FROM h2)
+  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, unnest(range(4))::INT AS channel, round(unnest(list_transform(range(4), lambda i: f[i + 1] + d[i + 1])), 5) AS v FROM z2"""
+SWISH = "{0} / (1 + exp(-({0})))"
+GATE = f""", t AS (SELECT series_id, y, x, list(v ORDER BY o) AS f FROM s0 GROUP BY ALL),
+  u0 AS (SELECT series_id, y, x, unnest(range(8)) AS c, unnest({LINEAR.format(n=8, m=4, x='f')}) AS v FROM t), u AS (SELECT * EXCLUDE (v), {SWISH.format('v')} AS v FROM u0),
+  a0 AS (SELECT a.series_id, a.y, a.x, a.c, sum(b.v * {FIX.format('((b.y - a.y + 1) * 3 + b.x - a.x + 1) * 8 + a.c')}) AS v
+    FROM u a JOIN u b ON a.series_id = b.series_id AND a.c = b.c AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.series_id, a.y, a.x, a.c), a AS (SELECT * EXCLUDE (v), {SWISH.format('v')} AS v FROM a0),
+  m0 AS (SELECT series_id, c, avg(v) AS m FROM a GROUP BY ALL), mm AS (SELECT series_id, list(m ORDER BY c) AS m FROM m0 GROUP BY ALL),
+  g0 AS (SELECT series_id, list_transform({LINEAR.format(n=2, m=8, x='m')}, lambda z: {SWISH.format('z')}) AS z FROM mm), g AS (SELECT series_id, list_transform({LINEAR.format(n=8, m=2, x='z')}, lambda z: 1 / (1 + exp(-z))) AS g FROM g0),
+  d AS (SELECT series_id, y, x, o, sum(v * g[c + 1] * {FIX.format('c * 4 + o')}) AS v FROM a JOIN g USING (series_id), (SELECT unnest(range(4)) AS o) GROUP BY ALL)
+  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, o::INT AS channel, round(d.v + s0.v, 5) AS v FROM d JOIN s0 USING (series_id, y, x, o)"""
 FIT = "greatest(1, floor({} * least(96 / w::DOUBLE, 96 / h::DOUBLE)))::BIGINT"
 ORACLES = {
     "scalogram_rgb": I + RGB + " SELECT series_id % 6 AS label, series_id, (y + 1)::INT AS scale, r, g, b, count(*) AS n FROM p GROUP BY ALL",
     "image_resize": I + resize_sql("224", "224", 1) + EDGES.format("z"),
     "image_letterbox": I + resize_sql(FIT.format("h"), FIT.format("w"), 3) + """, f AS (SELECT series_id, y + (96 - high) // 2 AS y, x + (96 - wide) // 2 AS x, v FROM z),
         g AS (SELECT series_id, y, x, coalesce(v, 0) AS v FROM (SELECT DISTINCT series_id, unnest(range(96)) AS y FROM f) JOIN (SELECT unnest(range(96)) AS x) ON true LEFT JOIN f USING (series_id, y, x))""" + EDGES.format("g"),
-    "convnext_stem": I + RGB + CONVNEXT,
+    "convnext_stem": I + RGB + STEM + CONVNEXT,
+    "window_attention": I + RGB + STEM + ATTENTION,
+    "patch_merging": I + RGB + STEM + f""", pm AS (SELECT *, x % 2 * 8 + y % 2 * 4 + o AS c, (v - avg(v) OVER k) / sqrt(var_pop(v) OVER k + 1e-6) AS z FROM s0 WHERE y // 2 < h // 2 AND x // 2 < w // 2
+          WINDOW k AS (PARTITION BY series_id, y // 2, x // 2))
+        SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(z * {FIX.format('c * 8 + e')}), 5) AS v FROM pm, (SELECT unnest(range(8)) AS e) GROUP BY ALL""",
+    "squeeze_excite": I + RGB + STEM + GATE,
 }
