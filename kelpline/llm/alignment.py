@@ -20,12 +20,12 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
@@ -37,7 +37,7 @@ from kelpline.llm.common import arrow_rows, stage_table
 JOINED = re.compile(f"[{WHITE.replace(' ', '')}▁](?=[ \n])")
 BLANK = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE}▁]", c))
 #: Longer pieces aren't kept in the cache.
-LONGEST = 64
+LONGEST = 48
 #: A pair is ``a * SIDE + b``; two counts are ``a * BOTH + b``.
 SIDE, BOTH = 1 << 20, 1 << 40
 
@@ -114,7 +114,7 @@ def pieces_of(text: str) -> list[str]:
 class Aligner:
     """Alignments of texts; those of short pieces are kept."""
 
-    def __init__(self, tokenizers: Tokenizers, most: int = 150_000) -> None:
+    def __init__(self, tokenizers: Tokenizers, most: int = 60_000) -> None:
         self.tokenizers, self.most = tokenizers, most
         self.kept: dict[str, tuple | None] = {}
         self.older: dict[str, tuple | None] = {}
@@ -164,7 +164,7 @@ class Aligner:
         for i, p in enumerate(new, 1):
             lacking.append(p)
             size += len(p)
-            if size > 500_000 or i == len(new):
+            if size > 200_000 or i == len(new):
                 for q, found in zip(lacking, self.aligned(lacking)):
                     (kept if len(q) <= LONGEST else long)[q] = found
                 lacking, size = [], 0
@@ -229,8 +229,8 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return stage_table(counts.join(F.broadcast(top), b == F.col("_b")).select("pair", "count", (F.col("count") == F.col("_top")).alias("best")), "counts")
 
 
-def linked(docs: DataFrame, source: bytes, model: bytes, key: str = "doc_id", table: int = 1 << 17) -> DataFrame:
-    """``align`` with what the corpus says of each text's links.
+def linked(docs: DataFrame, source: bytes, model: bytes, key: str = "doc_id", table: int = 1 << 17, keep: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
+    """``align`` with what the corpus says of each text's links. ``keep`` says what of ``groups`` goes on, all or a digest.
 
     ``align``'s columns without pairs, and n_links, n_best (links whose pair has the highest count of
     its B id over the corpus, ties included) and count_sum (counts of the linked pairs over all links).
@@ -238,7 +238,7 @@ def linked(docs: DataFrame, source: bytes, model: bytes, key: str = "doc_id", ta
     pairs; no documents give no rows.
     """
     with arrow_rows(docs.sparkSession, 500):
-        aligned = stage_table(align(docs, source, model, key).withColumn("_row", F.monotonically_increasing_id()), "aligned")
+        aligned = stage_table(align(docs, source, model, key).withColumn("groups", keep(F.col("groups"))).withColumn("_row", F.monotonically_increasing_id()), "aligned")
     counts = pair_counts(aligned)
     step = F.floor(F.log2("count") * 16)
     least, held = 1 << 30, 0

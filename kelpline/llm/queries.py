@@ -127,9 +127,9 @@ def op11_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal groups of the two vocabularies' tokens in every document, and how usual its links are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = alignment.linked(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    found = alignment.linked(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=digest)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
 
 
 QUERIES = {
