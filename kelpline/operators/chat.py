@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpline.operators.groups import with_aggregates
+
 
 def prompts(messages: DataFrame, template: str = "<|{role}|>\n{text}\n", suffix: str = "<|assistant|>\n") -> DataFrame:
     """One prompt per conversation: its turns in order through the template, then the suffix that asks for an answer."""
@@ -22,6 +24,6 @@ def without_prompt(output: Column, prompt: Column) -> Column:
 
 
 def padded(df: DataFrame, ids: str, group: str, pad: int = 0) -> DataFrame:
-    """``ids`` filled up on the left to the longest of its group."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(group))
-    return df.withColumn(ids, F.concat(F.array_repeat(F.lit(pad).cast("int"), longest - F.size(ids)), F.col(ids)))
+    """``ids`` filled up on the left to the longest of its group. The longest are partial maxima that meet the rows in a join; null stays null."""
+    known = with_aggregates(df, group, _longest=F.max(F.size(ids)))
+    return known.withColumn(ids, F.concat(F.array_repeat(F.lit(pad).cast("int"), F.col("_longest") - F.size(ids)), F.col(ids))).drop("_longest")

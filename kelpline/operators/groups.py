@@ -30,15 +30,15 @@ def long_series(df: DataFrame, most: int = LONG) -> DataFrame:
     return df.groupBy("series_id").agg(F.count(F.lit(1)).alias("_size"), F.min(fine).alias("_low"), F.max(fine).alias("_high")).filter(F.col("_size") > most)
 
 
-def placed(df: DataFrame, most: int = LONG, out: str = "n") -> DataFrame:
+def placed(df: DataFrame, most: int | None = LONG, out: str = "n") -> DataFrame:
     """``df`` with ``out``, the place of a row in its series from 1, by time and event.
 
     Long series are cut into stretches of equal time, as many as hold ``most`` rows each at an even
     cadence; places are counted inside a stretch and the rows of earlier ones added. Null times come
-    first and NaN last.
+    first and NaN last. ``most`` is None where it is known that no series is long; else a job asks.
     """
-    hot = long_series(df, most)
-    if hot.isEmpty():
+    hot = long_series(df, most) if most else None
+    if hot is None or hot.isEmpty():
         return df.withColumn(out, F.row_number().over(in_order()))
     return _placed_in_stretches(df, hot, most, out)
 
@@ -57,14 +57,15 @@ def _placed_in_stretches(df: DataFrame, hot: DataFrame, most: int, out: str) ->
     return joined.withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_s", "_p", "_before", "_inside")
 
 
-def over_series(df: DataFrame, reach: int, body: Callable[[DataFrame, WindowSpec], DataFrame], most: int = LONG) -> DataFrame:
+def over_series(df: DataFrame, reach: int, body: Callable[[DataFrame, WindowSpec], DataFrame], most: int | None = LONG) -> DataFrame:
     """``body`` of ``df`` and a window over each series in order, for frames of up to ``reach`` rows either way.
 
     Long series are dealt over blocks of ``most`` consecutive rows, each with the ``reach`` rows
-    before and after it; ``body`` must keep all columns, and its results for those rows go.
+    before and after it; ``body`` must keep all columns, and its results for those rows go. ``most`` is
+    as for ``placed``.
     """
-    hot = long_series(df, most)
-    if hot.isEmpty():
+    hot = long_series(df, most) if most else None
+    if hot is None or hot.isEmpty():
         return body(df, in_order())
     return own_rows(body(blocks(_placed_in_stretches(df, hot, most, "_n"), reach, most), Window.partitionBy("series_id", "_block").orderBy("_n")))
 

@@ -43,7 +43,7 @@ def attention_pool(df: DataFrame, score: Column, value: str = "value", activatio
     return shifted.groupBy("series_id").agg((F.sum(F.col("_e") * F.col(value)) / F.sum("_e")).alias("pooled"), (F.max("_e") / F.sum("_e")).alias("top_weight"))
 
 
-def conv1d_channels(df: DataFrame, weights: list, bias: list[float], value: str = "x", out: str = "y", most: int = LONG) -> DataFrame:
+def conv1d_channels(df: DataFrame, weights: list, bias: list[float], value: str = "x", out: str = "y", most: int | None = LONG) -> DataFrame:
     """``conv1d`` over arrays of channels, then ReLU; ``weights`` by output, input channel and place."""
     n_in = len(weights[0])
     rows = F.array(*(F.array(*(F.lit(float(by_input[c][t])) for t in range(3) for c in range(n_in))) for by_input in weights))
@@ -57,7 +57,7 @@ def conv1d_channels(df: DataFrame, weights: list, bias: list[float], value: str
     return over_series(df, 1, body, most)
 
 
-def maxpool1d_channels(df: DataFrame, value: str = "y", most: int = LONG) -> DataFrame:
+def maxpool1d_channels(df: DataFrame, value: str = "y", most: int | None = LONG) -> DataFrame:
     """``maxpool1d`` of each channel of an array: series_id, place, pooled."""
     pairs = placed(df, most).withColumn("place", F.floor((F.col("n") - 1) / 2.0))
     both = pairs.groupBy("series_id", "place").agg(F.collect_list(value).alias("both")).filter("size(both) = 2")

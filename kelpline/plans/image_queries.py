@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.functions.columns import erf_sql
-from kelpline.operators import images, wavelet
-from kelpline.operators.groups import with_aggregates
+from kelpline.functions.columns import erf_sql, quantize_u8
+from kelpline.operators import coding, images, normalize, wavelet
+from kelpline.operators.groups import placed
 from kelpline.plans import series_queries
 from kelpline.sources.sinks import recorded, write_by_label
 
@@ -106,7 +106,24 @@ def squeeze_excite(spark, d):
     return by_pixel(images.inverted_bottleneck(stem(spark, d), weights), 4)
 
 
-QUERIES = {f.__name__: f for f in (scalogram_rgb, image_resize, image_letterbox, convnext_stem, window_attention, patch_merging, squeeze_excite)}
+def matrices(spark: SparkSession, d: str) -> DataFrame:
+    """The matrices of time, scaled value and ratio of every series, as byte images of three columns."""
+    rows = placed(normalize.ratio(series_queries.scaled(spark, d)))
+    return rows.select(F.col("series_id").alias("image"), (F.col("n") - 1).alias("y"), F.lit(0).alias("x"), F.array(*(quantize_u8(F.col(c)).cast("int") for c in ("t", "scaled", "ratio"))).alias("values"))
+
+
+def block_coding(spark, d):
+    """Blocks of the matrices as runs of coefficients, and how far decoding is off at most."""
+    cut = coding.blocks(matrices(spark, d))
+    code = coding.coded(cut)
+    back = coding.decoded(code).select("image", "block_y", "block_x", F.col("pixels").alias("again"))
+    off = F.array_max(F.zip_with("pixels", "again", lambda a, b: F.abs(a - b)))
+    met = code.join(cut.select("image", "block_y", "block_x", "pixels"), ["image", "block_y", "block_x"]).join(back, ["image", "block_y", "block_x"])
+    text = F.array_join(F.transform("code", lambda r: F.concat_ws(":", r["run"].cast("string"), r["value"].cast("string"))), " ")
+    return met.select(F.col("image").alias("series_id"), "block_y", "block_x", text.alias("code"), F.round(off, 4).alias("off"))
+
+
+QUERIES = {f.__name__: f for f in (scalogram_rgb, image_resize, image_letterbox, convnext_stem, window_attention, patch_merging, squeeze_excite, block_coding)}
 
 # Intensities as an image i: series_id, y, x, v, with the height h and width w.
 I = series_queries.S + series_queries.ALL + """, i AS (SELECT series_id, scale::BIGINT - 1 AS y, n - 1 AS x, coalesce(0.5 + power / nullif(2 * max(power) OVER (PARTITION BY series_id), 0), 0.5) AS v,
@@ -172,7 +189,23 @@ GATE = f""", t AS (SELECT series_id, y, x, list(v ORDER BY o) AS f FROM s0 GROUP
   d AS (SELECT series_id, y, x, o, sum(v * g[c + 1] * {FIX.format('c * 4 + o')}) AS v FROM a JOIN g USING (series_id), (SELECT unnest(range(4)) AS o) GROUP BY ALL)
   SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, o::INT AS channel, round(d.v + s0.v, 5) AS v FROM d JOIN s0 USING (series_id, y, x, o)"""
 FIT = "greatest(1, floor({} * least(96 / w::DOUBLE, 96 / h::DOUBLE)))::BIGINT"
+BYTES = ", ".join(f"{series_queries.U8.format(x=x)} AS u{i}" for i, x in enumerate(("t", "scaled", "(t / nullif(scaled, 0))")))
+TABLE = ", ".join(map(str, coding.steps().ravel().tolist()))
+BLOCKS = series_queries.S + f""", u AS (SELECT series_id, n, max(n) OVER (PARTITION BY series_id) AS rows, {BYTES} FROM m),
+  g AS (SELECT series_id, rows, unnest(range((rows + 7) // 8 * 8)) AS y FROM (SELECT DISTINCT series_id, rows FROM u)),
+  x AS (SELECT g.series_id, y // 8 AS block_y, y % 8 AS y, unnest(range(8)) AS x, [u0, u1, u2] AS p FROM g JOIN u ON u.series_id = g.series_id AND u.n = least(y, g.rows - 1) + 1),
+  pix AS (SELECT series_id, block_y, y, x, p[least(x, 2) + 1] AS p FROM x),
+  k AS (SELECT unnest(range(8)) AS f), kk AS (SELECT a.f AS u, b.f AS v, row_number() OVER (ORDER BY a.f + b.f, CASE WHEN (a.f + b.f) % 2 = 1 THEN a.f ELSE -a.f END) - 1 AS z, [{TABLE}][a.f * 8 + b.f + 1] AS q FROM k a, k b),
+  c0 AS (SELECT series_id, block_y, u, v, z, q, sum((p - 128) * cos((2 * y + 1) * u * pi() / 16) * cos((2 * x + 1) * v * pi() / 16)) * any_value(CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END * CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END) / 4 AS c
+    FROM pix, kk GROUP BY ALL),
+  c AS (SELECT *, round_even(round(c, 6) / q, 0)::INT AS value FROM c0),
+  r AS (SELECT *, z - coalesce(lag(z) OVER (PARTITION BY series_id, block_y ORDER BY z), -1) - 1 AS run FROM c WHERE value <> 0),
+  t AS (SELECT series_id, block_y, string_agg(run || ':' || value, ' ' ORDER BY z) AS code FROM r GROUP BY ALL),
+  b AS (SELECT pix.series_id, pix.block_y, y, x, any_value(p) AS p, 128 + sum(value * q * cos((2 * y + 1) * u * pi() / 16) * cos((2 * x + 1) * v * pi() / 16) * CASE WHEN u = 0 THEN sqrt(0.5) ELSE 1 END * CASE WHEN v = 0 THEN sqrt(0.5) ELSE 1 END) / 4 AS again
+    FROM pix JOIN c USING (series_id, block_y) GROUP BY ALL)
+  SELECT series_id, block_y::BIGINT AS block_y, 0::BIGINT AS block_x, coalesce(any_value(code), '') AS code, round(max(abs(p - again)), 4) AS off FROM b LEFT JOIN t USING (series_id, block_y) GROUP BY ALL"""
 ORACLES = {
+    "block_coding": BLOCKS,
     "scalogram_rgb": I + RGB + " SELECT series_id % 6 AS label, series_id, (y + 1)::INT AS scale, r, g, b, count(*) AS n FROM p GROUP BY ALL",
     "image_resize": I + resize_sql("224", "224", 1) + EDGES.format("z"),
     "image_letterbox": I + resize_sql(FIT.format("h"), FIT.format("w"), 3) + """, f AS (SELECT series_id, y + (96 - high) // 2 AS y, x + (96 - wide) // 2 AS x, v FROM z),

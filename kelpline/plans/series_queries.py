@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.columns import quantize_u8, relu
 from kelpline.operators import normalize, sequence, wavelet
-from kelpline.operators.groups import placed, with_aggregates
+from kelpline.operators.groups import LONG, long_series, placed, with_aggregates
 from kelpline.sources.sinks import image_name, scratch, write_curves
-from kelpline.sources.tables import CLASSES, curve_files, features, positional, series, table, wide_csv
+from kelpline.sources.tables import CLASSES, curve_tables, features, positional, series, table, wide_csv
 from kelpline.streaming.windows import window_stats
 
 SCALES = (1, 2, 4, 8, 16)
@@ -43,16 +43,16 @@ def scan_curves(spark, d):
     folder = scratch(spark, "curves")
     names = F.array(*map(F.lit, CLASSES))
     write_curves(series(spark, d).withColumn("class", F.element_at(names, (F.pmod("series_id", F.lit(len(CLASSES))) + 1).cast("int"))), folder)
-    read = normalize.minmax(curve_files(spark, folder, "*/*/*.csv"))
-    number = F.regexp_extract("series_id", "series=([0-9]+)/", 1).cast("long")
-    return read.select("label", number.alias("series_id"), r6("t"), "value", r6("scaled"))
+    read = normalize.minmax(curve_tables(spark, folder))
+    return read.select("label", "series_id", r6("t"), "value", r6("scaled"))
 
 
 def scan_wide(spark, d):
-    """Features as one wide CSV table, read by position; the whole row comes back."""
+    """Features as one wide CSV table, as wide as its longest row, read by position; the whole row comes back."""
     folder, rows = scratch(spark, "wide"), features(spark, d)
-    rows.select("label", *(F.col("features")[i].alias(f"flux{i}") for i in range(64))).write.option("header", True).csv(folder)
-    return wide_csv(spark, folder, 64).select("label", *(F.round(F.col("features")[i], 6).alias(f"x{i}") for i in range(64)))
+    width = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    rows.select("label", *(F.get("features", F.lit(i)).alias(f"flux{i}") for i in range(width))).write.option("header", True).csv(folder)
+    return wide_csv(spark, folder, width).select("label", *(F.round(F.col("features")[i], 6).alias(f"x{i}") for i in range(width)))
 
 
 def label_encode(spark, d):
@@ -139,11 +139,13 @@ def stack_weights(n_in: int, n_out: int) -> tuple[list, list[float]]:
 def convolved(spark: SparkSession, d: str, first: int = 2) -> DataFrame:
     """Three convolutions with ReLU, of ``first``, 2 and 4 times as many channels, the first two pooled: series_id, t, event_id, x (array)."""
     x = scaled(spark, d).select("series_id", "t", "event_id", F.array(F.coalesce("scaled", F.lit(0.0))).alias("x"))
+    # Asked once, of the table: no layer makes a series longer.
+    most = None if long_series(series(spark, d)).isEmpty() else LONG
     n_in = 1
     for n_out in (first, 2 * first):
-        y = sequence.maxpool1d_channels(sequence.conv1d_channels(x, *stack_weights(n_in, n_out)))
+        y = sequence.maxpool1d_channels(sequence.conv1d_channels(x, *stack_weights(n_in, n_out), most=most), most=most)
         x, n_in = y.select("series_id", F.col("place").cast("double").alias("t"), F.col("place").alias("event_id"), F.col("pooled").alias("x")), n_out
-    last = sequence.conv1d_channels(x, *stack_weights(n_in, 4 * first))
+    last = sequence.conv1d_channels(x, *stack_weights(n_in, 4 * first), most=most)
     return last.select("series_id", "t", "event_id", F.col("y").alias("x"))
 
 

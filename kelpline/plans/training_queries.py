@@ -106,8 +106,9 @@ def stochastic_depth(spark, d, rate: float = 0.2, mode: str = "row"):
 
 
 def flatten_matrix(spark, d):
-    """Each feature vector cut into 8 rows and flattened again."""
-    rows = features(spark, d).withColumn("m", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("features", i * 8 + 1, 8)))
+    """Each feature vector cut into rows of 8, the last as long as it comes, and flattened again."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("features") - 1) / 8.0).cast("int")), lambda i: F.slice("features", i * 8 + 1, 8))
+    rows = features(spark, d).withColumn("m", F.when(F.size("features") > 0, cut))
     flat = F.flatten("m")
     return rows.select("id", F.size(flat).alias("n"), F.posexplode(flat).alias("place", "x")).withColumn("x", F.round("x", 6))
 

@@ -48,6 +48,8 @@ def recorded(spark: SparkSession, source: str, name: str, make: Callable[[str],
 
 
 def write_curves(df: DataFrame, path: str) -> None:
-    """``df`` (class, series_id, t, value) as CSV with a header, a directory for each class and in it one for each series."""
-    rows = df.select("class", F.col("series_id").alias("series"), "t", "value").repartition("class", "series").sortWithinPartitions("class", "series", "t")
-    rows.write.partitionBy("class", "series").option("header", True).csv(path)
+    """``df`` (class, series_id, t, value) as CSV with a header, a directory for each class, many series to a file: t, value, series.
+
+    Rows without class go to the directory that Spark has for null.
+    """
+    df.select("class", "t", "value", F.col("series_id").alias("series")).write.partitionBy("class").option("header", True).csv(path)

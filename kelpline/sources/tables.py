@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 #: Class directories and their labels.
 CLASSES = {"T2CEP": 0, "RR": 1, "HYB": 2, "GDOR": 3, "EB": 4, "DSCT": 5}
 CURVE = T.StructType([T.StructField("t", T.DoubleType()), T.StructField("value", T.DoubleType())])
+CURVES = T.StructType([*CURVE.fields, T.StructField("series", T.LongType())])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,14 @@ def curve_files(spark: SparkSession, root: str, files: str = "*/*.csv") -> DataF
     return rows.select(F.try_element_at(held, folder).alias("label"), below.alias("series_id"), "t", "value")
 
 
+def curve_tables(spark: SparkSession, root: str) -> DataFrame:
+    """CSV files of many curves each, as ``write_curves`` writes them: label, series_id, t, value. A null series or class is null again."""
+    rows = spark.read.schema(CURVES).option("header", True).option("enforceSchema", True).csv(f"{root}/*/*.csv").select("*", F.col("_metadata.file_path").alias("path"))
+    held = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
+    folder = F.regexp_extract("path", "([^/=]+)/[^/]+$", 1)
+    return rows.select(F.try_element_at(held, folder).alias("label"), F.col("series").alias("series_id"), "t", "value")
+
+
 def wide_csv(spark: SparkSession, path: str, width: int) -> DataFrame:
     """A CSV of a label and ``width`` features by position: label, features (array<double>)."""
     schema = T.StructType([T.StructField("label", T.IntegerType()), *(T.StructField(f"f{i}", T.DoubleType()) for i in range(width))])
