@@ -42,7 +42,7 @@ def scan_curves(spark, d):
     """Events as CSV files by class directory, read in one scan into labelled, scaled curves."""
     folder = scratch(spark, "curves")
     names = F.array(*map(F.lit, CLASSES))
-    write_curves(series(spark, d).withColumn("class", F.element_at(names, (F.pmod("series_id", F.lit(len(CLASSES))) + 1).cast("int"))), folder)
+    write_curves(series(spark, d).withColumn("class", F.get(names, F.pmod("series_id", F.lit(len(CLASSES))).cast("int"))), folder)
     read = normalize.minmax(curve_tables(spark, folder))
     return read.select("label", "series_id", r6("t"), "value", r6("scaled"))
 
@@ -94,7 +94,7 @@ def stack_features(spark, d):
 def quantize(spark, d):
     rows = normalize.ratio(scaled(spark, d))
     held = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
-    label = F.element_at(F.map_values(held), (F.pmod("series_id", F.lit(len(CLASSES))) + 1).cast("int"))
+    label = F.get(F.map_values(held), F.pmod("series_id", F.lit(len(CLASSES))).cast("int"))
     return rows.select("event_id", image_name(label, F.concat(F.col("series_id").cast("string"), F.lit(".csv"))).alias("file"), *(quantize_u8(F.col(c)).cast("int").alias(o) for c, o in (("t", "u0"), ("scaled", "u1"), ("ratio", "u2"))))
 
 
