@@ -106,7 +106,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", least_words: int = LEAS
     # Written out, so that the join reads both sides from plain exchanges, of which Spark splits the one that holds a very common run.
     firsts = stage_table(runs.groupBy(*name).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "firsts")
     later = runs.join(firsts, name).filter(place > F.col("first"))
-    return later.groupBy("doc", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("idxs")))).alias("removed"))
+    # A line lies in many runs; its places are made distinct before a document's meet.
+    lines = later.select("doc", "mark", F.explode("idxs").alias("idx")).distinct()
+    return lines.groupBy("doc", "mark").agg(F.array_sort(F.collect_list("idx")).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -119,6 +121,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", least_words: int = LEA
     gone = stage_table(repeated_lines(docs, key, least_words), "removed").select(F.col("doc").alias("__gone_doc"), F.col("mark").alias("__gone_mark"), F.col("removed").alias("__gone_removed"))
     plain = docs.drop("n_removed")
     met = plain.join(gone.hint("shuffle_hash"), plain[key].eqNullSafe(gone["__gone_doc"]) & (F.xxhash64(plain["text"]) == gone["__gone_mark"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone_removed", i)), "\n")
+    places = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone_removed"))
+    # Lines are split once, and what stays is found by hash, so the cost is linear in a text's lines.
+    kept = F.transform(F.array(F.split("text", "\n", -1)), lambda lines: F.array_join(F.transform(places(lines), lambda i: F.get(lines, i)), "\n"))[0]
     text = F.when(F.col("__gone_removed").isNull(), F.col("text")).otherwise(kept)
     return met.select(*(text.alias(c) if c == "text" else plain[f"`{c}`"] for c in plain.columns), F.when(F.col("__gone_removed").isNull(), 0).otherwise(F.size("__gone_removed")).cast("long").alias("n_removed"))
