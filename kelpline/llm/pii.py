@@ -127,6 +127,8 @@ def surrogate(kind: Column, entity: Column, at: Column, attempt: int = 0) -> Col
     """A draw for an entity in canonical form, in canonical form too, from the stream of the seed ``at``.
 
     There are few given names; from the second ``attempt`` on they are drawn with a second part.
+    Surnames are a syllable longer with each attempt, so their space grows some thirtyfold and can't run
+    out; addresses take in more reserved ranges from the fifth on.
     """
 
     def letter(base: int):
@@ -142,14 +144,14 @@ def surrogate(kind: Column, entity: Column, at: Column, attempt: int = 0) -> Col
     body = F.substring(numbers(entity, 4), 5, 100)
     rest = F.pmod(F.lit(98) - iban_rest(F.concat(F.substring(entity, 1, 2), F.lit("00"), body)), F.lit(97))
     iban = F.concat(F.substring(entity, 1, 2), F.lpad(F.when(rest < 2, rest + 97).otherwise(rest).cast("string"), 2, "0"), body)
+    pick = lambda words, place: F.array(*map(F.lit, words))[_draw(at, place, len(words))]
     ssn = F.concat(F.lit("9"), *(_digit(at, i) for i in range(8)))
-    ip = F.concat_ws(".", (240 + _draw(at, 0, 16)).cast("string"), *(_draw(at, i, 256).cast("string") for i in (1, 2, 3)))
+    ip = F.concat_ws(".", (240 + _draw(at, 0, 16) if attempt < 4 else pick([0, 10, 127, *range(224, 256)], 0)).cast("string"), *(_draw(at, i, 256).cast("string") for i in (1, 2, 3)))
     phone = numbers(entity, F.greatest(F.length(entity) - 10, F.lit(1)))
     gender = F.substring(entity, 1, 1)
-    pick = lambda words, place: F.array(*map(F.lit, words))[_draw(at, place, len(words))]
     by_script = lambda made: reduce(lambda other, s: F.when(entity.rlike(SCRIPTS[s]), made(s)).otherwise(other), SCRIPTS, made("latin"))
     given = by_script(lambda s: F.when(gender == "m", pick(GIVEN["m", s], 0)).otherwise(pick(GIVEN["f", s], 0)))
-    surname = by_script(lambda s: F.initcap(F.concat(*(pick(SYLLABLES[s], 1 + i) for i in range(4)))))
+    surname = by_script(lambda s: F.initcap(F.concat(*(pick(SYLLABLES[s], 1 + i) for i in range(4 + attempt)))))
     name = F.concat(gender, F.lit(":"), F.lower(F.when(F.instr(entity, " ") > 0, F.concat_ws(" ", given, surname)).otherwise(surname)))
     first = given if attempt == 0 else F.concat_ws("-", given, surname)
     made = F.when(kind == "given", F.concat(gender, F.lit(":"), F.lower(first))).when(kind == "family", F.lower(surname)).when(kind == "email", F.concat_ws("@", local, domain)).when(kind == "name", name).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", ssn).otherwise(card)
@@ -175,14 +177,17 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Each round the entities without a surrogate draw; a draw is kept if it is no real entity, no
     kept surrogate, and the first by entity among equal draws. Raises RuntimeError if some are left
-    after ROUNDS rounds, which means that a layout has too few values for its entities.
+    after ROUNDS rounds, which means that a layout of numbers has too few values for its entities; names
+    can't run out.
     """
+    # A row of its own, because the plan's text, which logs keep, would hold a literal.
+    secret = entities.sparkSession.createDataFrame([(key,)], "_key string")
     entities = stage_table(entities, "entities")
     real = entities.select("kind", F.col("entity").alias("made"))
     open_, kept = entities, None
     for attempt in range(ROUNDS):
-        inner = F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "entity", F.lit(str(attempt))), 256)
-        seeded = open_.withColumn("_seed", F.sha2(F.concat(F.lit(key), inner), 256))
+        inner = F.sha2(F.concat_ws("\x1f", "_key", "kind", "entity", F.lit(str(attempt))), 256)
+        seeded = open_.crossJoin(F.broadcast(secret)).withColumn("_seed", F.sha2(F.concat("_key", inner), 256))
         drawn = seeded.select("kind", "entity", surrogate(F.col("kind"), F.col("entity"), F.col("_seed"), attempt).alias("made"))
         same = Window.partitionBy("kind", "made").orderBy("entity")
         fresh = drawn.withColumn("_n", F.row_number().over(same)).filter("_n = 1").drop("_n").join(real, ["kind", "made"], "left_anti")

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kelpline.llm import alignment, context_tree, filter_audit, queries
+from kelpline.llm import alignment, context_tree, filter_audit, pii, queries
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -337,3 +337,21 @@ def test_held_values_are_found():
     at = held.find(keys)
     assert (held.values[at[::2]] == keys[::2] * 0.5).all() and (at[1::2] == -1).all()
     assert (context_tree.Held(keys[:0], keys[:0] * 1.0).find(keys) == -1).all()
+
+
+def test_secret_stays_out_of_plans(spark):
+    docs = spark.createDataFrame([(1, "Dr. Mary Smith wrote to a.b@c.de, and Smith left")], "doc_id long, text string")
+    out = pii.replaced(docs, "hush-hush-4711")
+    assert out.collect()[0]["text"] != "Dr. Mary Smith wrote to a.b@c.de, and Smith left"
+    plans = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended")
+    secret = spark.createDataFrame([("hush-hush-4711",)], "_key string")
+    for frame in (out, docs.crossJoin(F.broadcast(secret)).withColumn("x", F.sha2("_key", 256))):
+        assert "hush" not in frame._jdf.queryExecution().explainString(plans)
+
+
+def test_many_surnames_have_surrogates_of_their_own(spark):
+    names = spark.range(100_000).select(F.lit("family").alias("kind"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("entity"))
+    made = pii.surrogates(names, "s")
+    assert made.count() == 100_000 == made.select("made").distinct().count()
+    spaces = [len(pii.SYLLABLES["latin"]) ** (4 + k) for k in range(pii.ROUNDS)]
+    assert spaces[0] < 2_000_000 < spaces[1] and spaces[4] > 10**11
