@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions.columns import dot, relu
 from kelpline.operators.groups import LONG, over_series, placed, with_aggregates
+from kelpline.sources.sinks import scratch
 
 
 def conv1d(value: str, kernel: tuple[float, float, float], window: WindowSpec, bias: float = 0.0) -> Column:
@@ -73,25 +75,65 @@ def attention_vectors(df: DataFrame, weights: list[float], value: str = "x", act
     return shifted.groupBy("series_id").agg(sums.alias("pooled"), (F.max("_e") / F.sum("_e")).alias("top_weight"))
 
 
-def bilstm(df: DataFrame, hidden: int = 128, layers: int = 1, seed: int = 0, value: str = "x") -> DataFrame:
-    """A bidirectional LSTM with seeded weights over each series of arrays: series_id, steps.
+def bilstm(df: DataFrame, hidden: int = 128, layers: int = 1, seed: int = 0, value: str = "x", block: int = 4096, most: int | None = LONG) -> DataFrame:
+    """A bidirectional LSTM with seeded weights over each series of arrays: series_id, block, steps.
 
-    ``steps`` has the 2 * ``hidden`` outputs of the last layer at each step, forward half first.
-    A recurrence can't be a window function: a series travels as one array, which a task must hold
-    with its outputs, and the series of an Arrow batch go through the recurrence together.
+    ``steps`` has the 2 * ``hidden`` outputs of the last layer at each step of a block of ``block``
+    steps, forward half first; blocks count from 0. A recurrence can't be a window function, so a
+    round goes over one block of every series, with the states that the block before it ended with.
+    A task holds blocks, 64 at a time, not series; series of one block, the usual ones, take one round.
     """
-    kind = df.schema["series_id"].dataType
+    spark, name = df.sparkSession, "recurrence"
+    rows = placed(df.select("series_id", "t", "event_id", F.col(value).alias("x")), most).withColumn("block", F.floor((F.col("n") - 1) / float(block)).cast("long"))
+    held = rows.groupBy("series_id", "block").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("rows"))
+    held = with_aggregates(held, "series_id", last=F.max("block")).select("series_id", "block", "last", F.transform("rows", lambda r: r["x"]).alias("xs"))
+    for layer in range(layers):
+        held = staged(held, name)
+        rounds = (held.agg(F.max("last")).first()[0] or 0) + 1
+        ahead, back = (one_way(held, rounds, hidden, seed + 2 * layer + way, bool(way)) for way in (0, 1))
+        both = F.zip_with("steps", "_steps", lambda a, b: F.concat(a, b))
+        back = back.select(F.col("series_id").alias("_id"), F.col("block").alias("_block"), F.col("steps").alias("_steps"))
+        held = ahead.join(back, ahead["series_id"].eqNullSafe(back["_id"]) & (F.col("block") == F.col("_block"))).select("series_id", "block", "last", both.alias("xs"))
+    return held.select("series_id", "block", F.col("xs").alias("steps"))
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that a later round doesn't make it anew."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_way(held: DataFrame, rounds: int, hidden: int, seed: int, turned: bool) -> DataFrame:
+    """One direction over blocks (series_id, block, last, xs): series_id, block, last, steps."""
+    kind = held.schema["series_id"].dataType
+    schema = f"series_id {kind.simpleString()}, block long, last long, steps array<array<double>>, h array<double>, c array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                found = [y.tolist() for y in bilstm_outputs([np.array(x, "f8") for x in part.column(1).to_pylist()], hidden, layers, seed)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.list_(pa.float64())))], ["series_id", "steps"])
-
-    arrays = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", F.col(value).alias("x")))).alias("rows"))
-    xs = arrays.select("series_id", F.transform("rows", lambda r: r["x"]).alias("xs"))
-    return xs.mapInArrow(run, f"series_id {kind.simpleString()}, steps array<array<double>>")
+                xs = [np.array(x, "f8") for x in part.column(3).to_pylist()]
+                xs = [x[::-1] if turned else x for x in xs]
+                states = [np.array([s or [0.0] * hidden for s in part.column(i).to_pylist()]) for i in (4, 5)]
+                out, h, c = recur(xs, *weights(xs[0].shape[1], hidden, seed), *states)
+                steps = [(y[::-1] if turned else y).tolist() for y in out]
+                made = [pa.array(steps, pa.list_(pa.list_(pa.float64()))), *(pa.array(s.tolist(), pa.list_(pa.float64())) for s in (h, c))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *made], ["series_id", "block", "last", "steps", "h", "c"])
+
+    order = F.col("last") - F.col("block") if turned else F.col("block")
+    parts, states = [], None
+    for k in range(rounds):
+        now = held.filter(order == k).select("series_id", "block", "last", "xs")
+        if states is None:
+            none = F.lit(None).cast("array<double>")
+            now = now.select("*", none.alias("h"), none.alias("c"))
+        else:
+            before = states.select(F.col("series_id").alias("_id"), "h", "c")
+            now = now.join(before, now["series_id"].eqNullSafe(before["_id"]), "left").drop("_id")
+        states = staged(now.mapInArrow(run, schema), "recurrence")
+        parts.append(states.drop("h", "c"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def weights(n_in: int, hidden: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,29 +141,20 @@ def weights(n_in: int, hidden: int, seed: int) -> tuple[np.ndarray, np.ndarray,
     return tuple(draw.uniform(-bound, bound, shape) for shape in ((n_in, 4 * hidden), (hidden, 4 * hidden), (4 * hidden,)))
 
 
-def bilstm_outputs(series: list[np.ndarray], hidden: int, layers: int, seed: int) -> list[np.ndarray]:
-    """Outputs of the last layer for series of different lengths, each an array of steps by channels."""
-    lengths = [len(x) for x in series]
-    for layer in range(layers):
-        halves = []
-        for way in (0, 1):
-            drawn = weights(series[0].shape[1], hidden, seed + 2 * layer + way)
-            turned = [x[::-1] if way else x for x in series]
-            padded = np.zeros((len(series), max(lengths), series[0].shape[1]))
-            for row, x in zip(padded, turned):
-                row[: len(x)] = x  # what follows a series doesn't reach back into it
-            out = recur(padded, *drawn, hidden)
-            halves.append([y[:n][::-1] if way else y[:n] for y, n in zip(out, lengths)])
-        series = [np.concatenate(x, axis=1) for x in zip(*halves)]
-    return series
-
-
-def recur(x: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, hidden: int) -> np.ndarray:
-    """Hidden states of series by step by channel; gates in the order input, forget, cell, output."""
-    h, c, out = np.zeros((len(x), hidden)), np.zeros((len(x), hidden)), np.empty((*x.shape[:2], hidden))
+def recur(series: list[np.ndarray], w: np.ndarray, u: np.ndarray, b: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hidden states of series of different lengths (steps by channels), from the states ``h`` and ``c`` on, and the states each ends with.
+
+    Gates are in the order input, forget, cell, output.
+    """
+    lengths = np.array([len(x) for x in series])
+    x = np.zeros((len(series), lengths.max(), series[0].shape[1]))
+    for row, own in zip(x, series):
+        row[: len(own)] = own
+    out = np.empty((*x.shape[:2], len(u)))
     for k in range(x.shape[1]):
         i, f, g, o = np.split(x[:, k] @ w + h @ u + b, 4, axis=1)
         i, f, o = (1 / (1 + np.exp(-z)) for z in (i, f, o))
-        c = f * c + i * np.tanh(g)
-        out[:, k] = h = o * np.tanh(c)
-    return out
+        going = (k < lengths)[:, None]
+        c = np.where(going, f * c + i * np.tanh(g), c)
+        out[:, k] = h = np.where(going, o * np.tanh(c), h)
+    return [y[:n] for y, n in zip(out, lengths)], h, c

@@ -173,7 +173,8 @@ def attention_vectors(spark, d):
 def lstm_forward(spark, d):
     """Output at the last step of two bidirectional layers after the convolutions, all of it."""
     steps = sequence.bilstm(convolved(spark, d), hidden=8, layers=2)
-    last = steps.select("series_id", F.size("steps").alias("n_steps"), F.posexplode(F.element_at("steps", -1)).alias("place", "h"))
+    ends = steps.groupBy("series_id").agg(F.sum(F.size("steps")).cast("int").alias("n_steps"), F.max_by(F.element_at("steps", -1), "block").alias("end"))
+    last = ends.select("series_id", "n_steps", F.posexplode("end").alias("place", "h"))
     return last.withColumn("h", r6("h"))
 
 

@@ -215,12 +215,16 @@ def test_bilstm_against_a_plain_loop(spark):
             out.append(h)
         return np.array(out)
 
-    got = {r["series_id"]: np.array(r["steps"]) for r in sequence.bilstm(df, hidden, 2, 4).collect()}
-    for k, x in series.items():
-        for layer in range(2):
-            ahead, back = (sequence.weights(x.shape[1], hidden, 4 + 2 * layer + way) for way in (0, 1))
-            x = np.hstack([one_way(x, *ahead), one_way(x[::-1], *back)[::-1]])
-        assert np.allclose(got[k], x)
+    for block in (2, 4096):
+        found = {}
+        for r in sequence.bilstm(df, hidden, 2, 4, block=block).collect():
+            found.setdefault(r["series_id"], {})[r["block"]] = r["steps"]
+        got = {k: np.concatenate([blocks[i] for i in range(len(blocks))]) for k, blocks in found.items()}
+        for k, x in series.items():
+            for layer in range(2):
+                ahead, back = (sequence.weights(x.shape[1], hidden, 4 + 2 * layer + way) for way in (0, 1))
+                x = np.hstack([one_way(x, *ahead), one_way(x[::-1], *back)[::-1]])
+            assert np.allclose(got[k], x) and len(found[k]) == -(-len(x) // block)
     # At the last step the backward half has read the last row only.
     w, u, b = sequence.weights(2, hidden, 4 + 1)
     assert np.allclose(np.array({r["series_id"]: r["steps"] for r in sequence.bilstm(df, hidden, 1, 4).collect()}[3])[-1, hidden:], one_way(series[3][-1:], w, u, b)[0])
