@@ -165,7 +165,7 @@ CONVNEXT = f""",
   s4 AS (SELECT series_id, y, x, u, 0.5 * t * sqrt(2) * (1 + {erf_sql('t')}) AS t FROM s3),
   s5 AS (SELECT series_id, y, x, o, sum(t * {FIX.format('u * 4 + o')}) AS add FROM s4, (SELECT unnest(range(4)) AS o) GROUP BY ALL),
   s6 AS (SELECT series_id, y, x, o, own + add AS v, h, w FROM s2 JOIN s5 USING (series_id, y, x, o))
-  SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(v * {FIX.format('((y % 2 * 2 + x % 2) * 4 + o) * 8 + e')}), 5) AS v
+  SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(v * {FIX.format('((y % 2 * 2 + x % 2) * 4 + o) * 8 + e')}), 5) + 0.0 AS v
     FROM s6, (SELECT unnest(range(8)) AS e) WHERE y // 2 < h // 2 AND x // 2 < w // 2 GROUP BY ALL"""
 # Tokens by series, y, x with lists q, k, v of their channels; a window's pairs meet by an equal join, regions and all.
 LINEAR = "list_transform(range({n}), lambda j: list_sum(list_transform(range({m}), lambda i: {x}[i + 1] * " + FIX.format("i * {n} + j") + ")))"
@@ -178,7 +178,7 @@ ATTENTION = f""", t AS (SELECT series_id, y, x, any_value(h) AS h, any_value(w)
   o2 AS (SELECT series_id, y, x, e, any_value(f) AS f, sum(g * 2 * v[2 * e + 1]) / sum(g) AS a, sum(g * 2 * v[2 * e + 2]) / sum(g) AS b FROM e2 GROUP BY ALL),
   h2 AS (SELECT series_id, y, x, any_value(f) AS f, flatten(list([a, b] ORDER BY e)) AS c FROM o2 GROUP BY ALL),
   z2 AS (SELECT *, {LINEAR.format(n=4, m=4, x='c')} AS d FROM h2)
-  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, unnest(range(4))::INT AS channel, round(unnest(list_transform(range(4), lambda i: f[i + 1] + d[i + 1])), 5) AS v FROM z2"""
+  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, unnest(range(4))::INT AS channel, round(unnest(list_transform(range(4), lambda i: f[i + 1] + d[i + 1])), 5) + 0.0 AS v FROM z2"""
 SWISH = "{0} / (1 + exp(-({0})))"
 GATE = f""", t AS (SELECT series_id, y, x, list(v ORDER BY o) AS f FROM s0 GROUP BY ALL),
   u0 AS (SELECT series_id, y, x, unnest(range(8)) AS c, unnest({LINEAR.format(n=8, m=4, x='f')}) AS v FROM t), u AS (SELECT * EXCLUDE (v), {SWISH.format('v')} AS v FROM u0),
@@ -187,7 +187,7 @@ GATE = f""", t AS (SELECT series_id, y, x, list(v ORDER BY o) AS f FROM s0 GROUP
   m0 AS (SELECT series_id, c, avg(v) AS m FROM a GROUP BY ALL), mm AS (SELECT series_id, list(m ORDER BY c) AS m FROM m0 GROUP BY ALL),
   g0 AS (SELECT series_id, list_transform({LINEAR.format(n=2, m=8, x='m')}, lambda z: {SWISH.format('z')}) AS z FROM mm), g AS (SELECT series_id, list_transform({LINEAR.format(n=8, m=2, x='z')}, lambda z: 1 / (1 + exp(-z))) AS g FROM g0),
   d AS (SELECT series_id, y, x, o, sum(v * g[c + 1] * {FIX.format('c * 4 + o')}) AS v FROM a JOIN g USING (series_id), (SELECT unnest(range(4)) AS o) GROUP BY ALL)
-  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, o::INT AS channel, round(d.v + s0.v, 5) AS v FROM d JOIN s0 USING (series_id, y, x, o)"""
+  SELECT series_id, y::BIGINT AS y, x::BIGINT AS x, o::INT AS channel, round(d.v + s0.v, 5) + 0.0 AS v FROM d JOIN s0 USING (series_id, y, x, o)"""
 FIT = "greatest(1, floor({} * least(96 / w::DOUBLE, 96 / h::DOUBLE)))::BIGINT"
 BYTES = ", ".join(f"{series_queries.U8.format(x=x)} AS u{i}" for i, x in enumerate(("t", "scaled", "(t / nullif(scaled, 0))")))
 TABLE = ", ".join(map(str, coding.steps().ravel().tolist()))
@@ -214,6 +214,6 @@ ORACLES = {
     "window_attention": I + RGB + STEM + ATTENTION,
     "patch_merging": I + RGB + STEM + f""", pm AS (SELECT *, x % 2 * 8 + y % 2 * 4 + o AS c, (v - avg(v) OVER k) / sqrt(var_pop(v) OVER k + 1e-6) AS z FROM s0 WHERE y // 2 < h // 2 AND x // 2 < w // 2
           WINDOW k AS (PARTITION BY series_id, y // 2, x // 2))
-        SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(z * {FIX.format('c * 8 + e')}), 5) AS v FROM pm, (SELECT unnest(range(8)) AS e) GROUP BY ALL""",
+        SELECT series_id, (y // 2)::BIGINT AS y, (x // 2)::BIGINT AS x, e::INT AS channel, round(sum(z * {FIX.format('c * 8 + e')}), 5) + 0.0 AS v FROM pm, (SELECT unnest(range(8)) AS e) GROUP BY ALL""",
     "squeeze_excite": I + RGB + STEM + GATE,
 }

@@ -315,12 +315,12 @@ ORACLES = {
     "batch_assign": "SELECT vec_id AS id, ((row_number() OVER (ORDER BY md5(vec_id || ':0'), vec_id) - 1) // 16)::BIGINT AS batch_id, ceil(count(*) OVER () / 16.0)::BIGINT AS n_batches FROM embeddings",
     "linear_layer": E + "SELECT id, " + ", ".join(f"round(sum(x * (place * {o + 3} % 7 / 10.0::DOUBLE - 0.3::DOUBLE)) + 0.1 * {o}, 6) AS y{o}" for o in range(3)) + " FROM x GROUP BY id",
     "gelu_tanh": "WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events) SELECT event_id, round(0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))), 6) AS y FROM v",
-    "gelu_exact": f"WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events), r AS (SELECT *, x / sqrt(2) AS z FROM v) SELECT event_id, round(0.5 * x * (1 + {C.erf_sql('z')}), 6) AS y FROM r",
+    "gelu_exact": f"WITH v AS (SELECT event_id, value / 50.0 - 1 AS x FROM events), r AS (SELECT *, x / sqrt(2) AS z FROM v) SELECT event_id, round(0.5 * x * (1 + {C.erf_sql('z')}), 6) + 0.0 AS y FROM r",
     "normal_weights": f"""WITH k AS (SELECT DISTINCT label, unnest(range(len(embedding)))::INT AS place FROM embeddings),
         u AS (SELECT *, 2 * {U.format("'init:' || place || ':' || label")} - 1 AS y FROM k), l AS (SELECT *, ln((1 - y) * (1 + y)) AS r FROM u),
         m AS (SELECT *, 2 / (pi() * 0.147) + r / 2 AS m FROM l), x0 AS (SELECT *, sign(y) * sqrt(greatest(sqrt(m * m - r / 0.147) - m, 0)) AS x FROM m),
         {", ".join(f"e{i} AS (SELECT * EXCLUDE (q), x - q / (1 + x * q) AS z FROM (SELECT *, ({C.erf_sql('x')} - y) / (2 / sqrt(pi()) * exp(-(x * x))) AS q FROM x{i})), x{i + 1} AS (SELECT * EXCLUDE (x, z), z AS x FROM e{i})" for i in range(3))}
-        SELECT place, label, round(0.02 * sqrt(2) * x, 8) AS w FROM x3""",
+        SELECT place, label, round(0.02 * sqrt(2) * x, 8) + 0.0 AS w FROM x3""",
     "dropout_mask": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'drop:' + chr(39) + ' || event_id')} >= 0.3 THEN value / 0.7 ELSE 0 END, 6) AS y FROM events",
     "stochastic_depth": f"SELECT event_id, round(CASE WHEN {U.format(chr(39) + 'depth:' + chr(39) + ' || user_id')} >= 0.2 THEN value / 0.8 ELSE 0 END, 6) AS y FROM events",
     "flatten_matrix": E + "SELECT id, 64 AS n, place::INT AS place, round(x, 6) AS x FROM x",
