@@ -42,7 +42,7 @@ def scalogram_rgb(spark, d):
 
     held = spark.read.parquet(recorded(spark, d, "rgb", write))
     pixels = held.select("label", "image", "y", F.explode(F.transform(F.sequence(F.lit(0), F.size("values") - 3, F.lit(3)), lambda i: F.struct(*(F.get("values", i + c).alias(n) for c, n in enumerate(("r", "g", "b")))))).alias("p"))
-    return pixels.groupBy("label", F.col("image").alias("series_id"), (F.col("y") + 1).cast("int").alias("scale"), "p.r", "p.g", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    return pixels.groupBy(F.col("label").cast("long").alias("label"), F.col("image").alias("series_id"), (F.col("y") + 1).cast("int").alias("scale"), "p.r", "p.g", "p.b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def edges(strips: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def small_net(spark: SparkSession, d: str, **settings) -> Net:
 
 def net_record(spark: SparkSession, d: str) -> str:
     net = small_net(spark, d, rate=0.005)
-    return recorded(spark, d, "fit", lambda folder: training.fit(*parts_of(spark, d), {0: net}, 4, 128, folder, parts=16))
+    return recorded(spark, d, "fit", lambda folder: training.fit(*parts_of(spark, d), {0: net}, 4, 128, folder, parts=8))
 
 
 def train_network(spark, d):
@@ -194,7 +194,7 @@ def reload_network(spark, d):
 def search_record(spark: SparkSession, d: str) -> str:
     def make(folder: str) -> None:
         net = lambda x: small_net(spark, d, filters=int(x["filters"]), layers=int(x["layers"]), dropout=x["dropout"], rate=x["rate"], hidden=8, dense=16)
-        search.search(*parts_of(spark, d), net, folder, filters=(4, 12), trials=20, side_by_side=10, epochs=3, parts=16)
+        search.search(*parts_of(spark, d), net, folder, filters=(4, 12), trials=20, side_by_side=10, epochs=3, parts=8)
 
     return recorded(spark, d, "search", make)
 
