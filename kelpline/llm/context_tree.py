@@ -121,7 +121,7 @@ def mixed_levels(keys: np.ndarray, n: np.ndarray, below: np.ndarray | None, high
     return fixed, open_, keys, n, mixture
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 18) -> Iterator[pa.Table]:
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 17) -> Iterator[pa.Table]:
     """Rows that come sorted by ``column``, in tables of at least ``most`` that end where its value changes."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -355,7 +355,7 @@ def scores(docs: DataFrame, key: str = "doc_id", depth: int = 5, folds: int = 5,
             for i, text in enumerate(batch.column(1)):
                 tokens.append(words_in(text.as_py()))
                 size += sum(map(len, tokens[-1])) + len(tokens[-1]) + 1
-                if size >= STRETCH // 2 or i + 1 == batch.num_rows:
+                if size >= STRETCH // 4 or i + 1 == batch.num_rows:
                     yield out(batch.slice(first, len(tokens)), tokens)
                     first, tokens, size = i + 1, [], 0
 
