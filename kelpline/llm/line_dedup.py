@@ -116,7 +116,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", least_words: int = LEA
 
     The lines that stay keep their order and are joined by newlines; a text from which nothing goes
     is as it was, also null and empty ones. Rows keep their number. A column ``n_removed`` of
-    ``docs`` is replaced. Texts move once, by key, to meet the places of what goes.
+    ``docs`` is replaced. Texts move once, by key, to meet the places of what goes; the cost is linear in
+    the lines of a text, of which there may be any number.
     """
     gone = stage_table(repeated_lines(docs, key, least_words), "removed").select(F.col("doc").alias("__gone_doc"), F.col("mark").alias("__gone_mark"), F.col("removed").alias("__gone_removed"))
     plain = docs.drop("n_removed")

@@ -137,7 +137,8 @@ def plan(docs: DataFrame, seed: int = 0, block: int = 32, key: str = "doc_id", w
     nothing of it is taken; a null source is a source of its own, the last. Repeated rows are mixed
     as documents of their own. Which documents a shard holds, their order and the start depend only
     on ``seed``, keys and texts, so a run can be repeated; no document is taken more than ``most``
-    times. An empty table gives an empty plan.
+    times. Texts of any length count whole; of a long one blocks may be taken. An empty table gives an
+    empty plan.
     """
     sizes = stage_table(
         docs.select(F.col(key).alias("key"), "source", n_words_of(F.col("text")).alias("size"), F.xxhash64(F.col(key).cast("string"), "text", F.lit(seed)).alias("draw"), F.xxhash64("text").alias("mark")), "sizes"

@@ -351,7 +351,8 @@ def near_duplicates(docs: DataFrame, like: Likeness = Likeness(), key: str = "do
     included; ``kept`` is whether it is the document's own. Null, empty and blank texts have no
     shingles and are linked with nothing; they are kept. Rows with equal keys are taken for one
     document and stay or go together. Rows with a null key come back with a null component and are
-    kept. Other columns of ``docs`` are ignored.
+    kept. Texts of any length are read whole; a text is one row wherever it goes. Other columns of
+    ``docs`` are ignored.
     """
     spark = docs.sparkSession
     all_ = stage_table(features(docs, like, key), "features")

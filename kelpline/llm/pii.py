@@ -207,7 +207,8 @@ def replaced(docs: DataFrame, secret: str, key: str = "doc_id", text_col: str =
     Whoever knows ``secret`` can recompute the surrogate of an entity that they guess, so it has no
     default and mustn't be empty (ValueError).
 
-    Null and empty texts, and texts without entities, stay as they are and have an empty array.
+    Null and empty texts, and texts without entities, stay as they are and have an empty array. Texts of
+    any length are read whole.
     Words without a title that are parts of a name found in the same text are replaced, the surname
     first if a word is both, and aren't in ``entities``. Rows with equal key and text come out alike. A column ``entities`` of ``docs`` is replaced. The
     same ``secret`` gives the same surrogates, but for draws that collide with other entities.

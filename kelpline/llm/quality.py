@@ -229,7 +229,9 @@ def judge(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     The estimates are made from all documents that pass the base rules. ``kept`` is false if these
     fail or the squared distance is over CUTOFF. Null languages and sources are groups like others;
     a language of which no document passes has no estimate and needs none. ``dist`` is null for its
-    documents. Repeated rows are judged one by one; an empty table gives no rows.
+    documents. Null and empty texts have no words and fail. Texts of any length are read whole. Repeated
+    rows are judged one by one; other columns than text, language and source are ignored, also those
+    with names of the result. An empty table gives no rows.
     """
     rows = stage_table(statistics(docs, key).withColumn("base_failed", base_failed()), "statistics")
     passed = rows.filter(~F.col("base_failed"))

@@ -103,7 +103,8 @@ def counter(docs: DataFrame, model: bytes, text_col: str = "text", table: int =
     """A long column expression for ``docs``: the tokens of the whole text.
 
     Null and empty texts have 0 tokens. No begin, end or other special token is counted; their
-    strings inside a text are ordinary text, as the library has it by default. Works row by row, so
+    strings inside a text are ordinary text, as the library has it by default. Texts of any length are
+    read whole. Works row by row, so
     repeated rows, ties and other columns don't matter.
     """
     encoder = Encoder(model)
