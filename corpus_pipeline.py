@@ -29,13 +29,13 @@ def with_lengths(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go. Each row is judged by itself, whatever its id."""
+    """Documents that the quality rules reject go, null and empty texts among them. Each row is judged by itself, whatever its id."""
     rows = with_rows(docs)
     return without(rows, quality.judge(rows, "__row").filter("NOT kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go, and with them documents of which no word is left."""
+    """Later copies of repeated runs of lines go, and with them documents of which no word is left. Null and empty texts stay as they are."""
     left = line_dedup.without_repeats(docs).filter((F.col("n_removed") == 0) | (F.btrim("text", F.lit(SPACES)) != ""))
     return with_lengths(left.select(*docs.columns))
 
@@ -59,7 +59,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, and whether decoding them gives the text again."""
+    """Token ids of what is left, and whether decoding them gives the text again; a null text counts as an empty one, which has no ids."""
     source = vocabulary("byte_bpe_50k.json")
     both = bpe.round_trip(docs, source)
     text = F.coalesce("text", F.lit(""))
