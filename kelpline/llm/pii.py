@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,8 +181,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     after ROUNDS rounds, which means that a layout of numbers has too few values for its entities; names
     can't run out.
     """
-    # A row of its own, because the plan's text, which logs keep, would hold a literal.
-    secret = entities.sparkSession.createDataFrame([(key,)], "_key string")
+    # A local row, because the plan's text, which logs keep, would hold a literal.
+    secret = entities.sparkSession.createDataFrame(pa.table({"_key": [key]}))
     entities = stage_table(entities, "entities")
     real = entities.select("kind", F.col("entity").alias("made"))
     open_, kept = entities, None

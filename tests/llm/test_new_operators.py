@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -224,8 +225,6 @@ def test_chances_of_a_string_add_up(spark):
 
 
 def test_groups_are_whole():
-    import pyarrow as pa
-
     values = sorted([1] * 7 + [2] * 3 + [3] * 20 + [4])
     batches = [pa.RecordBatch.from_arrays([pa.array(values[i : i + 4])], ["v"]) for i in range(0, len(values), 4)]
     tables = [t.column("v").to_pylist() for t in context_tree.whole_groups(iter(batches), "v", 5)]
@@ -344,9 +343,10 @@ def test_secret_stays_out_of_plans(spark):
     out = pii.replaced(docs, "hush-hush-4711")
     assert out.collect()[0]["text"] != "Dr. Mary Smith wrote to a.b@c.de, and Smith left"
     plans = spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("extended")
-    secret = spark.createDataFrame([("hush-hush-4711",)], "_key string")
+    secret = spark.createDataFrame(pa.table({"_key": ["hush-hush-4711"]}))
     for frame in (out, docs.crossJoin(F.broadcast(secret)).withColumn("x", F.sha2("_key", 256))):
         assert "hush" not in frame._jdf.queryExecution().explainString(plans)
+    assert "LocalTableScan" in frame._jdf.queryExecution().executedPlan().toString()
 
 
 def test_many_surnames_have_surrogates_of_their_own(spark):
