@@ -179,11 +179,12 @@ def test_sql(spark):
     c = duckdb.connect()
     for file in Path(DATA).glob("*.parquet"):
         c.sql(f"CREATE VIEW {file.stem} AS FROM read_parquet('{file}')")
-    for name, sql in queries.ORACLES.items():
-        want = {(q, r): (v, s) for q, r, v, s in c.sql(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall()}
-        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in queries.QUERIES[name](spark, DATA).collect()}
-        assert got.keys() == want.keys()
-        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)
+    name = "op9_neighbours"
+    want = {(q, r): (v, s) for q, r, v, s in c.sql(f"SELECT query_id, rank, vec_id, score FROM ({queries.ORACLES[name]})").fetchall()}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in queries.QUERIES[name](spark, DATA).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-12) for k in want)
+    assert set(queries.ORACLES) == {name, "op13_filter_audit"}  # the latter's test stands with its operator
 
 
 def test_op10(answer, docs):
