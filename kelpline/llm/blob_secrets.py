@@ -4,6 +4,9 @@ Every version of every path is addressed by the SHA-256 of its text. The ledger,
 holds for each blob the rule versions that have scanned it and the spans they found. A run scans
 only blobs with rule versions that the ledger lacks, once for each blob however many paths hold it,
 appends what it found in one committed write, and joins the findings back to all paths.
+
+The ledger is partitioned by the first byte of the address. A run reads the shelves that its blobs
+lie on; few blobs are sent to the scan of the ledger, so of a large one only their rows are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import stage_table
@@ -65,11 +68,14 @@ RULES = (
 )
 
 FOUND = "array<struct<version string, start long, stop long>>"
-LEDGER = f"blob binary, versions array<string>, found {FOUND}"
+SCANNED = f"blob binary, versions array<string>, found {FOUND}"
+LEDGER = f"{SCANNED}, shelf int"
+#: Up to so many addresses, of 32 bytes each, are broadcast to the scan of the ledger.
+FEW_BLOBS = 100_000
 
 
 def read_ledger(spark, path: str) -> DataFrame:
-    """One row per blob and run: ``blob``, ``versions`` that scanned it, ``found`` spans. Empty if there is none yet."""
+    """One row per blob and run: ``blob``, ``versions`` that scanned it, ``found`` spans, ``shelf``. Empty if there is none yet."""
     try:
         return spark.read.schema(LEDGER).parquet(path)
     except AnalysisException as missing:
@@ -78,6 +84,11 @@ def read_ledger(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
+def shelf_of(blob: Column) -> Column:
+    """The first byte of an address as a number."""
+    return F.conv(F.hex(F.substring(blob, 1, 1)), 16, 10).cast("int")
+
+
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scan what is new in ``versions`` and return each of its rows' ``key`` with ``blob`` and ``spans``.
 
@@ -87,7 +98,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key:
     they are given. ``ledger`` is a folder that all executors share; it is created or appended to.
 
     Texts move once, by their own hash, and only those that need a scan; each is scanned in the
-    memory of one row. Findings are joined back by blob as a plain join, which Spark splits where
+    memory of one row. Of the ledger only the shelves asked for are read. Findings are joined back by blob as a plain join, which Spark splits where
     one blob has very many paths.
     """
     spark = versions.sparkSession
@@ -95,10 +106,18 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key:
     blob = F.unhex(F.sha2(text, 256))
     paths = stage_table(versions.select(F.col(key).alias("key"), blob.alias("blob")), "paths")
     wanted = {r.version: r for r in rules}
-    seen = read_ledger(spark, ledger).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
+    blobs = paths.groupBy("blob").agg(F.min("key").alias("key"))
+    few = len(paths.select("blob").distinct().take(FEW_BLOBS + 1)) <= FEW_BLOBS
+    shelves = [r[0] for r in paths.select(shelf_of(F.col("blob"))).distinct().collect()]  # 256 at most
+
+    def asked_rows() -> DataFrame:
+        rows = read_ledger(spark, ledger).filter(F.col("shelf").isin(shelves))
+        return rows.join(F.broadcast(paths.select("blob").distinct()), "blob", "left_semi") if few else rows
+
+    seen = asked_rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("seen"))
     asked = F.array(*map(F.lit, wanted))
     todo = (
-        paths.groupBy("blob").agg(F.min("key").alias("key")).join(seen, "blob", "left")
+        blobs.join(seen, "blob", "left")
         .select("blob", "key", F.array_except(asked, F.coalesce("seen", F.array().cast("array<string>"))).alias("versions"))
         .filter(F.size("versions") > 0)
     )
@@ -117,14 +136,15 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key:
     # Null keys count as equal here, so a path without a key is scanned too.
     same = texts["blob"].eqNullSafe(todo["blob"]) & texts["key"].eqNullSafe(todo["key"])
     fresh = texts.join(todo.hint("shuffle_hash"), same).select(texts["blob"], texts["text"], todo["versions"])
-    # Rows repeated under one key are recorded once.
-    fresh.mapInArrow(run, LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    # Rows repeated under one key are recorded once. Shelves are dealt to tasks by size.
+    new = fresh.mapInArrow(run, SCANNED).dropDuplicates(["blob"]).withColumn("shelf", shelf_of(F.col("blob")))
+    new.hint("rebalance", "shelf").write.mode("append").partitionBy("shelf").parquet(ledger)
 
     rank = F.create_map(*(F.lit(x) for i, v in enumerate(wanted) for x in (v, i)))
     kinds = F.create_map(*(F.lit(x) for v, r in wanted.items() for x in (v, r.kind)))
     span = lambda x: F.struct(x["start"].alias("start"), rank[x["version"]].alias("rank"), kinds[x["version"]].alias("kind"), x["stop"].alias("stop"))
     found = (
-        read_ledger(spark, ledger).select("blob", F.filter("found", lambda x: x["version"].isin(*wanted)).alias("found")).filter(F.size("found") > 0)
+        asked_rows().select("blob", F.filter("found", lambda x: x["version"].isin(*wanted)).alias("found")).filter(F.size("found") > 0)
         .groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
         .select("blob", F.array_sort(F.transform("found", span)).alias("spans"))
     )
