@@ -154,15 +154,16 @@ def plain_records(data: bytes) -> Iterator[Found]:
         at = found.stop
 
 
-def one_member(data: bytes, at: int) -> tuple[bytes, int, str]:
+def one_member(data: bytes, at: int, marks: list[tuple[int, int]] | None = None) -> tuple[bytes, int, str]:
     """The content of the gzip member at ``at``, where it stops, and why it can't be read to its end.
 
     Data are fed in small steps, so a member costs what it holds and not what follows it. Of a
-    member that breaks there is what was unpacked before, and where it broke.
+    member that breaks there is what was unpacked before, and where it broke. ``marks`` takes, for
+    each step, how far data were read and how many bytes they gave.
     """
     if data[at : at + 3] != MEMBER:
         return b"", at, "no member"
-    unpack, parts, upto, step = zlib.decompressobj(31), [], at, STEP
+    unpack, parts, upto, step, made = zlib.decompressobj(31), [], at, STEP, 0
     fine = None
     while not unpack.eof and upto < len(data):
         try:
@@ -170,6 +171,9 @@ def one_member(data: bytes, at: int) -> tuple[bytes, int, str]:
                 fine = unpack.copy()
             parts.append(unpack.decompress(data[upto : upto + step]))
             upto = min(upto + step, len(data))
+            made += len(parts[-1])
+            if marks is not None and step > 1:
+                marks.append((upto, made))
         except zlib.error as error:
             if step == 1:
                 return b"".join(parts), upto, f"bad member: {error}"
@@ -196,41 +200,60 @@ def salvage(data: bytes) -> Iterator[Found]:
     Offsets of records in a member are those of the member. After each failure reading goes on from
     the nearer of the next member and the next version line; a member counts if it is valid, or
     begins with a version line. Records before and after a failure inside a member are kept, also
-    if the member breaks there. Zero bytes at the start and after members are padding.
+    if the member breaks there. The gap of a member that breaks starts, to within a step of the
+    decompressor, behind the bytes of the records with checked digests that it begins with, and the
+    search goes on there. Zero bytes at the start and after members are padding.
     """
     at, version, padded = 0, -1, True
-    reach, unpacked = 0, []  # a member that broke was read up to there, and these records were taken from it
+    reach, unpacked = 0, set()  # a member that broke was read up to there, and records with these marks were taken from it
     while at < len(data):
         if padded and data[at] == 0:
             at += 1
             continue
         if data[at : at + 3] == MEMBER:
-            content, stop, why = one_member(data, at)
+            marks: list[tuple[int, int]] = []
+            content, stop, why = one_member(data, at, marks)
             if not why:
                 for found in plain_records(content):
                     yield Found(at, stop, found.headers, found.block, found.reason)
                 at, padded = stop, True
                 continue
             sound = list(unbroken_records(content, why))
-            reach, unpacked = stop, [(f.headers, f.block) for f in sound]
+            reach, unpacked = stop, set(map(mark_of, sound))
+            good = recovered_until(at, sound, marks)
         else:
             found, why = one_record(data, at)
             if found is not None:
-                if at >= reach or (found.headers, found.block) not in unpacked:  # stored members show their records plainly
+                if at >= reach or mark_of(found) not in unpacked:  # stored members show their records plainly
                     yield found
                 at, padded = found.stop, False
                 continue
-            sound = []
-        if version <= at:
-            after = VERSION_LINE.search(data, at + 1)
+            sound, good = [], at
+        onward = max(at + 1, good)
+        if version < onward:
+            after = VERSION_LINE.search(data, onward)
             version = after.start() if after else len(data)
-        stop = next_member(data, at + 1, version)
+        stop = next_member(data, onward, version)
         for found in sound:
             yield Found(at, stop, found.headers, found.block)
-        yield Found(at, stop, reason=why)
+        yield Found(min(good, stop - 1), stop, reason=why)
         at, padded = stop, False
 
 
+def mark_of(found: Found) -> bytes:
+    """A digest of a record's headers and block."""
+    return hashlib.sha256(repr(sorted(found.headers.items())).encode() + found.block).digest()
+
+
+def recovered_until(at: int, sound: list[Found], marks: list[tuple[int, int]]) -> int:
+    """Up to where data of the member at ``at`` gave nothing but the ``sound`` records with digests that its content begins with."""
+    clean = 0
+    for found in sound:
+        if found.start == clean and found.headers.get("warc-block-digest", "").startswith("sha256:"):
+            clean = found.stop
+    return max((upto for upto, made in marks if made <= clean), default=at)
+
+
 def next_member(data: bytes, at: int, before: int) -> int:
     """Where the next member starts that is valid or begins with a version line, or else ``before``."""
     while (at := data.find(MEMBER, at, before)) >= 0:

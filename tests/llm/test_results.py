@@ -7,6 +7,7 @@ import random
 import re
 import types
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -373,6 +374,8 @@ def test_records_before_a_break_in_one_large_member_are_kept():
     whole = warc.member(b"".join(records))
     kept, gaps = salvaged(whole[: len(whole) * 3 // 4])
     assert kept == list(range(len(kept))) and 28 <= len(kept) < 40 and len(gaps) == 1
+    # The gap covers what was not recovered: about one record and a step of the decompressor.
+    assert gaps[0].stop == len(whole) * 3 // 4 and gaps[0].stop - gaps[0].start < 6000 + 2 * warc.STEP
     wrong_sum = whole[:-8] + bytes(4) + whole[-4:]
     kept, gaps = salvaged(wrong_sum + warc.member(records[0]))
     assert kept == [*range(40), 0] and len(gaps) == 1
@@ -572,6 +575,20 @@ def test_secrets_and_the_ledger(spark):
     assert blob_secrets.read_ledger(spark, ledger).filter(f"array_contains(versions, '{newer[-1].version}')").count() == len(set(texts))
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_a_scan_reads_the_shelves_of_its_blobs_only(spark, monkeypatch, few):
+    monkeypatch.setattr(blob_secrets, "FEW_BLOBS", few)
+    ledger, texts = new_folder(spark, "ledger"), [f"password = hunter{i}" for i in range(300)]
+    blob_secrets.scan(frame(spark, texts), ledger).count()
+    shelf = hashlib.sha256(b"password = newcomer").digest()[0]
+    files = [f for f in Path(ledger).glob("shelf=*/*.parquet") if f.parent.name != f"shelf={shelf}"]
+    assert len(files) > 100
+    for f in files:
+        f.write_bytes(b"not Parquet")
+    got = blob_secrets.scan(frame(spark, ["password = newcomer"] * 2), ledger).collect()
+    assert [[s["kind"] for s in r["spans"]] for r in got] == [["assign"]] * 2
+
+
 # pipeline
 
 
