@@ -107,7 +107,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, key:
     paths = stage_table(versions.select(F.col(key).alias("key"), blob.alias("blob")), "paths")
     wanted = {r.version: r for r in rules}
     blobs = paths.groupBy("blob").agg(F.min("key").alias("key"))
-    few = len(paths.select("blob").distinct().take(FEW_BLOBS + 1)) <= FEW_BLOBS
+    few = paths.select("blob").distinct().limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
     shelves = [r[0] for r in paths.select(shelf_of(F.col("blob"))).distinct().collect()]  # 256 at most
 
     def asked_rows() -> DataFrame:
