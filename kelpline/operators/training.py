@@ -1,9 +1,11 @@
 """Training of sequence classifiers over the cluster: minibatch gradients, Adam, recorded metrics, pruning.
 
-A step is one job. The rows of a minibatch are dealt by ``part``, a hash of their key; each part gives
-one partial gradient for each net, and these are added up by a tree of sixteens, in the order of the
-parts, so that a rerun gives equal numbers. The driver holds what has the size of the nets alone: a
-vector of weights and two moments for each, which travel to the tasks as a broadcast.
+An epoch is one barrier stage, whose tasks go through the minibatches together. The rows of a minibatch
+are dealt by ``part``, a hash of their key; each part gives one partial gradient for each net, and these
+are added up by a tree of sixteens, in the order of the parts, so that a rerun gives equal numbers,
+whatever the number of tasks. What meets between the tasks and in the driver has the size of the nets
+alone: gradients, and a vector of weights and two moments for each. Where executors come and go
+(dynamic allocation) there are no barrier stages, and a step is one job.
 
 Several nets train side by side on the same batches. What an epoch ends with is written below a folder:
 ``metrics`` gets a row for each net, ``states`` the vectors. A fit that finds a folder of its own goes
@@ -12,10 +14,14 @@ on after the last epoch recorded there.
 
 from __future__ import annotations
 
+import contextlib
+import secrets
 from collections.abc import Callable, Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,33 +43,43 @@ def arrays(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray]:
     return table.column("id").to_pylist(), table.column("label").to_numpy(), flat.reshape(table.num_rows, -1)
 
 
-def dropper(keys: list[int], seed: int, step: int, rate: float) -> Callable[[str, int], np.ndarray]:
-    """Factors of dropout for rows; they depend on key, seed and step, not on which rows meet in a task."""
+def dropper(keys: list[int], seed: int, step: int, rate: float, drawn: dict[tuple[str, int], np.ndarray] | None = None) -> Callable[[str, int], np.ndarray]:
+    """Factors of dropout for rows; they depend on key, seed and step, not on which rows meet in a task. ``drawn`` keeps the draws for other nets."""
+    drawn = {} if drawn is None else drawn
 
     def drops(name: str, n: int) -> np.ndarray:
-        place = sum(map(ord, name))
-        kept = np.stack([np.random.default_rng([seed, step, place, k & 0xFFFFFFFF]).random(n) for k in keys]) >= rate
-        return kept / (1 - rate)
+        if (name, n) not in drawn:
+            place = sum(map(ord, name))
+            drawn[name, n] = np.stack([np.random.default_rng([seed, step, place, k & 0xFFFFFFFF]).random(n) for k in keys])
+        return (drawn[name, n] >= rate) / (1 - rate)
 
     return drops
 
 
+def partial_gradients(nets: dict[int, Net], vectors: dict[int, np.ndarray], table: pa.Table, seed: int, step: int) -> list[tuple[int, int, float, np.ndarray]]:
+    """Of each net: its number, rows, summed loss and summed gradient."""
+    keys, labels, x = arrays(table)
+    rows, drawn = [], {}
+    for trial, net in nets.items():
+        logits, back = network.scores(net, vectors[trial], x, dropper(keys, seed, step, net.dropout, drawn))
+        loss, d = network.losses(logits, labels)
+        rows.append((trial, len(keys), float(loss.sum()), back(d)))
+    return rows
+
+
 def gradients(batch: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray], seed: int, step: int, parts: int) -> dict[int, tuple[int, float, np.ndarray]]:
     """Of each net: rows of ``batch`` (id, label, features, part), summed loss and summed gradient."""
     held = batch.sparkSession.sparkContext.broadcast(vectors)
 
     def partial(table: pa.Table) -> pa.Table:
-        keys, labels, x = arrays(table)
-        rows = []
-        for trial, net in nets.items():
-            logits, back = network.scores(net, held.value[trial], x, dropper(keys, seed, step, net.dropout))
-            loss, d = network.losses(logits, labels)
-            rows.append((trial, int(table.column("part")[0].as_py()), len(keys), float(loss.sum()), back(d)))
-        return as_table(rows)
+        part = int(table.column("part")[0].as_py())
+        return as_table([(trial, part, *rest) for trial, *rest in partial_gradients(nets, held.value, table, seed, step)])
 
     schema = "trial int, part long, n long, loss double, gradient array<double>"
     sums = batch.select("id", "label", "features", "part").groupBy("part").applyInArrow(partial, schema)
-    return {r[0]: (r[2], r[3], np.array(r[4])) for r in merged(sums, schema, parts)}
+    found = {r[0]: (r[2], r[3], np.array(r[4])) for r in merged(sums, schema, parts)}
+    held.destroy()
+    return found
 
 
 def as_table(rows: list[tuple]) -> pa.Table:
@@ -87,6 +103,66 @@ def merged(sums: DataFrame, schema: str, parts: int) -> list:
     return sums.collect()
 
 
+def added(partial: dict[int, np.ndarray], parts: int) -> np.ndarray:
+    """The sum that ``merged`` makes, of one vector for each part that has any."""
+    while parts > 1:
+        above: dict[int, np.ndarray] = {}
+        for part in sorted(partial):
+            above[part // BRANCH] = above.get(part // BRANCH, 0.0) + partial[part]
+        partial, parts = above, -(-parts // BRANCH)
+    return partial[0]
+
+
+class Circle:
+    """The tasks of a barrier stage, each connected to the first, which adds up what they bring to a step."""
+
+    def __init__(self, key: bytes, parts: int) -> None:
+        context = BarrierTaskContext.get()
+        rank, infos = context.partitionId(), context.getTaskInfos()
+        self.rank, self.parts, self.held = rank, parts, contextlib.ExitStack()
+        host = infos[rank].address.rsplit(":", 1)[0].strip("[]")
+        if rank:
+            name, port = context.allGather("")[0].rsplit(":", 1)
+            self.links = [self.held.enter_context(Client((name, int(port)), authkey=key))]
+        else:
+            with Listener((host, 0), backlog=len(infos), authkey=key) as listener:
+                context.allGather(f"{host}:{listener.address[1]}")
+                self.links = [self.held.enter_context(listener.accept()) for _ in infos[1:]]
+
+    def __enter__(self) -> Circle:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.held.close()
+
+    def added(self, own: dict[int, np.ndarray]) -> np.ndarray:
+        """The sum over the parts of all tasks, which each of them gets."""
+        if self.rank:
+            self.links[0].send(own)
+            return self.links[0].recv()
+        for link in self.links:
+            own = own | link.recv()
+        total = added(own, self.parts)
+        for link in self.links:
+            link.send(total)
+        return total
+
+
+def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows that follow each other with one value of ``column``, and the value."""
+    held = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        values = held.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist()]
+        for low, high in zip(cuts, cuts[1:]):
+            yield int(values[low]), held.slice(low, high - low)
+        held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield int(held.column(column)[0].as_py()), held
+
+
 class Adam:
     """Weights with their first and second moments."""
 
@@ -102,6 +178,64 @@ class Adam:
         self.weights = self.weights - self.rate * bent[0] / (np.sqrt(bent[1]) + eps)
 
 
+def tasks_at_once(spark: SparkSession) -> int:
+    """How many tasks a barrier stage may have; 0 where there can be none."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def epoch_steps(shuffled: DataFrame, nets: dict[int, Net], adams: dict[int, Adam], seed: int, first: int, n_batches: int, parts: int) -> dict[int, tuple[Adam, float]]:
+    """Of each net the state after all steps over ``shuffled`` (id, label, features, part, batch_id), and the summed loss; the first step has number ``first``.
+
+    A barrier stage: each task has some of the parts, ordered by batch, and keeps the rows of a step.
+    """
+    spark = shuffled.sparkSession
+    tasks = min(parts, tasks_at_once(spark))
+    if not tasks:
+        total = dict.fromkeys(nets, 0.0)
+        path = scratch(spark, "batches")
+        shuffled.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(path)
+        for k in range(n_batches):
+            batch = spark.read.parquet(path).filter(F.col("batch_id") == k)
+            for t, (n, loss, g) in gradients(batch, nets, {t: adams[t].weights for t in nets}, seed, first + k, parts).items():
+                adams[t].step(g / n)
+                total[t] += loss
+        return {t: (adams[t], total[t]) for t in nets}
+    held, key = spark.sparkContext.broadcast({t: adams[t] for t in nets}), secrets.token_bytes(16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = dict(held.value), dict.fromkeys(nets, 0.0)
+        steps = runs(batches, "batch_id")
+        now, rows = next(steps, (n_batches, None))
+        with Circle(key, parts) as circle:
+            for k in range(n_batches):
+                partial, vectors = {}, {t: a.weights for t, a in own.items()}
+                if now == k:
+                    for part, table in runs(rows.combine_chunks().to_batches(), "part"):
+                        found = partial_gradients(nets, vectors, table, seed, first + k)
+                        partial[part] = np.concatenate([[table.num_rows], *(v for _, _, loss, g in found for v in ([loss], g))])
+                    now, rows = next(steps, (n_batches, None))
+                n, *sums = np.split(circle.added(partial), np.cumsum([1, *(1 + len(vectors[t]) for t in nets)])[:-1])
+                for t, s in zip(nets, sums):
+                    own[t].step(s[1:] / n[0])
+                    total[t] += float(s[0])
+        if not circle.rank:
+            yield pa.RecordBatch.from_pylist([{"trial": t, "steps": own[t].steps, "weights": own[t].weights, "first": own[t].first, "second": own[t].second, "loss": total[t]} for t in nets], out)
+
+    lists = pa.list_(pa.float64())
+    out = pa.schema([("trial", pa.int32()), ("steps", pa.int64()), ("weights", lists), ("first", lists), ("second", lists), ("loss", pa.float64())])
+    dealt = shuffled.select("id", "label", "features", "part", "batch_id").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("batch_id", "part")
+    found = {}
+    for r in dealt.mapInArrow(run, "trial int, steps long, weights array<double>, first array<double>, second array<double>, loss double", barrier=True).collect():
+        state = Adam(np.array(r["weights"]), nets[r["trial"]].rate)
+        state.first, state.second, state.steps = np.array(r["first"]), np.array(r["second"]), r["steps"]
+        found[r["trial"]] = state, r["loss"]
+    held.destroy()
+    return found
+
+
 def scored(rows: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray]) -> DataFrame:
     """trial, id, label, pred and loss for each row (id, label, features) and net. A net's label is the first of the largest."""
     held = rows.sparkSession.sparkContext.broadcast(vectors)
@@ -168,14 +302,9 @@ def fit(train: DataFrame, val: DataFrame, nets: dict[int, Net], epochs: int, bat
         now = {t: net for t, net in alive.items() if done.get(t, 0) < epoch}
         if not now or not n_train:
             continue
-        path = scratch(spark, "batches")
-        dataset.batches(train, "id", batch, seed * 1000 + epoch).repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(path)
-        shuffled, total = spark.read.parquet(path), dict.fromkeys(now, 0.0)
-        for k in range(n_batches):
-            found = gradients(shuffled.filter(F.col("batch_id") == k), now, {t: adams[t].weights for t in now}, seed, epoch * n_batches + k, parts)
-            for t, (n, loss, g) in found.items():
-                adams[t].step(g / n)
-                total[t] += loss
+        shuffled, total = dataset.batches(train, "id", batch, seed * 1000 + epoch), {}
+        for t, (state, loss) in epoch_steps(shuffled, now, adams, seed, epoch * n_batches, n_batches, parts).items():
+            adams[t], total[t] = state, loss
         each = scored(val, now, {t: adams[t].weights for t in now}).groupBy("trial").agg(F.sum("loss").alias("loss"), F.sum((F.col("pred") == F.col("label")).cast("int")).alias("hits")).collect()
         seen = {r["trial"]: r for r in each}
         rows = [(t, epoch, total[t] / n_train, seen[t]["loss"] / n_val if n_val else None, seen[t]["hits"] / n_val if n_val else None, n_train, n_val) for t in now]

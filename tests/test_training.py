@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,32 @@ def test_fit_learns_repeats_and_goes_on(spark):
     assert abs(sum(r["loss"] for r in scored) / 30 - seen[9][3]) < 1e-12 and sum(r["pred"] == r["label"] for r in scored) / 30 == seen[9][4]
 
 
+def test_an_epoch_is_no_job_for_each_step(spark):
+    rows, jobs = planted(spark, 48), []
+    for batch in (24, 2):
+        spark.sparkContext.setJobGroup(f"steps of {batch}", "")
+        training.fit(rows, rows, {0: SMALL}, 1, batch, scratch(spark, "fit"), parts=4)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps of {batch}")))
+    assert jobs[1] < jobs[0] + 10
+
+
+def test_steps_of_a_stage_are_those_of_jobs(spark, monkeypatch):
+    rows = planted(spark, 50).withColumn("part", F.pmod("id", F.lit(20))).withColumn("batch_id", F.floor(F.col("id") / 8))
+    nets = {4: SMALL, 2: LARGER}
+    begun = lambda: {t: training.Adam(net.drawn(t), net.rate) for t, net in nets.items()}
+    one = training.epoch_steps(rows, nets, begun(), 5, 7, 7, 20)
+    monkeypatch.setattr(training, "tasks_at_once", lambda spark: 0)
+    other = training.epoch_steps(rows, nets, begun(), 5, 7, 7, 20)
+    for t in nets:
+        assert one[t][0].steps == 7 and abs(one[t][1] - other[t][1]) < 1e-12
+        assert all(np.array_equal(getattr(one[t][0], n), getattr(other[t][0], n)) for n in ("weights", "first", "second"))
+
+
+def test_runs_cross_batches():
+    batches = [pa.record_batch({"k": k, "v": k}) for k in ([0, 0, 1], [], [1, 1], [1, 3])]
+    assert [(k, t.column("v").to_pylist()) for k, t in training.runs(iter([b for b in batches if b.num_rows]), "k")] == [(0, [0, 0]), (1, [1] * 4), (3, [3])]
+
+
 def test_fit_of_nothing_records_nothing(spark):
     none = planted(spark, 3).filter("id < 0")
     assert training.fit(none, none, {0: SMALL}, 2, 8, scratch(spark, "fit"), parts=2).count() == 0
