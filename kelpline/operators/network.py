@@ -6,6 +6,7 @@ Only what a task does with the rows it is given stands here; how steps are dealt
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,13 +39,13 @@ class Net:
         return sizes | {"dense": (2 * h, self.dense), "dense_bias": (self.dense,), "out": (self.dense, self.classes), "out_bias": (self.classes,)}
 
     def size(self) -> int:
-        return sum(int(np.prod(s)) for s in self.shapes().values())
+        return sum(map(math.prod, self.shapes().values()))
 
     def parts(self, vector: np.ndarray) -> dict[str, np.ndarray]:
         """Views of a parameter vector by name."""
         out, at = {}, 0
         for name, shape in self.shapes().items():
-            out[name] = vector[at : (at := at + int(np.prod(shape)))].reshape(shape)
+            out[name] = vector[at : (at := at + math.prod(shape))].reshape(shape)
         return out
 
     def drawn(self, seed: int) -> np.ndarray:
@@ -61,16 +62,19 @@ class Net:
 
 def convolve(x, w, b):
     """Width 3 with zeros beyond the ends, then ReLU."""
-    wide = np.pad(x, ((0, 0), (1, 1), (0, 0)))
-    near = np.concatenate([wide[:, :-2], wide[:, 1:-1], wide[:, 2:]], axis=2)
-    y = np.maximum(near @ w + b, 0)
+    n, steps, channels = x.shape
+    near = np.zeros((n, steps, 3, channels))
+    near[:, 1:, 0], near[:, :, 1], near[:, :-1, 2] = x[:, :-1], x, x[:, 1:]
+    near = near.reshape(n * steps, -1)
+    y = np.maximum(near @ w + b, 0).reshape(n, steps, -1)
 
     def back(dy):
-        dz = dy * (y > 0)
-        wide = np.zeros((x.shape[0], x.shape[1] + 2, x.shape[2]))
-        for k, part in enumerate(np.split(dz @ w.T, 3, axis=2)):
-            wide[:, k : k + x.shape[1]] += part
-        return wide[:, 1:-1], np.tensordot(near, dz, ((0, 1), (0, 1))), dz.sum((0, 1))
+        dz = (dy * (y > 0)).reshape(n * steps, -1)
+        parts = (dz @ w.T).reshape(n, steps, 3, channels)
+        dx = parts[:, :, 1].copy()
+        dx[:, :-1] += parts[:, 1:, 0]
+        dx[:, 1:] += parts[:, :-1, 2]
+        return dx, near.T @ dz, dz.sum(0)
 
     return y, back
 
@@ -86,37 +90,44 @@ def halved(x):
         dx[:, : 2 * n] = np.stack([dy * ~second, dy * second], axis=2).reshape(len(x), 2 * n, x.shape[2])
         return dx
 
-    return pairs.max(axis=2), back
+    return np.where(second, pairs[:, :, 1], pairs[:, :, 0]), back
 
 
 def recurrent(x, w, u, b):
-    """Hidden states of all steps; gates in the order input, forget, cell, output."""
-    n, steps, hidden = len(x), x.shape[1], len(u)
-    h, c = np.zeros((n, hidden)), np.zeros((n, hidden))
-    seen, out = [], np.empty((n, steps, hidden))
-    given = x @ w + b
+    """Hidden states of all steps in both directions, which run side by side: ``x`` is two by rows by steps by channels, the second turned round; gates in the order input, forget, cell, output."""
+    _, n, steps, channels = x.shape
+    hidden = u.shape[1]
+    given = np.ascontiguousarray((x @ w[:, None] + b[:, None, None]).transpose(2, 0, 1, 3))
+    gates, cells, bent = np.empty((steps, 2, n, 4, hidden)), np.zeros((steps + 1, 2, n, hidden)), np.empty((steps, 2, n, hidden))
+    states = np.zeros((steps + 1, 2, n, hidden))
     for k in range(steps):
-        z = given[:, k] + h @ u
-        gates = 1 / (1 + np.exp(-z))
-        i, f, o = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 3 * hidden :]
-        g = np.tanh(z[:, 2 * hidden : 3 * hidden])
-        before, c = c, f * c + i * g
-        seen.append((h, before, i, f, g, o, np.tanh(c)))
-        out[:, k] = h = o * seen[-1][-1]
+        z = (given[k] + states[k] @ u).reshape(2, n, 4, hidden)
+        gates[k] = 1 / (1 + np.exp(-z))
+        np.tanh(z[:, :, 2], out=gates[k, :, :, 2])
+        i, f, g, o = (gates[k, :, :, j] for j in range(4))
+        np.add(f * cells[k], i * g, out=cells[k + 1])
+        np.tanh(cells[k + 1], out=bent[k])
+        np.multiply(o, bent[k], out=states[k + 1])
 
     def back(dout):
-        dz_all, du = np.empty((n, steps, 4 * hidden)), np.zeros_like(u)
-        dh, dc = np.zeros((n, hidden)), np.zeros((n, hidden))
+        i, f, g, o = (gates[:, :, :, j] for j in range(4))
+        slopes = np.stack([g * i * (1 - i), cells[:-1] * f * (1 - f), i * (1 - g * g)], axis=3)
+        of_gate, of_cell = bent * o * (1 - o), o * (1 - bent * bent)
+        dz = np.empty((steps, 2, n, 4, hidden))
+        dout, turned = np.ascontiguousarray(dout.transpose(2, 0, 1, 3)), np.ascontiguousarray(u.transpose(0, 2, 1))
+        dh, dc = np.zeros((2, n, hidden)), np.zeros((2, n, hidden))
         for k in reversed(range(steps)):
-            h, before, i, f, g, o, t = seen[k]
-            dh = dh + dout[:, k]
-            dc = dc + dh * o * (1 - t * t)
-            dz_all[:, k] = dz = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dc * i * (1 - g * g), dh * t * o * (1 - o)], axis=1)
-            du += h.T @ dz
-            dh, dc = dz @ u.T, dc * f
-        return dz_all @ w.T, np.tensordot(x, dz_all, ((0, 1), (0, 1))), du, dz_all.sum((0, 1))
+            dh = dh + dout[k]
+            dc = dc + dh * of_cell[k]
+            np.multiply(dc[:, :, None], slopes[k], out=dz[k, :, :, :3])
+            np.multiply(dh, of_gate[k], out=dz[k, :, :, 3])
+            dh, dc = dz[k].reshape(2, n, -1) @ turned, dc * f[k]
+        each = dz.reshape(steps, 2, n, -1).transpose(1, 2, 0, 3).reshape(2, n * steps, -1)
+        before = states[:-1].transpose(1, 3, 2, 0).reshape(2, hidden, -1)
+        dx = (each @ w.transpose(0, 2, 1)).reshape(2, n, steps, channels)
+        return dx, x.reshape(2, n * steps, channels).transpose(0, 2, 1) @ each, before @ each, each.sum(1)
 
-    return out, back
+    return states[1:].transpose(1, 2, 0, 3), back
 
 
 def scores(net: Net, vector: np.ndarray, x: np.ndarray, drops=None):
@@ -145,13 +156,11 @@ def scores(net: Net, vector: np.ndarray, x: np.ndarray, drops=None):
             tape.append(((), lambda dy, back=back: (back(dy),)))
     for k in range(net.layers):
         y = dropped(f"recur{k}", y) if k else y
-        ahead, back_a = recurrent(y, *(p[f"ahead{k}_{n}"] for n in ("in", "own", "bias")))
-        behind, back_b = recurrent(y[:, ::-1], *(p[f"back{k}_{n}"] for n in ("in", "own", "bias")))
+        (ahead, behind), back_two = recurrent(np.stack([y, y[:, ::-1]]), *(np.stack([p[f"{way}{k}_{n}"] for way in ("ahead", "back")]) for n in ("in", "own", "bias")))
 
-        def both(dy, back_a=back_a, back_b=back_b):
-            dx, *da = back_a(dy[:, :, : net.hidden])
-            dr, *db = back_b(dy[:, ::-1, net.hidden :])
-            return dx + dr[:, ::-1], *da, *db
+        def both(dy, back_two=back_two):
+            dx, *each = back_two(np.stack([dy[:, :, : net.hidden], dy[:, ::-1, net.hidden :]]))
+            return dx[0] + dx[1][:, ::-1], *(d[way] for way in (0, 1) for d in each)
 
         y = layer(tuple(f"{way}{k}_{n}" for way in ("ahead", "back") for n in ("in", "own", "bias")), (np.concatenate([ahead, behind[:, ::-1]], axis=2), both))
     y = layer(("attend",) if net.attention else (), attended(y, p["attend"]) if net.attention else (y[:, -1], lambda dy, y=y: (np.concatenate([np.zeros((len(y), y.shape[1] - 1, y.shape[2])), dy[:, None]], axis=1),)))
