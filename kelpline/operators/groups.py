@@ -30,6 +30,15 @@ def long_series(df: DataFrame, most: int = LONG) -> DataFrame:
     return df.groupBy("series_id").agg(F.count(F.lit(1)).alias("_size"), F.min(fine).alias("_low"), F.max(fine).alias("_high")).filter(F.col("_size") > most)
 
 
+def apart(df: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Series of up to ``most`` rows, and the longer ones; None where a job finds none."""
+    hot = df.groupBy(F.col("series_id").alias("_hot")).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > most).select("_hot")
+    if hot.isEmpty():
+        return df, None
+    met = df["series_id"].eqNullSafe(hot["_hot"])
+    return df.join(hot, met, "left_anti"), df.join(hot, met, "left_semi")
+
+
 def placed(df: DataFrame, most: int | None = LONG, out: str = "n") -> DataFrame:
     """``df`` with ``out``, the place of a row in its series from 1, by time and event.
 

@@ -7,6 +7,7 @@ with zeros beyond both ends, and k, b counting samples in order of time.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,28 @@ def cwt(df: DataFrame, scales: tuple[int, ...], value: str = "scaled", block: in
     return held.groupBy("series_id", "_block").applyInArrow(run, out)
 
 
+def over_whole(df: DataFrame, n_scales: int, body: Callable[[np.ndarray], dict], fields: str, value: str = "scaled") -> DataFrame:
+    """series_id and the columns ``fields``, which ``body`` makes of |W| for scales 1 to ``n_scales`` (scales by samples).
+
+    A task holds a series with all its scales, so series must be short; nothing but its rows is moved.
+    """
+    kind = to_arrow_type(df.schema["series_id"].dataType)
+
+    def run(rows: pa.Table) -> pa.Table:
+        x = np.nan_to_num(rows.sort_by("_n").column(value).to_numpy())
+        made = body(np.stack([powers(x, s) for s in range(1, n_scales + 1)]))
+        n = len(next(iter(made.values())))
+        return pa.table({"series_id": pa.array([rows.column("series_id")[0].as_py()] * n, kind), **made})
+
+    held = placed(df.select("series_id", "t", "event_id", F.col(value).cast("double").alias(value)), None, "_n").select("series_id", "_n", value)
+    return held.groupBy("series_id").applyInArrow(run, f"series_id {df.schema['series_id'].dataType.simpleString()}, {fields}")
+
+
+def lists(rows: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype="i4") * rows.shape[1]), pa.array(rows.ravel()))
+
+
 def cwt_full(df: DataFrame, n_scales: int = 127, value: str = "scaled", block: int = 1 << 16) -> DataFrame:
     """``cwt`` for scales 1 to ``n_scales``."""
     return cwt(df, tuple(range(1, n_scales + 1)), value, block)

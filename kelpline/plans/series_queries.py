@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.columns import quantize_u8, relu
 from kelpline.operators import normalize, sequence, wavelet
-from kelpline.operators.groups import LONG, long_series, placed, with_aggregates
+from kelpline.operators.groups import LONG, apart, long_series, placed, with_aggregates
 from kelpline.sources.sinks import image_name, scratch, write_curves
 from kelpline.sources.tables import CLASSES, curve_tables, features, positional, series, table, wide_csv
 from kelpline.streaming.windows import window_stats
 
 SCALES = (1, 2, 4, 8, 16)
 KERNEL = (0.25, 0.5, -0.25)
+#: Samples up to which a task may hold a series with all its scales.
+SHORT = 1 << 14
 
 S = """WITH s AS (SELECT user_id AS series_id, event_id, event_type, value,
   date_diff('microsecond', min(ts) OVER (PARTITION BY user_id), ts) / 8.64e10 AS t FROM events),
@@ -113,10 +116,22 @@ def cwt_freqs(spark, d):
 
 
 def scalogram_intensity(spark, d):
-    """Power of all 127 scales against the largest of the series. The transform is written once, for its largest value is needed before the rest."""
-    folder = scratch(spark, "scalograms")
-    wavelet.cwt_full(scaled(spark, d)).withColumn("most", F.array_max("power")).write.parquet(folder)
-    topped = with_aggregates(spark.read.parquet(folder), "series_id", top=F.max("most"))
+    """Power of all 127 scales against the largest of the series.
+
+    A task that holds a series whole knows its largest value. The transform of longer series is
+    written once, for that value is needed before the rest.
+    """
+    short, long = apart(scaled(spark, d), SHORT)
+
+    def body(power: np.ndarray) -> dict:
+        n = len(power)
+        return {"first": np.ones(n, "i8"), "scale": np.arange(1, n + 1, dtype="i4"), "top": np.full(n, power.max()), "power": wavelet.lists(power)}
+
+    topped = wavelet.over_whole(short, 127, body, "first long, scale int, top double, power array<double>")
+    if long is not None:
+        folder = scratch(spark, "scalograms")
+        wavelet.cwt_full(long).withColumn("most", F.array_max("power")).write.parquet(folder)
+        topped = topped.unionByName(with_aggregates(spark.read.parquet(folder), "series_id", top=F.max("most")).drop("most"))
     each = topped.select("series_id", "first", "scale", "top", F.posexplode("power").alias("i", "p"))
     shown = 0.5 + F.try_divide(F.col("p"), 2 * F.col("top"))
     return each.select("series_id", (F.col("first") + F.col("i")).alias("n"), "scale", F.round(shown, 4).alias("intensity"))
