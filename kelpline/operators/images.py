@@ -4,10 +4,14 @@ An image is rows of strips: image, y, x (of its first column) and values, an arr
 channels. An operator cuts its result into tiles; a strip goes to every tile whose values depend on
 it, cut to the columns that the tile needs, so a tile comes with its halo, and a task holds one tile
 whatever the size of the image. Images of all sizes are worked on together.
+
+An image of few columns that a task holds anyway needs no strips: a ``Local`` operator is also a
+function of whole arrays (rows by columns by channels), as are the operators with ``_whole`` in their names.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +27,8 @@ from kelpline.operators.groups import with_aggregates
 
 #: Result rows and columns of a tile.
 TILE = 256
+#: Columns up to which a task may hold an image whole.
+WHOLE = 512
 
 
 @dataclass(frozen=True)
@@ -66,10 +72,15 @@ class Scale:
 
     def weights(self, n: int, m: int, low: int, high: int, start: int, stop: int) -> np.ndarray:
         """Of results ``low`` to ``high`` by values ``start`` to ``stop``; each result's weights on all values sum to 1."""
-        wide = max(n / m, 1.0)
-        at = (np.arange(n) + 0.5 - (np.arange(low, high)[:, None] + 0.5) * n / m) / wide
-        w = np.maximum(1 - np.abs(at), 0) if self.reach == 1 else np.where(np.abs(at) < self.reach, np.sinc(at) * np.sinc(at / self.reach), 0)
-        return (w / w.sum(axis=1, keepdims=True))[:, start:stop]
+        made = _weights if max(n, m) <= WHOLE else _weights.__wrapped__
+        return made(self.reach, n, m, low, high)[:, start:stop]
+
+
+@functools.lru_cache(maxsize=128)
+def _weights(reach: int, n: int, m: int, low: int, high: int) -> np.ndarray:
+    at = (np.arange(n) + 0.5 - (np.arange(low, high)[:, None] + 0.5) * n / m) / max(n / m, 1.0)
+    w = np.maximum(1 - np.abs(at), 0) if reach == 1 else np.where(np.abs(at) < reach, np.sinc(at) * np.sinc(at / reach), 0)
+    return w / w.sum(axis=1, keepdims=True)
 
 
 def _down(a, b):
@@ -80,6 +91,37 @@ def _larger(a, b):
     return F.greatest(a, F.lit(b)) if isinstance(a, Column) else max(a, b)
 
 
+def _smaller(a, b):
+    return F.least(a, b) if isinstance(a, Column) else min(a, b)
+
+
+@dataclass(frozen=True)
+class Local:
+    """An operator whose values depend on values nearby, as ``over_tiles`` takes it."""
+
+    channels: int
+    out_channels: int
+    axes: tuple
+    size: Callable
+    work: Callable
+
+    def over(self, strips: DataFrame, tile: int = TILE) -> DataFrame:
+        return over_tiles(strips, self.channels, self.out_channels, self.axes, self.size, self.work, tile)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The result of a whole image; one without values where there is none."""
+        image = x.shape[:2]
+        out = tuple(int(n) for n in self.size(*image))
+        if min(out) < 1:
+            return np.zeros((0, 0, self.out_channels))
+        (from_y, to_y), (from_x, to_x) = (axis.needs(0, m - 1, n, m) for axis, n, m in zip(self.axes, image, out))
+        held = np.zeros((to_y + 1 - from_y, to_x + 1 - from_x, self.channels))
+        top, left = max(from_y, 0), max(from_x, 0)
+        inside = np.nan_to_num(x[top : to_y + 1, left : to_x + 1])
+        held[top - from_y :, left - from_x :][: inside.shape[0], : inside.shape[1]] = inside
+        return self.work(held, (from_y, from_x), image, out, (0, out[0]), (0, out[1]))
+
+
 def sized(strips: DataFrame, channels: int) -> DataFrame:
     """``strips`` with the height and width of their image."""
     return with_aggregates(strips, "image", height=F.max("y") + 1, width=F.max(F.col("x") + F.size("values") / channels).cast("long"))
@@ -133,6 +175,10 @@ def over_tiles(strips: DataFrame, channels: int, out_channels: int, axes: tuple,
 
 
 def convolve(strips: DataFrame, weights: np.ndarray, bias: np.ndarray, step: int = 1, pad: int = 0, each: bool = False, then: Callable | None = None, tile: int = TILE) -> DataFrame:
+    return convolution(weights, bias, step, pad, each, then).over(strips, tile)
+
+
+def convolution(weights: np.ndarray, bias: np.ndarray, step: int = 1, pad: int = 0, each: bool = False, then: Callable | None = None) -> Local:
     """A two-dimensional convolution; ``weights`` are rows by columns by input by output channels, or with ``each`` rows by columns by channels, of which each has its own.
 
     ``then`` is put on the result's values (rows by columns by channels) and on the values in their places
@@ -152,7 +198,7 @@ def convolve(strips: DataFrame, weights: np.ndarray, bias: np.ndarray, step: int
         return then(total, held[pad : pad + m_y, pad : pad + m_x]) if then else total
 
     n_out = then(np.zeros((1, 1, len(bias))), np.zeros((1, 1, channels))).shape[-1] if then else len(bias)
-    return over_tiles(strips, channels, n_out, axes, lambda h, w: (axes[0].length(h), axes[1].length(w)), work, tile)
+    return Local(channels, n_out, axes, lambda h, w: (axes[0].length(h), axes[1].length(w)), work)
 
 
 def erf(x: np.ndarray) -> np.ndarray:
@@ -172,11 +218,19 @@ def normed(x: np.ndarray, eps: float = 1e-6) -> np.ndarray:
 
 
 def block(strips: DataFrame, around: np.ndarray, bias: np.ndarray, up: np.ndarray, down: np.ndarray, scale: float = 1e-6, tile: int = TILE) -> DataFrame:
+    return residual(around, bias, up, down, scale).over(strips, tile)
+
+
+def residual(around: np.ndarray, bias: np.ndarray, up: np.ndarray, down: np.ndarray, scale: float = 1e-6) -> Local:
     """A block of the convolutional model: 7 x 7 for each channel, norm, up to more channels, GELU, down again, scaled and added."""
-    return convolve(strips, around, bias, 1, around.shape[0] // 2, True, lambda y, x: x + scale * (gelu(normed(y) @ up) @ down), tile)
+    return convolution(around, bias, 1, around.shape[0] // 2, True, lambda y, x: x + scale * (gelu(normed(y) @ up) @ down))
 
 
 def resized(strips: DataFrame, size: Callable, channels: int = 1, reach: int = 1, tile: int = TILE) -> DataFrame:
+    return resizing(size, channels, reach).over(strips, tile)
+
+
+def resizing(size: Callable, channels: int = 1, reach: int = 1) -> Local:
     """Images at another size: ``size`` gives height and width from those of the image. ``reach`` 1 is linear between neighbours, 3 a windowed sinc.
 
     Where an image shrinks, the kernel is as wide as what falls on one pixel. Weights on pixels beyond an
@@ -191,15 +245,15 @@ def resized(strips: DataFrame, size: Callable, channels: int = 1, reach: int = 1
         w_x = axis.weights(image[1], out[1], *xs, left, left + held.shape[1])
         return np.einsum("oy,yxc,px->opc", w_y, held, w_x, optimize=True)
 
-    return over_tiles(strips, channels, channels, (axis, axis), size, work, tile)
+    return Local(channels, channels, (axis, axis), size, work)
 
 
 def fitted(size: int = 224) -> Callable:
     """Height and width that fit a square of ``size`` in proportion, 1 at least."""
 
-    def of(height: Column, width: Column) -> tuple[Column, Column]:
-        scale = F.least(size / width, size / height)
-        return tuple(F.greatest(F.lit(1), F.floor(v * scale)) for v in (height, width))
+    def of(height, width) -> tuple:
+        scale = _smaller(size / width, size / height)
+        return tuple(_larger(_down(v * scale, 1), 1) for v in (height, width))
 
     return of
 
@@ -216,6 +270,14 @@ def pasted(strips: DataFrame, size: int = 224, channels: int = 1, fill: float =
     return middle.unionByName(rest.select("image", F.col("y").cast("long").alias("y"), F.lit(0).cast("long").alias("x"), fills(F.greatest(F.lit(size), F.col("width"))).alias("values")))
 
 
+def pasted_whole(x: np.ndarray, size: int = 224, fill: float = 0.0) -> np.ndarray:
+    """The same of an array that fits the square."""
+    out = np.full((size, size, x.shape[2]), float(fill))
+    top, left = ((size - n) // 2 for n in x.shape[:2])
+    out[top : top + x.shape[0], left : left + x.shape[1]] = x
+    return out
+
+
 #: The anchors of the published purple to green diverging map, from low to high.
 PURPLE_GREEN = ("40004b", "762a83", "9970ab", "c2a5cf", "e7d4e8", "f7f7f7", "d9f0d3", "a6dba0", "5aae61", "1b7837", "00441b")
 
@@ -227,6 +289,11 @@ def coloured(x: Column, anchors: tuple[str, ...] = PURPLE_GREEN) -> Column:
     return F.when(x.isNotNull(), F.element_at(table, level + 1))
 
 
+def coloured_whole(x: np.ndarray) -> np.ndarray:
+    """The level of ``coloured`` for each value, by which ``levels`` are found."""
+    return np.clip(np.floor(np.where(np.isnan(x), 0.0, x) * 256), 0, 255).astype("i4")
+
+
 def levels(anchors: tuple[str, ...]) -> list[list[int]]:
     """The 256 colours of a map that is linear between its anchors."""
     known = np.array([[int(a[i : i + 2], 16) for i in (0, 2, 4)] for a in anchors], "f8")
@@ -234,6 +301,23 @@ def levels(anchors: tuple[str, ...]) -> list[list[int]]:
     return [[int(np.floor(np.interp(p, np.arange(len(anchors)), known[:, c]) + 1e-9)) for c in range(3)] for p in at]
 
 
+def colour_counts(strips: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each strip (``keys`` and values of three channels): its colours r, g and b and how many of its pixels have them (n)."""
+    kinds = ", ".join(f"{k} {strips.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column(len(keys))
+            flat = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, 3).astype("i8")
+            row = np.repeat(np.arange(len(held)), held.value_lengths().fill_null(0).to_numpy() // 3)
+            found, n = np.unique((row << 24) + (flat[:, 0] << 16) + (flat[:, 1] << 8) + flat[:, 2], return_counts=True)
+            at = pa.array(found >> 24)
+            colours = [pa.array((found >> by & 255).astype("i4")) for by in (16, 8, 0)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(len(keys))), *colours, pa.array(n.astype("i8"))], [*keys, "r", "g", "b", "n"])
+
+    return strips.select(*keys, "values").mapInArrow(run, f"{kinds}, r int, g int, b int, n long")
+
+
 def tokens(strips: DataFrame, channels: int) -> DataFrame:
     """A row for each pixel: image, y, x, values (its channels), height and width of the image."""
     known = sized(strips, channels)
@@ -243,17 +327,43 @@ def tokens(strips: DataFrame, channels: int) -> DataFrame:
 
 
 def attended(x: np.ndarray, y_at: np.ndarray, x_at: np.ndarray, region: np.ndarray, weights: dict[str, np.ndarray], heads: int, size: int) -> np.ndarray:
-    """Attention among the pixels of one window; those of other regions don't count.
+    """Attention among the pixels of each window (windows by pixels by channels); those of other regions don't count.
 
     ``bias`` has a value for each difference of places, rows by ``2 * size - 1`` and columns, and head.
     """
-    n, channels = x.shape
-    q, k, v = ((x @ weights[name]).reshape(n, heads, -1) for name in ("q", "k", "v"))
-    scores = np.einsum("ihc,jhc->hij", q, k) / math.sqrt(channels // heads)
-    apart = (y_at[:, None] - y_at + size - 1) * (2 * size - 1) + x_at[:, None] - x_at + size - 1
-    scores = np.where(region[:, None] == region, scores + weights["bias"][apart].transpose(2, 0, 1), -np.inf)
-    e = np.exp(scores - scores.max(axis=2, keepdims=True))
-    return np.einsum("hij,jhc->ihc", e / e.sum(axis=2, keepdims=True), v).reshape(n, channels) @ weights["out"]
+    windows, n, channels = x.shape
+    q, k, v = ((x @ weights[name]).reshape(windows, n, heads, -1).transpose(0, 2, 1, 3) for name in ("q", "k", "v"))
+    scores = q @ k.transpose(0, 1, 3, 2) / math.sqrt(channels // heads)
+    apart = (y_at[:, :, None] - y_at[:, None] + size - 1) * (2 * size - 1) + x_at[:, :, None] - x_at[:, None] + size - 1
+    scores += weights["bias"].T[:, apart].transpose(1, 0, 2, 3)
+    scores = np.where((region[:, :, None] == region[:, None])[:, None], scores, -np.inf)
+    e = np.exp(scores - scores.max(axis=3, keepdims=True))
+    return (e / e.sum(axis=3, keepdims=True) @ v).transpose(0, 2, 1, 3).reshape(x.shape) @ weights["out"]
+
+
+def windowed(x: np.ndarray, y_at: np.ndarray, x_at: np.ndarray, region: np.ndarray, window: np.ndarray, weights: dict[str, np.ndarray], heads: int, size: int) -> np.ndarray:
+    """Pixels (by channels) after attention inside their windows, those of equal size together, and after the two linear layers."""
+    x = x.copy()
+    order = np.argsort(window, kind="stable")
+    cuts = np.flatnonzero(np.diff(window[order], prepend=-1))
+    sizes = np.diff(cuts, append=len(order))
+    for n in np.unique(sizes):
+        own = order[cuts[sizes == n][:, None] + np.arange(n)]
+        x[own] += attended(normed(x[own]), y_at[own], x_at[own], region[own], weights, heads, size)
+    if "up" in weights:
+        x = x + gelu(normed(x) @ weights["up"]) @ weights["down"]
+    return x
+
+
+def window_whole(x: np.ndarray, weights: dict[str, np.ndarray], heads: int, size: int = 7, shift: int = 0) -> np.ndarray:
+    """``window_block`` of a whole image."""
+    high, wide, channels = x.shape
+    if not x.size:
+        return x
+    y, c = (a.ravel() for a in np.indices((high, wide)))
+    y_at, x_at = (y - shift) % high, (c - shift) % wide
+    window = y_at // size * (wide // size + 1) + x_at // size
+    return windowed(np.nan_to_num(x).reshape(-1, channels), y_at, x_at, (y < shift) * 2 + (c < shift), window, weights, heads, size).reshape(x.shape)
 
 
 def window_block(strips: DataFrame, weights: dict[str, np.ndarray], heads: int, size: int = 7, shift: int = 0, channels: int | None = None) -> DataFrame:
@@ -273,11 +383,7 @@ def window_block(strips: DataFrame, weights: dict[str, np.ndarray], heads: int,
     def run(rows: pa.Table) -> pa.Table:
         x = np.nan_to_num(rows.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("f8")).reshape(-1, channels)
         y_at, x_at, region, window = (rows.column(c).to_numpy() for c in ("at_y", "at_x", "region", "w_x"))
-        for w in np.unique(window):
-            own = window == w
-            x[own] += attended(normed(x[own]), y_at[own], x_at[own], region[own], weights, heads, size)
-        if "up" in weights:
-            x = x + gelu(normed(x) @ weights["up"]) @ weights["down"]
+        x = windowed(x, y_at, x_at, region, window, weights, heads, size)
         each = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="i4") * channels), pa.array(x.ravel()))
         return pa.table({"image": rows.column("image"), "y": rows.column("y"), "x": rows.column("x"), "values": each})
 
@@ -286,6 +392,10 @@ def window_block(strips: DataFrame, weights: dict[str, np.ndarray], heads: int,
 
 
 def merged(strips: DataFrame, weights: np.ndarray, tile: int = TILE) -> DataFrame:
+    return merging(weights).over(strips, tile)
+
+
+def merging(weights: np.ndarray) -> Local:
     """Each two by two pixels as one: their channels (rows run faster) normed and put through ``weights``, four times the channels by the new ones."""
     channels = len(weights) // 4
     axis = Window(2, 2)
@@ -295,7 +405,7 @@ def merged(strips: DataFrame, weights: np.ndarray, tile: int = TILE) -> DataFram
         near = [held[r : r + 2 * m_y - 1 : 2, c : c + 2 * m_x - 1 : 2] for c in (0, 1) for r in (0, 1)]
         return normed(np.concatenate(near, axis=2)) @ weights
 
-    return over_tiles(strips, channels, weights.shape[1], (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work, tile)
+    return Local(channels, weights.shape[1], (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -309,6 +419,12 @@ def inverted_bottleneck(strips: DataFrame, weights: dict[str, np.ndarray], step:
     (squeeze, excite) on the means. Means are partial sums by tile, added up for each image and joined
     back to its strips. With step 1 and as many channels out as in, the input is added.
     """
+    inner, n, wide, narrow = widened(weights, step)
+    return gated(inner.over(strips, tile), weights, n, wide, narrow)
+
+
+def widened(weights: dict[str, np.ndarray], step: int = 1) -> tuple[Local, int, int, int]:
+    """What comes before the gates, with how many channels in all, to be gated and after narrowing."""
     channels, wide = weights["up"].shape
     narrow = weights["down"].shape[1]
     swish = lambda x: x * sigmoid(x)
@@ -325,8 +441,22 @@ def inverted_bottleneck(strips: DataFrame, weights: dict[str, np.ndarray], step:
         return np.concatenate([swish(total), own], axis=2)
 
     n = wide + (channels if adds else 0)
-    inner = over_tiles(strips, channels, n, (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work, tile)
-    return gated(inner, weights, n, wide, narrow)
+    return Local(channels, n, (axis, axis), lambda h, w: (axis.length(h), axis.length(w)), work), n, wide, narrow
+
+
+def gate(mean: np.ndarray, weights: dict[str, np.ndarray]) -> np.ndarray:
+    hidden = mean @ weights["squeeze"]
+    return sigmoid((hidden * sigmoid(hidden)) @ weights["excite"])
+
+
+def bottleneck_whole(x: np.ndarray, weights: dict[str, np.ndarray], step: int = 1) -> np.ndarray:
+    """``inverted_bottleneck`` of a whole image."""
+    inner, n, wide, narrow = widened(weights, step)
+    y = inner(x)
+    if not y.size:
+        return np.zeros((0, 0, narrow))
+    out = (y[:, :, :wide] * gate(y[:, :, :wide].sum((0, 1)) / (y.shape[0] * y.shape[1]), weights)) @ weights["down"]
+    return out + y[:, :, wide:] if n > wide else out
 
 
 def gated(inner: DataFrame, weights: dict[str, np.ndarray], n: int, wide: int, narrow: int) -> DataFrame:
@@ -349,9 +479,7 @@ def gated(inner: DataFrame, weights: dict[str, np.ndarray], n: int, wide: int, n
             out = []
             for values, means in zip(batch.column(3), batch.column(4)):
                 x, mean = np.asarray(values.values).reshape(-1, n), np.asarray(means.values)
-                hidden = mean @ weights["squeeze"]
-                gate = sigmoid((hidden * sigmoid(hidden)) @ weights["excite"])
-                y = (x[:, :wide] * gate) @ weights["down"]
+                y = (x[:, :wide] * gate(mean, weights)) @ weights["down"]
                 out.append((y + x[:, wide:] if n > wide else y).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.list_(pa.float64()))], ["image", "y", "x", "values"])
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.functions.columns import erf_sql, quantize_u8
 from kelpline.operators import coding, images, normalize, wavelet
-from kelpline.operators.groups import placed
+from kelpline.operators.groups import apart, placed
 from kelpline.plans import series_queries
 from kelpline.sources.sinks import recorded, write_by_label
 
@@ -16,16 +18,24 @@ from kelpline.sources.sinks import recorded, write_by_label
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
+#: Colours by level, and those as the networks get them.
+COLOURS = np.array(images.levels(images.PURPLE_GREEN), "i4")
+PIXELS = (COLOURS / 255.0 - np.array(MEAN)) / np.array(DEVIATION)
+
+
 def powers(spark: SparkSession, d: str) -> DataFrame:
-    """The scalogram of every series with its largest value ``top``: the transform is made once and written."""
-    folder = recorded(spark, d, "scalograms", lambda path: wavelet.cwt_full(series_queries.scaled(spark, d)).withColumn("most", F.array_max("power")).write.parquet(path))
-    held = spark.read.parquet(folder)
+    """The scalograms of series of over ``images.WHOLE`` samples with the largest value ``top``: the transform is made once and written."""
+    def write(path: str) -> None:
+        long = apart(series_queries.scaled(spark, d), images.WHOLE)[1]
+        wavelet.cwt_full(long).withColumn("most", F.array_max("power")).write.parquet(path)
+
+    held = spark.read.parquet(recorded(spark, d, "scalograms", write))
     tops = held.select("series_id", "most")
     return held.drop("most").join(tops.groupBy("series_id").agg(F.max("most").alias("top")), "series_id")
 
 
 def strips(spark: SparkSession, d: str) -> DataFrame:
-    """Intensities of all scales as images, scale 1 on top; a series without power is 0.5 throughout."""
+    """Intensities of all scales of those series as images, scale 1 on top; a series without power is 0.5 throughout."""
     shown = F.transform("power", lambda p: F.coalesce(0.5 + F.try_divide(p, 2 * F.col("top")), F.lit(0.5)))
     return powers(spark, d).select(F.col("series_id").alias("image"), (F.col("scale") - 1).cast("long").alias("y"), (F.col("first") - 1).alias("x"), shown.alias("values"))
 
@@ -35,32 +45,66 @@ def rgb(spark: SparkSession, d: str) -> DataFrame:
     return strips(spark, d).withColumn("values", F.flatten(F.transform("values", lambda v: images.coloured(v))))
 
 
+def over_scalograms(spark: SparkSession, d: str, body: Callable[[np.ndarray], dict], fields: str, rest: Callable[[], DataFrame]) -> DataFrame:
+    """Image and ``fields`` that ``body`` makes of the intensities (scales by samples) of a series in the task that transforms it; of series that are too long for that, the rows of ``rest``."""
+    def shown(power: np.ndarray) -> dict:
+        top = power.max()
+        return body(0.5 + power / (2 * top) if top else np.full(power.shape, 0.5))
+
+    short, long = apart(series_queries.scaled(spark, d), images.WHOLE)
+    found = wavelet.over_whole(short, 127, shown, fields).withColumnRenamed("series_id", "image")
+    return found if long is None else found.unionByName(rest())
+
+
+def as_strips(x: np.ndarray) -> dict:
+    """Rows of a whole image."""
+    return {"y": np.arange(len(x)), "x": np.zeros(len(x), "i8"), "values": wavelet.lists(x.reshape(len(x), x.shape[1] * x.shape[2]))}
+
+
 def scalogram_rgb(spark, d):
     """Scalograms in colours, written below a directory for each label and read again: how often a row has each colour."""
+    def body(x: np.ndarray) -> dict:
+        return as_strips(COLOURS[images.coloured_whole(x)]) | {"whole": np.ones(len(x), bool)}
+
     def write(path: str) -> None:
-        write_by_label(rgb(spark, d).withColumn("label", F.pmod("image", F.lit(6))), path)
+        drawn = over_scalograms(spark, d, body, "y long, x long, values array<int>, whole boolean", lambda: rgb(spark, d).withColumn("whole", F.lit(False)))
+        write_by_label(drawn.withColumn("label", F.pmod("image", F.lit(6))), path, labels=6)
 
     held = spark.read.parquet(recorded(spark, d, "rgb", write))
-    pixels = held.select("label", "image", "y", F.explode(F.transform(F.sequence(F.lit(0), F.size("values") - 3, F.lit(3)), lambda i: F.struct(*(F.get("values", i + c).alias(n) for c, n in enumerate(("r", "g", "b")))))).alias("p"))
-    return pixels.groupBy(F.col("label").cast("long").alias("label"), F.col("image").alias("series_id"), (F.col("y") + 1).cast("int").alias("scale"), "p.r", "p.g", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    counted = images.colour_counts(held.select(F.col("label").cast("long").alias("label"), F.col("image").alias("series_id"), (F.col("y") + 1).cast("int").alias("scale"), "values", "whole"), ["label", "series_id", "scale", "whole"])
+    # A row that is one strip is counted in full; the parts of others meet.
+    parts = counted.filter("NOT whole").groupBy("label", "series_id", "scale", "r", "g", "b").agg(F.sum("n").alias("n"))
+    return counted.filter("whole").drop("whole").unionByName(parts)
 
 
 def edges(strips: DataFrame) -> DataFrame:
-    """Of each row of an image: its length, first and last value, and sum."""
-    parts = F.struct("x", "values")
+    """Of each row of an image: its length, first and last value, and sum. Of a strip only these go to where its row is put together."""
     total = F.aggregate("values", F.lit(0.0), lambda s, v: s + v)
-    rows = strips.groupBy("image", "y").agg(F.sum(F.size("values")).alias("n"), F.min_by("values", "x").alias("a"), F.max_by("values", "x").alias("b"), F.sum(total).alias("total"))
-    return rows.select(F.col("image").alias("series_id"), "y", "n", F.round(F.get("a", F.lit(0)), 6).alias("first"), F.round(F.element_at("b", -1), 6).alias("last"), F.round("total", 5).alias("total"))
+    ends = strips.select("image", "y", "x", F.size("values").cast("long").alias("n"), F.get("values", F.lit(0)).alias("a"), F.element_at("values", -1).alias("b"), total.alias("total"))
+    return ends.groupBy("image", "y").agg(F.sum("n").alias("n"), F.min_by("a", "x").alias("first"), F.max_by("b", "x").alias("last"), F.sum("total").alias("total"))
+
+
+def edge_rows(x: np.ndarray) -> dict:
+    """The same of a whole image of one channel."""
+    x = x[:, :, 0]
+    return {"y": np.arange(len(x)), "n": np.full(len(x), x.shape[1]), "first": x[:, 0], "last": x[:, -1], "total": x.sum(1)}
+
+
+def edges_of(spark: SparkSession, d: str, body: Callable[[np.ndarray], np.ndarray], rest: Callable[[], DataFrame]) -> DataFrame:
+    rows = over_scalograms(spark, d, lambda x: edge_rows(body(x[:, :, None])), "y long, n long, first double, last double, total double", lambda: edges(rest()))
+    return rows.select(F.col("image").alias("series_id"), "y", "n", F.round("first", 6).alias("first"), F.round("last", 6).alias("last"), F.round("total", 5).alias("total"))
 
 
 def image_resize(spark, d):
     """Scalograms at 224 by 224, linear between neighbours."""
-    return edges(images.resized(strips(spark, d), lambda h, w: (224, 224)))
+    square = images.resizing(lambda h, w: (224, 224))
+    return edges_of(spark, d, square, lambda: square.over(strips(spark, d)))
 
 
 def image_letterbox(spark, d):
     """Scalograms in proportion in the middle of squares of 96, by a windowed sinc."""
-    return edges(images.pasted(images.resized(strips(spark, d), images.fitted(96), reach=3), 96))
+    fit = images.resizing(images.fitted(96), reach=3)
+    return edges_of(spark, d, lambda x: images.pasted_whole(fit(x), 96), lambda: images.pasted(fit.over(strips(spark, d)), 96))
 
 
 def fixed(*shape: int) -> np.ndarray:
@@ -68,16 +112,16 @@ def fixed(*shape: int) -> np.ndarray:
     return (((3 * np.arange(int(np.prod(shape))) + 2) % 7 - 3) / 10).reshape(shape)
 
 
-def convnext(spark: SparkSession, d: str) -> DataFrame:
-    """Stem, one block and a halving of the convolutional model on coloured scalograms, with fixed weights: strips of 8 channels."""
-    whole = images.block(stem(spark, d), fixed(7, 7, 4), np.arange(4) / 10, fixed(4, 8), fixed(8, 4), scale=1.0)
-    return images.convolve(whole, fixed(2, 2, 4, 8), np.zeros(8), step=2)
+#: Patches of 4 by 4 pixels of coloured scalograms as 4 channels, and the block and the halving that follow in the convolutional model.
+PATCHES = images.convolution(fixed(4, 4, 3, 4), np.arange(4) / 10, step=4)
+BLOCK = images.residual(fixed(7, 7, 4), np.arange(4) / 10, fixed(4, 8), fixed(8, 4), scale=1.0)
+HALVING = images.convolution(fixed(2, 2, 4, 8), np.zeros(8), step=2)
 
 
 def stem(spark: SparkSession, d: str) -> DataFrame:
-    """Patches of 4 by 4 pixels of coloured scalograms as 4 channels."""
+    """Patches of long series."""
     pixels = F.transform("values", lambda v, i: (v / 255.0 - F.element_at(F.array(*map(F.lit, MEAN)), i % 3 + 1)) / F.element_at(F.array(*map(F.lit, DEVIATION)), i % 3 + 1))
-    return images.convolve(rgb(spark, d).withColumn("values", pixels), fixed(4, 4, 3, 4), np.arange(4) / 10, step=4)
+    return PATCHES.over(rgb(spark, d).withColumn("values", pixels))
 
 
 def by_pixel(strips: DataFrame, channels: int) -> DataFrame:
@@ -85,25 +129,33 @@ def by_pixel(strips: DataFrame, channels: int) -> DataFrame:
     return out.select("series_id", "y", (F.col("x") + F.floor(F.col("i") / float(channels))).cast("long").alias("x"), (F.col("i") % channels).alias("channel"), F.round("v", 5).alias("v"))
 
 
+def on_patches(spark: SparkSession, d: str, body: Callable[[np.ndarray], np.ndarray], rest: Callable[[DataFrame], DataFrame], channels: int) -> DataFrame:
+    """Values by pixel of ``body`` of whole images of patches, and of ``rest`` of their strips, with fixed weights."""
+    whole = lambda x: as_strips(body(PATCHES(PIXELS[images.coloured_whole(x)])))
+    return by_pixel(over_scalograms(spark, d, whole, "y long, x long, values array<double>", lambda: rest(stem(spark, d))), channels)
+
+
 def convnext_stem(spark, d):
-    return by_pixel(convnext(spark, d), 8)
+    """Stem, one block and a halving of the convolutional model on coloured scalograms: 8 channels."""
+    return on_patches(spark, d, lambda x: HALVING(BLOCK(x)), lambda s: HALVING.over(BLOCK.over(s)), 8)
 
 
 def window_attention(spark, d):
     """Attention in windows of 7 by 7 patches that are shifted by 3, two heads, added to the patches."""
     weights = {name: fixed(4, 4) * by for name, by in (("q", 1.0), ("k", -1.0), ("v", 2.0), ("out", 1.0))} | {"bias": fixed(169, 2)}
-    return by_pixel(images.window_block(stem(spark, d), weights, heads=2, shift=3), 4)
+    return on_patches(spark, d, lambda x: images.window_whole(x, weights, 2, shift=3), lambda s: images.window_block(s, weights, heads=2, shift=3), 4)
 
 
 def patch_merging(spark, d):
     """Two by two patches as one of 8 channels."""
-    return by_pixel(images.merged(stem(spark, d), fixed(16, 8)), 8)
+    merging = images.merging(fixed(16, 8))
+    return on_patches(spark, d, merging, merging.over, 8)
 
 
 def squeeze_excite(spark, d):
     """An inverted bottleneck with a gate for each channel, on the patches."""
     weights = {"up": fixed(4, 8), "around": fixed(3, 3, 8), "squeeze": fixed(8, 2), "excite": fixed(2, 8), "down": fixed(8, 4)}
-    return by_pixel(images.inverted_bottleneck(stem(spark, d), weights), 4)
+    return on_patches(spark, d, lambda x: images.bottleneck_whole(x, weights), lambda s: images.inverted_bottleneck(s, weights), 4)
 
 
 def matrices(spark: SparkSession, d: str) -> DataFrame:

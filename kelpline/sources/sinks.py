@@ -11,9 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_by_label(df: DataFrame, path: str) -> None:
-    """Parquet below one directory per label, so that a reader of one class prunes the others."""
-    df.write.mode("overwrite").partitionBy("label").parquet(path)
+def write_by_label(df: DataFrame, path: str, labels: int = 0) -> None:
+    """Parquet below one directory per label, so that a reader of one class prunes the others.
+
+    Where the number of ``labels`` is known to be small, a task keeps a file open for each, with small
+    row groups, and rows aren't sorted (and spilled) by label first.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(name)
+    conf.set(name, str(labels))
+    try:
+        out = df.write.mode("overwrite").partitionBy("label")
+        (out.option("parquet.block.size", 16 << 20) if labels else out).parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def image_name(label: Column, file: Column) -> Column:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.operators import coding, images
-from kelpline.plans import series_queries, training_queries
+from kelpline.plans import image_queries, series_queries, training_queries
+from kelpline.sources.sinks import write_by_label
 
 SIZES = {1: (9, 13), 2: (1, 1), 3: (17, 8), 4: (3, 2)}
 
@@ -187,6 +188,68 @@ def test_blocks_come_back_within_their_steps(spark, quality):
         assert max(np.abs(again[k] - held[k]).max() for k in held) <= 4
 
 
+@pytest.mark.parametrize("shift", [0, 2])
+def test_whole_images_are_worked_on_as_strips_are(spark, shift):
+    draw, held = np.random.default_rng(7), drawn(4)
+    weights = {n: draw.normal(size=(4, 4)) for n in ("q", "k", "v", "out")} | {"bias": draw.normal(size=(49, 2)), "up": draw.normal(size=(4, 16)), "down": draw.normal(size=(16, 4))}
+    gates = {"up": draw.normal(size=(4, 6)), "around": draw.normal(size=(3, 3, 6)), "squeeze": draw.normal(size=(6, 2)), "excite": draw.normal(size=(2, 6)), "down": draw.normal(size=(6, 4))}
+    local = [images.convolution(draw.normal(size=(4, 4, 4, 3)), np.arange(3), 4), images.residual(draw.normal(size=(7, 7, 4)), np.arange(4), draw.normal(size=(4, 8)), draw.normal(size=(8, 4)), 0.5), images.resizing(images.fitted(12), 4, 3), images.merging(draw.normal(size=(16, 3)))]
+    pairs = [(op, op.over(strips(spark, held), 5), op.out_channels) for op in local]
+    pairs.append((lambda x: images.window_whole(x, weights, 2, 4, shift), images.window_block(strips(spark, held), weights, 2, 4, shift), 4))
+    pairs += [(lambda x, step=step: images.bottleneck_whole(x, gates, step), images.inverted_bottleneck(strips(spark, held), gates, step, 4), 4) for step in (1, 2)]
+    fit = images.resizing(images.fitted(12), 4)
+    pairs.append((lambda x: images.pasted_whole(fit(x), 12, 7.0), images.pasted(fit.over(strips(spark, held)), 12, 4, 7.0), 4))
+    for op, frame, channels in pairs:
+        got, want = whole(frame, channels), {k: y for k, a in held.items() if (y := op(a)).size}
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def events(spark, path):
+    """Series 1 to 3 of 9, 40 and 20 samples, and 4 without a value."""
+    value = lambda s, i: None if s == 4 else float((i * i * 7 + s) % 11)
+    rows = [(100 * s + i, i, s, "view", value(s, i)) for s, n in ((1, 9), (2, 40), (3, 20), (4, 8)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "event_id long, at int, user_id long, event_type string, value double")
+    frame.selectExpr("event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, at) AS ts", "user_id", "event_type", "value").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_short_series_need_no_strips(spark, tmp_path, monkeypatch):
+    found = []
+    for most in (10, 30, 512):
+        monkeypatch.setattr(images, "WHOLE", most)
+        monkeypatch.setattr(series_queries, "SHORT", most)
+        d = events(spark, tmp_path / str(most))
+        if most == 512:
+            fail = lambda *_: pytest.fail("a scalogram was written")
+            monkeypatch.setattr(image_queries, "strips", fail)
+            monkeypatch.setattr(series_queries, "scratch", fail)
+        names = ["image_resize", "image_letterbox", "window_attention", "patch_merging", "squeeze_excite", "convnext_stem", "scalogram_rgb"]
+        asked = [image_queries.QUERIES[n] for n in names] + [series_queries.scalogram_intensity]
+        found.append([sorted([tuple(round(v, 4) if isinstance(v, float) else v for v in r) for r in q(spark, d).collect()], key=repr) for q in asked])
+    for few, some, all_ in zip(*found):
+        assert len(few) == len(some) == len(all_) > 0
+        assert all(a == b or all(x == y or abs(x - y) < 3e-4 for x, y in zip(a, b)) for other in (few, some) for a, b in zip(other, all_))
+
+
+def test_ends_of_rows_travel_without_their_values(spark):
+    frame = image_queries.edges(strips(spark, drawn(1)))
+    moved = [line for line in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_m" in line]
+    assert moved and not any("partial_min_by(values" in line or "partial_max_by(values" in line for line in moved)
+    got = {(r["image"], r["y"]): r for r in frame.collect()}
+    for k, a in drawn(1).items():
+        for y, row in enumerate(a[:, :, 0]):
+            r = got[k, y]
+            assert (r["n"], r["first"], r["last"]) == (len(row), row[0], row[-1]) and abs(r["total"] - row.sum()) < 1e-9
+
+
+def test_labels_are_written_without_a_sort(spark, tmp_path):
+    rows = spark.range(60).withColumn("label", F.col("id") % 6)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    write_by_label(rows.repartition(2), f"{tmp_path}/out", labels=6)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted((i, i % 6) for i in range(60))
+
+
 def test_zigzag_and_transform():
     assert coding.ZIGZAG[:6] == [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2)] and coding.ZIGZAG[-1] == (7, 7)
     assert np.allclose(coding.COSINES @ coding.COSINES.T, np.eye(8)) and coding.steps(50).ravel().tolist()[:3] == [16, 11, 10]
