@@ -41,6 +41,7 @@ def split_hash(df: DataFrame, key: str, percent: int = 80) -> DataFrame:
     return df.withColumn("split", F.when(F.pmod(draw(F.col(key)), F.lit(100)) < percent, "train").otherwise("test"))
 
 
-def batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """``batch_id`` in shuffled order; the last batch keeps what is left."""
-    return ranked(df, key, seed).withColumn("batch_id", F.floor((F.col("place") - 1) / float(size)).cast("long")).drop("place")
+def batches(df: DataFrame, key: str, size: int, seed: int = 0, parts: int = 0) -> DataFrame:
+    """``batch_id`` in shuffled order; the last batch keeps what is left. With ``parts`` its rows are dealt in turn to as many: ``part``."""
+    found = ranked(df, key, seed).withColumn("batch_id", F.floor((F.col("place") - 1) / float(size)).cast("long"))
+    return (found.withColumn("part", F.pmod(F.col("place") - 1 - F.col("batch_id") * size, F.lit(parts))) if parts else found).drop("place")

@@ -1,12 +1,16 @@
 """The sequence classifier as numpy: convolutions, LSTM in both directions, attention or last step, two linear layers.
 
 Only what a task does with the rows it is given stands here; how steps are dealt over the cluster is in
-``training``. Arrays are rows by steps by channels, parameters one flat vector.
+``training``. Arrays are steps by channels by rows, so that what is done value by value runs over long
+stretches, and parameters one flat vector. Nets that differ in filters, layers and settings alone go through
+recurrence and linear layers side by side, by products of their own: a net's numbers don't depend on which others run.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,14 +43,15 @@ class Net:
         return sizes | {"dense": (2 * h, self.dense), "dense_bias": (self.dense,), "out": (self.dense, self.classes), "out_bias": (self.classes,)}
 
     def size(self) -> int:
-        return sum(map(math.prod, self.shapes().values()))
+        return places(self)[-1][-1]
 
     def parts(self, vector: np.ndarray) -> dict[str, np.ndarray]:
         """Views of a parameter vector by name."""
-        out, at = {}, 0
-        for name, shape in self.shapes().items():
-            out[name] = vector[at : (at := at + math.prod(shape))].reshape(shape)
-        return out
+        return {name: vector[low:high].reshape(shape) for name, shape, low, high in places(self)}
+
+    def alike(self) -> tuple:
+        """What nets that run side by side have in common."""
+        return self.width, self.classes, self.hidden, self.dense, self.attention
 
     def drawn(self, seed: int) -> np.ndarray:
         """First parameters: even between plus and minus 1 by the root of the inputs; of a recurrence, of its units."""
@@ -60,149 +65,242 @@ class Net:
         return vector
 
 
-def convolve(x, w, b):
-    """Width 3 with zeros beyond the ends, then ReLU."""
-    n, steps, channels = x.shape
-    near = np.zeros((n, steps, 3, channels))
-    near[:, 1:, 0], near[:, :, 1], near[:, :-1, 2] = x[:, :-1], x, x[:, 1:]
-    near = near.reshape(n * steps, -1)
-    y = np.maximum(near @ w + b, 0).reshape(n, steps, -1)
-
-    def back(dy):
-        dz = (dy * (y > 0)).reshape(n * steps, -1)
-        parts = (dz @ w.T).reshape(n, steps, 3, channels)
-        dx = parts[:, :, 1].copy()
-        dx[:, :-1] += parts[:, 1:, 0]
-        dx[:, 1:] += parts[:, :-1, 2]
-        return dx, near.T @ dz, dz.sum(0)
+@functools.lru_cache(maxsize=1024)
+def places(net: Net) -> list[tuple[str, tuple[int, ...], int, int]]:
+    """Name, shape, start and end of every parameter in the vector."""
+    out, at = [], 0
+    for name, shape in net.shapes().items():
+        out.append((name, shape, at, at := at + math.prod(shape)))
+    return out
+
+
+def surroundings(x):
+    """Each step with the one before and after, zeros beyond the ends: steps by three times the channels by rows."""
+    steps, channels, n = x.shape
+    near = np.empty((steps, 3, channels, n))
+    near[0, 0], near[-1, 2] = 0, 0
+    near[1:, 0], near[:, 1], near[:-1, 2] = x[:-1], x, x[1:]
+    return near.reshape(steps, 3 * channels, n)
+
+
+def convolve(near, w, b):
+    """Width 3 over ``surroundings``, then ReLU."""
+    y = w.T @ near
+    y += b[:, None]
+    np.maximum(y, 0, out=y)
+
+    def back(dy, first):
+        dz = dy * (y > 0)
+        dw, db = (near @ dz.transpose(0, 2, 1)).sum(0), dz.sum(0).sum(1)
+        if first:
+            return None, dw, db
+        parts = (w @ dz).reshape(len(dz), 3, len(w) // 3, -1)
+        dx = parts[:, 1].copy()
+        dx[:-1] += parts[1:, 0]
+        dx[1:] += parts[:-1, 2]
+        return dx, dw, db
 
     return y, back
 
 
 def halved(x):
     """The larger of each two steps, an odd last one dropped; a tie goes to the first."""
-    n = x.shape[1] // 2
-    pairs = x[:, : 2 * n].reshape(len(x), n, 2, x.shape[2])
-    second = pairs[:, :, 1] > pairs[:, :, 0]
+    half = len(x) // 2
+    one, two = x[0 : 2 * half : 2], x[1 : 2 * half : 2]
 
     def back(dy):
-        dx = np.zeros_like(x)
-        dx[:, : 2 * n] = np.stack([dy * ~second, dy * second], axis=2).reshape(len(x), 2 * n, x.shape[2])
+        dx = np.empty_like(x)
+        dx[2 * half :] = 0
+        second = np.multiply(dy, two > one, out=dx[1 : 2 * half : 2])
+        np.subtract(dy, second, out=dx[0 : 2 * half : 2])
         return dx
 
-    return np.where(second, pairs[:, :, 1], pairs[:, :, 0]), back
-
-
-def recurrent(x, w, u, b):
-    """Hidden states of all steps in both directions, which run side by side: ``x`` is two by rows by steps by channels, the second turned round; gates in the order input, forget, cell, output."""
-    _, n, steps, channels = x.shape
-    hidden = u.shape[1]
-    given = np.ascontiguousarray((x @ w[:, None] + b[:, None, None]).transpose(2, 0, 1, 3))
-    gates, cells, bent = np.empty((steps, 2, n, 4, hidden)), np.zeros((steps + 1, 2, n, hidden)), np.empty((steps, 2, n, hidden))
-    states = np.zeros((steps + 1, 2, n, hidden))
-    for k in range(steps):
-        z = (given[k] + states[k] @ u).reshape(2, n, 4, hidden)
-        gates[k] = 1 / (1 + np.exp(-z))
-        np.tanh(z[:, :, 2], out=gates[k, :, :, 2])
-        i, f, g, o = (gates[k, :, :, j] for j in range(4))
-        np.add(f * cells[k], i * g, out=cells[k + 1])
-        np.tanh(cells[k + 1], out=bent[k])
-        np.multiply(o, bent[k], out=states[k + 1])
+    return np.maximum(one, two), back
+
+
+def recurrent(given, own):
+    """Hidden states of all steps of some recurrences side by side: ``given`` is steps by recurrences by gates by rows, in the order input, forget, cell, output, and ``own`` holds a matrix for each."""
+    steps, many, _, n = given.shape
+    hidden = own.shape[1]
+    turned = np.ascontiguousarray(own.transpose(0, 2, 1))
+    gates, cells, states = given, np.empty((steps + 1, many, hidden, n)), np.empty((steps + 1, many, hidden, n))
+    bent, met = np.empty((steps, many, hidden, n)), np.empty((many, 4 * hidden, n))
+    cells[0], states[0] = 0, 0
+    split = gates.reshape(steps, many, 4, hidden, n)
+    with np.errstate(over="ignore"):
+        for k in range(steps):
+            z = gates[k]
+            if k:
+                z += np.matmul(turned, states[k], out=met)
+            i, f, g, o = (split[k, :, j] for j in range(4))
+            cell = np.tanh(g)
+            np.exp(np.negative(z, out=z), out=z)
+            z += 1
+            np.reciprocal(z, out=z)
+            g[...] = cell
+            np.multiply(f, cells[k], out=cells[k + 1])
+            cells[k + 1] += np.multiply(i, cell, out=cell)
+            np.tanh(cells[k + 1], out=bent[k])
+            np.multiply(o, bent[k], out=states[k + 1])
 
     def back(dout):
-        i, f, g, o = (gates[:, :, :, j] for j in range(4))
-        slopes = np.stack([g * i * (1 - i), cells[:-1] * f * (1 - f), i * (1 - g * g)], axis=3)
-        of_gate, of_cell = bent * o * (1 - o), o * (1 - bent * bent)
-        dz = np.empty((steps, 2, n, 4, hidden))
-        dout, turned = np.ascontiguousarray(dout.transpose(2, 0, 1, 3)), np.ascontiguousarray(u.transpose(0, 2, 1))
-        dh, dc = np.zeros((2, n, hidden)), np.zeros((2, n, hidden))
+        """Gradients of ``given`` and of ``own``."""
+        dh, dc, dgiven = np.zeros((many, hidden, n)), np.zeros((many, hidden, n)), np.empty_like(gates)
         for k in reversed(range(steps)):
-            dh = dh + dout[k]
-            dc = dc + dh * of_cell[k]
-            np.multiply(dc[:, :, None], slopes[k], out=dz[k, :, :, :3])
-            np.multiply(dh, of_gate[k], out=dz[k, :, :, 3])
-            dh, dc = dz[k].reshape(2, n, -1) @ turned, dc * f[k]
-        each = dz.reshape(steps, 2, n, -1).transpose(1, 2, 0, 3).reshape(2, n * steps, -1)
-        before = states[:-1].transpose(1, 3, 2, 0).reshape(2, hidden, -1)
-        dx = (each @ w.transpose(0, 2, 1)).reshape(2, n, steps, channels)
-        return dx, x.reshape(2, n * steps, channels).transpose(0, 2, 1) @ each, before @ each, each.sum(1)
+            dh += dout[k]
+            i, f, g, o = (split[k, :, j] for j in range(4))
+            dz = dgiven[k].reshape(many, 4, hidden, n)
+            of_cell = 1 - bent[k] * bent[k]
+            of_cell *= o
+            of_cell *= dh
+            dc += of_cell
+            np.multiply(dc, g, out=dz[:, 0])
+            np.multiply(dc, cells[k], out=dz[:, 1])
+            np.multiply(dc, i, out=dz[:, 2])
+            np.multiply(dh, bent[k], out=dz[:, 3])
+            dc *= f
+            slope = 1 - split[k]
+            slope *= split[k]
+            np.subtract(1, g * g, out=slope[:, 2])
+            dz *= slope
+            np.matmul(own, dgiven[k], out=dh)
+        return dgiven, (states[:-1] @ dgiven.transpose(0, 1, 3, 2)).sum(0)
+
+    return states[1:], back
+
+
+def recurrence(inputs, weights):
+    """Both directions over the inputs of some nets; ``weights`` has those of each for ahead and back. Gives outputs, ahead and back, of each."""
+    steps, _, n = inputs[0].shape
+    hidden = len(weights[0][1])
+    given = np.empty((steps, 2 * len(inputs), 4 * hidden, n))
+    for k, (x, w) in enumerate(zip(inputs, weights)):
+        np.matmul(w[0].T, x, out=given[:, 2 * k])
+        np.matmul(w[3].T, x[::-1], out=given[:, 2 * k + 1])
+    given += np.stack([b for w in weights for b in (w[2], w[5])])[:, :, None]
+    states, back_all = recurrent(given, np.stack([m for w in weights for m in (w[1], w[4])]))
+    out = np.empty((len(inputs), steps, 2 * hidden, n))
+    out[:, :, :hidden] = states[:, ::2].transpose(1, 0, 2, 3)
+    out[:, :, hidden:] = states[::-1, 1::2].transpose(1, 0, 2, 3)
+
+    def back(dys):
+        dout = np.empty_like(states)
+        for k, dy in enumerate(dys):
+            dout[:, 2 * k], dout[:, 2 * k + 1] = dy[:, :hidden], dy[::-1, hidden:]
+        dz, down = back_all(dout)
+        db = dz.sum(0).sum(2)
+        found = []
+        for k, (x, w) in enumerate(zip(inputs, weights)):
+            ahead, behind = dz[:, 2 * k], dz[::-1, 2 * k + 1]
+            dx = w[0] @ ahead
+            dx += w[3] @ behind
+            found.append((dx, *(g for z, j in ((ahead, 2 * k), (behind, 2 * k + 1)) for g in ((x @ z.transpose(0, 2, 1)).sum(0), down[j], db[j]))))
+        return found
 
-    return states[1:].transpose(1, 2, 0, 3), back
+    return out, back
 
 
-def scores(net: Net, vector: np.ndarray, x: np.ndarray, drops=None):
-    """Logits of rows of values, and a function from their gradients to that of the parameters.
+def together(nets: list[Net], vectors: list[np.ndarray], x: np.ndarray, drops: list[Callable] | None = None):
+    """Logits of rows of values, nets by rows by classes, and a function from their gradients to those of each net's parameters; the nets are ``alike``.
 
-    ``drops`` gives the factors of dropout for a name and a number of channels, rows by channels.
+    ``drops`` gives of each net the factors of dropout for a name and a number of channels, rows by channels.
     """
-    p, tape = net.parts(vector), []
-    y = x[:, :, None]
-
-    def layer(names, result):
-        y, back = result
-        tape.append((names, back))
-        return y
-
-    def dropped(name, y):
-        if drops is None or not net.dropout:
-            return y
-        factor = drops(name, y.shape[-1]).reshape(len(y), *[1] * (y.ndim - 2), -1)
-        return layer((), (y * factor, lambda dy: (dy * factor,)))
-
-    for k in range(3):
-        y = layer((f"conv{k}", f"conv{k}_bias"), convolve(y, p[f"conv{k}"], p[f"conv{k}_bias"]))
-        if k < 2:
-            y, back = halved(y)
-            tape.append(((), lambda dy, back=back: (back(dy),)))
-    for k in range(net.layers):
-        y = dropped(f"recur{k}", y) if k else y
-        (ahead, behind), back_two = recurrent(np.stack([y, y[:, ::-1]]), *(np.stack([p[f"{way}{k}_{n}"] for way in ("ahead", "back")]) for n in ("in", "own", "bias")))
-
-        def both(dy, back_two=back_two):
-            dx, *each = back_two(np.stack([dy[:, :, : net.hidden], dy[:, ::-1, net.hidden :]]))
-            return dx[0] + dx[1][:, ::-1], *(d[way] for way in (0, 1) for d in each)
-
-        y = layer(tuple(f"{way}{k}_{n}" for way in ("ahead", "back") for n in ("in", "own", "bias")), (np.concatenate([ahead, behind[:, ::-1]], axis=2), both))
-    y = layer(("attend",) if net.attention else (), attended(y, p["attend"]) if net.attention else (y[:, -1], lambda dy, y=y: (np.concatenate([np.zeros((len(y), y.shape[1] - 1, y.shape[2])), dy[:, None]], axis=1),)))
-    y = layer(("dense", "dense_bias"), linear(y, p["dense"], p["dense_bias"]))
-    y = layer((), (np.maximum(y, 0), lambda dy, y=y: (dy * (y > 0),)))
-    y = dropped("dense", y)
-    y = layer(("out", "out_bias"), linear(y, p["out"], p["out_bias"]))
+    params, found, now, conv_backs = [net.parts(v) for net, v in zip(nets, vectors)], [], [], []
+    whole = surroundings(np.ascontiguousarray(x.T)[:, None])
+
+    def factors(name, some, channels):
+        return [drops[t](name, channels).T if drops is not None and nets[t].dropout else None for t in some]
+
+    for p in params:
+        y, backs = None, []
+        for k in range(3):
+            y, back_conv = convolve(surroundings(y) if k else whole, p[f"conv{k}"], p[f"conv{k}_bias"])
+            y, back_half = halved(y) if k < 2 else (y, None)
+            backs.append((back_conv, back_half))
+        now.append(y)
+        conv_backs.append(backs)
+    hidden, layers = nets[0].hidden, []
+    for k in range(max(net.layers for net in nets)):
+        some = [t for t, net in enumerate(nets) if net.layers > k]
+        kept = factors(f"recur{k}", some, 2 * hidden) if k else [None] * len(some)
+        names = [f"{way}{k}_{n}" for way in ("ahead", "back") for n in ("in", "own", "bias")]
+        out, back_layer = recurrence([now[t] if f is None else now[t] * f for t, f in zip(some, kept)], [[params[t][n] for n in names] for t in some])
+        for t, y in zip(some, out):
+            now[t] = y
+        layers.append((some, kept, names, back_layer))
+    last = np.stack(now)
+    p = {n: np.stack([each[n] for each in params]) for n in ("attend", "dense", "dense_bias", "out", "out_bias") if n in params[0]}
+    y, back_steps = attended(last, p["attend"]) if "attend" in p else (last[:, -1], None)
+    mid, back_dense = linear(y, p["dense"], p["dense_bias"])
+    kept_dense = [np.ones((nets[0].dense, 1)) if f is None else f for f in factors("dense", range(len(nets)), nets[0].dense)]
+    factor = np.stack([np.broadcast_to(f, (nets[0].dense, len(x))) for f in kept_dense])
+    logits, back_out = linear(np.maximum(mid, 0) * factor, p["out"], p["out_bias"])
+
+    def back(d):
+        out = [np.zeros(net.size()) for net in nets]
+        parts = [net.parts(v) for net, v in zip(nets, out)]
+
+        def put(names, grads, some=range(len(nets))):
+            for name, g in zip(names, grads):
+                for t in some:
+                    parts[t][name][...] = g[t]
+
+        dy, *each = back_out(d.transpose(0, 2, 1))
+        put(("out", "out_bias"), each)
+        dy, *each = back_dense(dy * factor * (mid > 0))
+        put(("dense", "dense_bias"), each)
+        if back_steps:
+            dy, *each = back_steps(dy)
+            put(("attend",), each)
+            dnow = list(dy)
+        else:
+            dnow = list(np.zeros_like(last))
+            for g, of_last in zip(dnow, dy):
+                g[-1] = of_last
+        for some, kept, names, back_layer in reversed(layers):
+            for t, f, (dx, *each) in zip(some, kept, back_layer([dnow[t] for t in some])):
+                dnow[t] = dx if f is None else dx * f
+                for name, g in zip(names, each):
+                    parts[t][name][...] = g
+        for t, backs in enumerate(conv_backs):
+            dy = dnow[t]
+            for k in (2, 1, 0):
+                back_conv, back_half = backs[k]
+                dy, parts[t][f"conv{k}"][...], parts[t][f"conv{k}_bias"][...] = back_conv(back_half(dy) if back_half else dy, not k)
+        return out
 
-    def back(dy):
-        found = np.zeros(net.size())
-        parts = net.parts(found)
-        for names, step in reversed(tape):
-            dy, *each = step(dy)
-            for name, d in zip(names, each):
-                parts[name][...] = d
-        return found
+    return logits.transpose(0, 2, 1), back
 
-    return y, back
+
+def scores(net: Net, vector: np.ndarray, x: np.ndarray, drops=None):
+    """``together`` for one net: logits, rows by classes, and a function from their gradients to that of the parameters."""
+    logits, back = together([net], [vector], x, None if drops is None else [drops])
+    return logits[0], lambda d: back(d[None])[0]
 
 
 def linear(x, w, b):
-    return x @ w + b, lambda dy: (dy @ w.T, x.T @ dy, dy.sum(0))
+    return w.transpose(0, 2, 1) @ x + b[:, :, None], lambda dy: (w @ dy, x @ dy.transpose(0, 2, 1), dy.sum(2))
 
 
 def attended(x, w):
-    """Steps summed by the softmax of their products with ``w``."""
-    u = x @ w
+    """Steps summed by the softmax of their products with ``w``, net by net."""
+    u = w[:, None, None] @ x
     a = np.exp(u - u.max(axis=1, keepdims=True))
     a /= a.sum(axis=1, keepdims=True)
 
     def back(dy):
-        da = (x * dy[:, None]).sum(2)
+        da = (x * dy[:, None]).sum(2, keepdims=True)
         du = a * (da - (a * da).sum(1, keepdims=True))
-        return a[:, :, None] * dy[:, None] + du[:, :, None] * w, np.tensordot(x, du, ((0, 1), (0, 1)))
+        return a * dy[:, None] + du * w[:, None, :, None], (x @ du.transpose(0, 1, 3, 2)).sum(1)[:, :, 0]
 
-    return (x * a[:, :, None]).sum(1), back
+    return (x * a).sum(1), back
 
 
 def losses(logits: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cross-entropy of each row, and the gradients of their sum."""
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    chance = e / e.sum(axis=1, keepdims=True)
-    own = chance[np.arange(len(labels)), labels]
-    chance[np.arange(len(labels)), labels] -= 1
+    e = np.exp(logits - logits.max(axis=-1, keepdims=True))
+    chance = e / e.sum(axis=-1, keepdims=True)
+    rows = np.arange(len(labels))
+    own = chance[..., rows, labels]
+    chance[..., rows, labels] -= 1
     return -np.log(own), chance

@@ -1,11 +1,12 @@
 """Training of sequence classifiers over the cluster: minibatch gradients, Adam, recorded metrics, pruning.
 
 An epoch is one barrier stage, whose tasks go through the minibatches together. The rows of a minibatch
-are dealt by ``part``, a hash of their key; each part gives one partial gradient for each net, and these
-are added up by a tree of sixteens, in the order of the parts, so that a rerun gives equal numbers,
-whatever the number of tasks. What meets between the tasks and in the driver has the size of the nets
-alone: gradients, and a vector of weights and two moments for each. Where executors come and go
-(dynamic allocation) there are no barrier stages, and a step is one job.
+are dealt in turn to ``part``, so that no task waits for one with more rows; each part gives one partial
+gradient for each net, and these are added up by a tree of sixteens, in the order of the parts, so that a
+rerun gives equal numbers, whatever the number of tasks. Each net is added up and stepped in one of the
+tasks, which sends its weights to the others. What meets between the tasks and in the driver has the size
+of the nets alone: gradients, and a vector of weights and two moments for each. Where executors come and
+go (dynamic allocation) there are no barrier stages, and a step is one job.
 
 Several nets train side by side on the same batches. What an epoch ends with is written below a folder:
 ``metrics`` gets a row for each net, ``states`` the vectors. A fit that finds a folder of its own goes
@@ -15,9 +16,11 @@ on after the last epoch recorded there.
 from __future__ import annotations
 
 import contextlib
+import os
 import secrets
+import socket
 from collections.abc import Callable, Iterator
-from multiprocessing.connection import Client, Listener
+from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,14 @@ from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.functions.columns import draw
 from kelpline.operators import dataset, network
 from kelpline.operators.network import Net
 from kelpline.sources.sinks import scratch
 
 #: Partial sums that meet in one task.
 BRANCH = 16
+#: Rows that are scored at a time.
+BLOCK = 256
 METRICS = "trial int, epoch int, train_loss double, val_loss double, accuracy double, n_train long, n_val long"
 STATES = "trial int, epoch int, steps long, weights array<double>, first array<double>, second array<double>"
 
@@ -56,15 +60,24 @@ def dropper(keys: list[int], seed: int, step: int, rate: float, drawn: dict[tupl
     return drops
 
 
+def alike(nets: dict[int, Net]) -> list[list[int]]:
+    """Numbers of nets that run side by side."""
+    found: dict[tuple, list[int]] = {}
+    for trial, net in nets.items():
+        found.setdefault(net.alike(), []).append(trial)
+    return list(found.values())
+
+
 def partial_gradients(nets: dict[int, Net], vectors: dict[int, np.ndarray], table: pa.Table, seed: int, step: int) -> list[tuple[int, int, float, np.ndarray]]:
     """Of each net: its number, rows, summed loss and summed gradient."""
     keys, labels, x = arrays(table)
-    rows, drawn = [], {}
-    for trial, net in nets.items():
-        logits, back = network.scores(net, vectors[trial], x, dropper(keys, seed, step, net.dropout, drawn))
+    rows, drawn = {}, {}
+    for some in alike(nets):
+        logits, back = network.together([nets[t] for t in some], [vectors[t] for t in some], x, [dropper(keys, seed, step, nets[t].dropout, drawn) for t in some])
         loss, d = network.losses(logits, labels)
-        rows.append((trial, len(keys), float(loss.sum()), back(d)))
-    return rows
+        for trial, own, g in zip(some, np.ascontiguousarray(loss), back(d)):
+            rows[trial] = trial, len(keys), float(own.sum()), g
+    return [rows[t] for t in nets]
 
 
 def gradients(batch: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray], seed: int, step: int, parts: int) -> dict[int, tuple[int, float, np.ndarray]]:
@@ -113,21 +126,31 @@ def added(partial: dict[int, np.ndarray], parts: int) -> np.ndarray:
     return partial[0]
 
 
+def undelayed(link: Connection) -> Connection:
+    """``link`` without Nagle's rule, by which the end of a message waits for word that its beginning came, 40 ms often."""
+    with socket.socket(fileno=os.dup(link.fileno())) as same:
+        same.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+    return link
+
+
 class Circle:
-    """The tasks of a barrier stage, each connected to the first, which adds up what they bring to a step."""
+    """The tasks of a barrier stage. The first ``owners`` add up what all tasks bring to a step, each for nets of its own, and are connected to every other one."""
 
-    def __init__(self, key: bytes, parts: int) -> None:
+    def __init__(self, key: bytes, owners: int) -> None:
         context = BarrierTaskContext.get()
-        rank, infos = context.partitionId(), context.getTaskInfos()
-        self.rank, self.parts, self.held = rank, parts, contextlib.ExitStack()
-        host = infos[rank].address.rsplit(":", 1)[0].strip("[]")
-        if rank:
-            name, port = context.allGather("")[0].rsplit(":", 1)
-            self.links = [self.held.enter_context(Client((name, int(port)), authkey=key))]
-        else:
-            with Listener((host, 0), backlog=len(infos), authkey=key) as listener:
-                context.allGather(f"{host}:{listener.address[1]}")
-                self.links = [self.held.enter_context(listener.accept()) for _ in infos[1:]]
+        infos, self.rank, self.held = context.getTaskInfos(), context.partitionId(), contextlib.ExitStack()
+        self.tasks, self.owners, self.links = len(infos), min(owners, len(infos)), {}
+        host = infos[self.rank].address.rsplit(":", 1)[0].strip("[]")
+        with contextlib.ExitStack() as opened:
+            listener = opened.enter_context(Listener((host, 0), backlog=self.tasks, authkey=key)) if self.rank < self.owners else None
+            addresses = context.allGather(f"{host}:{listener.address[1]}" if listener else "")
+            for other in range(min(self.rank, self.owners)):
+                name, port = addresses[other].rsplit(":", 1)
+                self.links[other] = self.held.enter_context(undelayed(Client((name, int(port)), authkey=key)))
+                self.links[other].send(self.rank)
+            for _ in range(self.tasks - 1 - self.rank if listener else 0):
+                link = self.held.enter_context(undelayed(listener.accept()))
+                self.links[link.recv()] = link
 
     def __enter__(self) -> Circle:
         return self
@@ -135,17 +158,26 @@ class Circle:
     def __exit__(self, *error) -> None:
         self.held.close()
 
-    def added(self, own: dict[int, np.ndarray]) -> np.ndarray:
-        """The sum over the parts of all tasks, which each of them gets."""
-        if self.rank:
-            self.links[0].send(own)
-            return self.links[0].recv()
-        for link in self.links:
-            own = own | link.recv()
-        total = added(own, self.parts)
-        for link in self.links:
-            link.send(total)
-        return total
+    def share(self, trials: list[int], owner: int) -> list[int]:
+        """The nets of an owner."""
+        return trials[owner :: self.owners] if owner < self.owners else []
+
+    def traded(self, given: dict[int, object], wanted: range) -> dict[int, object]:
+        """What the tasks ``wanted`` give this one, which gives ``given`` to others; with its own.
+
+        Any two meet in one round and the lower one speaks first, so none waits for one that waits for it.
+        """
+        found = {self.rank: given[self.rank]} if self.rank in wanted else {}
+        for k in range(self.tasks):
+            other = (k - self.rank) % self.tasks
+            for speaks in (self.rank < other, self.rank > other):
+                if other == self.rank:
+                    continue
+                if speaks and other in given:
+                    self.links[other].send(given[other])
+                if not speaks and other in wanted:
+                    found[other] = self.links[other].recv()
+        return found
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
@@ -206,23 +238,31 @@ def epoch_steps(shuffled: DataFrame, nets: dict[int, Net], adams: dict[int, Adam
     held, key = spark.sparkContext.broadcast({t: adams[t] for t in nets}), secrets.token_bytes(16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = dict(held.value), dict.fromkeys(nets, 0.0)
-        steps = runs(batches, "batch_id")
+        steps, vectors = runs(batches, "batch_id"), {t: a.weights for t, a in held.value.items()}
         now, rows = next(steps, (n_batches, None))
-        with Circle(key, parts) as circle:
+        with Circle(key, len(nets)) as circle:
+            shares = [circle.share(list(nets), task) for task in range(circle.tasks)]
+            own, total = {t: held.value[t] for t in shares[circle.rank]}, dict.fromkeys(shares[circle.rank], 0.0)
+            everyone, owners = range(circle.tasks), range(circle.owners)
             for k in range(n_batches):
-                partial, vectors = {}, {t: a.weights for t, a in own.items()}
+                partial: list[dict[int, np.ndarray]] = [{} for _ in owners]
                 if now == k:
                     for part, table in runs(rows.combine_chunks().to_batches(), "part"):
-                        found = partial_gradients(nets, vectors, table, seed, first + k)
-                        partial[part] = np.concatenate([[table.num_rows], *(v for _, _, loss, g in found for v in ([loss], g))])
+                        found = {t: (loss, g) for t, _, loss, g in partial_gradients(nets, vectors, table, seed, first + k)}
+                        for owner in owners:
+                            partial[owner][part] = np.concatenate([[table.num_rows], *(v for t in shares[owner] for v in ([found[t][0]], found[t][1]))])
                     now, rows = next(steps, (n_batches, None))
-                n, *sums = np.split(circle.added(partial), np.cumsum([1, *(1 + len(vectors[t]) for t in nets)])[:-1])
-                for t, s in zip(nets, sums):
-                    own[t].step(s[1:] / n[0])
-                    total[t] += float(s[0])
-        if not circle.rank:
-            yield pa.RecordBatch.from_pylist([{"trial": t, "steps": own[t].steps, "weights": own[t].weights, "first": own[t].first, "second": own[t].second, "loss": total[t]} for t in nets], out)
+                brought = circle.traded(dict(enumerate(partial)), everyone if own else range(0))
+                if own:
+                    n, *sums = np.split(added({p: v for each in brought.values() for p, v in each.items()}, parts), np.cumsum([1, *(1 + len(vectors[t]) for t in own)])[:-1])
+                    for t, s in zip(own, sums):
+                        own[t].step(s[1:] / n[0])
+                        total[t] += float(s[0])
+                stepped = {t: a.weights for t, a in own.items()}
+                for each in circle.traded(dict.fromkeys(everyone, stepped) if own else {}, owners).values():
+                    vectors |= each
+        if own:
+            yield pa.RecordBatch.from_pylist([{"trial": t, "steps": a.steps, "weights": a.weights, "first": a.first, "second": a.second, "loss": total[t]} for t, a in own.items()], out)
 
     lists = pa.list_(pa.float64())
     out = pa.schema([("trial", pa.int32()), ("steps", pa.int64()), ("weights", lists), ("first", lists), ("second", lists), ("loss", pa.float64())])
@@ -242,12 +282,12 @@ def scored(rows: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, labels, x = arrays(pa.Table.from_batches([batch]))
-            for trial, net in nets.items():
-                logits, _ = network.scores(net, held.value[trial], x)
-                yield pa.RecordBatch.from_arrays([pa.array([trial] * len(keys), pa.int32()), pa.array(keys), pa.array(labels), pa.array(logits.argmax(axis=1), pa.int32()), pa.array(network.losses(logits, labels)[0])], ["trial", "id", "label", "pred", "loss"])
+            for low in range(0, batch.num_rows, BLOCK):
+                keys, labels, x = arrays(pa.Table.from_batches([batch.slice(low, BLOCK)]))
+                for some in alike(nets):
+                    logits, _ = network.together([nets[t] for t in some], [held.value[t] for t in some], x)
+                    for trial, pred, loss in zip(some, logits.argmax(axis=2), network.losses(logits, labels)[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array([trial] * len(keys), pa.int32()), pa.array(keys), pa.array(labels), pa.array(pred, pa.int32()), pa.array(loss)], ["trial", "id", "label", "pred", "loss"])
 
     return rows.select(F.col("id").cast("long"), F.col("label").cast("int"), "features").mapInArrow(run, "trial int, id long, label int, pred int, loss double")
 
@@ -285,7 +325,7 @@ def fit(train: DataFrame, val: DataFrame, nets: dict[int, Net], epochs: int, bat
     own = [F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"), F.col("features").cast("array<double>").alias("features")]
     held = [scratch(spark, "rows") for _ in range(2)]
     for rows, path in zip((train, val), held):
-        rows.filter(fine).select(*own, F.pmod(draw(F.col("id")), F.lit(parts)).alias("part")).write.parquet(path)
+        rows.filter(fine).select(*own).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(path)
     train, val = (spark.read.parquet(path) for path in held)
     n_train, n_val = train.count(), val.count()
     n_batches = -(-n_train // batch)
@@ -302,7 +342,7 @@ def fit(train: DataFrame, val: DataFrame, nets: dict[int, Net], epochs: int, bat
         now = {t: net for t, net in alive.items() if done.get(t, 0) < epoch}
         if not now or not n_train:
             continue
-        shuffled, total = dataset.batches(train, "id", batch, seed * 1000 + epoch), {}
+        shuffled, total = dataset.batches(train, "id", batch, seed * 1000 + epoch, parts), {}
         for t, (state, loss) in epoch_steps(shuffled, now, adams, seed, epoch * n_batches, n_batches, parts).items():
             adams[t], total[t] = state, loss
         each = scored(val, now, {t: adams[t].weights for t in now}).groupBy("trial").agg(F.sum("loss").alias("loss"), F.sum((F.col("pred") == F.col("label")).cast("int")).alias("hits")).collect()

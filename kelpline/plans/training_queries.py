@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,7 +195,8 @@ def reload_network(spark, d):
 
 def search_record(spark: SparkSession, d: str) -> str:
     def make(folder: str) -> None:
-        net = lambda x: small_net(spark, d, filters=int(x["filters"]), layers=int(x["layers"]), dropout=x["dropout"], rate=x["rate"], hidden=8, dense=16)
+        base = small_net(spark, d, hidden=8, dense=16)
+        net = lambda x: replace(base, filters=int(x["filters"]), layers=int(x["layers"]), dropout=x["dropout"], rate=x["rate"])
         search.search(*parts_of(spark, d), net, folder, filters=(4, 12), trials=20, side_by_side=10, epochs=3, parts=8)
 
     return recorded(spark, d, "search", make)

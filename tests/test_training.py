@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import os
+import socket
 
 import numpy as np
 import pyarrow as pa
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline.functions import columns as C
-from kelpline.operators import network, training
+from kelpline.operators import dataset, network, training
 from kelpline.operators.network import Net
 from kelpline.plans import schedules, search
 from kelpline.sources.sinks import scratch
@@ -120,6 +122,43 @@ def test_steps_of_a_stage_are_those_of_jobs(spark, monkeypatch):
         assert all(np.array_equal(getattr(one[t][0], n), getattr(other[t][0], n)) for n in ("weights", "first", "second"))
 
 
+def test_nets_side_by_side_are_those_alone():
+    nets = [Net(11, 3, filters=f, hidden=3, layers=n, dense=4, dropout=r, attention=True) for f, n, r in ((2, 3, 0.3), (3, 1, 0.0), (5, 2, 0.2))]
+    vectors, x, labels = [n.drawn(i) for i, n in enumerate(nets)], np.random.default_rng(0).normal(size=(7, 11)), np.arange(7) % 3
+    drops = [training.dropper(list(range(7)), 0, 1, n.dropout) for n in nets]
+    logits, back = network.together(nets, vectors, x, drops)
+    loss, d = network.losses(logits, labels)
+    for i, g in enumerate(back(d)):
+        alone, back_alone = network.scores(nets[i], vectors[i], x, drops[i])
+        loss_alone, d_alone = network.losses(alone, labels)
+        assert np.array_equal(logits[i], alone) and np.array_equal(loss[i], loss_alone) and np.array_equal(g, back_alone(d_alone))
+
+
+def test_rows_of_a_step_are_dealt_evenly(spark):
+    rows = dataset.batches(spark.range(100), "id", 32, 3, parts=5).groupBy("batch_id", "part").count().collect()
+    sizes = {b: sorted(r["count"] for r in rows if r["batch_id"] == b) for b in range(4)}
+    assert sizes == {0: [6, 6, 6, 7, 7], 1: [6, 6, 6, 7, 7], 2: [6, 6, 6, 7, 7], 3: [1, 1, 1, 1]}
+
+
+def test_held_out_rows_are_scored_in_many_tasks(spark, monkeypatch):
+    rows, dealt, score = planted(spark, 60).coalesce(1), [], training.scored
+    monkeypatch.setattr(training, "scored", lambda val, *rest: dealt.append(val.rdd.getNumPartitions()) or score(val, *rest))
+    training.fit(rows, rows, {0: SMALL}, 1, 32, scratch(spark, "fit"), parts=2)
+    assert dealt and min(dealt) > 1
+
+
+def test_tasks_trade_without_delay(spark):
+    def run(batches):
+        with training.Circle(b"key", 2) as circle:
+            now = [same.getsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY) for link in circle.links.values() for same in [socket.socket(fileno=os.dup(link.fileno()))]]
+            met = circle.traded({k: [circle.rank, k] for k in range(circle.owners)}, range(circle.tasks if circle.rank < circle.owners else 0))
+            yield pa.RecordBatch.from_pylist([{"rank": circle.rank, "all": all(now), "links": len(now), "met": str(sorted(met.items()))}])
+
+    found = sorted(spark.range(0, 4, 1, 4).mapInArrow(run, "rank long, all boolean, links long, met string", barrier=True).collect())
+    assert [tuple(r)[:3] for r in found] == [(0, True, 3), (1, True, 3), (2, True, 2), (3, True, 2)]
+    assert [r["met"] for r in found] == [str([(t, [t, k]) for t in range(4)] if k < 2 else []) for k in range(4)]
+
+
 def test_runs_cross_batches():
     batches = [pa.record_batch({"k": k, "v": k}) for k in ([0, 0, 1], [], [1, 1], [1, 3])]
     assert [(k, t.column("v").to_pylist()) for k, t in training.runs(iter([b for b in batches if b.num_rows]), "k")] == [(0, [0, 0]), (1, [1] * 4), (3, [3])]
