@@ -200,21 +200,21 @@ def recurrence(inputs, weights):
     return out, back
 
 
-def together(nets: list[Net], vectors: list[np.ndarray], x: np.ndarray, drops: list[Callable] | None = None):
-    """Logits of rows of values, nets by rows by classes, and a function from their gradients to those of each net's parameters; the nets are ``alike``.
+def together(nets: list[Net], vectors: list[np.ndarray], xs: list[np.ndarray], drops: list[Callable] | None = None):
+    """Logits of each net for its rows of values, nets by rows by classes, and a function from their gradients to those of each net's parameters; the nets are ``alike`` and have equally many rows.
 
     ``drops`` gives of each net the factors of dropout for a name and a number of channels, rows by channels.
     """
     params, found, now, conv_backs = [net.parts(v) for net, v in zip(nets, vectors)], [], [], []
-    whole = surroundings(np.ascontiguousarray(x.T)[:, None])
+    wholes = {id(x): surroundings(np.ascontiguousarray(x.T)[:, None]) for x in xs}
 
     def factors(name, some, channels):
         return [drops[t](name, channels).T if drops is not None and nets[t].dropout else None for t in some]
 
-    for p in params:
+    for p, x in zip(params, xs):
         y, backs = None, []
         for k in range(3):
-            y, back_conv = convolve(surroundings(y) if k else whole, p[f"conv{k}"], p[f"conv{k}_bias"])
+            y, back_conv = convolve(surroundings(y) if k else wholes[id(x)], p[f"conv{k}"], p[f"conv{k}_bias"])
             y, back_half = halved(y) if k < 2 else (y, None)
             backs.append((back_conv, back_half))
         now.append(y)
@@ -233,7 +233,7 @@ def together(nets: list[Net], vectors: list[np.ndarray], x: np.ndarray, drops: l
     y, back_steps = attended(last, p["attend"]) if "attend" in p else (last[:, -1], None)
     mid, back_dense = linear(y, p["dense"], p["dense_bias"])
     kept_dense = [np.ones((nets[0].dense, 1)) if f is None else f for f in factors("dense", range(len(nets)), nets[0].dense)]
-    factor = np.stack([np.broadcast_to(f, (nets[0].dense, len(x))) for f in kept_dense])
+    factor = np.stack([np.broadcast_to(f, (nets[0].dense, len(xs[0]))) for f in kept_dense])
     logits, back_out = linear(np.maximum(mid, 0) * factor, p["out"], p["out_bias"])
 
     def back(d):
@@ -274,7 +274,7 @@ def together(nets: list[Net], vectors: list[np.ndarray], x: np.ndarray, drops: l
 
 def scores(net: Net, vector: np.ndarray, x: np.ndarray, drops=None):
     """``together`` for one net: logits, rows by classes, and a function from their gradients to that of the parameters."""
-    logits, back = together([net], [vector], x, None if drops is None else [drops])
+    logits, back = together([net], [vector], [x], None if drops is None else [drops])
     return logits[0], lambda d: back(d[None])[0]
 
 
@@ -297,10 +297,10 @@ def attended(x, w):
 
 
 def losses(logits: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy of each row, and the gradients of their sum."""
+    """Cross-entropy of each row, and the gradients of their sum. Labels may be by net."""
     e = np.exp(logits - logits.max(axis=-1, keepdims=True))
     chance = e / e.sum(axis=-1, keepdims=True)
-    rows = np.arange(len(labels))
-    own = chance[..., rows, labels]
-    chance[..., rows, labels] -= 1
-    return -np.log(own), chance
+    at = np.broadcast_to(labels, chance.shape[:-1])[..., None]
+    own = np.take_along_axis(chance, at, -1)
+    np.put_along_axis(chance, at, own - 1, -1)
+    return -np.log(own[..., 0]), chance

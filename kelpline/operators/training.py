@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import contextlib
 import os
+import pickle
 import secrets
 import socket
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from multiprocessing.connection import Client, Connection, Listener
 
 import numpy as np
@@ -68,16 +70,17 @@ def alike(nets: dict[int, Net]) -> list[list[int]]:
     return list(found.values())
 
 
-def partial_gradients(nets: dict[int, Net], vectors: dict[int, np.ndarray], table: pa.Table, seed: int, step: int) -> list[tuple[int, int, float, np.ndarray]]:
-    """Of each net: its number, rows, summed loss and summed gradient."""
-    keys, labels, x = arrays(table)
-    rows, drawn = {}, {}
+def partial_gradients(nets: dict[int, Net], vectors: dict[int, np.ndarray], tables: list[pa.Table], seed: int, step: int) -> list[list[tuple[int, int, float, np.ndarray]]]:
+    """For each table, of each net: its number, rows, summed loss and summed gradient. What has equally many rows runs side by side."""
+    held, found = [(*arrays(table), {}) for table in tables], {}
     for some in alike(nets):
-        logits, back = network.together([nets[t] for t in some], [vectors[t] for t in some], x, [dropper(keys, seed, step, nets[t].dropout, drawn) for t in some])
-        loss, d = network.losses(logits, labels)
-        for trial, own, g in zip(some, np.ascontiguousarray(loss), back(d)):
-            rows[trial] = trial, len(keys), float(own.sum()), g
-    return [rows[t] for t in nets]
+        for n in {table.num_rows for table in tables}:
+            units = [(k, t) for k, (keys, *_) in enumerate(held) if len(keys) == n for t in some]
+            drops = [dropper(held[k][0], seed, step, nets[t].dropout, held[k][3]) for k, t in units]
+            logits, back = network.together([nets[t] for _, t in units], [vectors[t] for _, t in units], [held[k][2] for k, _ in units], drops)
+            loss, d = network.losses(logits, np.stack([held[k][1] for k, _ in units]))
+            found |= {unit: (unit[1], n, float(own.sum()), g) for unit, own, g in zip(units, np.ascontiguousarray(loss), back(d))}
+    return [[found[k, t] for t in nets] for k in range(len(tables))]
 
 
 def gradients(batch: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray], seed: int, step: int, parts: int) -> dict[int, tuple[int, float, np.ndarray]]:
@@ -86,7 +89,7 @@ def gradients(batch: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndar
 
     def partial(table: pa.Table) -> pa.Table:
         part = int(table.column("part")[0].as_py())
-        return as_table([(trial, part, *rest) for trial, *rest in partial_gradients(nets, held.value, table, seed, step)])
+        return as_table([(trial, part, *rest) for trial, *rest in partial_gradients(nets, held.value, [table], seed, step)[0]])
 
     schema = "trial int, part long, n long, loss double, gradient array<double>"
     sums = batch.select("id", "label", "features", "part").groupBy("part").applyInArrow(partial, schema)
@@ -134,16 +137,17 @@ def undelayed(link: Connection) -> Connection:
 
 
 class Circle:
-    """The tasks of a barrier stage. The first ``owners`` add up what all tasks bring to a step, each for nets of its own, and are connected to every other one."""
+    """Tasks of a barrier stage, ``size`` that follow each other or all. The first ``owners`` add up what all of them bring to a step, each for nets of its own, and are connected to every other one."""
 
-    def __init__(self, key: bytes, owners: int) -> None:
+    def __init__(self, key: bytes, owners: int, size: int = 0) -> None:
         context = BarrierTaskContext.get()
-        infos, self.rank, self.held = context.getTaskInfos(), context.partitionId(), contextlib.ExitStack()
-        self.tasks, self.owners, self.links = len(infos), min(owners, len(infos)), {}
-        host = infos[self.rank].address.rsplit(":", 1)[0].strip("[]")
+        infos, place, self.held = context.getTaskInfos(), context.partitionId(), contextlib.ExitStack()
+        self.tasks, self.links = size or len(infos), {}
+        self.rank, self.owners = place % self.tasks, min(owners, self.tasks)
+        host = infos[place].address.rsplit(":", 1)[0].strip("[]")
         with contextlib.ExitStack() as opened:
             listener = opened.enter_context(Listener((host, 0), backlog=self.tasks, authkey=key)) if self.rank < self.owners else None
-            addresses = context.allGather(f"{host}:{listener.address[1]}" if listener else "")
+            addresses = context.allGather(f"{host}:{listener.address[1]}" if listener else "")[place - self.rank :]
             for other in range(min(self.rank, self.owners)):
                 name, port = addresses[other].rsplit(":", 1)
                 self.links[other] = self.held.enter_context(undelayed(Client((name, int(port)), authkey=key)))
@@ -151,6 +155,7 @@ class Circle:
             for _ in range(self.tasks - 1 - self.rank if listener else 0):
                 link = self.held.enter_context(undelayed(listener.accept()))
                 self.links[link.recv()] = link
+        self.sender = self.held.enter_context(ThreadPoolExecutor(1))
 
     def __enter__(self) -> Circle:
         return self
@@ -162,24 +167,39 @@ class Circle:
         """The nets of an owner."""
         return trials[owner :: self.owners] if owner < self.owners else []
 
-    def traded(self, given: dict[int, object], wanted: range) -> dict[int, object]:
+    def traded(self, given: dict[int, bytes], wanted: range) -> dict[int, bytes]:
         """What the tasks ``wanted`` give this one, which gives ``given`` to others; with its own.
 
-        Any two meet in one round and the lower one speaks first, so none waits for one that waits for it.
+        A thread sends while this one receives, so none waits for one that waits for it.
         """
-        found = {self.rank: given[self.rank]} if self.rank in wanted else {}
-        for k in range(self.tasks):
-            other = (k - self.rank) % self.tasks
-            for speaks in (self.rank < other, self.rank > other):
-                if other == self.rank:
-                    continue
-                if speaks and other in given:
-                    self.links[other].send(given[other])
-                if not speaks and other in wanted:
-                    found[other] = self.links[other].recv()
+
+        def send() -> None:
+            for k in range(1, self.tasks):
+                other = (self.rank + k) % self.tasks
+                if other in given:
+                    self.links[other].send_bytes(given[other])
+
+        sent = self.sender.submit(send) if given.keys() - {self.rank} else None
+        found = {other: given[other] if other == self.rank else self.links[other].recv_bytes() for other in wanted}
+        if sent:
+            sent.result()
         return found
 
 
+def grid(slots: int, parts: int, nets: int) -> tuple[int, int]:
+    """Into how many groups the nets go, and how many tasks share the rows of a group, so that no task has much more than others; of equal ways that with the fewest copies of rows. No task has all rows where two can share them."""
+    ways = [(-(-nets // g) * -(-parts // r), g, r) for g in range(1, nets + 1) for r in [min(parts, slots // g)] if r >= min(2, parts, slots)]
+    return min(ways)[1:]
+
+
+def grouped(nets: dict[int, Net], groups: int) -> list[list[int]]:
+    """Numbers of nets in groups of about equal size, none empty."""
+    found: list[list[int]] = [[] for _ in range(groups)]
+    for trial in sorted(nets, key=lambda t: (-nets[t].size(), t)):
+        min(found, key=lambda g: sum(nets[t].size() for t in g)).append(trial)
+    return found
+
+
 def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
     """Rows that follow each other with one value of ``column``, and the value."""
     held = None
@@ -221,11 +241,11 @@ def tasks_at_once(spark: SparkSession) -> int:
 def epoch_steps(shuffled: DataFrame, nets: dict[int, Net], adams: dict[int, Adam], seed: int, first: int, n_batches: int, parts: int) -> dict[int, tuple[Adam, float]]:
     """Of each net the state after all steps over ``shuffled`` (id, label, features, part, batch_id), and the summed loss; the first step has number ``first``.
 
-    A barrier stage: each task has some of the parts, ordered by batch, and keeps the rows of a step.
+    A barrier stage: each task has some of the parts, ordered by batch, for a group of the nets, and keeps the rows of a step.
     """
     spark = shuffled.sparkSession
-    tasks = min(parts, tasks_at_once(spark))
-    if not tasks:
+    slots = tasks_at_once(spark)
+    if not slots:
         total = dict.fromkeys(nets, 0.0)
         path = scratch(spark, "batches")
         shuffled.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.parquet(path)
@@ -236,37 +256,42 @@ def epoch_steps(shuffled: DataFrame, nets: dict[int, Net], adams: dict[int, Adam
                 total[t] += loss
         return {t: (adams[t], total[t]) for t in nets}
     held, key = spark.sparkContext.broadcast({t: adams[t] for t in nets}), secrets.token_bytes(16)
+    many, size = grid(slots, parts, len(nets))
+    groups = grouped(nets, many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, vectors = runs(batches, "batch_id"), {t: a.weights for t, a in held.value.items()}
+        trials = groups[BarrierTaskContext.get().partitionId() // size]
+        steps, some, vectors = runs(batches, "batch_id"), {t: nets[t] for t in trials}, {t: held.value[t].weights for t in trials}
         now, rows = next(steps, (n_batches, None))
-        with Circle(key, len(nets)) as circle:
-            shares = [circle.share(list(nets), task) for task in range(circle.tasks)]
+        with Circle(key, len(trials), size) as circle:
+            shares = [circle.share(trials, task) for task in range(size)]
             own, total = {t: held.value[t] for t in shares[circle.rank]}, dict.fromkeys(shares[circle.rank], 0.0)
-            everyone, owners = range(circle.tasks), range(circle.owners)
+            everyone, owners = range(size), range(circle.owners)
             for k in range(n_batches):
                 partial: list[dict[int, np.ndarray]] = [{} for _ in owners]
                 if now == k:
-                    for part, table in runs(rows.combine_chunks().to_batches(), "part"):
-                        found = {t: (loss, g) for t, _, loss, g in partial_gradients(nets, vectors, table, seed, first + k)}
+                    mine = list(runs(rows.combine_chunks().to_batches(), "part"))
+                    for (part, table), sums in zip(mine, partial_gradients(some, vectors, [table for _, table in mine], seed, first + k)):
+                        found = {t: np.concatenate([[loss], g]) for t, _, loss, g in sums}
                         for owner in owners:
-                            partial[owner][part] = np.concatenate([[table.num_rows], *(v for t in shares[owner] for v in ([found[t][0]], found[t][1]))])
+                            partial[owner][part] = np.concatenate([[table.num_rows], *(found[t] for t in shares[owner])])
                     now, rows = next(steps, (n_batches, None))
-                brought = circle.traded(dict(enumerate(partial)), everyone if own else range(0))
+                brought = circle.traded({o: pickle.dumps(p) for o, p in enumerate(partial)}, everyone if own else range(0))
                 if own:
-                    n, *sums = np.split(added({p: v for each in brought.values() for p, v in each.items()}, parts), np.cumsum([1, *(1 + len(vectors[t]) for t in own)])[:-1])
+                    n, *sums = np.split(added({p: v for each in brought.values() for p, v in pickle.loads(each).items()}, parts), np.cumsum([1, *(1 + len(vectors[t]) for t in own)])[:-1])
                     for t, s in zip(own, sums):
                         own[t].step(s[1:] / n[0])
                         total[t] += float(s[0])
-                stepped = {t: a.weights for t, a in own.items()}
+                stepped = pickle.dumps({t: a.weights for t, a in own.items()})
                 for each in circle.traded(dict.fromkeys(everyone, stepped) if own else {}, owners).values():
-                    vectors |= each
+                    vectors |= pickle.loads(each)
         if own:
             yield pa.RecordBatch.from_pylist([{"trial": t, "steps": a.steps, "weights": a.weights, "first": a.first, "second": a.second, "loss": total[t]} for t, a in own.items()], out)
 
     lists = pa.list_(pa.float64())
     out = pa.schema([("trial", pa.int32()), ("steps", pa.int64()), ("weights", lists), ("first", lists), ("second", lists), ("loss", pa.float64())])
-    dealt = shuffled.select("id", "label", "features", "part", "batch_id").repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("batch_id", "part")
+    dealt = shuffled.select("id", "label", "features", "part", "batch_id", F.explode(F.array(*((F.pmod("part", F.lit(size)) + g * size).cast("int") for g in range(many)))).alias("task"))
+    dealt = dealt.repartitionById(many * size, "task").sortWithinPartitions("batch_id", "part")
     found = {}
     for r in dealt.mapInArrow(run, "trial int, steps long, weights array<double>, first array<double>, second array<double>, loss double", barrier=True).collect():
         state = Adam(np.array(r["weights"]), nets[r["trial"]].rate)
@@ -285,7 +310,7 @@ def scored(rows: DataFrame, nets: dict[int, Net], vectors: dict[int, np.ndarray]
             for low in range(0, batch.num_rows, BLOCK):
                 keys, labels, x = arrays(pa.Table.from_batches([batch.slice(low, BLOCK)]))
                 for some in alike(nets):
-                    logits, _ = network.together([nets[t] for t in some], [held.value[t] for t in some], x)
+                    logits, _ = network.together([nets[t] for t in some], [held.value[t] for t in some], [x] * len(some))
                     for trial, pred, loss in zip(some, logits.argmax(axis=2), network.losses(logits, labels)[0]):
                         yield pa.RecordBatch.from_arrays([pa.array([trial] * len(keys), pa.int32()), pa.array(keys), pa.array(labels), pa.array(pred, pa.int32()), pa.array(loss)], ["trial", "id", "label", "pred", "loss"])
 

@@ -126,7 +126,7 @@ def test_nets_side_by_side_are_those_alone():
     nets = [Net(11, 3, filters=f, hidden=3, layers=n, dense=4, dropout=r, attention=True) for f, n, r in ((2, 3, 0.3), (3, 1, 0.0), (5, 2, 0.2))]
     vectors, x, labels = [n.drawn(i) for i, n in enumerate(nets)], np.random.default_rng(0).normal(size=(7, 11)), np.arange(7) % 3
     drops = [training.dropper(list(range(7)), 0, 1, n.dropout) for n in nets]
-    logits, back = network.together(nets, vectors, x, drops)
+    logits, back = network.together(nets, vectors, [x] * 3, drops)
     loss, d = network.losses(logits, labels)
     for i, g in enumerate(back(d)):
         alone, back_alone = network.scores(nets[i], vectors[i], x, drops[i])
@@ -147,16 +147,38 @@ def test_held_out_rows_are_scored_in_many_tasks(spark, monkeypatch):
     assert dealt and min(dealt) > 1
 
 
+def test_groups_of_nets_use_all_tasks():
+    assert training.grid(12, 8, 10) == (3, 4) and training.grid(6, 8, 10) == (2, 3) and training.grid(4, 4, 2) == (1, 4) and training.grid(1, 8, 10) == (1, 1) and training.grid(8, 8, 1) == (1, 8)
+    for many in (1, 2, 5):
+        groups = training.grouped({t: Net(9, 3, filters=2 + t, hidden=3) for t in range(5)}, many)
+        assert len(groups) == many and all(groups) and sorted(t for g in groups for t in g) == list(range(5))
+
+
 def test_tasks_trade_without_delay(spark):
     def run(batches):
         with training.Circle(b"key", 2) as circle:
             now = [same.getsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY) for link in circle.links.values() for same in [socket.socket(fileno=os.dup(link.fileno()))]]
-            met = circle.traded({k: [circle.rank, k] for k in range(circle.owners)}, range(circle.tasks if circle.rank < circle.owners else 0))
-            yield pa.RecordBatch.from_pylist([{"rank": circle.rank, "all": all(now), "links": len(now), "met": str(sorted(met.items()))}])
+            # More than the buffers of a connection hold.
+            met = circle.traded({k: bytes([circle.rank, k]) * 5_000_000 for k in range(circle.owners)}, range(circle.tasks if circle.rank < circle.owners else 0))
+            yield pa.RecordBatch.from_pylist([{"rank": circle.rank, "all": all(now), "links": len(now), "met": str(sorted((t, len(m), *m[-2:]) for t, m in met.items()))}])
 
     found = sorted(spark.range(0, 4, 1, 4).mapInArrow(run, "rank long, all boolean, links long, met string", barrier=True).collect())
     assert [tuple(r)[:3] for r in found] == [(0, True, 3), (1, True, 3), (2, True, 2), (3, True, 2)]
-    assert [r["met"] for r in found] == [str([(t, [t, k]) for t in range(4)] if k < 2 else []) for k in range(4)]
+    assert [r["met"] for r in found] == [str([(t, 10_000_000, t, k) for t in range(4)] if k < 2 else []) for k in range(4)]
+
+
+def test_steps_of_groups_are_those_of_jobs(spark, monkeypatch):
+    rows = planted(spark, 30).withColumn("part", F.pmod("id", F.lit(2))).withColumn("batch_id", F.floor(F.col("id") / 8))
+    nets = {4: SMALL, 2: LARGER, 7: SMALL}
+    begun = lambda: {t: training.Adam(net.drawn(t), net.rate) for t, net in nets.items()}
+    monkeypatch.setattr(training, "tasks_at_once", lambda spark: 4)
+    assert training.grid(4, 2, 3) == (2, 2)
+    one = training.epoch_steps(rows, nets, begun(), 5, 7, 4, 2)
+    monkeypatch.setattr(training, "tasks_at_once", lambda spark: 0)
+    other = training.epoch_steps(rows, nets, begun(), 5, 7, 4, 2)
+    for t in nets:
+        assert one[t][0].steps == 4 and abs(one[t][1] - other[t][1]) < 1e-12
+        assert all(np.array_equal(getattr(one[t][0], n), getattr(other[t][0], n)) for n in ("weights", "first", "second"))
 
 
 def test_runs_cross_batches():
