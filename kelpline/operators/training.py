@@ -187,9 +187,9 @@ class Circle:
 
 
 def grid(slots: int, parts: int, nets: int) -> tuple[int, int]:
-    """Into how many groups the nets go, and how many tasks share the rows of a group, so that no task has much more than others; of equal ways that with the fewest copies of rows. No task has all rows where two can share them."""
+    """Into how many groups the nets go, and how many tasks share the rows of a group: more than one where that takes a quarter from the largest task. No task has all rows where two can share them."""
     ways = [(-(-nets // g) * -(-parts // r), g, r) for g in range(1, nets + 1) for r in [min(parts, slots // g)] if r >= min(2, parts, slots)]
-    return min(ways)[1:]
+    return (min(ways) if 4 * min(ways)[0] <= 3 * ways[0][0] else ways[0])[1:]
 
 
 def grouped(nets: dict[int, Net], groups: int) -> list[list[int]]:

@@ -148,7 +148,7 @@ def test_held_out_rows_are_scored_in_many_tasks(spark, monkeypatch):
 
 
 def test_groups_of_nets_use_all_tasks():
-    assert training.grid(12, 8, 10) == (3, 4) and training.grid(6, 8, 10) == (2, 3) and training.grid(4, 4, 2) == (1, 4) and training.grid(1, 8, 10) == (1, 1) and training.grid(8, 8, 1) == (1, 8)
+    assert training.grid(12, 8, 10) == (1, 8) and training.grid(6, 8, 10) == (2, 3) and training.grid(4, 4, 2) == (1, 4) and training.grid(1, 8, 10) == (1, 1) and training.grid(8, 8, 1) == (1, 8)
     for many in (1, 2, 5):
         groups = training.grouped({t: Net(9, 3, filters=2 + t, hidden=3) for t in range(5)}, many)
         assert len(groups) == many and all(groups) and sorted(t for g in groups for t in g) == list(range(5))
